@@ -257,6 +257,12 @@ def pending_work(tasks: DataFrame, step: str, force: bool = False) -> DataFrame:
     return tasks if force else tasks.where(~has_step_data(step))
 
 
+def pending_steps(tasks: DataFrame, steps: tuple[str, ...] = ("mask", "translate", "compose")) -> DataFrame:
+    """(page_id, step) for every step whose data is missing, in one pass over the tasks."""
+    missing = F.array_compact(F.array(*[F.when(~has_step_data(s), F.lit(s)) for s in steps]))
+    return tasks.select("page_id", F.explode(missing).alias("step"))
+
+
 def plan_stage_work(tasks: DataFrame, operation: str, force: bool = False) -> DataFrame:
     """Steps to run per page for a batch operation, why, and which kind of model each needs.
 

@@ -104,7 +104,7 @@ def _(v):
     names = F.array(
         *[F.lit(s) for s in ("translating", "completed", "translationReady", "maskReady", "failed", "pending")]
     )
-    stored = v.pages().select("page_id", names[(F.col("page_id") % 6).cast("int")].alias("stage"))
+    stored = v.pages().select("page_id", F.get(names, (F.col("page_id") % 6).cast("int")).alias("stage"))
     return status.derive_stage(stored, v.artifacts())
 
 
@@ -189,7 +189,7 @@ def _(v):
     stages = ("detectingText", "translating", "composing", "typesetting", "scanned", "completed", "failed")
     names = F.array(*[F.lit(s) for s in stages])
     events = v.events().select(
-        "event_id", (F.col("k").cast("double") / 100).alias("fraction"), names[(F.col("event_id") % 7).cast("int")].alias("stage")
+        "event_id", (F.col("k").cast("double") / 100).alias("fraction"), F.get(names, (F.col("event_id") % 7).cast("int")).alias("stage")
     )
     return status.project_stage_progress(events).withColumn("progress", F.round("progress", 6))
 
@@ -240,12 +240,7 @@ def _(v):
     TASK_VIEWS,
 )
 def _(v):
-    base = tasks(v)
-    parts = [
-        status.pending_work(base, step).select("page_id", F.lit(step).alias("step"))
-        for step in ("mask", "translate", "compose")
-    ]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+    return status.pending_steps(tasks(v))
 
 
 @query(

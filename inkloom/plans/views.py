@@ -126,7 +126,7 @@ class Views:
         words = F.split("text", " ")
         term = F.concat_ws(" ", words[0], words[1])
         languages = F.array(*[F.lit(v) for v in ("zh-Hant", "zh", "en", "ja")])
-        first = F.struct(languages[(item % 4).cast("int")].alias("lang"), F.upper(term).alias("translation"))
+        first = F.struct(F.get(languages, (item % 4).cast("int")).alias("lang"), F.upper(term).alias("translation"))
         second = F.when(
             item % 3 == 0,
             F.struct(F.lit("zh").alias("lang"), F.concat(term, F.lit("_zh")).alias("translation")),
@@ -151,11 +151,12 @@ class Views:
         )
 
     def truth(self) -> DataFrame:
-        """Every sentence of every document is a truth line; the observed side carries typical reading errors."""
+        """Every document set in lines of up to 80 characters; the observed side carries typical reading errors."""
         plain = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
+        set_lines = F.regexp_extract_all(plain, F.lit(r"[^\n]{1,80}"), F.lit(0))
         lines = (
             self.raw("documents")
-            .select("doc_id", "source", F.posexplode(F.split(plain, r"[.!\n]")).alias("line_no", "line"))
+            .select("doc_id", "source", F.posexplode(set_lines).alias("line_no", "line"))
             .where(F.trim("line") != "")
             .select(F.col("source").alias("page"), "doc_id", "line_no", F.trim("line").alias("expected"))
         )

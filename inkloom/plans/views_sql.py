@@ -69,7 +69,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT source AS page, doc_id, (line_no - 1)::INTEGER AS line_no, trim(line) AS expected
               FROM (SELECT source, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_no
                     FROM (SELECT source, doc_id,
-                                 regexp_split_to_array(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), '[.!\n]') AS lines
+                                 regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), '[^\n]{1,80}') AS lines
                           FROM documents))
               WHERE trim(line) <> '')"""),
     "fx_scores": ((), """

@@ -126,3 +126,10 @@ def top_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int,
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Deal rows evenly by hash before a step that costs much more per row than a shuffle."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *columns)
