@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -10,6 +11,15 @@ from pyspark.sql import functions as F
 FIELDS = ("x", "y", "width", "height")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once.
+
+    Chained box steps name their input several times each; inlined, the expression
+    would grow with every step, so long chains bind the intermediate box instead.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def clip01(value: Column) -> Column:
     return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
 

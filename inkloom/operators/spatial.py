@@ -56,30 +56,35 @@ def near_pairs(
     pad: Callable[[Box], Column] | None = None,
     limit: int = ARRAY_GROUP_LIMIT,
     extra: Callable[[DataFrame], Column] | None = None,
+    reach: bool = False,
 ) -> DataFrame:
     """Pairs of boxes of one group that share area, or whose padded boxes meet.
 
     Columns of the sides come back with prefixes ``a_`` and ``b_``; the group keys
-    keep their names.  ``pad(box)`` is how far a box reaches outside itself.
+    keep their names.  ``pad(box)`` is how far a box reaches outside itself; a column
+    named ``reach`` on both sides can stand in for it (``pad=None, reach=True``).
     ``extra(joined)`` adds to the join condition (for example an id order).
     """
 
     def side(df: DataFrame, prefix: str) -> DataFrame:
         return df.select(*[F.col(c) if c in by else F.col(c).alias(prefix + c) for c in df.columns])
 
-    def condition(pairs: DataFrame | None = None) -> Column:
+    def padding(prefix: str) -> Column:
+        if reach:
+            return F.col(f"{prefix}reach")
+        return F.lit(0.0) if pad is None else pad(Box.columns(prefix))
+
+    def condition() -> Column:
         a, b = Box.columns("a_"), Box.columns("b_")
-        if pad is None:
-            rule = a.meets(b)
-        else:
-            pa, pb = pad(a), pad(b)
-            rule = (
-                (a.x - pa <= b.right + pb)
-                & (b.x - pb <= a.right + pa)
-                & (a.y - pa <= b.bottom + pb)
-                & (b.y - pb <= a.bottom + pa)
-            )
-        return rule
+        if pad is None and not reach:
+            return a.meets(b)
+        pa, pb = padding("a_"), padding("b_")
+        return (
+            (a.x - pa <= b.right + pb)
+            & (b.x - pb <= a.right + pa)
+            & (a.y - pa <= b.bottom + pb)
+            & (b.y - pb <= a.bottom + pa)
+        )
 
     crowded = _crowded_pages([left] if left is right else [left, right], by, limit)
     a_cold, a_hot = split_hot(left, by, None if crowded is None else crowded.drop("_cell"))
@@ -89,9 +94,8 @@ def near_pairs(
         pairs = pairs.where(extra(pairs))
     if crowded is None:
         return pairs
-    reach = (lambda df: pad(Box.columns())) if pad is not None else (lambda df: F.lit(0.0))
-    a_cells = _cells(a_hot.join(crowded, list(by)).withColumn("_pad", reach(a_hot)), F.col("_pad"))
-    b_cells = _cells(b_hot.join(crowded, list(by)).withColumn("_pad", reach(b_hot)), F.col("_pad"))
+    a_cells = _cells(a_hot.join(crowded, list(by)).withColumn("_pad", padding("")), F.col("_pad"))
+    b_cells = _cells(b_hot.join(crowded, list(by)).withColumn("_pad", padding("")), F.col("_pad"))
     keys = [*by, "_cx", "_cy"]
     a_side = a_cells.select(*keys, "_cell", *[F.col(c).alias("a_" + c) for c in [*left.columns, "_pad"] if c not in by])
     b_side = b_cells.select(*keys, *[F.col(c).alias("b_" + c) for c in [*right.columns, "_pad"] if c not in by])
