@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -279,17 +279,6 @@ def _merge_fragments(blobs: list[list[float]], tolerance: float, ceiling: float)
     return blobs
 
 
-@F.pandas_udf("array<struct<x:double,y:double,r:double,b:double>>")
-def _merged_glyphs(fragments: pd.Series, median: pd.Series) -> pd.Series:
-    def merge(parts, size):
-        if parts is None:
-            return None
-        blobs = _merge_fragments([[p["x"], p["y"], p["r"], p["b"]] for p in parts], size * 0.15, size * 1.25)
-        return [dict(zip("xyrb", blob)) for blob in blobs]
-
-    return pd.Series([merge(parts, size) for parts, size in zip(fragments, median)])
-
-
 def merge_glyph_fragments(glyphs: DataFrame, limit: int = ARRAY_GROUP_LIMIT) -> DataFrame:
     """Whole glyphs (group_id, glyph_id, ord, x, y, width, height) from stroke fragments.
 
@@ -339,15 +328,30 @@ def merge_glyph_fragments(glyphs: DataFrame, limit: int = ARRAY_GROUP_LIMIT) ->
 
     # most groups have nothing to merge: only the others are sent to Python
     some = F.exists("_all", lambda a: F.exists("_all", lambda b: joinable(a, b)))
-    plain = F.transform("_all", lambda e: F.struct(e["x"].alias("x"), e["y"].alias("y"), e["r"].alias("r"), e["b"].alias("b")))
-    merged = listed.withColumn("_some", some).withColumn(
-        "_blobs", F.coalesce(_merged_glyphs(F.when(F.col("_some"), plain), F.col("_median")), plain)
-    )
-    return merged.select("group_id", "_part", F.posexplode("_blobs").alias("ord", "g")).select(
-        "group_id",
-        F.concat("_part", F.lit("#"), F.col("ord").cast("string")).alias("glyph_id"),
-        "ord", "g.x", "g.y", (F.col("g.r") - F.col("g.x")).alias("width"), (F.col("g.b") - F.col("g.y")).alias("height"),
+    listed = materialize(listed.withColumn("_some", some))
+    kind = dict(glyphs.dtypes)["group_id"]
+    schema = f"group_id {kind}, glyph_id string, ord int, x double, y double, width double, height double"
+
+    def merge_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for group, part, size, parts in zip(batch["group_id"], batch["_part"], batch["_median"], batch["_all"]):
+                blobs = _merge_fragments([[p["x"], p["y"], p["r"], p["b"]] for p in parts], size * 0.15, size * 1.25)
+                rows += [
+                    (group, f"{part}#{i}", i, x, y, r - x, b - y) for i, (x, y, r, b) in enumerate(blobs)
+                ]
+            yield pd.DataFrame(rows, columns=["group_id", "glyph_id", "ord", "x", "y", "width", "height"])
+
+    merged = listed.where("_some").drop("_some").mapInPandas(merge_batches, schema)
+    whole = (
+        listed.where(~F.col("_some"))
+        .select("group_id", "_part", F.posexplode("_all").alias("n", "g"))
+        .select(
+            "group_id", F.concat("_part", F.lit("#"), F.col("n").cast("string")).alias("glyph_id"), F.col("n").alias("ord"),
+            "g.x", "g.y", (F.col("g.r") - F.col("g.x")).alias("width"), (F.col("g.b") - F.col("g.y")).alias("height"),
+        )
     )
+    return whole.unionByName(merged)
 
 
 def vote_direction(glyphs: DataFrame, margin: float = 0.2, limit: int = ARRAY_GROUP_LIMIT) -> DataFrame:

@@ -415,7 +415,7 @@ def grounding(v):
         F.col("page_id").alias("response_id"), F.col("region_id").alias("box_no"), box.alias("box"),
         rect(F.lit(100.0), F.lit(50.0), F.lit(800.0), F.lit(1000.0)).alias("crop"),
         F.lit(1000).alias("image_width"), F.lit(1400).alias("image_height"),
-        F.when(F.col("page_id") % 2 == 0, rect(zero + 0.1, zero + 0.05, zero + 0.6, zero + 0.5)).alias("clip"),
+        F.when(F.col("page_id") % 2 == 0, rect(zero + 0.103, zero + 0.0507, zero + 0.6013, zero + 0.5031)).alias("clip"),
     )
 
 
@@ -425,9 +425,9 @@ def grounding(v):
         round_even(x * 1000 / 1000 * 800, 0) AS l, round_even(y * 1000 / 1000 * 1000, 0) AS t, round_even((x + width) * 1000 / 1000 * 800, 0) AS r, round_even((y + height) * 1000 / 1000 * 1000, 0) AS b FROM fx_boxes),
     raw AS (SELECT *, (100 + l) / 1000 AS x, (50 + t) / 1400 AS y, (r - l) / 1000 AS w, (b - t) / 1400 AS h FROM p),
     pad AS (SELECT *, greatest(x - w * 0.08, 0.0) AS pl, greatest(y - h * 0.08, 0.0) AS pt, least(x + w * 1.08, 1.0) AS pr, least(y + h * 1.08, 1.0) AS pb,
-        greatest(least(x + w, 0.7) - greatest(x, 0.1), 0.0) * greatest(least(y + h, 0.55) - greatest(y, 0.05), 0.0) AS shared FROM raw),
-    fin AS (SELECT *, CASE WHEN clipped THEN greatest(pl, 0.1) ELSE pl END AS fl, CASE WHEN clipped THEN greatest(pt, 0.05) ELSE pt END AS ft,
-        CASE WHEN clipped THEN least(pr, 0.7) ELSE pr END AS fr, CASE WHEN clipped THEN least(pb, 0.55) ELSE pb END AS fb,
+        greatest(least(x + w, 0.7043) - greatest(x, 0.103), 0.0) * greatest(least(y + h, 0.5538) - greatest(y, 0.0507), 0.0) AS shared FROM raw),
+    fin AS (SELECT *, CASE WHEN clipped THEN greatest(pl, 0.103) ELSE pl END AS fl, CASE WHEN clipped THEN greatest(pt, 0.0507) ELSE pt END AS ft,
+        CASE WHEN clipped THEN least(pr, 0.7043) ELSE pr END AS fr, CASE WHEN clipped THEN least(pb, 0.5538) ELSE pb END AS fb,
         shaped AND r > l AND b > t AND (NOT clipped OR shared / (w * h) >= 0.7) AS ok FROM pad)
     SELECT response_id, box_no, round(fl, 6) AS x, round(ft, 6) AS y, round(fr - fl, 6) AS width, round(fb - ft, 6) AS height FROM fin
     WHERE response_id IN (SELECT response_id FROM fin GROUP BY response_id HAVING bool_and(ok) AND count(*) <= 16)""",
