@@ -287,7 +287,8 @@ def commit_edit_batches(
     """
     verdicts = judge_batches(revisions, regions, batches, patches)
     accepted = verdicts.where(F.col("verdict") == "accepted").select("batch_id", "page_id", "seq")
-    edits = patches.join(accepted.select("batch_id", "seq"), "batch_id")
+    accepted = materialize(accepted)
+    edits = materialize(patches.join(accepted.select("batch_id", "seq"), "batch_id"))
     updated = apply_region_edits(regions, edits)
     effects = (
         updated.join(accepted.select("page_id").distinct(), "page_id", "left_semi")
@@ -336,7 +337,7 @@ def submit_agent_results(
         .when(~F.coalesce("_filled", F.lit(False)), "blank text")
         .otherwise("accepted")
     )
-    verdicts = judged.select("page_id", verdict.alias("verdict"))
+    verdicts = materialize(judged.select("page_id", verdict.alias("verdict")))
     accepted = results.join(verdicts.where(F.col("verdict") == "accepted").select("page_id"), "page_id", "left_semi")
     edits = accepted.select("region_id", "source_text", "translated_text", F.lit(1).alias("seq"), F.lit(True).alias("keep_mask"))
     updated = apply_region_edits(regions, edits).drop("geometry_changed")
