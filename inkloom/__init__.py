@@ -8,3 +8,10 @@ Every operator is a plain function ``DataFrame(s) -> DataFrame``:
 * ``inkloom.streaming``  Structured Streaming jobs over job and page events
 * ``inkloom.plans``      adapter views over the test tables and the query catalog
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# the few Python helpers travel with their tasks, so executors need no installation
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -38,6 +38,11 @@ tasks AS (
 """
 
 
+def epoch_seconds(name):
+    """Seconds since 1970 of a zone-less timestamp, whatever the session's time zone."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(name))
+
+
 def tasks(v):
     return status.page_task_summary(v.pages(), v.regions(), v.artifacts())
 
@@ -81,7 +86,7 @@ def _(v):
 def _(v):
     latest = v.artifacts().groupBy("page_id").agg(F.max("modified_at").alias("touched"))
     pages = status.derive_stage(v.pages(), v.artifacts()).join(latest, "page_id", "left")
-    return status.project_summary(pages, "touched").withColumn("updated_at", F.unix_timestamp("updated_at"))
+    return status.project_summary(pages, "touched").withColumn("updated_at", epoch_seconds("updated_at"))
 
 
 @query("derive_stage", f"WITH {TASKS_SQL} SELECT page_id, stage FROM tasks", TASK_VIEWS)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +54,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to reliable storage and continue from the written rows."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder for data a query writes and reads back."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/inkloom-{name}-{uuid.uuid4().hex}"
