@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkloom.functions.boxes import clip01
 from inkloom.functions.text import (
     characters,
     compact,
@@ -117,7 +118,7 @@ def apply_translations(
         none_if_blank(F.col("literal")).alias("_literal"),
         none_if_blank(F.col("speaker")).alias("_speaker"),
         none_if_blank(F.col("tone")).alias("_tone"),
-        F.least(F.greatest(F.col("confidence"), F.lit(0.0)), F.lit(1.0)).alias("_confidence"),
+        F.when(F.col("confidence").isNotNull(), clip01(F.col("confidence"))).alias("_confidence"),
         F.col("flags").alias("_flags"),
     ).where(F.col("_display").isNotNull())
     joined = regions.join(usable, "region_id", "left")

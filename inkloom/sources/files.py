@@ -38,7 +38,7 @@ SIDECAR = (
 def scan_pages(spark: SparkSession, root: str, sizes: DataFrame | None = None) -> DataFrame:
     """Image files below ``root`` in natural path order, without hidden files and package contents.
 
-    Only names and times are read.  ``sizes(rel_path, pixel_width, pixel_height)``, when
+    Only names and times are read; empty files hold no image and are not listed.  ``sizes(rel_path, pixel_width, pixel_height)``, when
     given, adds the dimensions and drops files that have none.
     """
     listed = (
@@ -255,7 +255,7 @@ def read_truth_lines(spark: SparkSession, path: str, whole_files: bool = True) -
 
     Documents are whole files, or one per text line with ``whole_files=False``.
     """
-    documents = spark.read.option("wholetext", str(whole_files).lower()).text(path)
+    documents = spark.read.text(path, wholetext=whole_files)
     files = documents.select(F.explode(F.from_json("value", TRUTH)).alias("file", "page"))
     lines = files.select("file", "page.width", "page.height", F.posexplode("page.lines").alias("line_no", "l"))
     box = F.col("l.box")
