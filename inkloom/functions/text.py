@@ -8,6 +8,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkloom.functions.boxes import let
+
 #: Scripts whose marks count as removable accents: Latin, Greek and Cyrillic.
 LAST_FOLDED_BASE = 0x0510
 
@@ -66,15 +68,17 @@ def characters(text: Column) -> Column:
 
 def multiset_overlap(left: Column, right: Column) -> Column:
     """Shared characters, counted with repeats, over the shorter length."""
-    shorter = F.when(F.length(left) <= F.length(right), left).otherwise(right)
-    longer = F.when(F.length(left) <= F.length(right), right).otherwise(left)
-
-    def shared(letter: Column) -> Column:
-        in_short = F.length(shorter) - F.length(F.replace(shorter, letter, F.lit("")))
-        in_long = F.length(longer) - F.length(F.replace(longer, letter, F.lit("")))
-        return F.least(in_short, in_long)
-
-    total = F.aggregate(
-        F.transform(F.array_distinct(characters(shorter)), shared), F.lit(0), lambda a, b: a + b
-    )
-    return total / F.greatest(F.length(shorter), F.lit(1))
+
+    def share(pair: Column) -> Column:
+        a, b = pair["a"], pair["b"]
+
+        def both(letter: Column) -> Column:
+            in_a = F.length(a) - F.length(F.replace(a, letter, F.lit("")))
+            in_b = F.length(b) - F.length(F.replace(b, letter, F.lit("")))
+            return F.least(in_a, in_b)
+
+        counts = F.transform(F.array_intersect(characters(a), characters(b)), both)
+        total = F.aggregate(counts, F.lit(0), lambda n, c: n + c)
+        return total / F.greatest(F.least(F.length(a), F.length(b)), F.lit(1))
+
+    return let(F.struct(left.alias("a"), right.alias("b")), share)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.functions.boxes import Box
+from inkloom.functions.boxes import Box, let
 from inkloom.functions.text import characters, compact, multiset_overlap
 from inkloom.operators.grouping import connected_labels
 from inkloom.operators.spatial import near_pairs
@@ -30,12 +30,15 @@ def _echo(a: Column, b: Column) -> Column:
 def _merge(kept: Column, new: Column) -> Column:
     area = lambda r: r["width"] * r["height"]
     keep_first = F.when(kept["framed"] != new["framed"], kept["framed"]).otherwise(area(kept) <= area(new))
-    winner = F.when(keep_first, kept).otherwise(new)
-    other = F.when(keep_first, new).otherwise(kept)
-    direction = F.when(winner["direction"] == "automatic", other["direction"]).otherwise(winner["direction"])
-    return winner.withField("confidence", F.greatest(kept["confidence"], new["confidence"])).withField(
-        "direction", direction
-    )
+    ordered = F.when(keep_first, F.array(kept, new)).otherwise(F.array(new, kept))
+
+    def settle(pair: Column) -> Column:
+        winner, other = pair[0], pair[1]
+        direction = F.when(winner["direction"] == "automatic", other["direction"]).otherwise(winner["direction"])
+        best = F.greatest(winner["confidence"], other["confidence"])
+        return winner.withField("confidence", best).withField("direction", direction)
+
+    return let(ordered, settle)
 
 
 def _echo_candidates(rows: DataFrame) -> DataFrame:
@@ -93,9 +96,11 @@ def dedupe_regions(regions: DataFrame, limit: int = ARRAY_GROUP_LIMIT) -> DataFr
     listed = cold.groupBy("page_id", "_part").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_all"))
 
     def step(kept: Column, item: Column) -> Column:
-        match = F.array_position(F.transform(kept, lambda k: _same(k, item) | _echo(k, item)), F.lit(True))
-        merged = F.transform(kept, lambda k, i: F.when(i + 1 == match, _merge(k, item)).otherwise(k))
-        return F.when(match == 0, F.concat(kept, F.array(item))).otherwise(merged)
+        def place(match: Column) -> Column:
+            merged = F.transform(kept, lambda k, i: F.when(i + 1 == match, _merge(k, item)).otherwise(k))
+            return F.when(match == 0, F.concat(kept, F.array(item))).otherwise(merged)
+
+        return let(F.array_position(F.transform(kept, lambda k: _same(k, item) | _echo(k, item)), F.lit(True)), place)
 
     folded = F.aggregate(F.slice("_all", F.lit(2), F.size("_all")), F.slice("_all", 1, 1), step)
     return listed.select("page_id", F.explode(folded).alias("r")).select("page_id", "r.*").drop("key")

@@ -17,6 +17,8 @@ from inkloom.scale import number_rows, previous_values, small_table
 from inkloom.session import materialize
 
 GRAM_LENGTH = 4
+#: Up to so many terms per project it is cheaper to test each term than to cut the text into grams.
+DIRECT_TERMS = 64
 
 
 def terms_for_language(glossary: DataFrame, language: str) -> DataFrame:
@@ -50,9 +52,18 @@ def glossary_hits(texts: DataFrame, glossary: DataFrame, language: str, text: st
     local = small_table(terms)
     if local is not None:
         # the checked-small glossary travels to the texts: no text is shuffled
-        lengths = sorted(r[0] for r in local.select(F.length("gram")).distinct().collect())
-        if not lengths:
-            return rows.join(F.broadcast(local), "project_id").select(*keep).limit(0)
+        sizes = local.groupBy("project_id").agg(
+            F.count(F.lit(1)).alias("n"), F.collect_set(F.length("gram")).alias("lengths")
+        ).collect()
+        if max((r["n"] for r in sizes), default=0) <= DIRECT_TERMS:
+            term = F.struct("folded_term", "entry_id", "source_term", "preferred_translation")
+            listed = local.groupBy("project_id").agg(F.collect_list(term).alias("terms"))
+            hits = F.filter("terms", lambda t: F.contains(F.col("folded"), t["folded_term"]))
+            found = rows.join(F.broadcast(listed), "project_id").select(
+                "project_id", "page_id", "region_id", F.explode(hits).alias("t")
+            )
+            return found.select("project_id", "page_id", "region_id", "t.entry_id", "t.source_term", "t.preferred_translation")
+        lengths = sorted({n for r in sizes for n in r["lengths"]})
         wanted = local.groupBy("project_id").agg(F.collect_set("gram").alias("wanted"))
         found = rows.join(F.broadcast(wanted), "project_id").select(
             "project_id", "page_id", "region_id", "folded",

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkloom.functions.boxes import Box
+from inkloom.functions.boxes import Box, let
 from inkloom.operators.spatial import near_pairs
 from inkloom.scale import ARRAY_GROUP_LIMIT, hot_groups, split_hot, top_rows
 from inkloom.session import materialize
@@ -62,13 +62,16 @@ def _closure(
     entry = F.struct(*order, F.col(key).alias("key"), *[F.col(f) for f in fields])
     listed = cold.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
 
-    def touches(block: Column, item: Column) -> Column:
-        return F.exists(block, lambda member: linked(member, item))
-
     def step(blocks: Column, item: Column) -> Column:
-        joined = F.flatten(F.filter(blocks, lambda b: touches(b, item)))
-        others = F.filter(blocks, lambda b: ~touches(b, item))
-        return F.concat(others, F.array(F.concat(joined, F.array(item))))
+        def tell(block: Column) -> Column:
+            hit = F.exists(block, lambda member: linked(member, item))
+            return F.struct(block.alias("b"), hit.alias("hit"))
+
+        def join(told: Column) -> Column:
+            of = lambda hit: F.transform(F.filter(told, lambda t: t["hit"] == hit), lambda t: t["b"])
+            return F.concat(of(False), F.array(F.concat(F.flatten(of(True)), F.array(item))))
+
+        return let(F.transform(blocks, tell), join)
 
     blocks = F.aggregate(
         F.slice("_all", F.lit(2), F.size("_all")), F.array(F.slice("_all", 1, 1)), step

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from inkloom.functions.boxes import Box
 from inkloom.functions.text import compact
 from inkloom.operators.greedy import greedy_keep, greedy_match
-from inkloom.scale import ARRAY_GROUP_LIMIT, broadcast_if_small, number_rows, split_hot, top_rows
+from inkloom.scale import ARRAY_GROUP_LIMIT, SMALL_TABLE_ROWS, small_table, split_hot, top_rows
 from inkloom.session import materialize
 
 FINEST_GRID = 4096
@@ -35,8 +35,12 @@ def _crowded_pages(tables: Sequence[DataFrame], by: Sequence[str], limit: int) -
         .where(F.col("_n") > limit)
         .select(*by, F.greatest(F.col("_extent"), F.lit(1.0 / FINEST_GRID)).alias("_cell"))
     )
-    crowded = materialize(crowded)
-    return None if crowded.isEmpty() else broadcast_if_small(crowded)
+    rows = crowded.limit(SMALL_TABLE_ROWS + 1).collect()
+    if not rows:
+        return None
+    if len(rows) <= SMALL_TABLE_ROWS:
+        return F.broadcast(crowded.sparkSession.createDataFrame(rows, crowded.schema))
+    return materialize(crowded)
 
 
 def _cells(df: DataFrame, pad: Column) -> DataFrame:
@@ -459,8 +463,14 @@ def nearest_neighbour(boxes: DataFrame, by: str = "group_id", key: str = "glyph_
         F.count(F.lit(1)).alias("_n"), F.min("cx").alias("_x0"), F.max("cx").alias("_x1"),
         F.min("cy").alias("_y0"), F.max("cy").alias("_y1"),
     )
-    crowded = materialize(counts.where(F.col("_n") > limit))
-    hot = None if crowded.isEmpty() else broadcast_if_small(crowded)
+    crowded = counts.where(F.col("_n") > limit)
+    hot = small_table(crowded)
+    if hot is None:
+        hot = materialize(crowded)
+    elif hot.isEmpty():
+        hot = None
+    else:
+        hot = F.broadcast(hot)
     cold, dense = split_hot(centers, [by], None if hot is None else hot.select(by))
 
     def other(df: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ SMALL_TABLE_ROWS = 20_000
 
 def small_table(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFrame | None:
     """``df`` as a broadcastable local relation, or None when it has more rows than ``limit``."""
-    rows = df.limit(limit + 1).collect()
+    rows = df.limit(limit + 1).collect()  # bounded by the limit
     if len(rows) > limit:
         return None
     return df.sparkSession.createDataFrame(rows, df.schema)
