@@ -39,16 +39,16 @@ def greedy_keep(
     other, so only the best copy takes part.
     """
     cold, hot = split_hot(items, by, hot_groups(items, by, limit))
-    entry = F.struct(*rank, F.col(key).alias("key"), *[F.col(f) for f in FIELDS])
+    # the array carries whole rows, so survivors come out of it without a join back
+    entry = F.struct(*rank, F.col(key).alias("key"), F.struct(*items.columns).alias("row"))
     listed = cold.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
 
     def step(kept: Column, item: Column) -> Column:
-        clash = F.exists(kept, lambda k: conflict(Box.struct(item), Box.struct(k)))
+        clash = F.exists(kept, lambda k: conflict(Box.struct(item["row"]), Box.struct(k["row"])))
         return F.when(clash, kept).otherwise(F.concat(kept, F.array(item)))
 
     folded = F.aggregate(F.slice("_all", F.lit(2), F.size("_all")), F.slice("_all", 1, 1), step)
-    kept = listed.select(*by, F.explode(F.transform(folded, lambda e: e["key"])).alias(key))
-    survivors = cold.join(kept, [*by, key], "left_semi")
+    survivors = listed.select(F.explode(folded).alias("_e")).select("_e.row.*")
     if hot is None:
         return survivors
     return survivors.unionByName(_keep_in_rounds(hot, by, key, rank, conflict, pairs_of, copies_conflict))

@@ -59,7 +59,8 @@ def _closure(
     items; larger ones link through ``edges_of`` and ``connected_labels``.
     """
     cold, hot = split_hot(items, by, hot_groups(items, by, limit))
-    entry = F.struct(*order, F.col(key).alias("key"), *[F.col(f) for f in fields])
+    # the array carries whole rows, so labels need no join back
+    entry = F.struct(*order, F.col(key).alias("key"), *[F.col(f) for f in fields], F.struct(*items.columns).alias("row"))
     listed = cold.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
 
     def step(blocks: Column, item: Column) -> Column:
@@ -76,12 +77,11 @@ def _closure(
     blocks = F.aggregate(
         F.slice("_all", F.lit(2), F.size("_all")), F.array(F.slice("_all", 1, 1)), step
     )
-    keys = F.transform(blocks, lambda b: F.transform(b, lambda m: m["key"]))
-    labelled = (
-        listed.select(*by, F.explode(keys).alias("_keys"))
-        .select(*by, F.array_min("_keys").alias("group_label"), F.explode("_keys").alias(key))
+    out = (
+        listed.select(F.explode(blocks).alias("_b"))
+        .select(F.array_min(F.transform("_b", lambda m: m["key"])).alias("group_label"), F.explode("_b").alias("_m"))
+        .select("_m.row.*", "group_label")
     )
-    out = cold.join(labelled, [*by, key])
     if hot is None:
         return out
     hot = materialize(hot)

@@ -220,6 +220,8 @@ def test_glossary_without_broadcast(spark, monkeypatch):
     texts = spark.createDataFrame([(1, p, f"r{p}", f"The Élan vital of p{p} and ab") for p in range(30)], "project_id long, page_id long, region_id string, source_text string")
     terms = spark.createDataFrame([(1, 1, "elan VITAL", "en", "x"), (1, 2, "ab", "en", "y"), (1, 3, "zzz", "en", "z")], "project_id long, entry_id long, source_term string, lang string, translation string")
     small = rows_of(glossary.resolve_glossary(texts, terms, "en-GB"), "page_id", "entry_id")
+    monkeypatch.setattr(glossary, "DIRECT_TERMS", 0)
+    assert rows_of(glossary.resolve_glossary(texts, terms, "en-GB"), "page_id", "entry_id") == small
     monkeypatch.setattr(glossary, "small_table", lambda df: None)
     assert rows_of(glossary.resolve_glossary(texts, terms, "en-GB"), "page_id", "entry_id") == small
     assert len(small) == 60
