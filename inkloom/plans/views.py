@@ -61,7 +61,7 @@ class Views:
         part, supp, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
         return [
             F.col("l_orderkey").alias("page_id"),
-            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("region_id"),
+            F.concat_ws("-", "l_orderkey", line, part, supp, F.col("l_quantity").cast("long")).alias("region_id"),
             line.alias("ord"),
             hundredths((part * 37) % 70).alias("x"),
             hundredths((supp * 53) % 70).alias("y"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 LINE_COLUMNS = """
     l_orderkey AS page_id,
-    concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS region_id,
+    concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT) AS region_id,
     l_linenumber AS ord,
     ((l_partkey * 37) % 70)::DOUBLE / 100 AS x,
     ((l_suppkey * 53) % 70)::DOUBLE / 100 AS y,
