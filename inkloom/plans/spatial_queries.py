@@ -337,3 +337,29 @@ def _(v):
         "page_id", "region_id", F.round("x", 6).alias("x"), F.round("bubble_y", 6).alias("bubble_y"),
         "source_text", "confidence", "automatic_mask", "font_name",
     )
+
+
+@query(
+    "box_algebra",
+    """WITH b AS (SELECT region_id, x, y, x + width AS r, y + height AS b, width, height FROM fx_boxes)
+    SELECT region_id, round(width * height, 6) AS area, round(x + width / 2, 6) AS center_x,
+      round(least(r + width * 0.5::DOUBLE, 1.0) - greatest(x - width * 0.5::DOUBLE, 0.0), 6) AS expanded_width,
+      round(greatest(r, 0.6) - least(x, 0.2), 6) AS union_width,
+      round(CASE WHEN least(r, 0.6) > greatest(x, 0.2) AND least(b, 0.7) > greatest(y, 0.3) THEN (least(r, 0.6) - greatest(x, 0.2)) * (least(b, 0.7) - greatest(y, 0.3)) ELSE 0 END, 6) AS shared_area,
+      round(least(r + 0.25::DOUBLE, 1.0) - least(x + 0.25::DOUBLE, 1.0), 6) AS clamped_width
+    FROM b""",
+    ("fx_boxes",),
+)
+def _(v):
+    box = Box.columns()
+    window = Box.edges(F.lit(0.2), F.lit(0.3), F.lit(0.6), F.lit(0.7))
+    moved = Box(box.x + 0.25, box.y, box.width, box.height).clamp()
+    columns = {
+        "area": box.area,
+        "center_x": box.center_x,
+        "expanded_width": box.expand(0.5).width,
+        "union_width": box.union(window).width,
+        "shared_area": box.intersect(window).area,
+        "clamped_width": moved.width,
+    }
+    return v.boxes().select("region_id", *[F.round(value, 6).alias(name) for name, value in columns.items()])

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkloom.operators import quality
 from inkloom.plans.catalog import query
 from inkloom.session import scratch_path
 from inkloom.sources import files
@@ -287,3 +288,17 @@ def _(v):
     )
     legacy = v.regions().withColumn("source_text", F.concat(F.lit("old "), "source_text"))
     return files.migrate_sidecars(pages, v.regions(), legacy).select("region_id", "source_text", "origin")
+
+
+@query(
+    "write_report",
+    """SELECT page, overall, lines, edits, characters, round(edits::DOUBLE / characters, 6) AS cer FROM (
+      SELECT page, grouping(page)::BIGINT AS overall, count(*) AS lines, sum(levenshtein(expected, observed))::BIGINT AS edits, sum(length(expected))::BIGINT AS characters
+      FROM fx_truth GROUP BY ROLLUP (page))""",
+    ("fx_truth",),
+)
+def _(v):
+    root = scratch_path(v.spark, "report")
+    files.write_report(quality.accuracy_report(v.truth()), root)
+    fields = "page string, overall bigint, lines bigint, edits bigint, characters bigint, cer double"
+    return v.spark.read.schema(fields).json(root).withColumn("cer", F.round("cer", 6))

@@ -118,9 +118,24 @@ def previous_values(
     return out.unionByName(numbered.join(shifted, [*by, "_pos"], "left").drop("_pos"))
 
 
+#: Largest k for which Spark's window group limit trims map tasks by itself.
+WINDOW_LIMIT_K = 1000
+
+
 def top_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name: str = "_rank") -> DataFrame:
-    """First ``k`` rows per group; Spark's window group limit trims each map task to ``k`` before the shuffle."""
-    ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    """First ``k`` rows per group; ``order`` must be a total order.
+
+    Spark's window group limit trims each map task to ``k`` rows before the shuffle.
+    Above its threshold the rows are first ranked in random slices of the group, of
+    which each keeps its ``k`` best, so no task sorts a whole hot group.
+    """
+    rows = df
+    if k > WINDOW_LIMIT_K:
+        slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salted = df.withColumn("_slice", F.pmod(F.xxhash64(*df.columns), F.lit(slices)))
+        part = Window.partitionBy("_slice", *by).orderBy(*order)
+        rows = salted.withColumn("_first", F.row_number().over(part)).where(F.col("_first") <= k).drop("_slice", "_first")
+    ranked = rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     return ranked.where(F.col(name) <= k)
 
 

@@ -19,10 +19,15 @@ REASONING_LIMIT = 32_000
 # --- running a stream to its end ----------------------------------------------
 
 
-def stream_of(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """A file stream over one table."""
+#: Bytes of files one micro-batch takes; bounds what a single key can bring to one task.
+BATCH_BYTES = 256 * 1024 * 1024
+
+
+def stream_of(spark: SparkSession, directory: str, name: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """A file stream over one table, in micro-batches of bounded size."""
     schema = spark.read.parquet(f"{directory}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(directory)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    return reader.option("maxBytesPerTrigger", str(batch_bytes)).parquet(directory)
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "update") -> DataFrame:

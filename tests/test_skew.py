@@ -236,3 +236,12 @@ def test_results_do_not_depend_on_partitioning(boxes):
     ):
         a, b = op(boxes), op(shuffled)
         assert rows_of(a, *a.columns) == rows_of(b, *a.columns)
+
+
+def test_large_top_k_equals_small_one(boxes, monkeypatch):
+    from inkloom import scale
+
+    order = [F.col("confidence").desc(), F.col("region_id")]
+    plain = rows_of(scale.top_rows(boxes, ["page_id"], order, 30), "region_id", "_rank")
+    monkeypatch.setattr(scale, "WINDOW_LIMIT_K", 1)
+    assert rows_of(scale.top_rows(boxes, ["page_id"], order, 30), "region_id", "_rank") == plain
