@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.functions.boxes import FIELDS, Box
-from inkloom.scale import ARRAY_GROUP_LIMIT, hot_groups, split_hot
+from inkloom.scale import ARRAY_GROUP_LIMIT, hot_groups, split_hot, top_rows
 from inkloom.session import materialize
 
 
@@ -31,8 +31,11 @@ def greedy_keep(
     pairs_of: Callable[..., DataFrame],
     limit: int = ARRAY_GROUP_LIMIT,
     copies_conflict: bool = False,
+    keep: int | None = None,
 ) -> DataFrame:
-    """Rows of ``items`` that survive; ``rank`` must be a total order within a group.
+    """Rows of ``items`` that survive, the first ``keep`` of each group when given.
+
+    ``rank`` must be a total order within a group.
 
     ``pairs_of(left, right, by, limit=…)`` finds boxes that share area; a conflict
     implies shared area.  With ``copies_conflict`` exact copies of a box exclude each
@@ -48,10 +51,15 @@ def greedy_keep(
         return F.when(clash, kept).otherwise(F.concat(kept, F.array(item)))
 
     folded = F.aggregate(F.slice("_all", F.lit(2), F.size("_all")), F.slice("_all", 1, 1), step)
+    if keep is not None:
+        folded = F.slice(folded, 1, keep)  # the fold keeps rank order, so no second shuffle is needed
     survivors = listed.select(F.explode(folded).alias("_e")).select("_e.row.*")
     if hot is None:
         return survivors
-    return survivors.unionByName(_keep_in_rounds(hot, by, key, rank, conflict, pairs_of, copies_conflict))
+    settled = _keep_in_rounds(hot, by, key, rank, conflict, pairs_of, copies_conflict)
+    if keep is not None:
+        settled = top_rows(settled, by, rank, keep).drop("_rank")
+    return survivors.unionByName(settled)
 
 
 def _keep_in_rounds(items, by, key, rank, conflict, pairs_of, copies_conflict) -> DataFrame:

@@ -216,7 +216,6 @@ def cluster_glyphs(
     fields = ["x0", "y0", "x1", "y1"]
 
     def edges(hot: DataFrame) -> DataFrame:
-        size = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
         boxes = hot.select(
             *by, key, "ord", *fields,
             F.col("x0").cast("double").alias("x"), F.col("y0").cast("double").alias("y"),

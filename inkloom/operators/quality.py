@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from inkloom.functions.boxes import clip01
 from inkloom.functions.text import (
-    characters,
     compact,
-    is_blank,
     multiset_overlap,
     none_if_blank,
     number_tokens,

@@ -140,8 +140,9 @@ def suppress_boxes(
     """
     rank = [(-F.col("confidence")).alias("r0"), F.col("det_id").alias("r1")]
     conflict = lambda a, b: a.iou(b) >= threshold
-    kept = greedy_keep(detections, ["page_id"], "det_id", rank, conflict, near_pairs, limit=limit, copies_conflict=True)
-    return top_rows(kept, ["page_id"], [F.col("confidence").desc(), F.col("det_id")], keep).drop("_rank")
+    return greedy_keep(
+        detections, ["page_id"], "det_id", rank, conflict, near_pairs, limit=limit, copies_conflict=True, keep=keep
+    )
 
 
 def reject_duplicate_boxes(
