@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm import decontaminate, language
+from inkloom.llm import decontaminate, language, lines, minhash, packing
 from inkloom.scale import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,46 @@ def op4_decontamination(spark: SparkSession, directory: str) -> DataFrame:
         F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@query("op3_packing")
+def op3_packing(spark: SparkSession, directory: str) -> DataFrame:
+    """Bucket, batch and slot of every document; no SQL form (dynamic programming), tested against exhaustive search."""
+    return packing.pack(table(spark, directory, "documents").select("doc_id", "text"))
+
+
+@query(
+    "op6_line_dedup",
+    """
+    with split as (
+        select doc_id, source, text, string_split(text, chr(10)) as lines from documents
+    ), counts as (
+        select source, line, count(*) as n
+        from (select distinct source, text, trim(unnest(lines), ' ') as line from split)
+        where line <> '' group by source, line
+    ), totals as (
+        select source, count(distinct text) as pages from documents group by source
+    ), boilerplate as (
+        select c.source, list(line) as bad from counts c join totals t on c.source is not distinct from t.source
+        where n >= 4 and n > pages * 0.05 group by c.source
+    ), kept as (
+        select doc_id, s.source, lines,
+               list_filter(lines, lambda x: not (trim(x, ' ') <> '' and list_contains(coalesce(bad, []), trim(x, ' ')))) as good
+        from split s left join boilerplate b on s.source is not distinct from b.source
+    )
+    select doc_id, source, cast(coalesce(len(lines), 0) as bigint) as n_lines,
+           cast(coalesce(len(lines) - len(good), 0) as bigint) as n_dropped,
+           case when lines is not null then array_to_string(good, chr(10)) end as kept_text
+    from kept
+    """,
+)
+def op6_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    """Every document without the boilerplate lines of its source."""
+    docs = table(spark, directory, "documents").select("doc_id", "source", "text")
+    return lines.drop_boilerplate(docs, host="source").select("doc_id", "source", "n_lines", "n_dropped", "kept_text")
+
+
+@query("op8_minhash_dedup")
+def op8_minhash_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    """Near-duplicate class of every document; no SQL form (hashed darts), tested against all pairs."""
+    return minhash.near_duplicates(table(spark, directory, "documents").select("doc_id", "text"))
