@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm import language
+from inkloom.llm import decontaminate, language, lines, minhash, packing
 from inkloom.scale import table
 from inkloom.session import scratch_path
 
@@ -32,7 +32,42 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return scored.where(kept).select(docs.columns)
 
 
-STAGES = [("language_id", language_stage)]
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every text by its lines that are not boilerplate of its source."""
+    kept = [c for c in docs.columns if c not in ("text", "n_chars")]
+    found = lines.drop_boilerplate(docs.select("text", "source", *[F.col(c).alias(f"_in_{c}") for c in kept]), host="source")
+    out = {c: F.col(f"_in_{c}").alias(c) for c in kept}
+    out |= {"text": F.col("kept_text").alias("text"), "n_chars": F.length("kept_text").cast("long").alias("n_chars")}
+    return found.select(*[out[c] for c in docs.columns])
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that represent their class; of rows that repeat an id one stays."""
+    classes = minhash.near_duplicates(docs.select("doc_id", "text"))
+    copies = classes.where(F.col("class_id") != F.col("doc_id")).select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop contaminated documents."""
+    judged = decontaminate.decontaminate(
+        docs.select("text", *[F.col(c).alias(f"_in_{c}") for c in docs.columns]), table(spark, sf_dir, "benchmark")
+    )
+    return judged.where(~F.col("contaminated")).select(*[F.col(f"_in_{c}").alias(c) for c in docs.columns])
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Give every document its bucket, batch and place."""
+    return packing.pack(docs.select("doc_id", "text"))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("minhash_near_dedup", near_dedup_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
 
 ORACLE_SQL = None
 
