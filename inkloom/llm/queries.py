@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm import chat, decontaminate, language, lines, minhash, packing, pivots
+from inkloom.llm import chat, chunks, decontaminate, language, lines, minhash, packing, pivots
 from inkloom.scale import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,9 @@ def op10_chat_format(spark: SparkSession, directory: str) -> DataFrame:
     hostile = spark.createDataFrame(HOSTILE, "conv_id long, turn long, role string, text string")
     rows = table(spark, directory, "conversations").select(*hostile.columns).unionByName(hostile)
     return chat.read_back(chat.format_conversations(rows))
+
+
+@query("op9_substring_dedup")
+def op9_substring_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    """Every document without the chunks that occur earlier; no SQL form (rolling hash), tested against a plain chunker."""
+    return chunks.drop_repeats(table(spark, directory, "documents"))
