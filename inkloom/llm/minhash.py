@@ -11,9 +11,11 @@ whole shingle sets; classes are the connected components of the links at
 ``SIMILARITY`` or more:
 
 1. texts with the same words are one document (the smallest doc_id stands for them);
-2. each band bucket compares its members with the bucket's smallest doc_id only;
-3. members that are still in different classes of a common bucket are compared directly.
-   Members of one class need no more comparisons, so a bucket of n near copies costs n.
+2. each band bucket compares its members with one lead, the member with most neighbours;
+3. members still in different classes meet again only where a link between them is
+   possible given what they share with the lead (see ``classes_of``).
+
+So a bucket of n near copies costs about n comparisons, whether they are linked or not.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from inkloom.llm.blocks import Block, mix, text_blocks, word_starts_per_row, words
 from inkloom.operators.grouping import connected_labels
-from inkloom.session import materialize
+from inkloom.session import materialize, scratch_path
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -36,6 +38,8 @@ COORDINATES = 128
 BAND = 4
 #: Partners of one document that one task compares, in expectation.
 PARTNERS = 2_000
+#: Members of a group whose classes are compared directly.
+DIRECT = 16
 SIGNATURE = "struct<weight long, words1 long, words2 long, bands array<long>>"
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -139,43 +143,154 @@ def _signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         )
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lead, part, role, id, text), the lead's own first: similarity of every other to it."""
-    lead, known = None, np.zeros(0, np.uint64)
-    for batch in batches:
-        leads, parts, roles, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        out: list[tuple[int, int, float]] = []
-        for block in text_blocks(batch.column(4)):
-            cells, bounds, _ = shingle_cells(block)
-            for i in range(block.rows):
-                own, row = cells[bounds[i] : bounds[i + 1]], block.first + i
-                if roles[row] == 0:
-                    lead, known = (leads[row], parts[row]), own
-                elif lead == (leads[row], parts[row]) and len(known):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    shared = int((known[at] == own).sum())
-                    out.append((leads[row], ids[row], shared / max(1, len(known) + len(own) - shared)))
-        if out:
-            a, b, similarity = zip(*out)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(similarity, pa.float64())], ["a", "b", "similarity"]
-            )
-
-
-def links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of doc ids whose exact weighted Jaccard similarity reaches ``similarity``.
-
-    A document with very many partners is copied to several tasks, each of which
-    compares a share of them; every text is sent once per partner it is compared with.
+COMPARED = "a long, b long, linked boolean, tokens array<long>, own int, seek_from int, seek_to int"
+
+
+def _size_class(size: float) -> int:
+    return int(np.log(max(size, 1.0)) / np.log(1.05) + 1e-9)
+
+
+def _compare(similarity: float):
+    """Task that reads (lead, part, role, id, text), the lead's own first, and compares every other with it.
+
+    Besides the verdict it gives what members of one lead need to find each other.  For
+    |U| = n, |V| = m a link needs at least share * (n + m) common cells, share = s / (1 + s).
+
+    * If U and V have a common cell outside the lead's set, one is among the first
+      (1 - s) n + 1 of U's cells outside that set (in a fixed order): ``tokens``.
+    * Otherwise all their common cells are inside it, so share * (n + m) is at most what U has in
+      common with the lead.  For a U that is not linked to the lead this bounds m
+      from above: ``seek_from``..``seek_to`` are the classes of such sizes, ``own`` is V's.
+    """
+    share = similarity / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, known = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            leads, parts, roles, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            out: list[tuple] = []
+            for block in text_blocks(batch.column(4)):
+                cells, bounds, _ = shingle_cells(block)
+                for i in range(block.rows):
+                    own, row = cells[bounds[i] : bounds[i + 1]], block.first + i
+                    if roles[row] == 0:
+                        lead, known = (leads[row], parts[row]), own
+                        continue
+                    if lead != (leads[row], parts[row]) or not len(known) or not len(own):
+                        continue
+                    inside = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
+                    size, common = len(own), int(inside.sum())
+                    linked = common >= similarity * (len(known) + size - common) - 1e-9
+                    tokens = own[~inside][: int((1 - similarity) * size + 1e-9) + 1].view(np.int64)
+                    most, least = common / share - size + 1e-9, similarity * size - 1e-9
+                    seek = (_size_class(np.ceil(least)), _size_class(most)) if not linked and most >= least else (0, -1)
+                    mine = _size_class(size) if common >= similarity * size - 1e-9 else -1
+                    out.append((leads[row], ids[row], linked, tokens, mine, *seek))
+            if out:
+                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32()]
+                names = ["a", "b", "linked", "tokens", "own", "seek_from", "seek_to"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+    return run
+
+
+def compare(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Every pair (a, b) of doc ids compared exactly.
+
+    A lead ``a`` with very many partners is copied to several tasks, each of which
+    compares a share of them; a text is sent once per lead it is compared with.
     """
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts"))
-    routes = pairs.join(sizes, "a").select(
-        F.col("b").alias("doc_id"), F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role")
+    partners = pairs.join(sizes, "a").select(
+        F.col("b").alias("doc_id"),
+        F.col("a").alias("lead"),
+        F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"),
+        F.lit(1).alias("role"),
+    )
+    own = sizes.select(
+        F.col("a").alias("doc_id"),
+        F.col("a").alias("lead"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.lit(0).alias("role"),
     )
-    own = sizes.select(F.col("a").alias("doc_id"), F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
-    routed = texts.join(routes.unionByName(own), "doc_id").select("lead", "part", "role", "doc_id", "text")
+    routed = texts.join(partners.unionByName(own), "doc_id").select("lead", "part", "role", "doc_id", "text")
     dealt = routed.repartition("lead", "part").sortWithinPartitions("lead", "part", "role", "doc_id")
-    return materialize(dealt.mapInArrow(_compare, "a long, b long, similarity double")).where(F.col("similarity") >= similarity).select("a", "b")
+    return materialize(dealt.mapInArrow(_compare(similarity), COMPARED))
+
+
+def _groups_of(compared: DataFrame) -> DataFrame:
+    """(g, doc_id): members of one lead that may be linked to each other."""
+    by_token = compared.select(F.explode("tokens").alias("t"), "a", "b").select(F.xxhash64("a", "t").alias("g"), F.col("b").alias("doc_id"))
+    key = F.xxhash64(F.col("a"), F.lit("size"), F.col("s"))
+    sought = compared.where("seek_from <= seek_to").select("a", "b", F.explode(F.sequence("seek_from", "seek_to")).alias("s"))
+    owned = compared.where("own >= 0").select("a", "b", F.col("own").alias("s"))
+    owned = owned.join(sought.select("a", "s").distinct(), ["a", "s"], "left_semi")
+    by_size = sought.unionByName(owned).select(key.alias("g"), F.col("b").alias("doc_id"))
+    return by_token.unionByName(by_size).distinct()
+
+
+def _mixed(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """Groups whose members are in several classes, with the label of each member and the group's size."""
+    placed = groups.join(labels, "doc_id")
+    open_ = placed.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return placed.join(open_.where("lo < hi").select("g", "members"), "g")
+
+
+def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after joining the classes that ``links`` (a, b) connect."""
+    ends = links.join(labels.select(F.col("doc_id").alias("a"), F.col("label").alias("la")), "a").join(
+        labels.select(F.col("doc_id").alias("b"), F.col("label").alias("lb")), "b"
+    )
+    edges = materialize(ends.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    if edges.isEmpty():
+        return labels
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("label")).distinct()
+    joined = connected_labels(nodes.withColumnRenamed("label", "n"), edges, [], "n")
+    renamed = joined.select(F.col("n").alias("label"), F.col("label").alias("least"))
+    return materialize(labels.join(renamed, "label", "left").select("doc_id", F.coalesce("least", "label").alias("label")))
+
+
+def _star(groups: DataFrame, central: DataFrame) -> DataFrame:
+    """(g, a, b): each group's most central member (then the smallest id) with every other."""
+    ranked = groups.join(central, "doc_id")
+    lead = ranked.groupBy("g").agg(F.max(F.struct("central", (-F.col("doc_id")).alias("minus"))).alias("m"))
+    lead = lead.select("g", (-F.col("m.minus")).alias("a"))
+    return groups.join(lead, "g").where(F.col("a") != F.col("doc_id")).select("g", "a", F.col("doc_id").alias("b"))
+
+
+def classes_of(banded: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, label) of all documents that share a band with another.
+
+    Every group (at first a band bucket) compares its members with one lead.  Members
+    that end in different classes are grouped anew by what they have in common outside the
+    lead's set, or inside it if their sizes allow a link that way, and so on until no group has
+    members of two classes.  Groups of up to ``DIRECT`` members, and those whose
+    comparisons with the lead were all made before, compare their classes directly.
+    """
+    sizes = banded.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = materialize(banded.join(sizes, "g"))
+    central = materialize(groups.groupBy("doc_id").agg(F.sum("n").alias("central")))
+    path = scratch_path(texts.sparkSession, "near-texts")
+    texts.join(central, "doc_id", "left_semi").dropDuplicates(["doc_id"]).write.parquet(path)
+    texts = texts.sparkSession.read.schema(texts.schema).parquet(path)
+    labels = central.select("doc_id", F.col("doc_id").alias("label"))
+    pairs = _star(groups.select("g", "doc_id"), central).select("a", "b").distinct()
+    made = None
+    while True:
+        compared = compare(materialize(pairs), texts, similarity)
+        labels = _relabel(labels, compared.where("linked").select("a", "b"))
+        made = compared.select("a", "b") if made is None else made.unionByName(compared.select("a", "b"))
+        mixed = materialize(_mixed(_groups_of(compared), labels))
+        if mixed.isEmpty():
+            return labels
+        large = mixed.where(F.col("members") > DIRECT)
+        star = _star(large.select("g", "doc_id"), central).join(made.withColumn("made", F.lit(True)), ["a", "b"], "left")
+        fresh = materialize(star.where(F.col("made").isNull()).select("g", "a", "b"))
+        direct = mixed.join(fresh.select("g").distinct(), "g", "left_anti")
+        other = direct.select("g", F.col("doc_id").alias("d"), F.col("label").alias("l"))
+        crossed = direct.join(other, "g").where((F.col("doc_id") < F.col("d")) & (F.col("label") != F.col("l")))
+        pairs = fresh.select("a", "b").unionByName(crossed.select(F.col("doc_id").alias("a"), F.col("d").alias("b")))
+        pairs = pairs.distinct().join(made, ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -192,35 +307,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     first = named.groupBy(*words_key).agg(F.min("doc_id").alias("first"))
     member = materialize(named.join(first, words_key).select("doc_id", "first"))
     heads = named.join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-    banded = materialize(heads.select("doc_id", "weight", F.explode("bands").alias("band")))
-    lead = (
-        banded.groupBy("band")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "weight")).alias("lead"))
-        .where(F.col("n") > 1)
-        .select("band", F.col("lead.doc_id").alias("a"), F.col("lead.weight").alias("a_weight"))
-    )
-    shared = materialize(banded.join(lead, "band"))
-    able = lambda x, y: F.least(F.col(x), F.col(y)) >= F.greatest(F.col(x), F.col(y)) * (similarity - 1e-9)
-    pairs = shared.where((F.col("a") != F.col("doc_id")) & able("a_weight", "weight"))
-    found = links(materialize(pairs.select("a", F.col("doc_id").alias("b")).distinct()), texts, similarity)
-
-    nodes = shared.select("doc_id").distinct()
-    labels = connected_labels(nodes, found, [], "doc_id")
-    # buckets whose members are not all of one class yet
-    placed = shared.join(labels, "doc_id")
-    mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    if not mixed.isEmpty():
-        open_ = materialize(placed.join(mixed, "band").where(F.col("doc_id") != F.col("a")).select("band", "doc_id", "weight", "label"))
-        votes = open_.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-        most = votes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("most")).select("band", F.col("most.label").alias("main"))
-        minor = open_.join(most, "band").where(F.col("label") != F.col("main"))
-        other = open_.select("band", F.col("doc_id").alias("d"), F.col("weight").alias("w"), F.col("label").alias("l"))
-        cross = minor.join(other, "band").where((F.col("label") != F.col("l")) & able("weight", "w"))
-        cross = cross.select(F.least("doc_id", "d").alias("a"), F.greatest("doc_id", "d").alias("b")).distinct()
-        more = links(materialize(cross), texts, similarity)
-        if not more.isEmpty():
-            labels = connected_labels(nodes, found.unionByName(more), [], "doc_id")
+    labels = classes_of(heads.select(F.explode("bands").alias("g"), "doc_id"), texts, similarity)
     classes = member.join(labels.select(F.col("doc_id").alias("first"), "label"), "first", "left").select(
         "doc_id", F.coalesce("label", "first").alias("class_id")
     )

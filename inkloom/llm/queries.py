@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm import chat, chunks, decontaminate, language, lines, minhash, packing, pivots
+from inkloom.llm import chat, chunks, decontaminate, language, lines, minhash, packing, pii, pivots
 from inkloom.scale import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,15 @@ def op10_chat_format(spark: SparkSession, directory: str) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, directory: str) -> DataFrame:
     """Every document without the chunks that occur earlier; no SQL form (rolling hash), tested against a plain chunker."""
     return chunks.drop_repeats(table(spark, directory, "documents"))
+
+
+@query("op5_pii")
+def op5_pii(spark: SparkSession, directory: str) -> DataFrame:
+    """Personal data of every document; DuckDB has neither match places nor look-around, so it is tested against plain Python."""
+    found = pii.sanitize(table(spark, directory, "documents"))
+    return found.select(
+        "doc_id",
+        *[pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS[:4]],
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
