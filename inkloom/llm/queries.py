@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm import chat, chunks, decontaminate, language, lines, minhash, packing, pii, pivots
+from inkloom.llm import chat, chunks, decontaminate, language, lines, minhash, packing, pii, pivots, suffixes
 from inkloom.scale import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,42 @@ def op4_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+@query(
+    "op2_suffix_dedup",
+    """
+    with bytes as (
+        select doc_id, hex(encode(coalesce(text, ''))) as h from documents
+    ), windows as (
+        select doc_id, p, substr(h, 2 * p + 1, 100) as w
+        from (select doc_id, h, unnest(range(0, cast(len(h) / 2 as bigint) - 49)) as p from bytes where len(h) >= 100)
+    ), first as (
+        select w, min(doc_id) as first from windows group by w having min(doc_id) < max(doc_id)
+    ), hit as (
+        select doc_id, p from windows join first using (w) where first < doc_id
+    ), runs as (
+        select doc_id, min(p) as a, max(p) + 50 as b
+        from (select doc_id, p, sum(case when p - before > 50 or before is null then 1 else 0 end) over (partition by doc_id order by p) as run
+              from (select doc_id, p, lag(p) over (partition by doc_id order by p) as before from hit))
+        group by doc_id, run
+    ), gaps as (
+        select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as previous from runs
+    ), cut as (
+        select g.doc_id, sum(b - a) as n_removed, count(*) as n_spans, max(b) as last,
+               string_agg(substr(h, 2 * previous + 1, 2 * (a - previous)), '' order by a) as head
+        from gaps g join bytes using (doc_id) group by g.doc_id
+    )
+    select doc_id, cast(len(h) / 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+           cast(coalesce(n_spans, 0) as bigint) as n_spans,
+           sha256(unhex(case when n_spans is null then h else head || substr(h, 2 * last + 1) end)) as kept_sha256
+    from bytes left join cut using (doc_id)
+    """,
+)
+def op2_suffix_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    """Every document without the bytes of 50-byte strings that a smaller document has."""
+    kept = suffixes.drop_shared(table(spark, directory, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op3_packing")
 def op3_packing(spark: SparkSession, directory: str) -> DataFrame:
     """Bucket, batch and slot of every document; no SQL form (dynamic programming), tested against exhaustive search."""
