@@ -12,10 +12,8 @@ whole shingle sets; classes are the connected components of the links at
 
 1. texts with the same words are one document (the smallest doc_id stands for them);
 2. each band bucket compares its members with one lead, the member with most neighbours;
-3. members still in different classes meet again only where a link between them is
-   possible given what they share with the lead (see ``classes_of``).
-
-So a bucket of n near copies costs about n comparisons, whether they are linked or not.
+3. members that are not linked to the lead are compared with the lead's other members,
+   inside one task, by an index of their shingles; only links leave the task.
 """
 
 from __future__ import annotations
@@ -36,10 +34,8 @@ SIMILARITY = 0.8
 COORDINATES = 128
 #: Coordinates per band: 32 bands of 4 miss a pair at similarity 0.8 once in 2e7.
 BAND = 4
-#: Partners of one document that one task compares, in expectation.
-PARTNERS = 2_000
-#: Members of a group whose classes are compared directly.
-DIRECT = 16
+#: Documents of one lead that one task compares, in expectation.
+PARTNERS = 4_000
 SIGNATURE = "struct<weight long, words1 long, words2 long, bands array<long>>"
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -143,129 +139,102 @@ def _signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         )
 
 
-COMPARED = "a long, b long, linked boolean, tokens array<long>, own int, seek_from int, seek_to int"
-
-
-def _size_class(size: float) -> int:
-    return int(np.log(max(size, 1.0)) / np.log(1.05) + 1e-9)
+COMPARED = "a long, b long, part int, linked boolean"
+
+
+class _Star:
+    """The documents of one lead in one task: links to the lead, and among those that have none."""
+
+    def __init__(self, lead: int, part: int, similarity: float):
+        self.lead, self.part, self.similarity = lead, part, similarity
+        self.own = np.zeros(0, np.uint64)
+        self.members: list[np.ndarray] = []
+        self.ids: list[int] = []
+        self.roles: list[int] = []
+
+    def _linked(self, common: np.ndarray, size: np.ndarray, other: int) -> np.ndarray:
+        return common >= self.similarity * (size + other - common) - 1e-9
+
+    def rows(self) -> list[tuple[int, int, int, bool]]:
+        """(a, b, part, linked): links that join the classes of the star, and (lead, b, part, False) of members without a link to it."""
+        if not self.members:
+            return []
+        sizes = np.array([len(m) for m in self.members])
+        ids, roles = np.array(self.ids), np.array(self.roles)
+        joined = np.concatenate(self.members)
+        order = np.argsort(joined)
+        cells, owners = joined[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+
+        def common(own: np.ndarray) -> np.ndarray:
+            low, high = np.searchsorted(cells, own, "left"), np.searchsorted(cells, own, "right")
+            counts = high - low
+            ends = np.cumsum(counts)
+            at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts) + np.repeat(low, counts)
+            return np.bincount(owners[at], minlength=len(sizes))
+
+        near = self._linked(common(self.own), sizes, len(self.own)) if len(self.own) else np.zeros(len(sizes), bool)
+        near |= roles == 2  # guests were compared with the lead where they live
+        out = [(self.lead, int(i), self.part, True) for i in ids[near & (roles == 1)]]
+        root = np.where(near & (roles == 1), -1, np.arange(len(sizes)))  # -1: the lead's class
+        for member in np.flatnonzero(~near | (roles == 2)):
+            if roles[member] == 1:
+                out.append((self.lead, int(ids[member]), self.part, False))
+            partners = np.flatnonzero(self._linked(common(self.members[member]), sizes, sizes[member]))
+            for other in partners:
+                if root[other] != root[member]:  # one link per class that it joins
+                    out.append((int(ids[member]), int(ids[other]), self.part, True))
+                    root[root == root[other]] = root[member]
+        return out
 
 
 def _compare(similarity: float):
-    """Task that reads (lead, part, role, id, text), the lead's own first, and compares every other with it.
+    """Task over (lead, part, role, id, text) sorted by these: the lead's text (0), its members (1), guests (2)."""
 
-    Besides the verdict it gives what members of one lead need to find each other.  For
-    |U| = n, |V| = m a link needs at least share * (n + m) common cells, share = s / (1 + s).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        star: _Star | None = None
 
-    * If U and V have a common cell outside the lead's set, one is among the first
-      (1 - s) n + 1 of U's cells outside that set (in a fixed order): ``tokens``.
-    * Otherwise all their common cells are inside it, so share * (n + m) is at most what U has in
-      common with the lead.  For a U that is not linked to the lead this bounds m
-      from above: ``seek_from``..``seek_to`` are the classes of such sizes, ``own`` is V's.
-    """
-    share = similarity / (1 + similarity)
+        def emit(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+            columns = zip(*rows) if rows else ([], [], [], [])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["a", "b", "part", "linked"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, known = None, np.zeros(0, np.uint64)
         for batch in batches:
-            leads, parts, roles, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            out: list[tuple] = []
+            leads, parts, roles, ids = (batch.column(i).to_numpy(zero_copy_only=False).tolist() for i in range(4))
             for block in text_blocks(batch.column(4)):
                 cells, bounds, _ = shingle_cells(block)
                 for i in range(block.rows):
-                    own, row = cells[bounds[i] : bounds[i + 1]], block.first + i
+                    own, row = cells[bounds[i] : bounds[i + 1]].copy(), block.first + i
+                    if star is None or (star.lead, star.part) != (leads[row], parts[row]):
+                        if star is not None:
+                            yield emit(star.rows())
+                        star = _Star(leads[row], parts[row], similarity)
                     if roles[row] == 0:
-                        lead, known = (leads[row], parts[row]), own
-                        continue
-                    if lead != (leads[row], parts[row]) or not len(known) or not len(own):
-                        continue
-                    inside = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
-                    size, common = len(own), int(inside.sum())
-                    linked = common >= similarity * (len(known) + size - common) - 1e-9
-                    tokens = own[~inside][: int((1 - similarity) * size + 1e-9) + 1].view(np.int64)
-                    most, least = common / share - size + 1e-9, similarity * size - 1e-9
-                    seek = (_size_class(np.ceil(least)), _size_class(most)) if not linked and most >= least else (0, -1)
-                    mine = _size_class(size) if common >= similarity * size - 1e-9 else -1
-                    out.append((leads[row], ids[row], linked, tokens, mine, *seek))
-            if out:
-                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32()]
-                names = ["a", "b", "linked", "tokens", "own", "seek_from", "seek_to"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+                        star.own = own
+                    else:
+                        star.members.append(own)
+                        star.ids.append(ids[row])
+                        star.roles.append(roles[row])
+        if star is not None:
+            yield emit(star.rows())
 
     return run
 
 
-def compare(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Every pair (a, b) of doc ids compared exactly.
-
-    A lead ``a`` with very many partners is copied to several tasks, each of which
-    compares a share of them; a text is sent once per lead it is compared with.
-    """
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts"))
-    partners = pairs.join(sizes, "a").select(
-        F.col("b").alias("doc_id"),
-        F.col("a").alias("lead"),
-        F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"),
-        F.lit(1).alias("role"),
-    )
-    own = sizes.select(
-        F.col("a").alias("doc_id"),
-        F.col("a").alias("lead"),
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-        F.lit(0).alias("role"),
-    )
-    routed = texts.join(partners.unionByName(own), "doc_id").select("lead", "part", "role", "doc_id", "text")
+def compare(routes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Every route (doc_id, lead, part, role) with its text, compared inside its (lead, part)."""
+    routed = texts.join(routes, "doc_id").select("lead", "part", "role", "doc_id", "text")
     dealt = routed.repartition("lead", "part").sortWithinPartitions("lead", "part", "role", "doc_id")
     return materialize(dealt.mapInArrow(_compare(similarity), COMPARED))
 
 
-def _groups_of(compared: DataFrame) -> DataFrame:
-    """(g, doc_id): members of one lead that may be linked to each other."""
-    by_token = compared.select(F.explode("tokens").alias("t"), "a", "b").select(F.xxhash64("a", "t").alias("g"), F.col("b").alias("doc_id"))
-    key = F.xxhash64(F.col("a"), F.lit("size"), F.col("s"))
-    sought = compared.where("seek_from <= seek_to").select("a", "b", F.explode(F.sequence("seek_from", "seek_to")).alias("s"))
-    owned = compared.where("own >= 0").select("a", "b", F.col("own").alias("s"))
-    owned = owned.join(sought.select("a", "s").distinct(), ["a", "s"], "left_semi")
-    by_size = sought.unionByName(owned).select(key.alias("g"), F.col("b").alias("doc_id"))
-    return by_token.unionByName(by_size).distinct()
-
-
-def _mixed(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """Groups whose members are in several classes, with the label of each member and the group's size."""
-    placed = groups.join(labels, "doc_id")
-    open_ = placed.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    return placed.join(open_.where("lo < hi").select("g", "members"), "g")
-
-
-def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after joining the classes that ``links`` (a, b) connect."""
-    ends = links.join(labels.select(F.col("doc_id").alias("a"), F.col("label").alias("la")), "a").join(
-        labels.select(F.col("doc_id").alias("b"), F.col("label").alias("lb")), "b"
-    )
-    edges = materialize(ends.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-    if edges.isEmpty():
-        return labels
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("label")).distinct()
-    joined = connected_labels(nodes.withColumnRenamed("label", "n"), edges, [], "n")
-    renamed = joined.select(F.col("n").alias("label"), F.col("label").alias("least"))
-    return materialize(labels.join(renamed, "label", "left").select("doc_id", F.coalesce("least", "label").alias("label")))
-
-
-def _star(groups: DataFrame, central: DataFrame) -> DataFrame:
-    """(g, a, b): each group's most central member (then the smallest id) with every other."""
-    ranked = groups.join(central, "doc_id")
-    lead = ranked.groupBy("g").agg(F.max(F.struct("central", (-F.col("doc_id")).alias("minus"))).alias("m"))
-    lead = lead.select("g", (-F.col("m.minus")).alias("a"))
-    return groups.join(lead, "g").where(F.col("a") != F.col("doc_id")).select("g", "a", F.col("doc_id").alias("b"))
-
-
-def classes_of(banded: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def classes_of(banded: DataFrame, texts: DataFrame, similarity: float, partners: int = PARTNERS) -> DataFrame:
     """(doc_id, label) of all documents that share a band with another.
 
-    Every group (at first a band bucket) compares its members with one lead.  Members
-    that end in different classes are grouped anew by what they have in common outside the
-    lead's set, or inside it if their sizes allow a link that way, and so on until no group has
-    members of two classes.  Groups of up to ``DIRECT`` members, and those whose
-    comparisons with the lead were all made before, compare their classes directly.
+    Every band bucket has a lead, the member with most neighbours, and all documents of
+    one lead meet in its task: each is compared with the lead, and those that are not
+    linked to it with all others.  So two documents of a bucket are compared unless both
+    are linked to its lead.  A lead of more than ``partners`` documents is split into
+    parts; those without a link to the lead then also visit the other parts as guests.
     """
     sizes = banded.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = materialize(banded.join(sizes, "g"))
@@ -273,24 +242,33 @@ def classes_of(banded: DataFrame, texts: DataFrame, similarity: float) -> DataFr
     path = scratch_path(texts.sparkSession, "near-texts")
     texts.join(central, "doc_id", "left_semi").dropDuplicates(["doc_id"]).write.parquet(path)
     texts = texts.sparkSession.read.schema(texts.schema).parquet(path)
-    labels = central.select("doc_id", F.col("doc_id").alias("label"))
-    pairs = _star(groups.select("g", "doc_id"), central).select("a", "b").distinct()
-    made = None
-    while True:
-        compared = compare(materialize(pairs), texts, similarity)
-        labels = _relabel(labels, compared.where("linked").select("a", "b"))
-        made = compared.select("a", "b") if made is None else made.unionByName(compared.select("a", "b"))
-        mixed = materialize(_mixed(_groups_of(compared), labels))
-        if mixed.isEmpty():
-            return labels
-        large = mixed.where(F.col("members") > DIRECT)
-        star = _star(large.select("g", "doc_id"), central).join(made.withColumn("made", F.lit(True)), ["a", "b"], "left")
-        fresh = materialize(star.where(F.col("made").isNull()).select("g", "a", "b"))
-        direct = mixed.join(fresh.select("g").distinct(), "g", "left_anti")
-        other = direct.select("g", F.col("doc_id").alias("d"), F.col("label").alias("l"))
-        crossed = direct.join(other, "g").where((F.col("doc_id") < F.col("d")) & (F.col("label") != F.col("l")))
-        pairs = fresh.select("a", "b").unionByName(crossed.select(F.col("doc_id").alias("a"), F.col("d").alias("b")))
-        pairs = pairs.distinct().join(made, ["a", "b"], "left_anti")
+
+    first = groups.join(central, "doc_id").groupBy("g").agg(F.max(F.struct("central", (-F.col("doc_id")).alias("minus"))).alias("m"))
+    first = first.select("g", (-F.col("m.minus")).alias("lead"))
+    pairs = groups.join(first, "g").where(F.col("lead") != F.col("doc_id")).select("doc_id", "lead").distinct()
+    pairs = materialize(pairs)
+    parts = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / partners).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part")
+    members = pairs.join(parts, "lead").select("doc_id", "lead", part, F.lit(1).alias("role"))
+    leads = parts.select(
+        F.col("lead").alias("doc_id"), "lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role")
+    )
+    compared = compare(members.unionByName(leads), texts, similarity)
+    links = compared.where("linked").select("a", "b")
+    split = materialize(parts.where("parts > 1"))
+    if not split.isEmpty():
+        alone = compared.where(~F.col("linked")).select(F.col("a").alias("lead"), F.col("b").alias("doc_id"), F.col("part").alias("home"))
+        guests = (
+            alone.join(split, "lead")
+            .select("doc_id", "lead", "home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(2).alias("role"))
+            .where(F.col("part") != F.col("home"))
+            .drop("home")
+        )
+        hosts = members.join(split.select("lead"), "lead", "left_semi").select("doc_id", "lead", "part", "role")
+        links = links.unionByName(compare(guests.unionByName(hosts), texts, similarity).where("linked").select("a", "b"))
+    edges = materialize(links.distinct())
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return connected_labels(nodes, edges, [], "doc_id")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
