@@ -1,11 +1,11 @@
 """Personal data: base patterns, and terms whose co-occurrence reveals a protected entity, in DataFrame functions only.
 
 Base spans come from four patterns.  Every distinct value found (an e-mail address, an
-ip, a card or phone number) is a protected entity.  Over the whole corpus, in which equal
-texts count once, the operator counts for every entity e and term t (a lower-cased word within ``CONTEXT``
-code points of e) the texts n(t, e), n(t) and n(e).  A term discloses e when it is
-found with e in at least ``SUPPORT`` texts and its pointwise mutual information
-log2(n(t, e) N / (n(t) n(e))) reaches ``BITS``.  In every text that holds e the
+ip, a card or phone number) is a protected entity.  Over all N documents the operator
+counts for every entity e and term t (a lower-cased word within ``CONTEXT`` code points
+of e) the documents n(t, e), n(t) and n(e).  A term discloses e when it is found with e
+in at least ``SUPPORT`` different texts and its pointwise mutual information
+log2(n(t, e) N / (n(t) n(e))) reaches ``BITS``.  In every document that holds e the
 term is generalised; where n(t, e) / n(t), the chance that the term gives e away, reaches
 ``CERTAIN``, it is removed.
 
@@ -128,24 +128,30 @@ def _near(text: Column, span: Column) -> Column:
     return F.array_distinct(F.transform(F.concat(inside(before), inside(F.concat(F.lit(" "), after))), F.lower))
 
 
-def disclosing_terms(found: DataFrame, bits: float, support: int, certain: float) -> DataFrame:
-    """(entity, term, certain) of every pair beyond the thresholds; ``found`` has text and its base spans."""
-    marked = found.where(F.size("base") > 0).select(F.xxhash64("text").alias("key"), "text", "base")
-    pairs = marked.select("key", "text", F.explode("base").alias("span")).select(
-        "key", _entity(F.col("span")).alias("entity"), F.explode(F.array_append(_near(F.col("text"), F.col("span")), F.lit(""))).alias("term")
+def disclosing_terms(docs: DataFrame, found: DataFrame, bits: float, support: int, certain: float) -> DataFrame:
+    """(entity, term, certain) of every pair beyond the thresholds; ``found`` has the texts with base spans, written once."""
+    marked = found.where(F.size("base") > 0).select(F.xxhash64("text").alias("key"), F.monotonically_increasing_id().alias("row"), "text", "base")
+    pairs = marked.select("key", "row", "text", F.explode("base").alias("span")).select(
+        "key", "row", _entity(F.col("span")).alias("entity"), F.explode(F.array_append(_near(F.col("text"), F.col("span")), F.lit(""))).alias("term")
+    )
+    # a pair with the empty term counts the documents of the entity itself
+    counted = (
+        pairs.groupBy("entity", "term", "row")
+        .agg(F.first("key").alias("key"))
+        .groupBy("entity", "term")
+        .agg(F.count(F.lit(1)).alias("n_pair"), F.countDistinct("key").alias("n_texts"))
+        .where(F.col("n_texts") >= support)
     )
-    # a pair with the empty term counts the texts of the entity itself
-    counted = pairs.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair")).where(F.col("n_pair") >= support)
     counted = materialize(counted)
     entities = counted.where("term = ''").select("entity", F.col("n_pair").alias("n_entity"))
     joint = counted.where("term <> ''")
     wanted = joint.select("term").distinct()
     if wanted.count() <= BROADCAST_TERMS:
         wanted = F.broadcast(wanted)
-    texts = found.where(F.col("text").isNotNull()).select("text")
-    seen = texts.select(F.xxhash64("text").alias("key"), F.explode(_terms(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
-    n_term = seen.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = found.where(F.col("text").isNotNull()).select(F.xxhash64("text")).distinct().count()
+    texts = docs.where(F.col("text").isNotNull()).select("text")
+    seen = texts.select(F.explode(_terms(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
+    n_term = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))  # counted on the map side
+    total = texts.count()
     information = F.log2(F.col("n_pair") * float(total) / (F.col("n_term") * F.col("n_entity")))
     return (
         joint.join(entities, "entity")
@@ -184,8 +190,7 @@ def sanitize(docs: DataFrame, bits: float = BITS, support: int = SUPPORT, certai
     """
     found = docs.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
     held = materialize(found.where(F.size("base") > 0))
-    rest = docs.select("doc_id", "text")
-    pairs = disclosing_terms(_with_base(rest, held), bits, support, certain)
+    pairs = disclosing_terms(docs, held, bits, support, certain)
     entities = held.select("doc_id", F.explode("base").alias("span")).select("doc_id", _entity(F.col("span")).alias("entity")).distinct()
     per_doc = (
         entities.join(pairs, "entity")
@@ -222,11 +227,6 @@ def sanitize(docs: DataFrame, bits: float = BITS, support: int = SUPPORT, certai
     )
 
 
-def _with_base(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """All texts, with base spans for those in ``held``."""
-    return docs.select("text", F.array().cast(SPAN).alias("base")).unionByName(held.select("text", "base"))
-
-
 def listed(spans: Column) -> Column:
     """``kind:start:end`` of all spans, joined by commas."""
     names = F.array(*[F.lit(k) for k in KINDS])
