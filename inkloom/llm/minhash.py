@@ -271,7 +271,7 @@ def classes_of(banded: DataFrame, texts: DataFrame, similarity: float, partners:
     return connected_labels(nodes, edges, [], "doc_id")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, partners: int = PARTNERS) -> DataFrame:
     """(doc_id, class_id, weight): the class of every document, named by its smallest doc_id.
 
     Texts are compared by their words (A-Z lower-cased).  A text without words, or null,
@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     first = named.groupBy(*words_key).agg(F.min("doc_id").alias("first"))
     member = materialize(named.join(first, words_key).select("doc_id", "first"))
     heads = named.join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    labels = classes_of(heads.select(F.explode("bands").alias("g"), "doc_id"), texts, similarity)
+    labels = classes_of(heads.select(F.explode("bands").alias("g"), "doc_id"), texts, similarity, partners)
     classes = member.join(labels.select(F.col("doc_id").alias("first"), "label"), "first", "left").select(
         "doc_id", F.coalesce("label", "first").alias("class_id")
     )
