@@ -42,10 +42,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that represent their class; of rows that repeat an id one stays."""
+    """Keep the documents that represent their class; of rows that are equal in all columns one stays."""
     classes = minhash.near_duplicates(docs.select("doc_id", "text"))
-    copies = classes.where(F.col("class_id") != F.col("doc_id")).select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    copies = classes.where(F.col("class_id") != F.col("doc_id")).select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns).distinct()
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
