@@ -15,7 +15,6 @@ from inkloom.functions.text import (
     visible_length,
 )
 from inkloom.operators.glossary import glossary_hits
-from inkloom.scale import SMALL_TABLE_ROWS, spread
 
 # The flags a translation may carry.
 QA_FLAGS = (
@@ -152,21 +151,29 @@ def normalize_script(
 ) -> DataFrame:
     """Fold Chinese translations into the script their target language asks for.
 
-    ``mapping(script, from_char, to_char)`` is the caller's table of single
-    characters for scripts ``zh-hant`` and ``zh-hans``; other targets are untouched.
-    The table is a dictionary of characters, so its size is bounded and checked.
+    ``mapping(script, from_char, to_char)`` is the caller's table of single characters
+    for scripts ``zh-hant`` and ``zh-hans``; other targets are untouched.  Of several rows
+    for one character the smallest ``to_char`` counts.  A script is at most one row per
+    character of Unicode, so its two strings are broadcast.
     """
-    pairs = mapping.select("script", "from_char", "to_char").limit(SMALL_TABLE_ROWS * 10 + 1).collect()
-    if len(pairs) > SMALL_TABLE_ROWS * 10:
-        raise ValueError("a character mapping has at most one row per character")
+    single = mapping.where((F.length("from_char") == 1) & (F.length("to_char") == 1) & F.col("script").isin("zh-hant", "zh-hans"))
+    entry = F.struct("from_char", "to_char")
+    tables = (
+        single.groupBy("script", "from_char")
+        .agg(F.min("to_char").alias("to_char"))
+        .groupBy(F.col("script").alias("_script"))
+        .agg(F.array_sort(F.collect_list(entry)).alias("_pairs"))
+        .select(
+            "_script",
+            F.array_join(F.transform("_pairs", lambda p: p["from_char"]), "").alias("_from"),
+            F.array_join(F.transform("_pairs", lambda p: p["to_char"]), "").alias("_to"),
+        )
+    )
     tag = F.lower(F.replace(F.col(language), F.lit("_"), F.lit("-")))
-    out = F.col(text)
-    for script in ("zh-hant", "zh-hans"):
-        rows_of = [p for p in pairs if p["script"] == script]
-        source, target = "".join(p["from_char"] for p in rows_of), "".join(p["to_char"] for p in rows_of)
-        wanted = (tag == script) | F.startswith(tag, F.lit(f"{script}-"))
-        out = F.when(wanted, F.translate(F.col(text), source, target)).otherwise(out)
-    return rows.withColumn(text, out)
+    keyed = rows.withColumn("_script", F.regexp_extract(tag, "^(zh-han[ts])(?:-.*)?$", 1))
+    joined = keyed.join(F.broadcast(tables), "_script", "left")
+    fold = F.call_function("translate", F.col(text), F.col("_from"), F.col("_to"))
+    return joined.withColumn(text, F.when(F.col("_from").isNull(), F.col(text)).otherwise(fold)).select(*rows.columns)
 
 
 def accept_transcripts(items: DataFrame) -> DataFrame:
@@ -205,11 +212,13 @@ def char_overlap(pairs: DataFrame, left: str, right: str) -> DataFrame:
 def accuracy_report(matches: DataFrame, expected: str = "expected", observed: str = "observed") -> DataFrame:
     """Exact lines, edits and character error rate per page and overall (page null).
 
-    The edit distance costs length x length, so lines are dealt evenly to all cores first.
+    Equal pairs of a page are counted first, so each is scored once, and a line that
+    repeats any number of times is one row after the map side.
     """
-    dealt = spread(matches.select("page", expected, observed), expected, observed)
-    scored = dealt.select(
+    counted = matches.groupBy("page", expected, observed).agg(F.count(F.lit(1)).alias("_n"))
+    scored = counted.select(
         "page",
+        "_n",
         (F.col(expected) == F.col(observed)).alias("exact"),
         F.levenshtein(expected, observed).alias("edits"),
         F.length(expected).alias("chars"),
@@ -217,10 +226,10 @@ def accuracy_report(matches: DataFrame, expected: str = "expected", observed: st
     return (
         scored.rollup("page")
         .agg(
-            F.count(F.lit(1)).alias("lines"),
-            F.count_if("exact").alias("exact_lines"),
-            F.sum("edits").alias("edits"),
-            F.sum("chars").alias("characters"),
+            F.sum("_n").alias("lines"),
+            F.sum(F.when(F.col("exact"), F.col("_n")).otherwise(0)).alias("exact_lines"),
+            F.sum(F.col("edits") * F.col("_n")).alias("edits"),
+            F.sum(F.col("chars") * F.col("_n")).alias("characters"),
             F.grouping("page").cast("int").alias("overall"),
         )
         .withColumn("cer", F.when(F.col("characters") > 0, F.col("edits") / F.col("characters")))

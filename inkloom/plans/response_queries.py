@@ -70,7 +70,8 @@ def _(v):
 
 def prompt_sql(items: str, task: str, source: str) -> str:
     head = (
-        f"{task} into zh-Hant. Reading order: rightToLeft. Length: balanced.\n"
+        f"{task} into zh-Hant, using only Traditional Chinese characters, no Simplified ones. Reading order: rightToLeft. Length: balanced.\n"
+        "Style: no further guide.\n"
         "Answer with one JSON array of objects with id, literalTranslation, displayTranslation, speakerID, tone, "
         "confidence and qaFlags; keep every id and the order.\nTerms:\n"
     ).replace("\n", "' || chr(10) || '")
@@ -99,7 +100,7 @@ def _(v):
 
 @query(
     "build_region_prompts",
-    prompt_sql(ITEM.replace("{n}", "1"), "Translate every sourceText", "(n - 1)::INTEGER"),
+    prompt_sql(ITEM.replace("{n}", "n"), "Translate every sourceText", "(n - 1)::INTEGER"),
     ("fx_texts", "fx_glossary"),
 )
 def _(v):

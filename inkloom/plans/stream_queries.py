@@ -218,7 +218,7 @@ def _(v):
     root = scratch_path(v.spark, "sidecars")
     documents = files.sidecar_documents(v.pages(), v.regions(), "zh-Hant")
     files.write_sidecars(documents, root, 1)
-    rows = files.sidecar_regions(files.read_sidecar_versions(v.spark, root))
+    rows = files.sidecar_regions(files.read_sidecar_versions(v.spark, root)[0])
     return rows.select(
         "rel_path", "region_id", "ord", "source_text", "translated_text", "mask_complete", "detected_direction", "automatic_mask"
     )
@@ -293,9 +293,9 @@ def _(v):
 @query(
     "write_report",
     """SELECT page, overall, lines, edits, characters, round(edits::DOUBLE / characters, 6) AS cer FROM (
-      SELECT page, grouping(page)::BIGINT AS overall, count(*) AS lines, sum(levenshtein(expected, observed))::BIGINT AS edits, sum(length(expected))::BIGINT AS characters
-      FROM fx_truth GROUP BY ROLLUP (page))""",
-    ("fx_truth",),
+      SELECT page, grouping(page)::BIGINT AS overall, count(*) AS lines, sum(levenshtein(translate(expected, letters, marks), translate(observed, letters, marks)))::BIGINT AS edits, sum(length(expected))::BIGINT AS characters
+      FROM fx_truth, fx_letters GROUP BY ROLLUP (page))""",
+    ("fx_truth", "fx_letters"),
 )
 def _(v):
     root = scratch_path(v.spark, "report")

@@ -305,11 +305,11 @@ def _(v):
 
 @query(
     "accuracy_report",
-    """WITH scored AS (SELECT page, expected = observed AS exact, levenshtein(expected, observed) AS edits, length(expected) AS chars FROM fx_truth),
+    """WITH scored AS (SELECT page, expected = observed AS exact, levenshtein(translate(expected, letters, marks), translate(observed, letters, marks)) AS edits, length(expected) AS chars FROM fx_truth, fx_letters),
     sums AS (SELECT page, count(*) AS lines, count(*) FILTER (exact) AS exact_lines, sum(edits)::BIGINT AS edits, sum(chars)::BIGINT AS characters,
        grouping(page)::INTEGER AS overall FROM scored GROUP BY ROLLUP (page))
     SELECT *, round(edits::DOUBLE / characters, 6) AS cer FROM sums""",
-    ("fx_truth",),
+    ("fx_truth", "fx_letters"),
 )
 def _(v):
     return quality.accuracy_report(v.truth()).withColumn("cer", F.round("cer", 6))

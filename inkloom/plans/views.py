@@ -122,20 +122,26 @@ class Views:
         )
 
     def glossary(self) -> DataFrame:
+        """Every pair of words of every benchmark text is a term."""
         item = F.col("item_id")
         words = F.split("text", " ")
-        term = F.concat_ws(" ", words[0], words[1])
+        pairs = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 2).cast("int")),
+            lambda i: F.concat_ws(" ", F.get(words, 2 * i), F.get(words, 2 * i + 1)),
+        )
+        term = F.col("term")
         languages = F.array(*[F.lit(v) for v in ("zh-Hant", "zh", "en", "ja")])
-        first = F.struct(F.get(languages, (item % 4).cast("int")).alias("lang"), F.upper(term).alias("translation"))
+        first = F.struct(F.get(languages, (item % 4).cast("int")).alias("lang"), F.concat(F.lit("to "), term).alias("translation"))
         second = F.when(
             item % 3 == 0,
             F.struct(F.lit("zh").alias("lang"), F.concat(term, F.lit("_zh")).alias("translation")),
         )
         return (
             self.raw("benchmark")
+            .select("item_id", F.posexplode(pairs).alias("pos", "term"))
             .select(
                 (item % 4).alias("project_id"),
-                item.alias("entry_id"),
+                (item * 100_000 + F.col("pos")).alias("entry_id"),
                 term.alias("source_term"),
                 F.explode(F.array_compact(F.array(first, second))).alias("t"),
             )
@@ -152,8 +158,7 @@ class Views:
 
     def truth(self) -> DataFrame:
         """Every document set in lines of up to 80 characters; the observed side carries typical reading errors."""
-        plain = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
-        set_lines = F.regexp_extract_all(plain, F.lit(r"[^\n]{1,80}"), F.lit(0))
+        set_lines = F.regexp_extract_all("text", F.lit(r"[^\n]{1,80}"), F.lit(0))
         lines = (
             self.raw("documents")
             .select("doc_id", "source", F.posexplode(set_lines).alias("line_no", "line"))

@@ -47,17 +47,14 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT a.conv_id AS page_id, a.conv_id % 4 AS project_id, concat_ws('-', a.conv_id, a.turn) AS region_id,
                a.turn AS ord, a.text AS source_text, coalesce(b.text, '') AS translated_text, a.role AS speaker
         FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"""),
-    "fx_glossary": ((), """
-        SELECT project_id, entry_id, source_term, lang, translation FROM (
-          SELECT item_id % 4 AS project_id, item_id AS entry_id,
-                 split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS source_term,
-                 (['zh-Hant', 'zh', 'en', 'ja'])[item_id % 4 + 1] AS lang,
-                 upper(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)) AS translation
-          FROM benchmark
+    "fx_pairs": ((), """
+        SELECT item_id, pos, concat_ws(' ', w[2 * pos + 1], w[2 * pos + 2]) AS source_term
+        FROM (SELECT item_id, w, unnest(range(0, (len(w) + 1) // 2)) AS pos FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark))"""),
+    "fx_glossary": (("fx_pairs",), """
+        SELECT item_id % 4 AS project_id, item_id * 100000 + pos AS entry_id, source_term, lang, translation FROM (
+          SELECT item_id, pos, source_term, (['zh-Hant', 'zh', 'en', 'ja'])[item_id % 4 + 1] AS lang, 'to ' || source_term AS translation FROM fx_pairs
           UNION ALL
-          SELECT item_id % 4, item_id, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2), 'zh',
-                 split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) || '_zh'
-          FROM benchmark WHERE item_id % 3 = 0)"""),
+          SELECT item_id, pos, source_term, 'zh', source_term || '_zh' FROM fx_pairs WHERE item_id % 3 = 0)"""),
     "fx_document_texts": ((), """
         SELECT doc_id AS page_id, doc_id % 4 AS project_id, doc_id::VARCHAR AS region_id, text AS source_text
         FROM documents"""),
@@ -69,9 +66,13 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT source AS page, doc_id, (line_no - 1)::INTEGER AS line_no, trim(line) AS expected
               FROM (SELECT source, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_no
                     FROM (SELECT source, doc_id,
-                                 regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), '[^\n]{1,80}') AS lines
+                                 regexp_extract_all(text, '[^\n]{1,80}') AS lines
                           FROM documents))
               WHERE trim(line) <> '')"""),
+    # DuckDB counts edits in bytes: every other letter of the corpus gets a one-byte mark of its own
+    "fx_letters": ((), """
+        SELECT string_agg(c, '' ORDER BY c) AS letters, (SELECT string_agg(chr(n::INTEGER), '' ORDER BY n) FROM range(1, 32) t(n) WHERE n <> 10) AS marks
+        FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents) WHERE unicode(c) > 127"""),
     "fx_scores": ((), """
         SELECT line_id, ((pos - 1) // 8)::INTEGER AS t, ((pos - 1) % 8)::INTEGER AS class, score::DOUBLE AS score
         FROM (SELECT vec_id AS line_id, unnest(embedding) AS score, generate_subscripts(embedding, 1) AS pos

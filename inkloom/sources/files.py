@@ -14,8 +14,6 @@ IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "heic", "heif", "tif", "tiff", "webp")
 PACKAGE_EXTENSIONS = ("app", "bundle", "framework", "pages", "key", "numbers", "photoslibrary")
 SIDECAR_VERSION = 1
 UNNAMED_PROJECT = "未命名專案"
-#: Entries per written sidecar document; a larger page is written in numbered parts.
-ENTRIES_PER_DOCUMENT = 10_000
 
 RECT = "struct<x:double,y:double,width:double,height:double>"
 POINT = "struct<x:double,y:double>"
@@ -154,22 +152,30 @@ ENTRY_COLUMNS = {
 }
 
 
-def sidecar_documents(pages: DataFrame, regions: DataFrame, language: str) -> DataFrame:
-    """One document per page (per part of a very large page); ``order`` is the 0-based list position."""
+def sidecar_documents(pages: DataFrame, regions: DataFrame, language: str, max_entries: int | None = None) -> DataFrame:
+    """One document per page; ``order`` is the 0-based list position.
+
+    ``max_entries`` splits larger pages into that many entries per document; every document
+    says of how many ``parts`` its page is.
+    """
     from inkloom.scale import number_rows
 
     placed = number_rows(regions, ["page_id"], [F.col("ord"), F.col("region_id")], "_n")
     order = (F.col("_n") - 1).cast("int")
     fields = [order.alias("order"), F.struct("x", "y", "width", "height").alias("bounds")]
     fields += [F.col(c).alias(name) for c, name in ENTRY_COLUMNS.items() if c in regions.columns]
-    part = F.floor((F.col("_n") - 1) / ENTRIES_PER_DOCUMENT).cast("int")
+    part = F.lit(0) if max_entries is None else F.floor((F.col("_n") - 1) / max_entries).cast("int")
     entries = placed.groupBy("page_id", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("entries"))
+    parts = F.lit(1)
+    if max_entries is not None:
+        sizes = regions.groupBy("page_id").agg(F.ceil(F.count(F.lit(1)) / max_entries).cast("int").alias("_parts"))
+        entries, parts = entries.join(sizes, "page_id"), F.col("_parts")
     head = pages.select(
         "page_id", "project_id", F.col("rel_path").alias("sourceRelativePath"), F.col("pixel_width").alias("pixelWidth"),
         F.col("pixel_height").alias("pixelHeight"),
     )
     return head.join(entries, "page_id").select(
-        "project_id", "page_id", "part", F.lit(SIDECAR_VERSION).alias("schemaVersion"), "sourceRelativePath", "pixelWidth",
+        "project_id", "page_id", "part", parts.alias("parts"), F.lit(SIDECAR_VERSION).alias("schemaVersion"), "sourceRelativePath", "pixelWidth",
         "pixelHeight", F.lit(language).alias("targetLanguageCode"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updatedAt"), "entries",
     )
@@ -180,15 +186,28 @@ def write_sidecars(documents: DataFrame, root: str, version: int) -> None:
     documents.write.mode("errorifexists").partitionBy("project_id").json(f"{root.rstrip('/')}/version={version}")
 
 
-def read_sidecar_versions(spark: SparkSession, root: str) -> DataFrame:
-    """The newest valid document of every page (and part) over all written versions."""
-    schema = f"page_id bigint, part int, {SIDECAR}, _corrupt string, version int, project_id bigint"
+def read_sidecar_versions(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejected): per page the newest version of which every part is valid.
+
+    A page falls back as a whole, so it never mixes versions or loses a part.  Rejected are
+    the bad documents with their fault, and newer versions that were passed over as incomplete.
+    """
+    schema = f"page_id bigint, part int, parts int, {SIDECAR}, _corrupt string, version int, project_id bigint"
     rows = (
         spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").option("basePath", root).json(f"{root.rstrip('/')}/version=*")
     )
-    valid = _judged(rows).where("fault is null")
-    newest = valid.groupBy("page_id").agg(F.max("version").alias("version"))
-    return valid.join(newest, ["page_id", "version"]).drop("_corrupt", "fault")
+    judged = _judged(rows).withColumn("file", F.col("_metadata.file_path"))
+    good = judged.where("fault is null and page_id is not null")
+    versions = good.groupBy("page_id", "version").agg(
+        F.countDistinct("part").alias("_have"), F.max(F.coalesce("parts", F.lit(1))).alias("_want")
+    )
+    newest = versions.where("_have >= _want").groupBy("page_id").agg(F.max("version").alias("version"))
+    chosen = good.join(newest, ["page_id", "version"]).drop("_corrupt", "fault", "file")
+    bad = judged.where("fault is not null").select("file", "version", "page_id", "fault")
+    torn = versions.where("_have < _want").select(
+        F.lit(None).cast("string").alias("file"), "version", "page_id", F.lit("incomplete").alias("fault")
+    )
+    return chosen, bad.unionByName(torn)
 
 
 def migrate_sidecars(pages: DataFrame, regions: DataFrame, legacy: DataFrame) -> DataFrame:

@@ -63,11 +63,11 @@ def test_newest_valid_version_is_read(spark, tmp_path):
     files.write_sidecars(files.sidecar_documents(pages, regions, "en"), root, 1)
     later = regions.withColumn("source_text", F.concat("source_text", F.lit("+")))
     files.write_sidecars(files.sidecar_documents(pages, later, "en"), root, 2)
-    rows = files.sidecar_regions(files.read_sidecar_versions(spark, root)).orderBy("ord").collect()
+    rows = files.sidecar_regions(files.read_sidecar_versions(spark, root)[0]).orderBy("ord").collect()
     assert [r.source_text for r in rows] == ["s0+", "s1+", "s2+"]
     (tmp_path / "out" / "version=3" / "project_id=7").mkdir(parents=True)
     (tmp_path / "out" / "version=3" / "project_id=7" / "part-0.json").write_text('{"page_id": 1, "schemaVersion": 9, "entries": []}\n')
-    rows = files.sidecar_regions(files.read_sidecar_versions(spark, root)).collect()
+    rows = files.sidecar_regions(files.read_sidecar_versions(spark, root)[0]).collect()
     assert len(rows) == 3
 
 
