@@ -391,7 +391,8 @@ def invalidate_stages(pages: DataFrame, causes: DataFrame, regions: DataFrame, a
     strength = F.create_map(*[p for cause, n in rank.items() for p in (F.lit(cause), F.lit(n))])
     backed = artifacts.where(F.col("kind") == "background").select("page_id").distinct().withColumn("_backed", F.lit(True))
     live = causes.join(backed, "page_id", "left").where((F.col("cause") != "eraseColor") | F.col("_backed"))
-    worst = live.groupBy("page_id").agg(F.max_by("cause", F.try_element_at(strength, F.col("cause"))).alias("cause"))
+    ranked = F.struct(F.try_element_at(strength, F.col("cause")), F.col("cause"))  # of equally strong causes the last by name
+    worst = live.groupBy("page_id").agg(F.max_by("cause", ranked).alias("cause"))
     texts = regions.groupBy("page_id").agg(F.bool_or(F.col("translated_text") != "").alias("_translated"))
     translated = F.coalesce("_translated", F.lit(False))
     cause = F.col("cause")

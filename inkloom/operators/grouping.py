@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -260,33 +259,54 @@ def cluster_glyphs(
     return top_rows(shaped, by, [F.col("glyph_count").desc(), F.col("group_label")], keep).drop("_rank")
 
 
-def _merge_fragments(blobs: list[list[float]], tolerance: float, ceiling: float) -> list[list[float]]:
-    """Join fragments of one glyph until nothing small enough touches any more."""
-    left = 0
-    while left < len(blobs):
-        one = blobs[left]
-        for right in range(left + 1, len(blobs)):
-            two = blobs[right]
-            near = (
-                one[0] - tolerance < two[2] and two[0] < one[2] + tolerance
-                and one[1] - tolerance < two[3] and two[1] < one[3] + tolerance
-            )
-            whole = [min(one[0], two[0]), min(one[1], two[1]), max(one[2], two[2]), max(one[3], two[3])]
-            if near and max(whole[2] - whole[0], whole[3] - whole[1]) <= ceiling:
-                blobs[left] = whole
-                del blobs[right]
-                left = -1
-                break
-        left += 1
-    return blobs
+def _first_pair(blobs: Column, fits: Callable[[Column, Column], Column]) -> Column:
+    """0-based places (i, j) of the first pair of a list that ``fits``, or null."""
+    count = F.size(blobs)
+
+    def partner(i: Column) -> Column:
+        behind = F.slice(blobs, i + 2, F.greatest(count - i - 1, F.lit(0)))
+        one = F.element_at(blobs, i + 1)
+        return F.get(F.filter(F.transform(behind, lambda b, k: F.when(fits(one, b), i + 1 + k)), lambda j: j.isNotNull()), F.lit(0))
+
+    pairs = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("i"), partner(i).alias("j")))
+    return F.get(F.filter(pairs, lambda p: p["j"].isNotNull()), F.lit(0))
+
+
+def _joined_fragments(blobs: Column, fits: Callable[[Column, Column], Column]) -> Column:
+    """Merge the first fitting pair of the list, as often as one exists.
+
+    Every merge takes one blob away, so a fold with as many steps as blobs is enough;
+    a step without a fitting pair marks the list as done, and later ones leave it alone.
+    """
+
+    def union(a: Column, b: Column) -> Column:
+        return F.struct(
+            a["ord"].alias("ord"), a["glyph_id"].alias("glyph_id"),
+            F.least(a["x"], b["x"]).alias("x"), F.least(a["y"], b["y"]).alias("y"),
+            F.greatest(a["r"], b["r"]).alias("r"), F.greatest(a["b"], b["b"]).alias("b"),
+        )
+
+    def step(state: Column, _: Column) -> Column:
+        def merged(pair: Column) -> Column:
+            rest = F.filter(state["list"], lambda _b, k: k != pair["j"])
+            grown = union(F.element_at(state["list"], pair["i"] + 1), F.element_at(state["list"], pair["j"] + 1))
+            some = F.struct(F.transform(rest, lambda b, k: F.when(k == pair["i"], grown).otherwise(b)).alias("list"), F.lit(False).alias("done"))
+            none = F.struct(state["list"].alias("list"), F.lit(True).alias("done"))
+            return F.when(pair.isNull(), none).otherwise(some)
+
+        return F.when(state["done"], state).otherwise(let(_first_pair(state["list"], fits), merged))
+
+    start = F.struct(blobs.alias("list"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(blobs)), start, step, lambda s: s["list"])
 
 
 def merge_glyph_fragments(glyphs: DataFrame, limit: int = ARRAY_GROUP_LIMIT) -> DataFrame:
     """Whole glyphs (group_id, glyph_id, ord, x, y, width, height) from stroke fragments.
 
-    The merge depends on order, so it runs per group, in Arrow batches of groups.  Fragments can
-    only meet within the size ceiling, so a group above ``limit`` is first cut into
-    the connected parts of that reach, which merge independently.
+    The merge depends on order, so it is one JVM fold per group.  Fragments can only meet
+    within the size ceiling, so a group above ``limit`` is first cut into the connected
+    parts of that reach, which merge independently.  A glyph keeps the name and order
+    of its first fragment, whichever way its group is cut.
     """
     valid = glyphs.where((F.col("width") > 0) & (F.col("height") > 0))
     sized = valid.withColumn("_size", F.greatest("width", "height"))
@@ -318,42 +338,20 @@ def merge_glyph_fragments(glyphs: DataFrame, limit: int = ARRAY_GROUP_LIMIT) ->
     listed = cold.groupBy("group_id", "_part").agg(
         F.max("_median").alias("_median"), F.array_sort(F.collect_list(entry)).alias("_all")
     )
-    gap, ceiling = F.col("_median") * 0.15, F.col("_median") * 1.25
 
-    def joinable(a: Column, b: Column) -> Column:
+    def fits(a: Column, b: Column) -> Column:
+        gap, ceiling = F.col("_median") * 0.15, F.col("_median") * 1.25
         near = (
             (a["x"] - gap < b["r"]) & (b["x"] < a["r"] + gap) & (a["y"] - gap < b["b"]) & (b["y"] < a["b"] + gap)
         )
         wide = F.greatest(a["r"], b["r"]) - F.least(a["x"], b["x"])
         high = F.greatest(a["b"], b["b"]) - F.least(a["y"], b["y"])
-        return (a["glyph_id"] != b["glyph_id"]) & near & (F.greatest(wide, high) <= ceiling)
-
-    # most groups have nothing to merge: only the others are sent to Python
-    some = F.exists("_all", lambda a: F.exists("_all", lambda b: joinable(a, b)))
-    listed = materialize(listed.withColumn("_some", some))
-    kind = dict(glyphs.dtypes)["group_id"]
-    schema = f"group_id {kind}, glyph_id string, ord int, x double, y double, width double, height double"
-
-    def merge_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for group, part, size, parts in zip(batch["group_id"], batch["_part"], batch["_median"], batch["_all"]):
-                blobs = _merge_fragments([[p["x"], p["y"], p["r"], p["b"]] for p in parts], size * 0.15, size * 1.25)
-                rows += [
-                    (group, f"{part}#{i}", i, x, y, r - x, b - y) for i, (x, y, r, b) in enumerate(blobs)
-                ]
-            yield pd.DataFrame(rows, columns=["group_id", "glyph_id", "ord", "x", "y", "width", "height"])
-
-    merged = listed.where("_some").drop("_some").mapInPandas(merge_batches, schema)
-    whole = (
-        listed.where(~F.col("_some"))
-        .select("group_id", "_part", F.posexplode("_all").alias("n", "g"))
-        .select(
-            "group_id", F.concat("_part", F.lit("#"), F.col("n").cast("string")).alias("glyph_id"), F.col("n").alias("ord"),
-            "g.x", "g.y", (F.col("g.r") - F.col("g.x")).alias("width"), (F.col("g.b") - F.col("g.y")).alias("height"),
-        )
+        return near & (F.greatest(wide, high) <= ceiling)
+
+    return listed.select("group_id", F.explode(_joined_fragments(F.col("_all"), fits)).alias("g")).select(
+        "group_id", "g.glyph_id", "g.ord", "g.x", "g.y",
+        (F.col("g.r") - F.col("g.x")).alias("width"), (F.col("g.b") - F.col("g.y")).alias("height"),
     )
-    return whole.unionByName(merged)
 
 
 def vote_direction(glyphs: DataFrame, margin: float = 0.2, limit: int = ARRAY_GROUP_LIMIT) -> DataFrame:

@@ -148,8 +148,10 @@ def move_pages(pages: DataFrame, moves: DataFrame, limit: int = ARRAY_GROUP_LIMI
     ``moves(project_id, seq, page_id, offset, position)``: an offset is clamped to the
     ends; an absolute position outside 1..n is ignored.  A project's moves are first
     resolved to (from, to) steps in one fold over the moves alone; pages then follow
-    the steps by arithmetic.  More than ``limit`` moves are applied in batches.
+    the steps by arithmetic.  More than ``limit`` moves are applied in batches, each
+    of which is written out, so the plan stays that of one batch.
     """
+    moves = materialize(moves.select("project_id", "seq", "page_id", "offset", "position"))
     counts = pages.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
     numbered = number_rows(moves, ["project_id"], [F.col("seq"), F.col("page_id")], "_no")
     numbered = numbered.withColumn("_batch", F.floor((F.col("_no") - 1) / limit))
@@ -191,6 +193,8 @@ def move_pages(pages: DataFrame, moves: DataFrame, limit: int = ARRAY_GROUP_LIMI
             "page_index",
             F.when(F.col("_steps").isNull(), F.col("page_index")).otherwise(track(F.col("page_index"), F.col("_steps"))),
         ).drop("_steps")
+        if batch < last:
+            pages = materialize(pages)  # the next batch reads the places twice
     return pages
 
 

@@ -323,7 +323,7 @@ def _(v):
 
 CAUSES = ("edit", "batch", "geometry", "extraction", "reset", "eraseColor", "defaultFont")
 CAUSES_SQL = f"""
-causes AS (SELECT DISTINCT user_id AS page_id, ({list(CAUSES)})[event_id % 7 + 1] AS cause FROM events WHERE event_id % 2 = 0 OR user_id % 2 = 0),
+causes AS (SELECT DISTINCT user_id AS page_id, ({list(CAUSES)})[event_id % 7 + 1] AS cause FROM events),
 backed AS (SELECT DISTINCT page_id FROM fx_artifacts WHERE kind = 'background'),
 live AS (SELECT * FROM causes c WHERE cause <> 'eraseColor' OR page_id IN (SELECT page_id FROM backed))
 """
@@ -331,8 +331,7 @@ live AS (SELECT * FROM causes c WHERE cause <> 'eraseColor' OR page_id IN (SELEC
 
 def causes(v):
     names = F.array(*[F.lit(c) for c in CAUSES])
-    events = v.raw("events").where((F.col("event_id") % 2 == 0) | (F.col("user_id") % 2 == 0))
-    return events.select(
+    return v.raw("events").select(
         F.col("user_id").alias("page_id"), F.get(names, (F.col("event_id") % 7).cast("int")).alias("cause")
     ).distinct()
 
@@ -350,15 +349,25 @@ def _(v):
 
 @query(
     "invalidate_stages",
-    f"""WITH {CAUSES_SQL}, ranked AS (SELECT page_id, arg_max(cause, CASE cause WHEN 'edit' THEN 1 WHEN 'defaultFont' THEN 1 WHEN 'batch' THEN 2 WHEN 'extraction' THEN 3 WHEN 'eraseColor' THEN 4 WHEN 'geometry' THEN 5 ELSE 6 END) AS cause FROM live GROUP BY page_id),
+    f"""WITH {CAUSES_SQL}, ranked AS (SELECT page_id, arg_max(cause, (CASE cause WHEN 'edit' THEN 1 WHEN 'defaultFont' THEN 1 WHEN 'batch' THEN 2 WHEN 'extraction' THEN 3 WHEN 'eraseColor' THEN 4 WHEN 'geometry' THEN 5 ELSE 6 END, cause)) AS cause FROM live GROUP BY page_id),
     tr AS (SELECT page_id, bool_or(translated_text <> '') AS t FROM fx_regions GROUP BY page_id)
-    SELECT p.page_id, CASE WHEN cause = 'reset' THEN 'scanned' WHEN cause IN ('geometry', 'eraseColor') THEN 'maskReady' WHEN cause = 'extraction' THEN 'translating'
+    SELECT p.page_id, cause, CASE WHEN cause = 'reset' THEN 'scanned' WHEN cause IN ('geometry', 'eraseColor') THEN 'maskReady' WHEN cause = 'extraction' THEN 'translating'
       WHEN NOT coalesce(t, false) THEN 'maskReady' WHEN cause = 'batch' THEN 'translating' ELSE 'typesetting' END AS stage
     FROM fx_pages p JOIN ranked USING (page_id) LEFT JOIN tr USING (page_id)""",
     ("fx_pages", "fx_regions", "fx_artifacts"),
 )
 def _(v):
-    return edits.invalidate_stages(v.pages(), causes(v), v.regions(), v.artifacts()).select("page_id", "stage")
+    return edits.invalidate_stages(v.pages(), causes(v), v.regions(), v.artifacts())
+
+
+@query(
+    "change_default_font",
+    """SELECT region_id, CASE partkey % 3 WHEN 1 THEN 'new' ELSE 'f' || (partkey % 3) END AS font_name FROM fx_boxes""",
+    ("fx_boxes",),
+)
+def _(v):
+    regions = v.boxes().select("region_id", F.concat(F.lit("f"), F.col("partkey") % 3).alias("font_name"))
+    return edits.change_default_font(regions, "f1", "new")
 
 
 @query(

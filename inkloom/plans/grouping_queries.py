@@ -110,7 +110,27 @@ def _(v):
     )
 
 
-@query("vote_direction")
+FIT = "(a.x - m * 0.15::DOUBLE < b.r AND b.x < a.r + m * 0.15::DOUBLE AND a.y - m * 0.15::DOUBLE < b.b AND b.y < a.b + m * 0.15::DOUBLE AND greatest(greatest(a.r, b.r) - least(a.x, b.x), greatest(a.b, b.b) - least(a.y, b.y)) <= m * 1.25::DOUBLE)"
+
+
+@query(
+    "vote_direction",
+    f"""WITH RECURSIVE parts AS (SELECT balloon_id AS g, list({{ord: ord, id: line_id, x: x, y: y, r: x + width, b: y + height}} ORDER BY ord, line_id) AS l,
+        list_sort(list(greatest(width, height)))[count(*) // 2 + 1] AS m FROM fx_lines WHERE width > 0 AND height > 0 GROUP BY balloon_id),
+    steps AS (SELECT g, m, l FROM parts UNION ALL
+      SELECT g, m, list_concat(l[1:i - 1], [{{ord: l[i].ord, id: l[i].id, x: least(l[i].x, l[j].x), y: least(l[i].y, l[j].y), r: greatest(l[i].r, l[j].r), b: greatest(l[i].b, l[j].b)}}], l[i + 1:j - 1], l[j + 1:]) AS l
+      FROM (SELECT g, m, l, p.i AS i, p.j AS j FROM (SELECT g, any_value(m) AS m, any_value(l) AS l, arg_min({{i: i, j: j}}, i * 100000 + j) AS p
+         FROM (SELECT g, m, l, i, unnest(range(i + 1, len(l) + 1)) AS j FROM (SELECT g, m, l, unnest(range(1, len(l))) AS i FROM steps))
+         WHERE list_transform([{{a: l[i], b: l[j]}}], lambda e: {FIT.replace("a.", "e.a.").replace(" b.", " e.b.").replace("(b.", "(e.b.")})[1] GROUP BY g))),
+    merged AS (SELECT g, unnest(arg_min(l, len(l))) AS q FROM steps GROUP BY g),
+    c AS (SELECT g, q.id AS id, q.ord AS ord, q.x + (q.r - q.x) / 2 AS cx, q.y + (q.b - q.y) / 2 AS cy FROM merged),
+    near AS (SELECT a.g, a.id, arg_min({{x: abs(b.cx - a.cx), y: abs(b.cy - a.cy)}}, ((b.cx - a.cx) * (b.cx - a.cx) + (b.cy - a.cy) * (b.cy - a.cy), b.ord, b.id)) FILTER (b.id IS NOT NULL) AS d
+      FROM c a LEFT JOIN c b ON a.g = b.g AND a.id <> b.id GROUP BY ALL),
+    tally AS (SELECT g, count(*) AS n, count(*) FILTER (d.y > d.x) AS v, count(*) FILTER (d.x > d.y) AS h FROM near GROUP BY g)
+    SELECT group_id, CASE WHEN n >= 2 AND v + h > 0 AND abs(v - h) >= (v + h) * 0.2::DOUBLE THEN CASE WHEN v > h THEN 'vertical' ELSE 'horizontal' END ELSE 'automatic' END AS direction
+    FROM (SELECT DISTINCT balloon_id AS group_id FROM fx_lines) LEFT JOIN tally ON g = group_id""",
+    ("fx_lines",),
+)
 def _(v):
     parts = v.lines().select(
         F.col("balloon_id").alias("group_id"), F.col("line_id").alias("glyph_id"), "ord", "x", "y", "width", "height"
@@ -419,18 +439,20 @@ def grounding(v):
     )
 
 
-@query(
-    "map_grounding_boxes",
-    """WITH p AS (SELECT page_id AS response_id, region_id AS box_no, page_id % 2 = 0 AS clipped, x * 1000 BETWEEN 0 AND 1000 AND (x + width) * 1000 BETWEEN 0 AND 1000 AND (y + height) * 1000 BETWEEN 0 AND 1000 AS shaped,
+GROUNDED_SQL = """WITH p AS (SELECT page_id AS response_id, region_id AS box_no, page_id % 2 = 0 AS clipped, x * 1000 BETWEEN 0 AND 1000 AND (x + width) * 1000 BETWEEN 0 AND 1000 AND (y + height) * 1000 BETWEEN 0 AND 1000 AS shaped,
         round_even(x * 1000 / 1000 * 800, 0) AS l, round_even(y * 1000 / 1000 * 1000, 0) AS t, round_even((x + width) * 1000 / 1000 * 800, 0) AS r, round_even((y + height) * 1000 / 1000 * 1000, 0) AS b FROM fx_boxes),
     raw AS (SELECT *, (100 + l) / 1000 AS x, (50 + t) / 1400 AS y, (r - l) / 1000 AS w, (b - t) / 1400 AS h FROM p),
     pad AS (SELECT *, greatest(x - w * 0.08, 0.0) AS pl, greatest(y - h * 0.08, 0.0) AS pt, least(x + w * 1.08, 1.0) AS pr, least(y + h * 1.08, 1.0) AS pb,
         greatest(least(x + w, 0.7043) - greatest(x, 0.103), 0.0) * greatest(least(y + h, 0.5538) - greatest(y, 0.0507), 0.0) AS shared FROM raw),
     fin AS (SELECT *, CASE WHEN clipped THEN greatest(pl, 0.103) ELSE pl END AS fl, CASE WHEN clipped THEN greatest(pt, 0.0507) ELSE pt END AS ft,
         CASE WHEN clipped THEN least(pr, 0.7043) ELSE pr END AS fr, CASE WHEN clipped THEN least(pb, 0.5538) ELSE pb END AS fb,
-        shaped AND r > l AND b > t AND (NOT clipped OR shared / (w * h) >= 0.7) AS ok FROM pad)
-    SELECT response_id, box_no, round(fl, 6) AS x, round(ft, 6) AS y, round(fr - fl, 6) AS width, round(fb - ft, 6) AS height FROM fin
-    WHERE response_id IN (SELECT response_id FROM fin GROUP BY response_id HAVING bool_and(ok) AND count(*) <= 16)""",
+        shaped AND r > l AND b > t AND (NOT clipped OR shared / (w * h) >= 0.7) AS ok FROM pad),
+    good AS (SELECT * FROM fin WHERE response_id IN (SELECT response_id FROM fin GROUP BY response_id HAVING bool_and(ok) AND count(*) <= 16))"""
+
+
+@query(
+    "map_grounding_boxes",
+    GROUNDED_SQL + " SELECT response_id, box_no, round(fl, 6) AS x, round(ft, 6) AS y, round(fr - fl, 6) AS width, round(fb - ft, 6) AS height FROM good",
     ("fx_boxes",),
 )
 def _(v):
@@ -438,13 +460,24 @@ def _(v):
     return out.select("response_id", "box_no", *[F.round(c, 6).alias(c) for c in ("x", "y", "width", "height")])
 
 
+@query(
+    "union_grounding",
+    GROUNDED_SQL + " SELECT response_id, round(min(fl), 6) AS x, round(min(ft), 6) AS y, round(max(fr) - min(fl), 6) AS width, round(max(fb) - min(ft), 6) AS height FROM good GROUP BY response_id",
+    ("fx_boxes",),
+)
+def _(v):
+    out = detection.union_grounding(detection.map_grounding_boxes(grounding(v)))
+    return out.select("response_id", *[F.round(c, 6).alias(c) for c in ("x", "y", "width", "height")])
+
+
 @query(
     "unclip_components",
     """WITH g AS (SELECT *, min_x AS x0, min_y AS y0, min_x + w - 1 AS x1, min_y + h - 1 AS y1, w * h * 1.4::DOUBLE / greatest(1, 2 * (w + h)) AS e FROM fx_components),
-    s AS (SELECT component_id, least(greatest((greatest(0, x0 - e) - 10) / 900, 0), 1) AS l, least(greatest((greatest(0, y0 - e) - 20) / 950, 0), 1) AS t,
-      (least(960, x1 + 1 + e) - 10) / 900 AS r, (least(960, y1 + 1 + e) - 20) / 950 AS b FROM g)
-    SELECT component_id, round(l, 6) AS x, round(t, 6) AS y, round(least(greatest(r, l), 1) - l, 6) AS width, round(least(greatest(b, t), 1) - t, 6) AS height
-    FROM s WHERE least(r, 1) > l AND least(b, 1) > t""",
+    s AS (SELECT component_id, (greatest(0, x0 - e) - 10) / 900 AS l, (greatest(0, y0 - e) - 20) / 950 AS t,
+      (least(960, x1 + 1 + e) - 10) / 900 AS r, (least(960, y1 + 1 + e) - 20) / 950 AS b FROM g),
+    boxes AS (SELECT component_id, l AS x, t AS y, r - l AS width, b - t AS height FROM s),
+    held AS (SELECT component_id, least(greatest(x, 0), 1) AS x, least(greatest(y, 0), 1) AS y, least(x + width, 1) AS r, least(y + height, 1) AS b FROM boxes)
+    SELECT component_id, x, y, greatest(r, x) - x AS width, greatest(b, y) - y AS height FROM held WHERE r > x AND b > y""",
     ("fx_components",),
 )
 def _(v):
@@ -454,8 +487,7 @@ def _(v):
         F.lit(960).alias("model_height"), F.lit(10.0).alias("pad_x"), F.lit(20.0).alias("pad_y"),
         F.lit(900.0).alias("scaled_width"), F.lit(950.0).alias("scaled_height"),
     )
-    out = detection.unclip_components(components)
-    return out.select("component_id", *[F.round(c, 6).alias(c) for c in ("x", "y", "width", "height")])
+    return detection.unclip_components(components).select("component_id", "x", "y", "width", "height")
 
 
 @query(

@@ -63,7 +63,7 @@ def _page(run, stage, fraction, activity, cur, tot):
     SELECT page_id, s.run AS running, s.stage AS stage, s.fraction AS fraction, s.activity AS activity, s.cur AS current, s.tot AS total FROM done""",
 )
 def _(v):
-    return jobs.latest(jobs.run_to_end(jobs.live_page_state(page_events(v)), "pages"), "page_id")
+    return jobs.latest(jobs.run_to_end(jobs.live_page_state(page_events(v)), "pages"), "page_id").drop("late")
 
 
 @query(
@@ -93,7 +93,7 @@ def _(v):
         F.concat(F.lit("r"), F.col("k") % 2).alias("session"), F.col("props").alias("text"),
     )
     # the table is replayed at once, so no session may expire between its events
-    return jobs.latest(jobs.run_to_end(jobs.reasoning_sessions(stream, None), "sessions"), "app")
+    return jobs.latest(jobs.run_to_end(jobs.reasoning_sessions(stream, None), "sessions"), "app").drop("late")
 
 
 @query(
@@ -159,6 +159,24 @@ def _(v):
     return retried.withColumn("page_ids", F.array_join("page_ids", ","))
 
 
+STATUS_SQL = "SELECT o_orderkey AS job_id, (['queued', 'running', 'completed', 'failed'])[o_orderkey % 4 + 1] AS status FROM orders"
+
+
+def listed_jobs(v):
+    names = F.array(*[F.lit(x) for x in ("queued", "running", "completed", "failed")])
+    return v.raw("orders").select(F.col("o_orderkey").alias("job_id"), F.get(names, (F.col("o_orderkey") % 4).cast("int")).alias("status"))
+
+
+@query("cancel_open", f"SELECT job_id, CASE WHEN status IN ('queued', 'running') THEN 'cancelled' ELSE status END AS status FROM ({STATUS_SQL})")
+def _(v):
+    return jobs.cancel_open(listed_jobs(v))
+
+
+@query("clear_finished", f"SELECT * FROM ({STATUS_SQL}) WHERE status IN ('queued', 'running')")
+def _(v):
+    return jobs.clear_finished(listed_jobs(v))
+
+
 @query(
     "log_tail_stream",
     """SELECT user_id % 3 AS app, event_id AS entry_id, trim(message) AS message FROM (SELECT *, CASE WHEN event_id % 5 = 0 THEN '  ' ELSE ' ' || props || ' ' END AS message FROM events)
@@ -224,6 +242,46 @@ def _(v):
     )
 
 
+@query(
+    "scan_pages",
+    """SELECT folder, row_number() OVER (ORDER BY n) AS scan_index FROM (SELECT DISTINCT o_orderkey % 137 AS n, 'p' || (o_orderkey % 137) AS folder FROM orders)""",
+)
+def _(v):
+    # one file per folder; a package folder and files that are no images are not listed
+    root = scratch_path(v.spark, "scan")
+    rows = v.raw("orders").select(F.concat(F.lit("p"), F.col("o_orderkey") % 137).alias("folder"), "o_orderstatus")
+    rows = rows.groupBy("folder").agg(F.min("o_orderstatus").alias("value"))
+    dealt = rows.repartition(4, "folder")
+    dealt.write.partitionBy("folder").option("extension", "png").csv(f"{root}/pages")
+    dealt.select("value", F.concat("folder", F.lit(".app")).alias("folder")).write.partitionBy("folder").option("extension", "png").csv(f"{root}/kits")
+    dealt.write.partitionBy("folder").option("extension", "txt").csv(f"{root}/notes")
+    found = files.scan_pages(v.spark, root)
+    return found.select(F.regexp_extract("rel_path", "folder=([^/]*)/", 1).alias("folder"), F.col("scan_index").cast("long").alias("scan_index"))
+
+
+@query(
+    "read_sidecars",
+    """SELECT 'p' || (o_orderkey % 97) AS rel_path, CASE WHEN o_orderkey % 97 % 5 = 0 THEN 'corrupt' WHEN o_orderkey % 97 % 7 = 0 THEN 'unsupported version' ELSE 'read' END AS outcome,
+      CASE WHEN o_orderkey % 97 % 5 > 0 AND o_orderkey % 97 % 7 > 0 THEN count(*) END AS entries FROM orders GROUP BY o_orderkey % 97""",
+)
+def _(v):
+    # one sidecar file per folder; every fifth is cut off, every seventh comes from a later version
+    root = scratch_path(v.spark, "str-files")
+    page = F.col("o_orderkey") % 97
+    bounds = F.struct(F.lit(0.1).alias("x"), F.lit(0.1).alias("y"), F.lit(0.2).alias("width"), F.lit(0.2).alias("height"))
+    entry = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.lit(0).alias("order"), bounds.alias("bounds"), F.lit("text").alias("sourceText"))
+    pages = v.raw("orders").groupBy(page.alias("page")).agg(F.collect_list(entry).alias("entries"))
+    version = F.when((F.col("page") % 7 == 0) & (F.col("page") % 5 > 0), files.SIDECAR_VERSION + 1).otherwise(files.SIDECAR_VERSION)
+    body = F.to_json(F.struct(version.alias("schemaVersion"), F.concat(F.lit("p"), "page").alias("sourceRelativePath"), "entries"))
+    cut = F.when(F.col("page") % 5 == 0, F.substring(body, F.lit(1), F.length(body) - 5)).otherwise(body)
+    written = pages.select("page", cut.alias("body")).repartition(4, "page").write.partitionBy("page")
+    written.option("extension", "str").option("quote", "").option("sep", "\u0001").csv(root)
+    good, bad = files.read_sidecars(v.spark, root)
+    read = good.select(F.col("sourceRelativePath").alias("rel_path"), F.lit("read").alias("outcome"), F.size("entries").cast("long").alias("entries"))
+    name = F.concat(F.lit("p"), F.regexp_extract("file", "page=([0-9]+)", 1))
+    return read.unionByName(bad.select(name.alias("rel_path"), F.col("fault").alias("outcome"), F.lit(None).cast("long").alias("entries")))
+
+
 @query(
     "read_snapshots",
     """WITH p AS (SELECT project_id, count(*) AS pages, min(page_id) AS first_page FROM fx_pages GROUP BY project_id)

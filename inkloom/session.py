@@ -21,6 +21,7 @@ def local_session(cores: str = "*", partitions: int = 8, **settings: str) -> Spa
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
     )

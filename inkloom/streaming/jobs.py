@@ -6,6 +6,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from inkloom.operators.edits import HISTORY_LIMIT, tail_log
 from inkloom.session import scratch_path
@@ -24,26 +25,35 @@ BATCH_BYTES = 256 * 1024 * 1024
 
 
 def stream_of(spark: SparkSession, directory: str, name: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """A file stream over one table, in micro-batches of bounded size."""
-    schema = spark.read.parquet(f"{directory}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return reader.option("maxBytesPerTrigger", str(batch_bytes)).parquet(directory)
+    """A file stream over one table, be it a file or a folder of part files, in micro-batches of bounded size."""
+    path = f"{directory}/{name}.parquet"
+    table = spark.read.parquet(path)
+    reader = spark.readStream.schema(table.schema).option("maxBytesPerTrigger", str(batch_bytes))
+    first = table.select("_metadata.file_path").first()
+    places = [first[0]] if first else table.inputFiles()  # a table without rows has few files
+    if places and places[0].endswith(f"/{name}.parquet"):  # a stream takes folders only: pick the file in its folder
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(directory)
+    return reader.parquet(path)
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "update") -> DataFrame:
-    """Process everything available and return what was written, with its ``batch_id``."""
+    """Process everything available and return what was written, with its ``batch_id``; no rows for a stream without data."""
     spark = stream.sparkSession
     target, progress = scratch_path(spark, name), scratch_path(spark, f"{name}-progress")
+    written: list[int] = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # a repeated batch overwrites its own folder, so a retry leaves no duplicates
         batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        written.append(batch_id)
 
     query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", progress).trigger(availableNow=True).foreachBatch(write).start()
     )
     query.awaitTermination()
-    schema = stream.schema.add("batch_id", "integer")
+    schema = StructType([*stream.schema.fields, StructField("batch_id", IntegerType())])
+    if not written:
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("basePath", target).parquet(f"{target}/*")
 
 
@@ -202,8 +212,8 @@ def log_tail_stream(entries: DataFrame, keep: int = 500) -> DataFrame:
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         rows = batch
-        if batch_id > 0:
-            former = spark.read.schema(batch.schema).parquet(f"{root}/v{batch_id - 1}")
+        if seen:
+            former = spark.read.schema(batch.schema).parquet(f"{root}/v{seen[-1]}")
             rows = former.unionByName(batch)
         tail_log(rows, keep).select(*columns).write.mode("overwrite").parquet(f"{root}/v{batch_id}")
 
@@ -217,6 +227,8 @@ def log_tail_stream(entries: DataFrame, keep: int = 500) -> DataFrame:
         entries.writeStream.option("checkpointLocation", scratch_path(spark, "log-progress")).trigger(availableNow=True).foreachBatch(step).start()
     )
     query.awaitTermination()
+    if not seen:
+        return spark.createDataFrame([], entries.schema)
     return spark.read.schema(entries.schema).parquet(f"{root}/v{seen[-1]}")
 
 

@@ -23,25 +23,33 @@ def fold_stream(
 ) -> DataFrame:
     """The state of every key touched by a micro-batch, after its events in ``order``.
 
-    ``step(state, event)`` is a pure function.  With ``ttl_ms`` a key without events
-    for that long passes through ``expire`` once and is forgotten.
+    ``step(state, event)`` is a pure function.  Events of one micro-batch are sorted by ``order``
+    (a whole number), whatever file they come from.  An event that is not after the last one
+    applied in an earlier batch comes too late to be applied in its place: it is
+    left out and counted in ``late``.  With ``ttl_ms`` a key without events for that long
+    passes through ``expire`` once and is forgotten.
     """
     names = [field.strip().split(" ")[0] for field in state_schema.split(",")]
     kind = dict(events.dtypes)[key]
     timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
     def run(group: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current = tuple(state.get) if state.exists else initial
+        *current, last, late = tuple(state.get) if state.exists else (*initial, None, 0)
+        current = tuple(current)
         if state.hasTimedOut:
             state.remove()
             current = expire(current) if expire else current
         else:
-            rows = pd.concat(list(batches)).sort_values(order)
-            for event in rows.to_dict("records"):
+            rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+            fresh = rows if last is None else rows[rows[order] > last]
+            late += len(rows) - len(fresh)
+            for event in fresh.to_dict("records"):
                 current = step(current, event)
-            state.update(current)
+            last = int(fresh[order].iloc[-1]) if len(fresh) else last
+            state.update((*current, last, late))
             if ttl_ms is not None:
                 state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame([(group[0], *current)], columns=[key, *names])
+        yield pd.DataFrame([(group[0], *current, late)], columns=[key, *names, "late"])
 
-    return events.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {state_schema}", state_schema, "update", timeout)
+    kept = f"{state_schema}, last_applied bigint, late bigint"
+    return events.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {state_schema}, late bigint", kept, "update", timeout)
