@@ -1,9 +1,12 @@
 """Spatial joins between boxes of one page.
 
 ``near_pairs`` is the one way two box tables meet.  Pages are equi-join keys; a
-page with too many boxes for a nested loop is cut into grid cells sized by its
-own boxes, and a pair is produced only in the cell that holds the upper left
-corner of the shared part, so no duplicates need to be removed.
+page with too many boxes for a nested loop is cut by nested grids of power-of-two
+cells.  A box is filed on the grid whose cells just hold it with its reach, where it
+touches at most four cells, and looked up on the coarser grids that its page uses;
+so two boxes meet on the grid of the larger one.  A pair is produced only in the
+cell that holds the upper left corner of the shared part, so no duplicates need
+to be removed.
 """
 
 from __future__ import annotations
@@ -19,38 +22,54 @@ from inkloom.operators.greedy import greedy_keep, greedy_match
 from inkloom.scale import ARRAY_GROUP_LIMIT, SMALL_TABLE_ROWS, small_table, split_hot, top_rows
 from inkloom.session import materialize
 
-FINEST_GRID = 4096
+#: Exponent of the smallest cells; boxes without extent are filed there.
+FINEST_GRID = -20
 
 
 def _crowded_pages(tables: Sequence[DataFrame], by: Sequence[str], limit: int) -> DataFrame | None:
-    """Pages with more than ``limit`` boxes in all tables together, with a grid cell size for each."""
-    sizes = None
+    """Pages with more than ``limit`` boxes in all tables together."""
+    rows = None
     for df in tables:
-        part = df.select(*by, F.greatest("width", "height").alias("_extent"))
-        sizes = part if sizes is None else sizes.unionByName(part)
-    assert sizes is not None
-    crowded = (
-        sizes.groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("_n"), F.avg("_extent").alias("_extent"))
-        .where(F.col("_n") > limit)
-        .select(*by, F.greatest(F.col("_extent"), F.lit(1.0 / FINEST_GRID)).alias("_cell"))
-    )
-    rows = crowded.limit(SMALL_TABLE_ROWS + 1).collect()
-    if not rows:
+        part = df.select(*by)
+        rows = part if rows is None else rows.unionByName(part)
+    assert rows is not None
+    crowded = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).drop("_n")
+    found = crowded.limit(SMALL_TABLE_ROWS + 1).collect()
+    if not found:
         return None
-    if len(rows) <= SMALL_TABLE_ROWS:
-        return F.broadcast(crowded.sparkSession.createDataFrame(rows, crowded.schema))
+    if len(found) <= SMALL_TABLE_ROWS:
+        return F.broadcast(crowded.sparkSession.createDataFrame(found, crowded.schema))
     return materialize(crowded)
 
 
-def _cells(df: DataFrame, pad: Column) -> DataFrame:
-    def span(start: Column, length: Column) -> Column:
-        first = F.floor((start - pad) / F.col("_cell"))
-        last = F.floor((start + length + pad) / F.col("_cell"))
+def _graded(df: DataFrame, pad: Column) -> DataFrame:
+    """Boxes with their reach ``_pad`` and grid ``_grade``: cells of 2 ** grade hold the padded box."""
+    extent = F.greatest("width", "height") + F.col("_pad") * 2
+    grade = F.ceil(F.log2(F.greatest(extent, F.lit(2.0**FINEST_GRID)))).cast("int")
+    return df.withColumn("_pad", pad).withColumn("_grade", grade)
+
+
+def _filed(graded: DataFrame) -> DataFrame:
+    """One row per touched cell of the box's own grid."""
+    return _cells(graded.withColumn("_grid", F.col("_grade")))
+
+
+def _looked_up(graded: DataFrame, grades: DataFrame, by: Sequence[str], own: bool) -> DataFrame:
+    """One row per touched cell of every coarser grid of the page, with ``own`` of the box's own as well."""
+    least = F.col("_grade") if own else F.col("_grade") + 1
+    usable = F.filter("_grades", lambda g: g >= least)
+    return _cells(graded.join(grades, list(by)).withColumn("_grid", F.explode(usable)).drop("_grades"))
+
+
+def _cells(df: DataFrame) -> DataFrame:
+    cell = F.pow(F.lit(2.0), F.col("_grid"))
+
+    def span(start: str, length: str) -> Column:
+        first = F.floor((F.col(start) - F.col("_pad")) / cell)
+        last = F.floor((F.col(start) + F.col(length) + F.col("_pad")) / cell)
         return F.sequence(first, F.greatest(first, last))
 
-    wide = df.withColumn("_cx", F.explode(span(F.col("x"), F.col("width"))))
-    return wide.withColumn("_cy", F.explode(span(F.col("y"), F.col("height"))))
+    return df.withColumn("_cx", F.explode(span("x", "width"))).withColumn("_cy", F.explode(span("y", "height")))
 
 
 def near_pairs(
@@ -91,25 +110,40 @@ def near_pairs(
         )
 
     crowded = _crowded_pages([left] if left is right else [left, right], by, limit)
-    a_cold, a_hot = split_hot(left, by, None if crowded is None else crowded.drop("_cell"))
-    b_cold, b_hot = split_hot(right, by, None if crowded is None else crowded.drop("_cell"))
+    a_cold, a_hot = split_hot(left, by, crowded)
+    b_cold, b_hot = split_hot(right, by, crowded)
     pairs = side(a_cold, "a_").join(side(b_cold, "b_"), list(by)).where(condition())
     if extra is not None:
         pairs = pairs.where(extra(pairs))
     if crowded is None:
         return pairs
-    a_cells = _cells(a_hot.join(crowded, list(by)).withColumn("_pad", padding("")), F.col("_pad"))
-    b_cells = _cells(b_hot.join(crowded, list(by)).withColumn("_pad", padding("")), F.col("_pad"))
-    keys = [*by, "_cx", "_cy"]
-    a_side = a_cells.select(*keys, "_cell", *[F.col(c).alias("a_" + c) for c in [*left.columns, "_pad"] if c not in by])
-    b_side = b_cells.select(*keys, *[F.col(c).alias("b_" + c) for c in [*right.columns, "_pad"] if c not in by])
-    met = a_side.join(b_side, keys).where(condition())
-    corner_x = F.floor(F.greatest(F.col("a_x") - F.col("a__pad"), F.col("b_x") - F.col("b__pad")) / F.col("_cell"))
-    corner_y = F.floor(F.greatest(F.col("a_y") - F.col("a__pad"), F.col("b_y") - F.col("b__pad")) / F.col("_cell"))
-    met = met.where((F.col("_cx") == corner_x) & (F.col("_cy") == corner_y))
-    if extra is not None:
-        met = met.where(extra(met))
-    return pairs.unionByName(met.select(*pairs.columns))
+    a_boxes, b_boxes = _graded(a_hot, padding("")), _graded(b_hot, padding(""))
+    keys = [*by, "_grid", "_cx", "_cy"]
+    corner_x = F.greatest(F.col("a_x") - F.col("a__pad"), F.col("b_x") - F.col("b__pad"))
+    corner_y = F.greatest(F.col("a_y") - F.col("a__pad"), F.col("b_y") - F.col("b__pad"))
+    cell = F.pow(F.lit(2.0), F.col("_grid"))
+    here = (F.col("_cx") == F.floor(corner_x / cell)) & (F.col("_cy") == F.floor(corner_y / cell))
+
+    def grades(df: DataFrame) -> DataFrame:
+        return df.select(*by, "_grade").distinct().groupBy(*by).agg(F.collect_set("_grade").alias("_grades"))
+
+    def keyed(df: DataFrame, prefix: str, columns: Sequence[str]) -> DataFrame:
+        return df.select(*keys, *[F.col(c).alias(prefix + c) for c in [*columns, "_pad"] if c not in by])
+
+    met = None
+    for filed, other, own, names in (
+        (a_boxes, b_boxes, True, ("a_", "b_")),
+        (b_boxes, a_boxes, False, ("b_", "a_")),
+    ):
+        columns = (left.columns, right.columns) if names[0] == "a_" else (right.columns, left.columns)
+        large = keyed(_filed(filed), names[0], columns[0])
+        small = keyed(_looked_up(other, grades(filed), by, own), names[1], columns[1])
+        found = large.join(small, keys).where(condition()).where(here)
+        if extra is not None:
+            found = found.where(extra(found))
+        found = found.select(*pairs.columns)
+        met = found if met is None else met.unionByName(found)
+    return pairs.unionByName(met)
 
 
 def ordered_before(pairs: DataFrame) -> Column:

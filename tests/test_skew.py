@@ -245,3 +245,24 @@ def test_large_top_k_equals_small_one(boxes, monkeypatch):
     plain = rows_of(scale.top_rows(boxes, ["page_id"], order, 30), "region_id", "_rank")
     monkeypatch.setattr(scale, "WINDOW_LIMIT_K", 1)
     assert rows_of(scale.top_rows(boxes, ["page_id"], order, 30), "region_id", "_rank") == plain
+
+
+@pytest.mark.parametrize("case", ["page-size box", "points", "one spot"])
+def test_grids_do_not_explode(spark, case):
+    rng = random.Random(11)
+    if case == "page-size box":
+        rows = [(0, 0.0, 0.0, 0.9, 0.9)] + [(i, rng.random(), rng.random(), 0.004, 0.003) for i in range(1, 5000)]
+    elif case == "points":
+        rows = [(i, rng.random(), rng.random(), 0.0, 0.0) for i in range(5000)]
+    else:
+        rows = [(i, 0.4, 0.4, 0.01, 0.01) for i in range(2000)]
+    boxes = spark.createDataFrame([(1, *r) for r in rows], "page_id long, region_id int, x double, y double, width double, height double")
+    pad = F.lit(0.06 if case == "points" else 0.0)
+    graded = spatial._graded(boxes, pad)
+    grades = graded.select("page_id", "_grade").distinct().groupBy("page_id").agg(F.collect_set("_grade").alias("_grades"))
+    cells = spatial._filed(graded).count() + spatial._looked_up(graded, grades, ["page_id"], True).count()
+    assert cells < 20 * len(rows)
+    if case == "page-size box":
+        pairs = spatial.near_pairs(boxes, boxes, ["page_id"], limit=LOW, extra=lambda p: F.col("a_region_id") < F.col("b_region_id"))
+        meets = lambda a, b: a[1] < b[1] + b[3] and b[1] < a[1] + a[3] and a[2] < b[2] + b[4] and b[2] < a[2] + a[4]
+        assert pairs.where("a_region_id = 0").count() == sum(meets(rows[0], r) and min(1, r[1] + r[3]) > r[1] and r[1] < 0.9 and r[2] < 0.9 for r in rows[1:])

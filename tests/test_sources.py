@@ -71,6 +71,25 @@ def test_newest_valid_version_is_read(spark, tmp_path):
     assert len(rows) == 3
 
 
+def test_a_page_falls_back_as_a_whole(spark, tmp_path):
+    pages = spark.createDataFrame([(1, 7, "p.png", 10, 10)], "page_id long, project_id long, rel_path string, pixel_width int, pixel_height int")
+    regions = spark.createDataFrame([(1, f"r{i}", i, 0.1, 0.1, 0.1, 0.1, f"s{i}", "") for i in range(5)], "page_id long, region_id string, ord int, x double, y double, width double, height double, source_text string, translated_text string")
+    root = str(tmp_path / "out")
+    files.write_sidecars(files.sidecar_documents(pages, regions, "en"), root, 1)
+    later = files.sidecar_documents(pages, regions.withColumn("source_text", F.lit("new")), "en", max_entries=2)
+    files.write_sidecars(later, root, 2)
+    assert {r.source_text for r in files.sidecar_regions(files.read_sidecar_versions(spark, root)[0]).collect()} == {"new"}
+    for part in (tmp_path / "out" / "version=2").rglob("part-*.json"):
+        lines = part.read_text().splitlines()
+        kept = [x if '"part":1' not in x else x[: len(x) // 2] for x in lines]
+        part.write_text("\n".join(kept) + "\n")
+        for crc in part.parent.glob(f".{part.name}.crc"):
+            crc.unlink()
+    documents, rejected = files.read_sidecar_versions(spark, root)
+    assert sorted(r.source_text for r in files.sidecar_regions(documents).collect()) == [f"s{i}" for i in range(5)]
+    assert {r.fault for r in rejected.collect()} == {"corrupt", "incomplete"}
+
+
 def test_snapshots_of_all_versions(spark, tmp_path):
     old = {"savedAt": "2026-01-02T00:00:00Z", "selectedPageID": "x", "sourceDirectoryURL": "file:///in/book/", "pages": [{"id": "x", "index": 1}]}
     bare = {"savedAt": "2026-01-02T00:00:00Z", "pages": []}
@@ -82,9 +101,9 @@ def test_snapshots_of_all_versions(spark, tmp_path):
 
 
 def test_truth_lines_and_report(spark, tmp_path):
-    truth = {"a.jpeg": {"width": 100, "height": 200, "lines": [{"text": "あ、", "box": [10, 20, 30, 40]}, {"text": "油断", "box": [0, 0, 2, 2]}]}}
+    truth = {"a.jpeg": {"width": 100, "height": 200, "lines": [{"text": "窓の外", "box": [10, 20, 30, 40]}, {"text": "雪だ", "box": [0, 0, 2, 2]}]}}
     (tmp_path / "truth.json").write_text(json.dumps(truth, indent=1))
     rows = files.read_truth_lines(spark, str(tmp_path / "truth.json")).orderBy("line_no").collect()
-    assert [(r.text, r.cx, r.cy) for r in rows] == [("あ、", 0.2, 0.15), ("油断", 0.01, 0.005)]
+    assert [(r.text, r.cx, r.cy) for r in rows] == [("窓の外", 0.2, 0.15), ("雪だ", 0.01, 0.005)]
     files.write_report(files.read_truth_lines(spark, str(tmp_path / "truth.json")), str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).count() == 2

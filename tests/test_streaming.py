@@ -65,3 +65,38 @@ def test_job_lists(spark):
     assert [r.job_id for r in jobs.clear_finished(listed).collect()] == [1]
     failures = spark.createDataFrame([(2, 9), (2, 4), (2, 9)], "job_id long, page_id long")
     assert jobs.retry_failed(listed, failures).first().page_ids == [4, 9]
+
+
+def test_folder_tables_in_any_file_order(spark, tmp_path):
+    import random
+
+    schema = "page_id long, seq long, action string, state string"
+    rng = random.Random(3)
+    rows = [(p, i, rng.choice(["edit", "undo", "redo"]), f"s{i % 4}") for p in range(3) for i in range(40)]
+    want = edits.replay_edits(spark.createDataFrame(rows, schema))
+    mixed = rows[:]
+    rng.shuffle(mixed)
+    for i in range(0, len(mixed), 17):
+        spark.createDataFrame(mixed[i : i + 17], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log.parquet"))
+    stream = jobs.stream_of(spark, str(tmp_path), "log")
+    got = jobs.latest(jobs.run_to_end(jobs.replay_edit_stream(stream), "folder"), "page_id")
+    assert sorted(map(tuple, want.collect())) == sorted(map(tuple, got.select(*want.columns).collect()))
+    assert {r.late for r in got.collect()} == {0}
+
+
+def test_streams_without_data(spark, tmp_path):
+    schema = "page_id long, seq long, action string, state string"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "log.parquet"))
+    stream = jobs.stream_of(spark, str(tmp_path), "log")
+    assert jobs.run_to_end(jobs.replay_edit_stream(stream), "none").count() == 0
+    (tmp_path / "bare").mkdir()
+    bare = spark.readStream.schema("app long, entry_id long, ts timestamp, category string, message string").parquet(str(tmp_path / "bare"))
+    assert jobs.log_tail_stream(bare).count() == 0
+    assert jobs.run_to_end(bare, "bare", "append").count() == 0
+
+
+def test_events_of_an_earlier_place_are_counted(spark, tmp_path):
+    schema = "key string, seq long, kind string, job_id long"
+    rows = [("k", 5, "submit", 1), ("k", 7, "finish", 1), ("k", 6, "submit", 2), ("k", 8, "submit", 4)]
+    out = jobs.latest(jobs.run_to_end(jobs.dedupe_submissions(chunks(spark, tmp_path, rows, schema, 2)), "late"), "key").first()
+    assert (out.open_job, out.accepted, out.late) == (4, [4], 1)
