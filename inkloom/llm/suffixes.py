@@ -41,8 +41,6 @@ GRAM = 16
 TRANSFORM_BYTES = 1 << 19
 #: Texts with one minimizer above which its windows are keyed one by one.
 HOT_TEXTS = 50_000
-#: Ids that may be broadcast to pick documents before their texts are shuffled (8 bytes each).
-BROADCAST_IDS = 2_000_000
 _HOT = 1 << 60
 
 
@@ -301,24 +299,21 @@ def _removed(length: int, limit: int):
     return run
 
 
-def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` with one of ``ids`` (doc_id and more, one row each), joined."""
-    if ids.count() <= BROADCAST_IDS:  # texts that take no part are not shuffled
-        docs = docs.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
-    return docs.join(ids, "doc_id")
+def _texts(docs: DataFrame) -> DataFrame:
+    """Rows with an id; joins by it that start here share one shuffle of the texts."""
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH, hot_texts: int = HOT_TEXTS, limit: int = TRANSFORM_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): every row's text key and first document, and (doc_id, spans) of documents that are no copy.
+def _first_documents(texts: DataFrame) -> DataFrame:
+    """(key, key2, first): the smallest document of every distinct text."""
+    keyed = texts.select(F.xxhash64("text").alias("key"), F.xxhash64(F.lit(1), F.col("text")).alias("key2"), "doc_id")
+    return materialize(keyed.groupBy("key", "key2").agg(F.min("doc_id").alias("first")))
 
-    A text whose whole bytes also are a smaller document's is a copy; its bytes are all removed.
-    """
-    named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    whole = [F.xxhash64("text").alias("key"), F.xxhash64(F.lit(1), F.col("text")).alias("key2")]
-    firsts = materialize(named.select(*whole, "doc_id").groupBy("key", "key2").agg(F.min("doc_id").alias("first")))
-    long_enough = named.where(F.octet_length("text") >= length)
 
-    seen = long_enough.select(whole[0], "text").mapInArrow(_minimizers(length), "h long, key long")
+def removed_spans(texts: DataFrame, firsts: DataFrame, length: int, hot_texts: int, limit: int) -> DataFrame:
+    """(doc_id, spans) of the first documents of their texts that have bytes to remove."""
+    long_enough = texts.where(F.octet_length("text") >= length)
+    seen = long_enough.select(F.xxhash64("text").alias("key"), "text").mapInArrow(_minimizers(length), "h long, key long")
     group = Window.partitionBy("h")
     shared = (
         seen.withColumns({"lo": F.min("key").over(group), "hi": F.max("key").over(group), "n": F.count(F.lit(1)).over(group)})
@@ -327,19 +322,17 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, hot_texts: int = HOT_TE
     )
     wanted = shared.groupBy("key").agg(F.collect_set("h").alias("wanted"))
     wanted = wanted.join(firsts, "key").groupBy(F.col("first").alias("doc_id")).agg(F.first("wanted").alias("wanted"))
-    wanted = materialize(wanted)
-    routed = _picked(long_enough, wanted).select("doc_id", "text", "wanted").mapInArrow(_pieces(length), "h long, seg binary, doc_id long, at long")
+    routed = texts.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_pieces(length), "h long, seg binary, doc_id long, at long")
     dealt = routed.repartition("h").sortWithinPartitions("h", "seg", "doc_id", "at")
     spans = dealt.mapInArrow(_removed(length, limit), SPAN)
-    spans = materialize(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
-    return firsts, spans
+    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 def _kept(texts: pa.Array, spans: pa.Array) -> pa.Array:
     out = []
     for text, ranges in zip(texts.to_pylist(), spans.to_pylist()):
         data = (text or "").encode()
-        runs = merged_runs([(s["start"], s["stop"]) for s in ranges], 0)
+        runs = merged_runs([(s["start"], s["stop"]) for s in ranges or []], 0)
         kept, at = [], 0
         for a, b in runs:
             kept.append(data[at:a])
@@ -356,28 +349,24 @@ def drop_shared(docs: DataFrame, length: int = LENGTH, hot_texts: int = HOT_TEXT
     doc_id with one text get the same result each: only smaller ids remove anything; ids
     must not stand for different texts.  Other columns take no part.
     """
-    firsts, spans = removed_spans(docs, length, hot_texts, limit)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cut = F.arrow_udf(_kept, "struct<n_removed long, n_spans long, kept binary>")(F.col("text"), F.col("spans"))
-    # by row: a copy (its text's first document is smaller), one with spans, or one that stays whole
-    keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("key"), F.xxhash64(F.lit(1), F.col("text")).alias("key2"))
-    copies = keyed.select("doc_id", "key", "key2").join(firsts, ["key", "key2"]).where(F.col("first") < F.col("doc_id")).select("doc_id").distinct()
-    marks = materialize(
-        copies.withColumn("copy", F.lit(True))
-        .join(spans.select("doc_id").withColumn("cut", F.lit(True)), "doc_id", "full")
-    )
-    few = marks.count() <= BROADCAST_IDS
-    marked = keyed.select("doc_id", "text").join(F.broadcast(marks) if few else marks, "doc_id", "left")
+    texts = _texts(docs)
+    firsts = _first_documents(texts)
+    spans = removed_spans(texts, firsts, length, hot_texts, limit)
+    keyed = texts.select("doc_id", F.xxhash64("text").alias("key"), F.xxhash64(F.lit(1), F.col("text")).alias("key2"))
+    copies = keyed.join(firsts, ["key", "key2"]).where(F.col("first") < F.col("doc_id"))
+    copies = copies.select("doc_id", F.lit(True).alias("copy")).distinct()
+    marked = texts.join(spans, "doc_id", "left").join(copies, "doc_id", "left")
     n_bytes = F.octet_length("text").cast("long")
-    is_copy = F.coalesce("copy", F.lit(False)) & (n_bytes >= length)
-    empty = F.lit(b"").cast("binary")
-    plain = marked.where(F.col("cut").isNull() | is_copy).select(
+    cut = F.arrow_udf(_kept, "struct<n_removed long, n_spans long, kept binary>")(F.col("text"), F.col("spans"))
+    gone = F.coalesce("copy", F.lit(False)) & (n_bytes >= length)  # the text is a smaller document's as a whole
+    named = marked.select("doc_id", n_bytes.alias("n_bytes"), gone.alias("gone"), cut.alias("c")).select(
         "doc_id",
-        n_bytes.alias("n_bytes"),
-        F.when(is_copy, n_bytes).otherwise(F.lit(0)).cast("long").alias("n_removed"),
-        F.when(is_copy, 1).otherwise(0).cast("long").alias("n_spans"),
-        F.when(is_copy, empty).otherwise(F.col("text").cast("binary")).alias("kept"),
+        "n_bytes",
+        F.when(F.col("gone"), F.col("n_bytes")).otherwise(F.col("c.n_removed")).alias("n_removed"),
+        F.when(F.col("gone"), F.lit(1).cast("long")).otherwise(F.col("c.n_spans")).alias("n_spans"),
+        F.when(F.col("gone"), F.lit("").cast("binary")).otherwise(F.col("c.kept")).alias("kept"),
     )
-    partly = marked.where(F.col("cut") & ~is_copy).join(spans, "doc_id")
-    partly = partly.select("doc_id", n_bytes.alias("n_bytes"), cut.alias("c")).select("doc_id", "n_bytes", "c.*")
-    return plain.unionByName(partly)
+    nobody = docs.where(F.col("doc_id").isNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    zero = F.lit(0).cast("long")
+    whole = nobody.select("doc_id", n_bytes.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
+    return named.unionByName(whole)
