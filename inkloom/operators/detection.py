@@ -39,6 +39,26 @@ def decode_detections(raw: DataFrame, pages: DataFrame, threshold: float = 0.25)
     return decoded.where((F.col("width") > 0) & (F.col("height") > 0))
 
 
+#: Names under which a box object may hold its four numbers, in the order they are tried.
+BOX_KEYS = ("bbox_2d", "bbox", "box", "text_box")
+
+
+def read_grounding_boxes(replies: DataFrame) -> DataFrame:
+    """(response_id, box_no, box ARRAY<DOUBLE>) from ``replies(response_id, json)``.
+
+    Every item of the JSON array is four numbers, or an object with four numbers under
+    one of ``BOX_KEYS``.  An item without them has a null box, which makes
+    ``map_grounding_boxes`` reject its response.
+    """
+    items = F.try_variant_get(F.try_parse_json("json"), "$", "array<variant>")
+
+    def numbers(item: Column) -> Column:
+        forms = [F.try_variant_get(item, path, "array<double>") for path in ("$", *[f"$.{key}" for key in BOX_KEYS])]
+        return F.coalesce(*[F.when(F.size(form) == 4, form) for form in forms])
+
+    return replies.select("response_id", F.posexplode(F.transform(items, numbers)).alias("box_no", "box"))
+
+
 def map_grounding_boxes(boxes: DataFrame, padding: float = 0.08, most: int = 16) -> DataFrame:
     """Model boxes on a 0..1000 scale to page boxes; one bad box rejects its whole response.
 

@@ -305,6 +305,50 @@ def commit_edit_batches(
     return verdicts, updated, effects
 
 
+def reorder_regions(pages: DataFrame, regions: DataFrame, orders: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(verdict per page, regions in their new order, page effects).
+
+    ``pages(page_id, revision)``; ``orders(page_id, expected_revision, region_id, position)``
+    lists every region of a page once, against its current revision.  An accepted order
+    renumbers ``ord`` from 0, voids preview and output, and sets stage and progress.
+    """
+    sent = orders.groupBy("page_id").agg(
+        F.min("expected_revision").alias("_low"), F.max("expected_revision").alias("_high")
+    )
+    own = regions.join(sent.select("page_id"), "page_id", "left_semi")
+    audit = audit_completeness(own, orders, "page_id", "region_id")
+    judged = sent.join(pages.select("page_id", "revision"), "page_id", "left").join(audit, "page_id", "left")
+    current = (F.col("_low") == F.col("revision")) & (F.col("_high") == F.col("revision"))
+    verdict = (
+        F.when(F.col("revision").isNull(), "unknown page")
+        .when(~F.coalesce(current, F.lit(False)), "conflict")
+        .when(~F.coalesce("complete", F.lit(False)), "id set differs")
+        .otherwise("accepted")
+    )
+    verdicts = materialize(judged.select("page_id", verdict.alias("verdict")))
+    accepted = verdicts.where(F.col("verdict") == "accepted").select("page_id")
+    placed = number_rows(
+        orders.join(accepted, "page_id", "left_semi").select("page_id", "region_id", "position"),
+        ["page_id"], [F.col("position"), F.col("region_id")], "_place",
+    )
+    moved = regions.join(placed.select("page_id", "region_id", "_place"), ["page_id", "region_id"], "left")
+    kind = dict(regions.dtypes)["ord"]
+    moved = moved.withColumn("ord", F.coalesce(F.col("_place") - 1, F.col("ord")).cast(kind)).select(*regions.columns)
+    effects = (
+        regions.join(accepted, "page_id", "left_semi")
+        .groupBy("page_id")
+        .agg(F.bool_or(F.col("translated_text") != "").alias("_translated"))
+        .select(
+            "page_id",
+            F.when(F.col("_translated"), "translating").otherwise("maskReady").alias("stage"),
+            F.lit(0.25).alias("progress"),
+            F.lit(True).alias("preview_void"),
+            F.lit(True).alias("output_void"),
+        )
+    )
+    return verdicts, moved, effects
+
+
 def submit_agent_results(
     pages: DataFrame, regions: DataFrame, results: DataFrame
 ) -> tuple[DataFrame, DataFrame]:

@@ -222,8 +222,11 @@ def ctc_decode(scores: DataFrame, charset: DataFrame, limit: int = WINDOW_GROUP_
 
     ``scores(line_id, t, class, score)``; ``charset(class, letter)``.  Scores that are
     not already a probability vector go through softmax.  A step has one row per
-    class of the model's character set, so its window is bounded by that set.
+    class of the model's character set, so its window is bounded by that set; classes
+    outside ``charset`` take no part.
     """
+    lines = scores.select("line_id").distinct()
+    scores = scores.join(broadcast_if_small(charset.select("class").distinct()), "class", "left_semi")
     step = Window.partitionBy("line_id", "t")
     with_max = scores.withColumn("_max", F.max("score").over(step))
     best = with_max.groupBy("line_id", "t").agg(
@@ -244,7 +247,6 @@ def ctc_decode(scores: DataFrame, charset: DataFrame, limit: int = WINDOW_GROUP_
     kept = kept.where(F.col("letter") != "blank")
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("t", "letter"))), lambda s: s["letter"])
     decoded = kept.groupBy("line_id").agg(F.array_join(pieces, "").alias("text"), F.avg("p").alias("confidence"))
-    lines = scores.select("line_id").distinct()
     return lines.join(decoded, "line_id", "left").select(
         "line_id", F.coalesce("text", F.lit("")).alias("text"), "confidence"
     )

@@ -321,6 +321,39 @@ def _(v):
     )
 
 
+ORDER_SQL = """
+sent AS (SELECT page_id, region_id, ord, translated_text FROM fx_regions WHERE NOT (page_id % 5 = 0 AND ord = 2)),
+judged AS (SELECT p.page_id, CASE WHEN p.page_id % 7 = 0 THEN 'conflict' WHEN p.n <> q.n THEN 'id set differs' ELSE 'accepted' END AS verdict
+  FROM (SELECT page_id, count(*) AS n FROM sent GROUP BY page_id) p JOIN (SELECT page_id, count(*) AS n FROM fx_regions GROUP BY page_id) q USING (page_id))
+"""
+
+
+def reordered(v):
+    page, ord_ = F.col("page_id"), F.col("ord")
+    pages = revisions(v)
+    orders = v.regions().where(~((page % 5 == 0) & (ord_ == 2))).join(pages, "page_id").select(
+        "page_id", "region_id", F.when(page % 7 == 0, "stale").otherwise(F.col("revision")).alias("expected_revision"), (-ord_).alias("position")
+    )
+    return edits.reorder_regions(pages, v.regions().select("page_id", "region_id", "ord", "translated_text"), orders)
+
+
+@query("reorder_verdicts", f"WITH {ORDER_SQL} SELECT page_id, verdict FROM judged", ("fx_regions",))
+def _(v):
+    return reordered(v)[0]
+
+
+@query(
+    "reorder_regions",
+    f"""WITH {ORDER_SQL} SELECT r.region_id, CASE WHEN verdict = 'accepted' THEN (row_number() OVER (PARTITION BY r.page_id ORDER BY -ord, r.region_id) - 1)::INTEGER ELSE ord::INTEGER END AS ord,
+      CASE WHEN verdict = 'accepted' THEN CASE WHEN bool_or(translated_text <> '') OVER (PARTITION BY r.page_id) THEN 'translating' ELSE 'maskReady' END END AS stage
+    FROM fx_regions r LEFT JOIN judged USING (page_id)""",
+    ("fx_regions",),
+)
+def _(v):
+    _, regions, effects = reordered(v)
+    return regions.join(effects, "page_id", "left").select("region_id", F.col("ord").cast("int").alias("ord"), "stage")
+
+
 CAUSES = ("edit", "batch", "geometry", "extraction", "reset", "eraseColor", "defaultFont")
 CAUSES_SQL = f"""
 causes AS (SELECT DISTINCT user_id AS page_id, ({list(CAUSES)})[event_id % 7 + 1] AS cause FROM events),

@@ -287,16 +287,16 @@ def _(v):
 
 @query(
     "ctc_decode",
-    """WITH m AS (SELECT *, max(score) OVER (PARTITION BY line_id, t) AS top FROM fx_scores),
+    """WITH m AS (SELECT *, max(score) OVER (PARTITION BY line_id, t) AS top FROM fx_scores WHERE class < 7),
     best AS (SELECT line_id, t, arg_min(class, (-score, class)) AS best, max(score) AS top, sum(score) AS total, bool_and(score BETWEEN -0.0001 AND 1.0001) AS unit, sum(exp(score - top)) AS z FROM m GROUP BY ALL),
     steps AS (SELECT line_id, t, best, least(greatest(CASE WHEN unit AND abs(total - 1) < 0.02 THEN top ELSE 1 / z END, 0), 1) AS p, lag(best) OVER (PARTITION BY line_id ORDER BY t) AS before FROM best),
-    kept AS (SELECT * FROM steps WHERE best <> 0 AND best IS DISTINCT FROM before AND best <> 7)
+    kept AS (SELECT * FROM steps WHERE best <> 0 AND best IS DISTINCT FROM before AND best <> 6)
     SELECT l.line_id, coalesce(string_agg(chr((96 + best)::INTEGER), '' ORDER BY t), '') AS text, round(avg(p), 6) AS confidence
     FROM (SELECT DISTINCT line_id FROM fx_scores) l LEFT JOIN kept k ON k.line_id = l.line_id GROUP BY l.line_id""",
     ("fx_scores",),
 )
 def _(v):
-    letters = [(0, "blank"), *[(i, chr(96 + i)) for i in range(1, 7)], (7, "blank")]
+    letters = [(0, "blank"), *[(i, chr(96 + i)) for i in range(1, 6)], (6, "blank")]  # the model knows an eighth class
     charset = v.spark.createDataFrame(letters, "class int, letter string")
     return reading.ctc_decode(v.scores(), charset).withColumn("confidence", F.round("confidence", 6))
 
@@ -470,6 +470,32 @@ def _(v):
     return out.select("response_id", *[F.round(c, 6).alias(c) for c in ("x", "y", "width", "height")])
 
 
+@query(
+    "read_grounding_boxes",
+    """SELECT page_id AS response_id, (row_number() OVER (PARTITION BY page_id ORDER BY ord, region_id) - 1)::INTEGER AS box_no,
+      CASE WHEN partkey % 6 < 5 THEN round(x * 100)::BIGINT || ',' || round(y * 100)::BIGINT || ',' || round((x + width) * 100)::BIGINT || ',' || round((y + height) * 100)::BIGINT END AS box
+    FROM fx_boxes""",
+    ("fx_boxes",),
+)
+def _(v):
+    # the forms that models use in turn; the sixth has too few numbers
+    whole = lambda c: F.round(c * 100).cast("long").cast("string")
+    four = [whole(F.col("x")), whole(F.col("y")), whole(F.col("x") + F.col("width")), whole(F.col("y") + F.col("height"))]
+    numbers = F.concat(F.lit("["), F.concat_ws(",", *four), F.lit("]"))
+    form = F.col("partkey") % 6
+    item = F.when(form == 0, numbers)
+    for n, key in enumerate(("bbox_2d", "bbox", "box", "text_box"), 1):
+        item = item.when(form == n, F.concat(F.lit('{"box_2d":[1],"' + key + '":'), numbers, F.lit("}")))
+    item = item.otherwise(F.lit('{"box":[1,2,3]}'))
+    replies = v.boxes().groupBy(F.col("page_id").alias("response_id")).agg(
+        F.array_sort(F.collect_list(F.struct("ord", "region_id", item.alias("item")))).alias("items")
+    )
+    text = F.concat(F.lit("["), F.array_join(F.transform("items", lambda i: i["item"]), ","), F.lit("]"))
+    found = detection.read_grounding_boxes(replies.select("response_id", text.alias("json")))
+    listed = F.array_join(F.transform("box", lambda x: x.cast("long").cast("string")), ",")
+    return found.select("response_id", "box_no", listed.alias("box"))
+
+
 @query(
     "unclip_components",
     """WITH g AS (SELECT *, min_x AS x0, min_y AS y0, min_x + w - 1 AS x1, min_y + h - 1 AS y1, w * h * 1.4::DOUBLE / greatest(1, 2 * (w + h)) AS e FROM fx_components),
