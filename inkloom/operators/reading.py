@@ -275,9 +275,12 @@ def unique_names(files: DataFrame, limit: int = WINDOW_GROUP_LIMIT) -> DataFrame
     ``files(dir, name, arrival)`` with unique arrivals.  Every file asks for its next
     name, a name goes to the earliest file that asks, and the others ask again; this
     settles on what a sequential pass would give.  The n-th file of a name can get
-    no number below n, so it starts there.
+    no number below n, so it starts there.  A name only ever passes to an earlier
+    file, so a file refused inside a run of numbers that earlier files hold asks
+    next for the first number after the run.
     """
     pattern = r"^(.+?)(?:\.([^.]*))?$"
+    with_number = r"^(.+)-([1-9][0-9]{0,17})\.([^.]*)$"
     first = number_rows(files, ["dir", "name"], [F.col("arrival")], "_k", limit)
     asking = first.withColumns(
         {"_stem": F.regexp_extract("name", pattern, 1), "_ext": F.regexp_extract("name", pattern, 2)}
@@ -285,9 +288,18 @@ def unique_names(files: DataFrame, limit: int = WINDOW_GROUP_LIMIT) -> DataFrame
     while True:
         numbered = F.concat("_stem", F.lit("-"), F.col("_k").cast("string"), F.lit("."), "_ext")
         asked = materialize(asking.withColumn("final", F.when(F.col("_k") == 1, F.col("name")).otherwise(numbered)))
-        owners = asked.groupBy("dir", "final").agg(F.min("arrival").alias("_owner"))
+        owners = materialize(asked.groupBy("dir", "final").agg(F.min("arrival").alias("_owner")))
         judged = asked.join(owners, ["dir", "final"])
         refused = F.col("arrival") != F.col("_owner")
         if judged.where(refused).isEmpty():
             return asked.select(*files.columns, "final")
-        asking = judged.withColumn("_k", F.col("_k") + F.when(refused, 1).otherwise(0)).drop("final", "_owner")
+        held = owners.where(F.col("final").rlike(with_number)).select(
+            "dir", "final", "_owner", F.regexp_extract("final", with_number, 1).alias("_s"),
+            F.regexp_extract("final", with_number, 2).cast("long").alias("_no"), F.regexp_extract("final", with_number, 3).alias("_e"),
+        )
+        run = ["dir", "_s", "_e", "_run"]
+        held = number_rows(held, ["dir", "_s", "_e"], [F.col("_no")], "_r", limit).withColumn("_run", F.col("_no") - F.col("_r"))
+        runs = held.groupBy(*run).agg(F.max("_no").alias("_end"), F.max("_owner").alias("_latest"))
+        judged = judged.join(held.join(runs, run).select("dir", "final", "_end", "_latest"), ["dir", "final"], "left")
+        after = F.when(F.col("arrival") > F.col("_latest"), F.col("_end") + 1).otherwise(F.col("_k") + 1)
+        asking = judged.withColumn("_k", F.when(refused, after).otherwise(F.col("_k"))).drop("final", "_owner", "_end", "_latest")

@@ -282,3 +282,11 @@ def test_natural_path_order(spark):
     files = spark.createDataFrame([(p,) for p in paths], "path string")
     out = [r.path for r in reading.natural_order(files, [], "path").orderBy("path_rank").collect()]
     assert out == ["a/p3.png", "p1.png", "P2.png", "p02.png", "p10.png"]
+
+
+def test_names_pass_long_runs_at_once(spark):
+    rows = [("d", f"a-{n}.png", n) for n in range(2, 400)] + [("d", "a.png", 500 + i) for i in range(4)] + [("d", "a-401.png", 499), ("e", "a.png", 1)]
+    out = reading.unique_names(spark.createDataFrame(rows, "dir string, name string, arrival long"))
+    got = {(r.dir, r.arrival): r.final for r in out.collect()}
+    assert [got[("d", 500 + i)] for i in range(4)] == ["a.png", "a-400.png", "a-402.png", "a-403.png"]
+    assert got[("d", 7)] == "a-7.png" and got[("e", 1)] == "a.png"
