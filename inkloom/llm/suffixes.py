@@ -41,6 +41,8 @@ GRAM = 16
 TRANSFORM_BYTES = 1 << 19
 #: Texts with one minimizer above which its windows are keyed one by one.
 HOT_TEXTS = 50_000
+#: Bytes of segments that are sorted together before they are sent.
+PIECE_BYTES = 8 << 20
 _HOT = 1 << 60
 
 
@@ -102,6 +104,19 @@ def _minimizers(length: int):
     return run
 
 
+def _sorted_pieces(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Segments by key: equal ones lie side by side and shrink to little in the shuffle files."""
+    keys, sizes, docs, ats, data = (np.concatenate(p) for p in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    begin = (np.cumsum(sizes) - sizes)[order]
+    offsets = np.concatenate([[0], np.cumsum(sizes[order])])
+    data = data[np.repeat(begin - offsets[:-1], sizes[order]) + np.arange(offsets[-1])]
+    binary = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys[order]), binary, pa.array(docs[order]), pa.array(ats[order])], ["h", "seg", "doc_id", "at"]
+    )
+
+
 def _pieces(length: int):
     """Segments of the wanted minimizers: (h, seg, doc_id, at); hot ones window by window under the window's hash."""
 
@@ -110,6 +125,8 @@ def _pieces(length: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             wanted_bounds = batch.column(2).offsets.to_numpy()
             wanted = batch.column(2).values.to_numpy()
+            parts: list[tuple[np.ndarray, ...]] = []
+            held = 0
             for block in text_blocks(batch.column(1)):
                 row, start, count, h = segments(block, length)
                 bounds = wanted_bounds[block.first : block.first + block.rows + 1]
@@ -134,11 +151,13 @@ def _pieces(length: int):
                 data = block.data[np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])]
                 window = [int.from_bytes(hashlib.blake2b(block.data[s : s + length], digest_size=7).digest()) for s in start_hot.tolist()]
                 keys = np.concatenate([h[plain], np.array(window, np.int64) | _HOT])
-                binary = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), binary, pa.array(ids[block.first + rows]), pa.array((starts - block.bounds[rows]).astype(np.int64))],
-                    ["h", "seg", "doc_id", "at"],
-                )
+                parts.append((keys, sizes, ids[block.first + rows], (starts - block.bounds[rows]).astype(np.int64), data))
+                held += len(data)
+                if held >= PIECE_BYTES:
+                    yield _sorted_pieces(parts)
+                    parts, held = [], 0
+            if parts:
+                yield _sorted_pieces(parts)
 
     return run
 
@@ -312,8 +331,9 @@ def _first_documents(texts: DataFrame) -> DataFrame:
 
 def removed_spans(texts: DataFrame, firsts: DataFrame, length: int, hot_texts: int, limit: int) -> DataFrame:
     """(doc_id, spans) of the first documents of their texts that have bytes to remove."""
-    long_enough = texts.where(F.octet_length("text") >= length)
-    seen = long_enough.select(F.xxhash64("text").alias("key"), "text").mapInArrow(_minimizers(length), "h long, key long")
+    # every distinct text once; the join reads the shuffle that the later joins by id read
+    once = texts.join(firsts.select(F.col("first").alias("doc_id"), F.col("key").alias("key")), "doc_id")
+    seen = once.select("key", "text").mapInArrow(_minimizers(length), "h long, key long")
     group = Window.partitionBy("h")
     shared = (
         seen.withColumns({"lo": F.min("key").over(group), "hi": F.max("key").over(group), "n": F.count(F.lit(1)).over(group)})
