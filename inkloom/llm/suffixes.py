@@ -332,16 +332,15 @@ def _first_documents(texts: DataFrame) -> DataFrame:
 def removed_spans(texts: DataFrame, firsts: DataFrame, length: int, hot_texts: int, limit: int) -> DataFrame:
     """(doc_id, spans) of the first documents of their texts that have bytes to remove."""
     # every distinct text once; the join reads the shuffle that the later joins by id read
-    once = texts.join(firsts.select(F.col("first").alias("doc_id"), F.col("key").alias("key")), "doc_id")
-    seen = once.select("key", "text").mapInArrow(_minimizers(length), "h long, key long")
+    once = texts.join(firsts.select(F.col("first").alias("doc_id")).distinct(), "doc_id")
+    seen = once.select("doc_id", "text").mapInArrow(_minimizers(length), "h long, key long")
     group = Window.partitionBy("h")
     shared = (
         seen.withColumns({"lo": F.min("key").over(group), "hi": F.max("key").over(group), "n": F.count(F.lit(1)).over(group)})
         .where("lo < hi")
         .select("key", F.when(F.col("n") > hot_texts, F.col("h").bitwiseOR(F.lit(_HOT))).otherwise(F.col("h")).alias("h"))
     )
-    wanted = shared.groupBy("key").agg(F.collect_set("h").alias("wanted"))
-    wanted = wanted.join(firsts, "key").groupBy(F.col("first").alias("doc_id")).agg(F.first("wanted").alias("wanted"))
+    wanted = shared.groupBy(F.col("key").alias("doc_id")).agg(F.collect_set("h").alias("wanted"))
     routed = texts.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_pieces(length), "h long, seg binary, doc_id long, at long")
     dealt = routed.repartition("h").sortWithinPartitions("h", "seg", "doc_id", "at")
     spans = dealt.mapInArrow(_removed(length, limit), SPAN)
