@@ -148,7 +148,7 @@ class Items:
                     # earlier ranges that the window reaches back over are joined to it
                     start = stop - need
                     while len(spans) > 1 and start <= spans[-2][1]:
-                        spans.pop(-2)
+                        start = min(start, spans.pop(-2)[0])
                     spans[-1] = (min(spans[-1][0], start), max(stop, spans[-1][1]))
                 else:
                     spans.append((stop - need, stop))

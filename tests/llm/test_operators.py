@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkloom.llm import chat, chunks, decontaminate, language, lines, minhash, packing, pii, pivots, suffixes
-from inkloom.llm.blocks import BYTE_VALUES, KeyIndex, text_blocks
+from inkloom.llm.blocks import BYTE_VALUES, KeyIndex, text_blocks, word_starts_per_row
 from inkloom.llm.blocks import words as word_table
 from tests.llm import brute
 
@@ -166,6 +166,20 @@ def test_contamination(spark, corpus, block_bytes):
     assert none == 0 and decontaminate.decontaminate(frame(spark, []), bench).count() == 0
 
 
+def test_contamination_of_neighbouring_items():
+    """A window that reaches back over a shorter item joins the range before it, too."""
+    a, b = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 100), ("b", 13)))
+    items = [("1", a), ("2", b), ("3", "b2 b3"), ("4", "a5")]
+    found = decontaminate.prepare(items)
+    for text, want in ((f"{a} {b}", 113), (f"{b} {a}", 113), (f"{b} {b} x {b}", 39), (f"x {a} b2 b3 {b}", 115)):
+        block = next(text_blocks(pa.array([text])))
+        split = word_table(block)
+        (_, spans, names), = found.hits(split, word_starts_per_row(split, block.rows))
+        n_hit = sum(stop - start for start, stop in spans)
+        assert (n_hit, sorted(names)) == (want, brute.contamination({0: text}, items)[0][2])
+        assert n_hit == brute.contamination({0: text}, items)[0][1]
+
+
 def test_personal_data(spark):
     texts = [
         "a@b.c_d@e.f x@y a@b@c.d é +1 (20) 300-4000 end", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4", "4111 1111 1111 1111 and 4111111111111112",
