@@ -1,15 +1,17 @@
 """Personal data: base patterns, and terms whose co-occurrence reveals a protected entity, in DataFrame functions only.
 
 Base spans come from four patterns.  Every distinct value found (an e-mail address, an
-ip, a card or phone number) is a protected entity.  Over all N documents the operator
-counts for every entity e and term t (a lower-cased word within ``CONTEXT`` code points
-of e) the documents n(t, e), n(t) and n(e).  A term discloses e when it is found with e
-in at least ``SUPPORT`` different texts and its pointwise mutual information
-log2(n(t, e) N / (n(t) n(e))) reaches ``BITS``.  In every document that holds e the
-term is generalised; where n(t, e) / n(t), the chance that the term gives e away, reaches
-``CERTAIN``, it is removed.
-
-Only (entity, term) pairs and counts are shuffled.  Texts meet the disclosing terms of
+ip, a card or phone number) is a protected entity.  Over the N different texts (equal ones
+count once) the operator counts for every entity e and term t (a lower-cased word within
+``CONTEXT`` code points of e) the texts n(t, e), n(t) and n(e).  The pointwise mutual
+information log2(n(t, e) N / (n(t) n(e))) is at most log2(N / n(e)), which is small for a
+frequent entity or a small table.  So a term found with e in at least ``SUPPORT`` texts, and
+more often than by chance, discloses e when its information reaches ``BITS`` or the share
+``MOST`` of that maximum, or when n(t, e) / n(t), the chance that the term gives e away,
+reaches ``CERTAIN``.  In every document that holds e the term is generalised; where it
+is certain, it is removed.
+
+Only (entity, term) pairs, counts and 64-bit keys of texts are shuffled.  Texts meet the disclosing terms of
 their document by broadcast if these are few, else by a join on the id.
 """
 
@@ -23,10 +25,13 @@ from inkloom.session import materialize
 CONTEXT = 80
 SUPPORT = 2
 BITS = 8.0
+MOST = 0.9
 CERTAIN = 0.9
 #: Documents with disclosing terms, and such terms of all of them, that may be broadcast (a few MB).
 BROADCAST_DOCS = 20_000
 BROADCAST_TERMS = 200_000
+#: Keys of repeated texts that are broadcast at a time (some ten MB); more of them take several rounds.
+BROADCAST_COPIES = 500_000
 
 KINDS = ["email", "ip", "card", "phone", "generalised", "removed"]
 #: Patterns as fixed by the contract; possessive repeats and the guards before them only
@@ -128,36 +133,55 @@ def _near(text: Column, span: Column) -> Column:
     return F.array_distinct(F.transform(F.concat(inside(before), inside(F.concat(F.lit(" "), after))), F.lower))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, bits: float, support: int, certain: float) -> DataFrame:
+def _texts_per_term(docs: DataFrame, wanted: DataFrame, round_keys: int) -> tuple[DataFrame, int]:
+    """(term, n_term) of the ``wanted`` terms over different texts, and how many texts differ.
+
+    A text with c copies adds c to the rows of (term, c), so rows / c counts it once.  Rows
+    learn their c from the broadcast keys of repeated texts; a round takes the rows
+    of its share of the keys, so every text is split into terms in one round only.
+    """
+    texts = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("key"), "text")
+    repeated = materialize(texts.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    keys, more = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))).first()
+    rounds = max(1, -(-keys // round_keys))
+    counted = []
+    for k in range(rounds):
+        mine = F.pmod("key", F.lit(rounds)) == k
+        rows = texts.where(mine).join(F.broadcast(repeated.where(mine)), "key", "left")
+        seen = rows.select(F.explode(_terms(F.col("text"))).alias("term"), F.coalesce("copies", F.lit(1)).alias("copies"))
+        found = seen.join(wanted, "term", "left_semi").groupBy("term", "copies").agg(F.count(F.lit(1)).alias("rows"))
+        counted.append(found if rounds == 1 else materialize(found))
+    every = counted[0]
+    for part in counted[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("term").agg(F.sum(F.expr("rows div copies")).alias("n_term")), texts.count() - more
+
+
+def disclosing_terms(
+    docs: DataFrame, found: DataFrame, bits: float, support: int, certain: float, most: float = MOST, round_keys: int = BROADCAST_COPIES
+) -> DataFrame:
     """(entity, term, certain) of every pair beyond the thresholds; ``found`` has the texts with base spans, written once."""
-    marked = found.where(F.size("base") > 0).select(F.xxhash64("text").alias("key"), F.monotonically_increasing_id().alias("row"), "text", "base")
-    pairs = marked.select("key", "row", "text", F.explode("base").alias("span")).select(
-        "key", "row", _entity(F.col("span")).alias("entity"), F.explode(F.array_append(_near(F.col("text"), F.col("span")), F.lit(""))).alias("term")
-    )
-    # a pair with the empty term counts the documents of the entity itself
-    counted = (
-        pairs.groupBy("entity", "term", "row")
-        .agg(F.first("key").alias("key"))
-        .groupBy("entity", "term")
-        .agg(F.count(F.lit(1)).alias("n_pair"), F.countDistinct("key").alias("n_texts"))
-        .where(F.col("n_texts") >= support)
+    marked = found.where(F.size("base") > 0).select(F.xxhash64("text").alias("key"), "text", "base")
+    pairs = marked.select("key", "text", F.explode("base").alias("span")).select(
+        "key", _entity(F.col("span")).alias("entity"), F.explode(F.array_append(_near(F.col("text"), F.col("span")), F.lit(""))).alias("term")
     )
+    # a pair with the empty term counts the texts of the entity itself
+    counted = pairs.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair")).where(F.col("n_pair") >= support)
     counted = materialize(counted)
     entities = counted.where("term = ''").select("entity", F.col("n_pair").alias("n_entity"))
     joint = counted.where("term <> ''")
     wanted = joint.select("term").distinct()
     if wanted.count() <= BROADCAST_TERMS:
         wanted = F.broadcast(wanted)
-    texts = docs.where(F.col("text").isNotNull()).select("text")
-    seen = texts.select(F.explode(_terms(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
-    n_term = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))  # counted on the map side
-    total = texts.count()
+    n_term, total = _texts_per_term(docs, wanted, round_keys)
+    highest = F.log2(float(total) / F.col("n_entity"))
     information = F.log2(F.col("n_pair") * float(total) / (F.col("n_term") * F.col("n_entity")))
+    sure = F.col("n_pair") >= F.col("n_term") * certain
     return (
         joint.join(entities, "entity")
         .join(n_term, "term")
-        .where(information >= bits)
-        .select("entity", "term", (F.col("n_pair") >= F.col("n_term") * certain).alias("certain"))
+        .where((information > 0) & (sure | (information >= F.least(F.lit(bits), most * highest))))
+        .select("entity", "term", sure.alias("certain"))
     )
 
 

@@ -205,6 +205,26 @@ def test_disclosing_terms(spark, corpus):
     assert got[3].spans == "" and got[3].clean_text == plain[3][1]
 
 
+def test_disclosing_terms_of_frequent_entities(spark):
+    """Neither a small table, a frequent entity nor copies of a text hide what gives an entity away."""
+    filler = [f"the plain note of {x}{y}" for x in ("alpha", "beta", "gamma") for y in "abcdefghij"]
+    told = [f"the Zorblatt wrote to zz@ship.example {i}" for i in range(20)]
+    mixed = ["mostly Quibble here", *[f"the Quibble at qq@ship.example {i}" for i in range(5)]]
+    texts = [*filler, *told, *mixed]
+    rows = list(enumerate(texts))
+    copies = [*rows, *[(1000 + i, told[0]) for i in range(400)], *[(2000 + i, mixed[1]) for i in range(100)], *[(3000 + i, mixed[0]) for i in range(30)]]
+    for docs in (rows, copies):
+        docs_ = frame(spark, docs)
+        held = docs_.select("doc_id", "text", pii.base_spans(F.col("text")).alias("base")).where(F.size("base") > 0)
+        for round_keys in (1, pii.BROADCAST_COPIES):
+            pairs = pii.disclosing_terms(docs_, held, pii.BITS, pii.SUPPORT, pii.CERTAIN, round_keys=round_keys)
+            got = {(r.entity, r.term): r.certain for r in pairs.collect()}
+            assert got == {("0:zz@ship.example", t): True for t in ("zorblatt", "wrote")} | {("0:qq@ship.example", "quibble"): False}
+        clean = {r.doc_id: r.clean_text for r in pii.sanitize(docs_).collect()}
+        assert clean[30] == "the   to [EMAIL] 0" and clean[51] == "the [GENERALISED] at [EMAIL] 0"
+        assert clean[0] == texts[0] and clean[50] == texts[50]
+
+
 def test_lines(spark, corpus):
     rows = [(i, "\n".join(corpus.choice(["menu", " menu ", "foot", "", f"only {i}", f"x{i % 9}"]) for _ in range(corpus.randrange(1, 9))), None, f"s{i % 3}") for i in range(90)]
     rows += [(100, None, None, "s1"), (101, "", None, "s1"), (102, "menu\n", None, None)] + [(103, "copy\ncopy2", None, "s2")] * 40
