@@ -15,10 +15,13 @@ from inkloom.sources import files
 from inkloom.streaming import jobs
 
 
-def events(v):
-    return jobs.stream_of(v.spark, v.directory, "events").withColumn(
-        "k", F.regexp_extract("props", "[0-9]+", 0).cast("int")
-    )
+def events(v, order=None):
+    """The event table as a stream; its micro-batches ascend by ``order`` where one is given."""
+    if order is None:
+        stream = jobs.stream_of(v.spark, v.directory, "events")
+    else:
+        stream = jobs.replay_of(v.spark, v.directory, "events", order)
+    return stream.withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("int"))
 
 
 K = "regexp_extract(props, '[0-9]+', 0)::INTEGER AS k"
@@ -26,7 +29,7 @@ K = "regexp_extract(props, '[0-9]+', 0)::INTEGER AS k"
 
 def page_events(v):
     kind = F.col("event_type")
-    return events(v).select(
+    return events(v, "event_id").select(
         F.col("user_id").alias("page_id"),
         F.col("event_id").alias("seq"),
         F.when(kind == "signup", "started").when(kind == "view", "activity").when(kind == "click", "region")
@@ -63,7 +66,7 @@ def _page(run, stage, fraction, activity, cur, tot):
     SELECT page_id, s.run AS running, s.stage AS stage, s.fraction AS fraction, s.activity AS activity, s.cur AS current, s.tot AS total FROM done""",
 )
 def _(v):
-    return jobs.latest(jobs.run_to_end(jobs.live_page_state(page_events(v)), "pages"), "page_id").drop("late")
+    return jobs.none_late(jobs.latest(jobs.run_to_end(jobs.live_page_state(page_events(v)), "pages"), "page_id"))
 
 
 @query(
@@ -87,13 +90,13 @@ def _(v):
 )
 def _(v):
     kind = F.col("event_type")
-    stream = events(v).select(
+    stream = events(v, "event_id").select(
         F.col("user_id").alias("app"), F.col("event_id").alias("seq"),
         F.when(kind == "signup", "started").when(kind == "error", "finished").otherwise("updated").alias("kind"),
         F.concat(F.lit("r"), F.col("k") % 2).alias("session"), F.col("props").alias("text"),
     )
     # the table is replayed at once, so no session may expire between its events
-    return jobs.latest(jobs.run_to_end(jobs.reasoning_sessions(stream, None), "sessions"), "app").drop("late")
+    return jobs.none_late(jobs.latest(jobs.run_to_end(jobs.reasoning_sessions(stream, None), "sessions"), "app"))
 
 
 @query(
@@ -108,12 +111,12 @@ def _(v):
 )
 def _(v):
     # an 'error' finishes whatever job is open for its key
-    stream = events(v).select(
+    stream = events(v, "event_id").select(
         F.col("user_id").alias("key"), F.col("event_id").alias("seq"),
         F.when(F.col("event_type") == "error", "finish").otherwise("submit").alias("kind"),
         F.when(F.col("event_type") != "error", F.col("event_id")).alias("job_id"),
     )
-    state = jobs.latest(jobs.run_to_end(jobs.dedupe_submissions(stream), "submissions"), "key")
+    state = jobs.none_late(jobs.latest(jobs.run_to_end(jobs.dedupe_submissions(stream), "submissions"), "key"))
     return state.select("key", "open_job", F.try_element_at("accepted", F.lit(-1)).alias("last_job"), "reused")
 
 
@@ -137,7 +140,8 @@ def _(v):
     ("fx_events",),
 )
 def _(v):
-    stream = events(v).select(
+    # in order of time, so that the watermark leaves nothing out
+    stream = events(v, F.col("ts").cast("timestamp")).select(
         "ts",
         F.when(F.col("event_type") == "signup", "started").when(F.col("event_type") == "view", "activity")
         .when(F.col("event_type") == "click", "progress").when(F.col("event_type") == "error", "failed").otherwise("completed").alias("kind"),
@@ -202,12 +206,12 @@ def _(v):
 )
 def _(v):
     kind = F.col("event_type")
-    log = events(v).select(
+    log = events(v, "event_id").select(
         F.col("user_id").alias("page_id"), F.col("event_id").alias("seq"),
         F.when(kind == "error", "undo").when(kind == "purchase", "redo").otherwise("edit").alias("action"),
         F.concat(F.lit("k"), F.col("k") % 4).alias("state"),
     )
-    final = jobs.latest(jobs.run_to_end(jobs.replay_edit_stream(log), "history"), "page_id")
+    final = jobs.none_late(jobs.latest(jobs.run_to_end(jobs.replay_edit_stream(log), "history"), "page_id"))
     return final.select("page_id", F.array_join("undo", ",").alias("undo"), F.array_join("redo", ",").alias("redo"), "current")
 
 

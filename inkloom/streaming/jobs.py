@@ -36,6 +36,35 @@ def stream_of(spark: SparkSession, directory: str, name: str, batch_bytes: int =
     return reader.parquet(path)
 
 
+def replay_of(spark: SparkSession, directory: str, name: str, order: Column | str, batch_bytes: int | None = None) -> DataFrame:
+    """A stream over a whole stored table whose micro-batches ascend by ``order``, whatever file a row is in.
+
+    A table of more than one batch is range-partitioned into the shared folder, equal values in
+    one range, and its ranges are written one after another: a file stream takes files by
+    age, and those of the same age by name.
+    """
+    most = batch_bytes or BATCH_BYTES
+    table = spark.read.parquet(f"{directory}/{name}.parquet")
+    files = table.select("_metadata.file_path", "_metadata.file_size").distinct()
+    size = files.agg(F.sum("file_size")).first()[0] or 0
+    if size <= most:  # one batch, which is applied in order
+        return stream_of(spark, directory, name, most)
+    order = F.col(order) if isinstance(order, str) else order
+    dealt, root = scratch_path(spark, f"{name}-ranges"), scratch_path(spark, f"{name}-ordered")
+    table.repartitionByRange(-(-size // most), order).write.parquet(dealt)
+    ranges = spark.read.parquet(dealt)
+    lowest = ranges.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min(order).alias("low"))
+    for k, r in enumerate(lowest.orderBy(F.col("low").asc_nulls_first()).collect()):  # one row per batch of files
+        spark.read.schema(table.schema).parquet(r["file"]).coalesce(1).write.parquet(f"{root}/{k:08d}")
+    return spark.readStream.schema(table.schema).option("maxBytesPerTrigger", str(most)).parquet(f"{root}/*")
+
+
+def none_late(written: DataFrame) -> DataFrame:
+    """``written`` without ``late``; fails if an event came too late to be applied."""
+    fault = F.raise_error(F.lit("events were left out because they came after later ones of their key"))
+    return written.where(F.when(F.col("late") > 0, fault.cast("boolean")).otherwise(True)).drop("late")
+
+
 def run_to_end(stream: DataFrame, name: str, mode: str = "update") -> DataFrame:
     """Process everything available and return what was written, with its ``batch_id``; no rows for a stream without data."""
     spark = stream.sparkSession

@@ -1,5 +1,8 @@
 """Streams over several micro-batches keep their state."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from inkloom.operators import edits
 from inkloom.streaming import jobs
 
@@ -100,3 +103,29 @@ def test_events_of_an_earlier_place_are_counted(spark, tmp_path):
     rows = [("k", 5, "submit", 1), ("k", 7, "finish", 1), ("k", 6, "submit", 2), ("k", 8, "submit", 4)]
     out = jobs.latest(jobs.run_to_end(jobs.dedupe_submissions(chunks(spark, tmp_path, rows, schema, 2)), "late"), "key").first()
     assert (out.open_job, out.accepted, out.late) == (4, [4], 1)
+
+
+def test_replay_of_shuffled_files_in_several_batches(spark, tmp_path, monkeypatch):
+    """Queries over a stored table do not depend on its size, on its files or on their order."""
+    import __spark_entry__ as entry
+
+    source = "/root/testdata/sf0.001"
+    names = ["live_page_state", "reasoning_sessions", "dedupe_submissions", "replay_edit_stream", "event_rates"]
+    want = {n: sorted(map(str, entry.queries()[n](spark, source).collect())) for n in names}
+    table = spark.read.parquet(f"{source}/events.parquet")
+    for i in range(6):
+        part = table.where(F.pmod(F.xxhash64("event_id"), F.lit(6)) == i)
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(jobs, "BATCH_BYTES", 16_000)
+    batches = jobs.run_to_end(jobs.replay_of(spark, str(tmp_path), "events", "event_id"), "batches", "append")
+    ends = batches.groupBy("batch_id").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b")).orderBy("batch_id").collect()
+    assert len(ends) > 2 and all(x.b < y.a for x, y in zip(ends, ends[1:])) and batches.count() == table.count()
+    for n in names:
+        assert sorted(map(str, entry.queries()[n](spark, str(tmp_path)).collect())) == want[n]
+
+
+def test_late_events_fail_a_replay(spark):
+    written = spark.createDataFrame([("a", 0), ("b", 1)], "key string, late long")
+    assert jobs.none_late(written.where("late = 0")).columns == ["key"]
+    with pytest.raises(Exception, match="left out"):
+        jobs.none_late(written).collect()
