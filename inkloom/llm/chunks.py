@@ -5,7 +5,8 @@ depend on the last ``REACH`` bytes decide where a chunk ends.  Boundaries follow
 content, so an insertion changes the chunks near it and the ones after fall back
 into step.  Chunks are compared by a 128-bit digest over the whole corpus; the first occurrence
 (smallest doc_id, then position) stays, and later ones are removed where they make up
-runs of at least ``MIN_RUN`` bytes.
+runs of at least ``LEAST`` bytes or a whole text.  So the only repeated chunk that stays is the
+last one of a text where it is shorter than that and the chunk before it is no repeat.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from inkloom.llm.blocks import BYTE_VALUES, Block, text_blocks
 
 #: Bytes that decide a boundary, least and most bytes of a chunk.
 REACH, LEAST, MOST = 16, 32, 256
-#: Bytes of neighbouring repeated chunks that are removed.
-MIN_RUN = 64
 #: Bits 11-15 of the hash: bit 15 still feels the byte 15 places back, none feels one before.
 _MASK = np.uint32(0b11111 << 11)
 _GEAR = (BYTE_VALUES & np.uint64(0xFFFF)).astype(np.uint32)
@@ -94,22 +93,22 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def merged_runs(spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
-    """Touching spans joined, runs shorter than ``least`` left out."""
+def merged_runs(spans: list[tuple[int, int]], least: int, size: int | None = None) -> list[tuple[int, int]]:
+    """Touching spans of a text of ``size`` bytes joined, runs shorter than ``least`` left out unless they are all of it."""
     runs: list[list[int]] = []
     for a, b in sorted(spans):
         if runs and a <= runs[-1][1]:
             runs[-1][1] = max(b, runs[-1][1])
         else:
             runs.append([a, b])
-    return [(a, b) for a, b in runs if b - a >= least]
+    return [(a, b) for a, b in runs if b - a >= least or b - a == size]
 
 
 def _cut(texts: pa.Array, repeats: pa.Array) -> pa.Array:
     out = []
     for text, spans in zip(texts.to_pylist(), repeats.to_pylist()):
         data = (text or "").encode()
-        runs = merged_runs([(s["start"], s["stop"]) for s in spans or []], MIN_RUN)
+        runs = merged_runs([(s["start"], s["stop"]) for s in spans or []], LEAST, len(data))
         kept, at = [], 0
         for a, b in runs:
             kept.append(data[at:a])
@@ -135,7 +134,8 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     ``removed`` holds byte ranges of the UTF-8 text.  A null text has no chunks and stays
     null; an empty one stays empty.  Rows that repeat an id share their first
-    occurrences: a chunk that one of them has at the same place is not earlier.  Rows with
+    occurrences: a chunk that one of them has at the same place is not earlier.  Of repeated
+    chunks only a text's last one stays, if it has less than ``LEAST`` bytes and follows no other.  Rows with
     a null id are returned whole and are no source.  Other columns take no part.
     """
     docs = docs.select("doc_id", "text")

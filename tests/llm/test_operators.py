@@ -310,6 +310,22 @@ def test_substring_dedup(spark, corpus):
     assert chunks.drop_repeats(frame(spark, [])).count() == 0
 
 
+def test_short_repeats(spark, corpus):
+    """Copies of short texts, and single repeated chunks below 64 bytes, are removed."""
+    short = {1: "ok", 2: "a line of some forty bytes, all of it ascii", 3: "x" * 63}
+    rows = [*short.items(), *[(i + 10, t) for i, t in short.items()], (20, "no copy")]
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in chunks.drop_repeats(frame(spark, rows)).collect()}
+    assert got == {**{i: (0, t) for i, t in short.items()}, **{i + 10: (len(t), "") for i, t in short.items()}, 20: (0, "no copy")}
+    text = prose(corpus, 400, 10**6)
+    data = text.encode()
+    block = next(text_blocks(pa.array([text])))
+    edges = list(next(iter(chunks.boundaries(block))))
+    alone = next((a, b) for a, b in zip(edges, edges[1:]) if b - a < 64 and b < len(data))
+    other = data[slice(*alone)].decode() + prose(corpus, 400, 10**6)
+    r = chunks.drop_repeats(frame(spark, [(1, text), (2, other)])).where("doc_id = 2").first()
+    assert r.n_removed == alone[1] - alone[0] and other.endswith(r.kept_text)
+
+
 def test_chat_round_trip(spark, corpus):
     pieces = ["\\", "#", "###", "</turn>", "</", "turn>", "\n", "é", ": ", "### user: ", "\\h", "ok", "", "\U0001f600"]
     rows = [(c, t, corpus.choice(["user", "assistant", "sys: ###", None]), None if corpus.random() < 0.1 else "".join(corpus.choices(pieces, k=corpus.randrange(9)))) for c in [1, 2, 3, None, 5] for t in [0, 1, 2, 2, 3, 7]]
