@@ -6,7 +6,8 @@ programming.  Documents of a bucket then form batches of at most ``budget`` padd
 
 Only the histogram reaches the driver.  Lengths above ``EXACT`` share a bin with those
 of the same ten leading bits, so it has at most ``EXACT`` plus 512 bins per doubling,
-whatever the corpus; sums inside a bin stay exact.
+whatever the corpus; sums and the longest document of a bin stay exact.  A bucket ends at the
+longest document of a bin, so above ``EXACT`` its bound is at most 0.2 % above the best one.
 """
 
 from __future__ import annotations
@@ -93,20 +94,21 @@ def pack(
     counted = materialize(counted)  # ids and numbers only; texts are counted once
     histogram = (
         counted.groupBy("_bin")
-        .agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))
+        .agg(F.greatest(F.max("n_tokens"), F.lit(0)).alias("longest"), F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))
         .orderBy("_bin")
         .collect()  # bounded by the bins
     )
-    lengths, n_docs, tokens = (np.array([r[k] for r in histogram], np.int64) for k in range(3))
+    bins, lengths, n_docs, tokens = (np.array([r[k] for r in histogram], np.int64) for k in range(4))
     bounds = optimal_bounds(lengths, n_docs, tokens, buckets)
     names = ["bucket", "bucket_length", "shard", "batch", "slot"]
     if not bounds:
         return counted.select("doc_id", "n_tokens", *[F.lit(0).cast("long").alias(c) for c in names])
     inside = np.searchsorted(bounds, lengths)
     shards = [max(1, -(-int(n_docs[inside == b].sum()) // shard_docs)) for b in range(len(bounds))]
+    last_bins = bins[np.searchsorted(lengths, bounds)].tolist()
     bucket = F.lit(len(bounds) - 1)
     for b in range(len(bounds) - 2, -1, -1):
-        bucket = F.when(F.col("_bin") <= bounds[b], F.lit(b)).otherwise(bucket)
+        bucket = F.when(F.col("_bin") <= last_bins[b], F.lit(b)).otherwise(bucket)
     per_bucket = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("bucket") + 1)
     placed = counted.withColumn("bucket", bucket)
     placed = placed.select(

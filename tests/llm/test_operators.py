@@ -147,6 +147,15 @@ def test_packing(spark, corpus):
     assert all(x <= b <= x * 1.002 + 1 for x, b in zip(edges, bins)) and bins[:4] == edges[:4]
 
 
+def test_packing_bounds_are_lengths_of_documents(spark):
+    sizes = [0, 3, 1025, 1026, 5001, 9001, 9002, 70_001]
+    packed = packing.pack(frame(spark, [(n, "x") for n in sizes]), length=F.col("doc_id"), buckets=8).collect()
+    bounds = {r.n_tokens: r.bucket_length for r in packed}
+    assert bounds == {0: 0, 3: 3, 1025: 1026, 1026: 1026, 5001: 5001, 9001: 9002, 9002: 9002, 70_001: 70_001}
+    few = packing.pack(frame(spark, [(n, "x") for n in sizes]), length=F.col("doc_id"), buckets=2).collect()
+    assert {r.bucket_length for r in few} == {9002, 70_001} and all(r.n_tokens <= r.bucket_length for r in few)
+
+
 @pytest.mark.parametrize("block_bytes", [4 << 20, 40])
 def test_contamination(spark, corpus, block_bytes):
     items = [(i, prose(corpus, n, 12)) for i, n in enumerate([3, 1, 13, 14, 30, 30, 25, 2])] + [(2, prose(corpus, 20, 12)), (9, None), (10, ""), (11, "...")]
