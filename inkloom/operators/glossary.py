@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from inkloom.functions.languages import base_language, normalize_tag
 from inkloom.functions.ordering import natural_key
 from inkloom.functions.text import fold, none_if_blank, strip
-from inkloom.scale import number_rows, previous_values, small_table
+from inkloom.scale import carried, number_rows, small_table
 from inkloom.session import materialize
 
 GRAM_LENGTH = 4
 #: Up to so many terms per project it is cheaper to test each term than to cut the text into grams.
 DIRECT_TERMS = 64
+#: Times the pointers between lives are doubled before they are written.
+DOUBLINGS = 2
 
 
 def terms_for_language(glossary: DataFrame, language: str) -> DataFrame:
@@ -98,6 +100,58 @@ def order_terms(glossary: DataFrame) -> DataFrame:
     return number_rows(entries, ["project_id"], order, "position")
 
 
+def _lives(writes: DataFrame, removals: DataFrame) -> DataFrame:
+    """Every life a concept could have: (project_id, term_key, birth, owner, death, next_birth).
+
+    Whichever write a life begins with, the first removal of its writer after it ends the
+    life, and the first write after that begins the next one; so both are known for every
+    write, without knowing which of them begins a life.
+    """
+    key = ["project_id", "term_key"]
+    entry = ["project_id", "entry_id"]
+    # the term an id holds ends when the id is removed or written under another term
+    log = writes.withColumn("kind", F.lit(1)).unionByName(removals.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    held = carried(log, entry, ["seq", "kind", "term_key"], F.col("term_key"), "held")
+    left = (F.col("kind") == 0) | (F.col("held") != F.col("term_key"))
+    ends = held.where(left & F.col("held").isNotNull()).select(*entry, "seq", F.col("held").alias("term_key")).distinct()
+
+    births = writes.groupBy(*key, "seq").agg(F.min("entry_id").alias("entry_id"))
+    # an end at the moment of a birth does not end it, and a birth at the moment of an end is lost
+    log = births.withColumn("kind", F.lit(1)).unionByName(ends.withColumn("kind", F.lit(0)))
+    ended = carried(log, [*key, "entry_id"], ["seq", "kind"], F.when(F.col("kind") == 0, F.col("seq")), "death", ahead=True)
+    ended = ended.where(F.col("kind") == 1).select(*key, F.col("seq").alias("birth"), F.col("entry_id").alias("owner"), "death")
+    ended = materialize(ended)
+    asks = ended.select(*key, F.coalesce("death", "birth").alias("seq"), F.lit(1).alias("kind"), "birth", "owner", "death")
+    marks = ended.select(*key, F.col("birth").alias("seq"), F.lit(0).alias("kind"))
+    log = asks.unionByName(marks, allowMissingColumns=True)
+    told = carried(log, key, ["seq", "kind", "birth"], F.when(F.col("kind") == 0, F.col("seq")), "next_birth", ahead=True)
+    following = F.when(F.col("death").isNotNull(), F.col("next_birth")).alias("next_birth")
+    return told.where(F.col("kind") == 1).select(*key, "birth", "owner", "death", following)
+
+
+def _last_lives(lives: DataFrame) -> DataFrame:
+    """The life of every concept that no other follows, by doubling the pointers from each life to a later one.
+
+    After r rounds a pointer spans 4**r lives, so the rounds grow with the logarithm of the longest chain.
+    """
+    key = ["project_id", "term_key"]
+    first = lives.groupBy(*key).agg(F.min("birth").alias("birth"))
+    lone = lives.join(first, [*key, "birth"], "left_semi").where(F.col("next_birth").isNull())
+    chains = lives.join(lone, key, "left_anti")
+    span = materialize(chains.select(*key, "birth", F.coalesce("next_birth", "birth").alias("to"), F.col("next_birth").isNotNull().alias("more")))
+    while True:
+        heads = span.join(first, [*key, "birth"], "left_semi")
+        if heads.where("more").isEmpty():
+            break
+        longer = span
+        for _ in range(DOUBLINGS):
+            onward = longer.select(*key, F.col("birth").alias("to"), F.col("to").alias("_to"), F.col("more").alias("_more"))
+            longer = longer.join(onward, [*key, "to"]).select(*key, "birth", F.col("_to").alias("to"), F.col("_more").alias("more"))
+        span = materialize(longer, instead_of=span)
+    reached = heads.select(*key, F.col("to").alias("birth"))
+    return lone.unionByName(lives.join(reached, [*key, "birth"], "left_semi"))
+
+
 def upsert_glossary(base: DataFrame, changes: DataFrame) -> DataFrame:
     """Apply a change log to a glossary; the last write of a (term, language) wins.
 
@@ -121,39 +175,13 @@ def upsert_glossary(base: DataFrame, changes: DataFrame) -> DataFrame:
             "source_term": strip(F.col("source_term")),
         }
     )
-    puts = log.where(F.col("op") == "put").withColumn("term_key", F.lower("source_term")).drop("op")
+    log = materialize(log.withColumn("term_key", F.lower("source_term")))
+    puts = log.where(F.col("op") == "put").drop("op")
     writes = puts.select(*key, "entry_id", "seq").distinct()
-    removed = log.where(F.col("op") == "remove").select("project_id", "entry_id", "seq")
-    removals = removed.join(writes.select(*key, "entry_id").distinct(), ["project_id", "entry_id"])
-    former = previous_values(
-        writes, ["project_id", "entry_id"], [F.col("seq"), F.col("term_key")], {"former_key": "term_key"}
-    )
-    moved = former.where(F.col("former_key") != F.col("term_key")).select(
-        "project_id", "entry_id", "seq", F.col("former_key").alias("term_key")
-    )
-    removals = materialize(removals.unionByName(moved).distinct())
-
-    # each round closes the life that the owner's removal ended; usually there is nothing to close
-    since = writes.select(*key).distinct().withColumn("since", F.lit(-2).cast("long"))
-    while True:
-        alive = writes.join(since, key).where(F.col("seq") > F.col("since"))
-        owners = alive.groupBy(*key).agg(
-            F.min_by("entry_id", F.struct("seq", "entry_id")).alias("owner"), F.min("seq").alias("first_seq")
-        )
-        ended = (
-            removals.join(owners, key)
-            .where((F.col("entry_id") == F.col("owner")) & (F.col("seq") > F.col("first_seq")))
-            .groupBy(*key)
-            .agg(F.min("seq").alias("ended"))
-        )
-        ended = materialize(ended)
-        if ended.isEmpty():
-            break
-        since = materialize(
-            since.join(ended, key, "left").select(*key, F.coalesce("ended", "since").alias("since"))
-        )
+    lives = materialize(_lives(writes, log.where(F.col("op") == "remove").select("project_id", "entry_id", "seq")))
+    last = _last_lives(lives).where(F.col("death").isNull()).select(*key, F.col("birth").alias("since"), "owner")
 
-    live = puts.join(since, key).where(F.col("seq") > F.col("since")).join(owners, key)
+    live = puts.join(last, key).where(F.col("seq") >= F.col("since"))
     by_owner = F.col("entry_id") == F.col("owner")
     resets = live.where(by_owner).groupBy(*key).agg(
         F.max("seq").alias("reset"), F.max_by("source_term", "seq").alias("kept_term")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inkloom.functions.boxes import Box, let
 from inkloom.operators.spatial import near_pairs
 from inkloom.scale import ARRAY_GROUP_LIMIT, hot_groups, split_hot, top_rows
-from inkloom.session import materialize
+from inkloom.session import materialize, release
 
 
 def connected_labels(nodes: DataFrame, edges: DataFrame, by: Sequence[str], key: str) -> DataFrame:
@@ -23,7 +23,7 @@ def connected_labels(nodes: DataFrame, edges: DataFrame, by: Sequence[str], key:
     both = materialize(
         edges.select(*by, "a", "b").unionByName(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     )
-    labels = materialize(nodes.select(*by, key, F.col(key).alias("label")))
+    labels = written = materialize(nodes.select(*by, key, F.col(key).alias("label")))
     while True:
         seen = both.join(labels.withColumnRenamed(key, "b"), [*by, "b"]).groupBy(
             *by, F.col("a").alias(key)
@@ -35,10 +35,11 @@ def connected_labels(nodes: DataFrame, edges: DataFrame, by: Sequence[str], key:
         moved = closer.join(jump, [*by, "_new"], "left").select(
             *by, key, "label", F.least(F.col("_new"), F.coalesce("_jump", "_new")).alias("_new")
         )
-        moved = materialize(moved)
+        moved = written = materialize(moved, instead_of=written)
         changed = not moved.where(F.col("_new") < F.col("label")).isEmpty()
         labels = moved.select(*by, key, F.col("_new").alias("label"))
         if not changed:
+            release(both)
             return labels
 
 

@@ -118,6 +118,35 @@ def previous_values(
     return out.unionByName(numbered.join(shifted, [*by, "_pos"], "left").drop("_pos"))
 
 
+def carried(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, name: str, limit: int = WINDOW_GROUP_LIMIT, ahead: bool = False) -> DataFrame:
+    """Add ``name``: the last non-null ``value`` of the rows before this one in its group (``ahead``: the first after it).
+
+    ``order`` must be a total order.  A group above ``limit`` is range-partitioned; each
+    partition carries its own values and takes over what the partitions before it end with.
+    """
+    cold, hot = split_hot(df, by, hot_groups(df, by, limit))
+    sort = [F.col(c).desc() if ahead else F.col(c).asc() for c in order]
+    so_far = Window.partitionBy(*by).orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)
+    out = cold.withColumn(name, F.last(value, ignorenulls=True).over(so_far))
+    if hot is None:
+        return out
+    ranged = hot.repartitionByRange(*[F.col(c) for c in by], *sort).withColumns({"_part": F.spark_partition_id(), "_value": value})
+    ranged = materialize(ranged)
+    local = Window.partitionBy("_part", *by).orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)
+    place = F.when(F.col("_value").isNotNull(), F.struct(*order))
+    ends = ranged.groupBy("_part", *by).agg((F.min_by if ahead else F.max_by)("_value", place).alias("_end"))
+    # one row per (group, partition it touches)
+    parts = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select("_part", *by, F.last("_end", ignorenulls=True).over(parts).alias("_before"))
+    on = F.lit(True)
+    for c in ["_part", *by]:
+        on = on & F.col(f"l.{c}").eqNullSafe(F.col(f"o.{c}"))
+    told = ranged.withColumn(name, F.last("_value", ignorenulls=True).over(local)).alias("l").join(before.alias("o"), on)
+    return out.unionByName(
+        told.select(*[F.col(f"l.{c}") for c in df.columns], F.coalesce(F.col(f"l.{name}"), F.col("o._before")).alias(name))
+    )
+
+
 #: Largest k for which Spark's window group limit trims map tasks by itself.
 WINDOW_LIMIT_K = 1000
 
