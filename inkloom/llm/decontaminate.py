@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.llm.blocks import KeyIndex, Words, text_blocks, word_starts_per_row, words
-from inkloom.session import materialize
+from inkloom.session import checkpointed
 
 WINDOW = 13
 #: A document is contaminated when hit words are at least this share: 1 / COVERAGE.
@@ -255,11 +255,11 @@ def decontaminate(
         spans, names = F.col("_hits.spans"), F.col("_hits.items")
     else:
         found = docs.select(*kept, F.monotonically_increasing_id().alias("_row"))
-        found = materialize(found)
+        found = checkpointed(found)
         parts = []
         for block in range(blocks):
             hits = found.select("_row", _matcher(items_of(block))(F.col("text")).alias("_hits"))
-            parts.append(materialize(hits.where((F.size("_hits.items") > 0) | (F.lit(block) == 0))))
+            parts.append(checkpointed(hits.where((F.size("_hits.items") > 0) | (F.lit(block) == 0))))
         every = parts[0]
         for part in parts[1:]:
             every = every.unionByName(part)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.session import materialize
+from inkloom.session import checkpointed
 
 #: Share of a host's pages above which a line is boilerplate, and pages it must be on.
 RATIO = 0.05
@@ -71,7 +71,7 @@ def drop_boilerplate(
     lines are never boilerplate; rows that repeat stay.  Input columns with the names
     of the new ones are replaced.
     """
-    found = materialize(boilerplate(pages, host, text, ratio, least_pages))
+    found = checkpointed(boilerplate(pages, host, text, ratio, least_pages))
     size = found.agg(F.count(F.lit(1)), F.sum(F.size("lines"))).first()
     if size[0] <= BROADCAST_HOSTS and (size[1] or 0) <= BROADCAST_LINES:
         found = F.broadcast(found)

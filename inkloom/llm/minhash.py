@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from inkloom.llm.blocks import Block, mix, text_blocks, word_starts_per_row, words
 from inkloom.operators.grouping import connected_labels
-from inkloom.session import materialize, scratch_path
+from inkloom.session import checkpointed, scratch_path
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -224,7 +224,7 @@ def compare(routes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     """Every route (doc_id, lead, part, role) with its text, compared inside its (lead, part)."""
     routed = texts.join(routes, "doc_id").select("lead", "part", "role", "doc_id", "text")
     dealt = routed.repartition("lead", "part").sortWithinPartitions("lead", "part", "role", "doc_id")
-    return materialize(dealt.mapInArrow(_compare(similarity), COMPARED))
+    return checkpointed(dealt.mapInArrow(_compare(similarity), COMPARED))
 
 
 def classes_of(banded: DataFrame, texts: DataFrame, similarity: float, partners: int = PARTNERS) -> DataFrame:
@@ -237,8 +237,8 @@ def classes_of(banded: DataFrame, texts: DataFrame, similarity: float, partners:
     parts; those without a link to the lead then also visit the other parts as guests.
     """
     sizes = banded.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = materialize(banded.join(sizes, "g"))
-    central = materialize(groups.groupBy("doc_id").agg(F.sum("n").alias("central")))
+    groups = checkpointed(banded.join(sizes, "g"))
+    central = checkpointed(groups.groupBy("doc_id").agg(F.sum("n").alias("central")))
     path = scratch_path(texts.sparkSession, "near-texts")
     texts.join(central, "doc_id", "left_semi").dropDuplicates(["doc_id"]).write.parquet(path)
     texts = texts.sparkSession.read.schema(texts.schema).parquet(path)
@@ -246,7 +246,7 @@ def classes_of(banded: DataFrame, texts: DataFrame, similarity: float, partners:
     first = groups.join(central, "doc_id").groupBy("g").agg(F.max(F.struct("central", (-F.col("doc_id")).alias("minus"))).alias("m"))
     first = first.select("g", (-F.col("m.minus")).alias("lead"))
     pairs = groups.join(first, "g").where(F.col("lead") != F.col("doc_id")).select("doc_id", "lead").distinct()
-    pairs = materialize(pairs)
+    pairs = checkpointed(pairs)
     parts = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / partners).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part")
     members = pairs.join(parts, "lead").select("doc_id", "lead", part, F.lit(1).alias("role"))
@@ -255,7 +255,7 @@ def classes_of(banded: DataFrame, texts: DataFrame, similarity: float, partners:
     )
     compared = compare(members.unionByName(leads), texts, similarity)
     links = compared.where("linked").select("a", "b")
-    split = materialize(parts.where("parts > 1"))
+    split = checkpointed(parts.where("parts > 1"))
     if not split.isEmpty():
         alone = compared.where(~F.col("linked")).select(F.col("a").alias("lead"), F.col("b").alias("doc_id"), F.col("part").alias("home"))
         guests = (
@@ -266,7 +266,7 @@ def classes_of(banded: DataFrame, texts: DataFrame, similarity: float, partners:
         )
         hosts = members.join(split.select("lead"), "lead", "left_semi").select("doc_id", "lead", "part", "role")
         links = links.unionByName(compare(guests.unionByName(hosts), texts, similarity).where("linked").select("a", "b"))
-    edges = materialize(links.distinct())
+    edges = checkpointed(links.distinct())
     nodes = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     return connected_labels(nodes, edges, [], "doc_id")
 
@@ -279,11 +279,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, partners: i
     repeat an id share its class; other columns take no part.
     """
     texts = docs.select("doc_id", "text")
-    signs = materialize(texts.select("doc_id", F.arrow_udf(_signed, SIGNATURE)(F.col("text")).alias("s")).select("doc_id", "s.*"))
+    signs = checkpointed(texts.select("doc_id", F.arrow_udf(_signed, SIGNATURE)(F.col("text")).alias("s")).select("doc_id", "s.*"))
     named = signs.where((F.col("weight") > 0) & F.col("doc_id").isNotNull())
     words_key = ["words1", "words2", "weight"]
     first = named.groupBy(*words_key).agg(F.min("doc_id").alias("first"))
-    member = materialize(named.join(first, words_key).select("doc_id", "first"))
+    member = checkpointed(named.join(first, words_key).select("doc_id", "first"))
     heads = named.join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     labels = classes_of(heads.select(F.explode("bands").alias("g"), "doc_id"), texts, similarity, partners)
     classes = member.join(labels.select(F.col("doc_id").alias("first"), "label"), "first", "left").select(

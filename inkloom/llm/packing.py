@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkloom.session import materialize
+from inkloom.session import checkpointed
 
 #: Length buckets, and padded tokens of one batch.
 BUCKETS = 16
@@ -91,7 +91,7 @@ def pack(
     """
     counted = docs.select("doc_id", (token_count(F.col("text")) if length is None else length).alias("n_tokens"))
     counted = counted.withColumn("_bin", F.when(F.col("n_tokens") > 0, _bin(F.col("n_tokens"))).otherwise(F.lit(0).cast("long")))
-    counted = materialize(counted)  # ids and numbers only; texts are counted once
+    counted = checkpointed(counted)  # ids and numbers only; texts are counted once
     histogram = (
         counted.groupBy("_bin")
         .agg(F.greatest(F.max("n_tokens"), F.lit(0)).alias("longest"), F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))

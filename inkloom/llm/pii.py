@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.session import materialize
+from inkloom.session import checkpointed
 
 CONTEXT = 80
 SUPPORT = 2
@@ -141,7 +141,7 @@ def _texts_per_term(docs: DataFrame, wanted: DataFrame, round_keys: int) -> tupl
     of its share of the keys, so every text is split into terms in one round only.
     """
     texts = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("key"), "text")
-    repeated = materialize(texts.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    repeated = checkpointed(texts.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
     keys, more = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))).first()
     rounds = max(1, -(-keys // round_keys))
     counted = []
@@ -150,7 +150,7 @@ def _texts_per_term(docs: DataFrame, wanted: DataFrame, round_keys: int) -> tupl
         rows = texts.where(mine).join(F.broadcast(repeated.where(mine)), "key", "left")
         seen = rows.select(F.explode(_terms(F.col("text"))).alias("term"), F.coalesce("copies", F.lit(1)).alias("copies"))
         found = seen.join(wanted, "term", "left_semi").groupBy("term", "copies").agg(F.count(F.lit(1)).alias("rows"))
-        counted.append(found if rounds == 1 else materialize(found))
+        counted.append(found if rounds == 1 else checkpointed(found))
     every = counted[0]
     for part in counted[1:]:
         every = every.unionByName(part)
@@ -167,7 +167,7 @@ def disclosing_terms(
     )
     # a pair with the empty term counts the texts of the entity itself
     counted = pairs.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair")).where(F.col("n_pair") >= support)
-    counted = materialize(counted)
+    counted = checkpointed(counted)
     entities = counted.where("term = ''").select("entity", F.col("n_pair").alias("n_entity"))
     joint = counted.where("term <> ''")
     wanted = joint.select("term").distinct()
@@ -213,7 +213,7 @@ def sanitize(docs: DataFrame, bits: float = BITS, support: int = SUPPORT, certai
     repeat an id share its terms.  Other columns take no part.
     """
     found = docs.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
-    held = materialize(found.where(F.size("base") > 0))
+    held = checkpointed(found.where(F.size("base") > 0))
     pairs = disclosing_terms(docs, held, bits, support, certain)
     entities = held.select("doc_id", F.explode("base").alias("span")).select("doc_id", _entity(F.col("span")).alias("entity")).distinct()
     per_doc = (
@@ -226,7 +226,7 @@ def sanitize(docs: DataFrame, bits: float = BITS, support: int = SUPPORT, certai
             F.sort_array(F.collect_list(F.when(F.col("certain"), F.col("term")))).alias("remove"),
         )
     )
-    per_doc = materialize(per_doc)
+    per_doc = checkpointed(per_doc)
     size = per_doc.agg(F.count(F.lit(1)), F.sum(F.size("generalise") + F.size("remove"))).first()
     if size[0] <= BROADCAST_DOCS and (size[1] or 0) <= BROADCAST_TERMS:
         per_doc = F.broadcast(per_doc)

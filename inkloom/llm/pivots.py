@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkloom.session import materialize
+from inkloom.session import checkpointed
 
 PIVOTS = 32
 #: Rows that the pivots and the first bounds are chosen from (by a hash of the id); every row is indexed.
@@ -134,7 +134,7 @@ def _search_width(points: DataFrame, queries: DataFrame, width: int, k: int, piv
     key = F.arrow_udf(place, "struct<pivot int, distance double>")(F.col("vector"))
     index = points.select(key.alias("key"), "vec_id", "vector").select("key.pivot", "key.distance", "vec_id", "vector")
     order = ["pivot", "distance", "vec_id"]
-    index = materialize(index.repartitionByRange(*order).sortWithinPartitions(*order))
+    index = checkpointed(index.repartitionByRange(*order).sortWithinPartitions(*order))
 
     blocks = max(1, -(-queries.count() // query_block))
     found = None
@@ -167,7 +167,7 @@ def _search_width(points: DataFrame, queries: DataFrame, width: int, k: int, piv
             if rows:
                 yield flush()
 
-        each = materialize(index.mapInArrow(run, FOUND)) if blocks > 1 else index.mapInArrow(run, FOUND)
+        each = checkpointed(index.mapInArrow(run, FOUND)) if blocks > 1 else index.mapInArrow(run, FOUND)
         found = each if found is None else found.unionByName(each)
     return found
 
@@ -180,12 +180,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVO
     Rows that repeat are candidates each; of queries that repeat an id the smallest vector
     counts.  Vectors of another length than the query's take no part for it.
     """
-    vectors = materialize(vectors.select("vec_id", "vector"))
+    vectors = checkpointed(vectors.select("vec_id", "vector"))
     queries = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
     found = None
     for row in vectors.select(F.size("vector").alias("n")).distinct().orderBy("n").collect():  # one pass per vector length
         same = F.size("vector") == row["n"]
-        each = _search_width(vectors.where(same), materialize(queries.where(same)), row["n"], k, pivots, query_block)
+        each = _search_width(vectors.where(same), checkpointed(queries.where(same)), row["n"], k, pivots, query_block)
         found = each if found is None else found.unionByName(each)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], FOUND)

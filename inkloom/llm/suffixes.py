@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from inkloom.llm.blocks import BYTE_VALUES, Block, mix, text_blocks
 from inkloom.llm.chunks import merged_runs
-from inkloom.session import materialize
+from inkloom.session import checkpointed
 
 LENGTH = 50
 GRAM = 16
@@ -326,7 +326,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 def _first_documents(texts: DataFrame) -> DataFrame:
     """(key, key2, first): the smallest document of every distinct text."""
     keyed = texts.select(F.xxhash64("text").alias("key"), F.xxhash64(F.lit(1), F.col("text")).alias("key2"), "doc_id")
-    return materialize(keyed.groupBy("key", "key2").agg(F.min("doc_id").alias("first")))
+    return checkpointed(keyed.groupBy("key", "key2").agg(F.min("doc_id").alias("first")))
 
 
 def removed_spans(texts: DataFrame, firsts: DataFrame, length: int, hot_texts: int, limit: int) -> DataFrame:
