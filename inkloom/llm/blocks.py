@@ -98,12 +98,12 @@ class Words:
     digests: np.ndarray
 
 
-def words(block: Block) -> Words:
-    """Maximal runs of word bytes inside each row, lower-cased for A-Z."""
+def words(block: Block, member: np.ndarray = _WORD) -> Words:
+    """Maximal runs of word bytes (those marked in ``member``) inside each row, lower-cased for A-Z."""
     low = _LOWER[block.data]
     size = len(low)
     inside = np.zeros(size + 2, bool)
-    inside[1:-1] = _WORD[low]
+    inside[1:-1] = member[low]
     begins = inside[1:-1] & ~inside[:-2]
     ends = inside[1:-1] & ~inside[2:]
     edges = block.bounds[1:-1]

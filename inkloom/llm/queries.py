@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm import chat, chunks, decontaminate, language, lines, minhash, packing, pii, pivots, suffixes
+from inkloom.llm import (
+    chat,
+    chunks,
+    codes,
+    decontaminate,
+    language,
+    lines,
+    minhash,
+    packing,
+    pii,
+    pivots,
+    quality,
+    suffixes,
+)
 from inkloom.scale import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,3 +246,69 @@ def op5_pii(spark: SparkSession, directory: str) -> DataFrame:
         F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
         pii.listed(F.col("spans")).alias("spans"),
     )
+
+
+@query("op12_quality_classifier")
+def op12_quality_classifier(spark: SparkSession, directory: str) -> DataFrame:
+    """Quality of every document; no SQL form (trained ranking), tested by held-out accuracy and a plain fit."""
+    docs = table(spark, directory, "documents").select("doc_id", "text")
+    taught = table(spark, directory, "labels").where(~language.held_out())
+    ranking = quality.train(docs.where(~language.held_out()), taught)
+    return quality.rank(docs.select("doc_id", "text", language.held_out().alias("held_out")), ranking).select(
+        "doc_id", "held_out", "score", "predicted"
+    )
+
+
+def _codebook_sql(rounds: int = 6) -> str:
+    """The rounds of op13 as one chain of views: parts, then nearest entries and floored means per round."""
+    steps = [
+        """kept as (
+            select vec_id, label, list_transform(embedding, lambda x: cast(floor(4096 * cast(x as double)) as bigint)) as v
+            from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)
+        ), parts as (
+            select vec_id, label, part, list_slice(v, part * (len(v) // 8) + 1, (part + 1) * (len(v) // 8)) as v
+            from kept, (select unnest(range(8)) as part)
+        ), book0 as (
+            select part, entry, v from parts join (
+                select vec_id, row_number() over (order by vec_id) - 1 as entry from kept where vec_id is not null order by vec_id limit 16
+            ) using (vec_id)
+        )"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""near{r} as (
+            select p.vec_id, p.label, p.part, p.v, min(struct_pack(d := cast(list_sum(list_transform(list_zip(p.v, b.v),
+                   lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint), e := b.entry)) as best
+            from parts p join book{r} b using (part) group by all
+        )"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""mean{r} as (
+            select part, entry, list(m order by i) as v from (
+                select part, best.e as entry, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) as m
+                from (select part, best, unnest(v) as x, unnest(range(len(v))) as i from near{r}) group by part, entry, i
+            ) group by part, entry
+        ), book{r + 1} as (
+            select b.part, b.entry, coalesce(list_transform(m.v, lambda x: cast(x as bigint)), b.v) as v
+            from book{r} b left join mean{r} m on b.part = m.part and b.entry = m.entry
+        )"""
+            )
+    return (
+        "with "
+        + ", ".join(f"{s}" for s in steps)
+        + f""", coded as (
+            select vec_id, label, string_agg(format('{{:02x}}', best.e), '' order by part) as code, cast(sum(best.d) as bigint) as error
+            from near{rounds} group by vec_id, label
+        )
+        select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+               (select sha256(string_agg(array_to_string(v, ','), ',' order by part, entry)) from book{rounds}) as codebooks_sha256
+        from coded"""
+    )
+
+
+@query("op13_vector_codes", _codebook_sql())
+def op13_vector_codes(spark: SparkSession, directory: str) -> DataFrame:
+    """Code, error and label error of every sound vector."""
+    return codes.compress(table(spark, directory, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
