@@ -16,6 +16,7 @@ from inkloom.llm import (
     lines,
     minhash,
     packing,
+    phrases,
     pii,
     pivots,
     quality,
@@ -312,3 +313,49 @@ def _codebook_sql(rounds: int = 6) -> str:
 def op13_vector_codes(spark: SparkSession, directory: str) -> DataFrame:
     """Code, error and label error of every sound vector."""
     return codes.compress(table(spark, directory, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+@query(
+    "op11_phrase_mining",
+    r"""
+    with pieces as (
+        select coalesce(lang, 'und') as lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+        from documents
+    ), listed as (
+        select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+    ), grams as (
+        select lang, size, array_to_string(list_slice(w, p, p + size - 1), ' ') as phrase, count(*) as f
+        from (select lang, w, size, unnest(range(1, len(w) - size + 2)) as p
+              from listed, (select unnest(range(1, 5)) as size) where len(w) >= size)
+        group by lang, size, phrase having count(*) >= 30
+    ), totals as (
+        select lang, cast(sum(len(w)) as bigint) as n from listed group by lang
+    ), candidates as (
+        select lang, size, phrase, f as a, string_split(phrase, ' ') as w from grams where size >= 2
+    ), cuts as (
+        select lang, phrase, a, w, k, array_to_string(list_slice(w, 1, k), ' ') as head, array_to_string(list_slice(w, k + 1, size), ' ') as tail
+        from (select *, unnest(range(1, size)) as k from candidates)
+    ), best as (
+        select c.lang, c.phrase, any_value(c.a) as a,
+               min(struct_pack(score := cast((cast(2000000 as hugeint) * c.a) // (cast(h.f as hugeint) + t.f) as bigint), k := k, l := h.f, r := t.f)) as b
+        from cuts c join grams h on c.lang = h.lang and c.head = h.phrase join grams t on c.lang = t.lang and c.tail = t.phrase
+        group by c.lang, c.phrase
+    ), inner_parts as (
+        select lang, array_to_string(list_slice(w, p, p + n - 1), ' ') as phrase, max(a) as held
+        from (select lang, w, a, n, unnest(range(1, len(w) - n + 2)) as p
+              from (select lang, w, a, unnest(range(2, size)) as n from candidates where size > 2))
+        group by 1, 2
+    ), kept as (
+        select b.lang, b.phrase, b.a, b.b from best b left join inner_parts i on b.lang = i.lang and b.phrase = i.phrase
+        where 100 * coalesce(held, 0) < 80 * b.a
+    ), placed as (
+        select *, row_number() over (partition by lang order by b.score desc, a desc, phrase) as place from kept
+    )
+    select p.lang, place as rank, phrase, cast(a as bigint) as a, cast(b.l as bigint) as l, cast(b.r as bigint) as r, n, b.score as score
+    from placed p join totals t on p.lang = t.lang where place <= 2000
+    """,
+)
+def op11_phrase_mining(spark: SparkSession, directory: str) -> DataFrame:
+    """The first 2,000 phrases of every language."""
+    return phrases.mine_phrases(table(spark, directory, "documents").select("text", "lang"))
