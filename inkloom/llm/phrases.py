@@ -8,8 +8,8 @@ three-way quicksort: pointers are split into those with a smaller, an equal and
 word at the present depth, and the equal ones go on with their next word.  The size of an
 equal partition is the count of its phrase; partitions below the least count are abandoned.
 
-Suffixes travel as compressed blocks of word digests, equal ones of a task as one with a
-count.  A route that outgrows its task is routed again by further bits of the leading
+Suffixes travel as compressed blocks of word numbers (the rank of a frequent word; digests
+where there are too many frequent words to send), equal ones of a task as one with a count.  A route that outgrows its task is routed again by further bits of the leading
 words; two words that outgrow a task by themselves are counted in pieces, whose partial
 counts Spark adds up.  Scores, containment and ranks are joins and aggregates.
 
@@ -44,9 +44,8 @@ ROUTE_SUFFIXES = 500_000
 MAX_ROUTES = 4096
 #: Suffixes that a task gathers before it sends them, and rows of words that it gathers.
 HELD = 1 << 20
-#: Frequent words that are sent to every task (8 bytes each); above, suffixes are cut by their routes alone.
+#: Frequent words that are sent to every task (8 bytes each); above, words are their digests and rare ones are not cut off.
 SENT_WORDS = 2_000_000
-BLOCK = 2 << 20
 
 _BLANK = [9, 32]
 _PIECE_END = [*b".,;:!?", *range(10, 14)]
@@ -99,7 +98,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         langs, tags = batch.column(1), _tags(batch.column(1))
-        for block in text_blocks(batch.column(0), BLOCK):
+        for block in text_blocks(batch.column(0)):
             found, digests, _ = _block_words(block, tags)
             keys, first, n = np.unique(digests, return_index=True, return_counts=True)
             told = langs.take(pa.array(block.first + found.rows[first]))
@@ -172,7 +171,7 @@ def equal_partitions(keys: np.ndarray, weights: np.ndarray, least: int) -> tuple
 
 def _leading(keys: np.ndarray) -> np.ndarray:
     """A hash of the two leading words."""
-    return mix(keys[0] + mix(keys[1]))
+    return mix(keys[0].astype(np.uint64) + mix(keys[1]))
 
 
 def _packed(keys: np.ndarray, weights: np.ndarray, route: np.ndarray, sub: np.ndarray) -> pa.RecordBatch:
@@ -181,26 +180,35 @@ def _packed(keys: np.ndarray, weights: np.ndarray, route: np.ndarray, sub: np.nd
     ends = np.append(edge[1:], len(route))
     blocks = []
     for a, b in zip(edge, ends):
-        raw = keys[:, a:b].tobytes() + weights[a:b].astype(np.int64).tobytes()
-        blocks.append(pa.compress(raw, "zstd", asbytes=True))
+        blocks.append(pa.compress(_planes(keys[:, a:b]) + _planes(weights[a:b].astype(np.uint32)), "zstd", asbytes=True))
     suffixes = np.add.reduceat(weights, edge)
     columns = [route[edge].astype(np.int32), sub[edge].astype(np.int32), suffixes.astype(np.int64), (ends - edge).astype(np.int64)]
     return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(blocks, pa.binary())], ["route", "sub", "suffixes", "distinct", "block"])
 
 
-def _unpacked(distinct: pa.Array, blocks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    keys, weights = [np.zeros((DEPTH, 0), np.uint64)], [np.zeros(0, np.int64)]
+def _planes(numbers: np.ndarray) -> bytes:
+    """First bytes of all numbers, then the second ones, and so on: they compress far better apart."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+
+
+def _from_planes(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _unpacked(kind: type, distinct: pa.Array, blocks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    keys, weights = [np.zeros((DEPTH, 0), kind)], [np.zeros(0, np.int64)]
     for n, block in zip(distinct.to_pylist(), blocks):
-        raw = np.frombuffer(pa.decompress(block.as_buffer(), 8 * n * (DEPTH + 1), "zstd"), np.uint64)
-        keys.append(raw[: DEPTH * n].reshape(DEPTH, n))
-        weights.append(raw[DEPTH * n :].view(np.int64))
+        edge = DEPTH * n * np.dtype(kind).itemsize
+        raw = pa.decompress(block.as_buffer(), edge + 4 * n, "zstd", asbytes=True)
+        keys.append(_from_planes(raw[:edge], kind).reshape(DEPTH, n))
+        weights.append(_from_planes(raw[edge:], np.uint32).astype(np.int64))
     return np.concatenate(keys, axis=1), np.concatenate(weights)
 
 
 def _merged(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Equal suffixes as one with the sum of their weights, sorted by the hash of their leading words, and that hash."""
     lead = _leading(keys)
-    order = np.lexsort((mix(keys[2] + mix(keys[3])), lead))
+    order = np.lexsort((mix(keys[2].astype(np.uint64) + mix(keys[3])), lead))
     keys, lead, weights = keys[:, order], lead[order], weights[order]
     new = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0))))
     return keys[:, new], np.add.reduceat(weights, new), lead[new]
@@ -220,11 +228,11 @@ def _route_suffixes(frequent, routes: int):
 
         for batch in batches:
             tags = _tags(batch.column(1))
-            for block in text_blocks(batch.column(0), BLOCK):
+            for block in text_blocks(batch.column(0)):
                 _, digests, joined = _block_words(block, tags)
                 if index is not None:
-                    usual = index.find(digests) >= 0
-                    joined[:-1] &= usual[:-1] & usual[1:]
+                    digests = (index.find(digests) + 1).astype(np.uint32)  # 0: a rare word
+                    joined[:-1] &= (digests[:-1] > 0) & (digests[1:] > 0)
                 suffixes = _suffixes(digests, joined)
                 held.append(suffixes)
                 rows += suffixes.shape[1]
@@ -240,7 +248,7 @@ def _route_suffixes(frequent, routes: int):
 def _suffixes(digests: np.ndarray, joined: np.ndarray) -> np.ndarray:
     """``DEPTH`` words from every word that has a next one, 0 after the end of the piece."""
     start = np.flatnonzero(joined)
-    out = np.zeros((DEPTH, len(start)), np.uint64)
+    out = np.zeros((DEPTH, len(start)), digests.dtype)
     out[0] = digests[start]
     on = np.ones(len(start), bool)
     for d in range(1, DEPTH):
@@ -249,7 +257,7 @@ def _suffixes(digests: np.ndarray, joined: np.ndarray) -> np.ndarray:
     return out
 
 
-def _divide(parts: int):
+def _divide(kind: type, parts: int):
     """Blocks of a route as blocks of its ``parts`` sub-routes; rows are sorted by route."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +276,7 @@ def _divide(parts: int):
                     yield sent()
                     held, rows = [], 0
                 now = route
-                held.append(_unpacked(batch.column("distinct")[i : i + 1], batch.column("block")[i : i + 1]))
+                held.append(_unpacked(kind, batch.column("distinct")[i : i + 1], batch.column("block")[i : i + 1]))
                 rows += held[-1][0].shape[1]
         if held:
             yield sent()
@@ -276,39 +284,46 @@ def _divide(parts: int):
     return run
 
 
-def _phrases(keys: np.ndarray, weights: np.ndarray, least: int) -> pa.Table:
+def _phrases(keys: np.ndarray, weights: np.ndarray, least: int, frequent) -> pa.Table:
+    """Phrases of the suffixes as digests of their words."""
     pointers, depth, count = equal_partitions(keys, weights, least)
     parts = [pa.array([], pa.list_(pa.int64()))]
     order = np.argsort(depth, kind="stable")
     for d in range(2, DEPTH + 1):
-        own = pointers[order][depth[order] == d]
-        flat = np.ascontiguousarray(keys[:d, own].T).view(np.int64).ravel()
-        parts.append(pa.ListArray.from_arrays(pa.array(np.arange(0, d * len(own) + 1, d, dtype=np.int32)), pa.array(flat)))
+        own = np.ascontiguousarray(keys[:d, pointers[order][depth[order] == d]].T)
+        flat = (own if frequent is None else frequent.value[own - 1]).astype(np.uint64).view(np.int64).ravel()
+        parts.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, d, dtype=np.int32)), pa.array(flat)))
     return pa.table([pa.concat_arrays(parts), pa.array(count[order], pa.int64())], ["words", "n"])
 
 
-def _of_route(least: int):
+def _of_route(kind: type, least: int, frequent):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
-        return _phrases(*_unpacked(rows.column("distinct"), rows.column("block").combine_chunks()), least)
+        return _phrases(*_unpacked(kind, rows.column("distinct"), rows.column("block").combine_chunks()), least, frequent)
 
     return run
 
 
-def _in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of all phrases of each batch of blocks."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            keys, weights = _unpacked(batch.column("distinct")[i : i + 1], batch.column("block")[i : i + 1])
-            yield from _phrases(keys, weights, 1).to_batches()
+def _in_pieces(kind: type, frequent):
+    """Partial counts of all phrases of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, weights = _unpacked(kind, batch.column("distinct")[i : i + 1], batch.column("block")[i : i + 1])
+                yield from _phrases(keys, weights, 1, frequent).to_batches()
+
+    return run
 
 
 def count_phrases(texts: DataFrame, frequent, total: int, least: int = LEAST, route_suffixes: int = ROUTE_SUFFIXES) -> DataFrame:
     """(words, n): digests of the words of every phrase of 2 to ``DEPTH`` words with at least ``least`` occurrences.
 
-    ``frequent`` is a broadcast array of the digests of words with that count, or None;
-    ``total`` the number of all words, from which the number of routes follows.
+    ``frequent`` is a broadcast array of the digests of words with that count, the most
+    frequent first, or None; ``total`` the number of all words, from which the number of
+    routes follows.
     """
+    kind = np.uint64 if frequent is None else np.uint32
     spark = texts.sparkSession
     routes = min(max(-(-total // route_suffixes), task_count(spark)), MAX_ROUTES)
     most = max(3 * total // routes, 4096)
@@ -317,17 +332,17 @@ def count_phrases(texts: DataFrame, frequent, total: int, least: int = LEAST, ro
     sizes = sent.groupBy("route").agg(F.sum("distinct").alias("held"))
     large = [(r["route"], r["held"]) for r in sizes.where(F.col("held") > most).collect()]  # at most MAX_ROUTES
     fits = sent.where(~F.col("route").isin([r for r, _ in large])) if large else sent
-    found = [fits.groupBy(*key).applyInArrow(_of_route(least), FOUND)]
+    found = [fits.groupBy(*key).applyInArrow(_of_route(kind, least, frequent), FOUND)]
     if large:
         parts = min(-(-max(n for _, n in large) // min(route_suffixes, most)), MAX_ROUTES)
         spread = sent.where(F.col("route").isin([r for r, _ in large])).repartition(
             task_count(spark), "route", F.pmod(F.xxhash64("block"), F.lit(16))
         )
-        again = materialize(spread.sortWithinPartitions("route").mapInArrow(_divide(parts), SENT))
+        again = materialize(spread.sortWithinPartitions("route").mapInArrow(_divide(kind, parts), SENT))
         sizes = again.groupBy(*key).agg(F.sum("distinct").alias("held")).withColumn("hot", F.col("held") > most)
         marked = again.join(sizes.select(*key, "hot"), key)
-        found.append(marked.where(~F.col("hot")).drop("hot").groupBy(*key).applyInArrow(_of_route(least), FOUND))
-        pieces = marked.where("hot").select(*again.columns).mapInArrow(_in_pieces, FOUND)
+        found.append(marked.where(~F.col("hot")).drop("hot").groupBy(*key).applyInArrow(_of_route(kind, least, frequent), FOUND))
+        pieces = marked.where("hot").select(*again.columns).mapInArrow(_in_pieces(kind, frequent), FOUND)
         found.append(pieces.groupBy("words").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
     out = found[0]
     for more in found[1:]:
@@ -385,7 +400,7 @@ def mine_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     frequent = counted.where(F.col("n") >= least)
     sent = None
     if whole["usual"] <= SENT_WORDS:
-        sent = spark.sparkContext.broadcast(frequent.select("digest").toArrow().column("digest").to_numpy().view(np.uint64))
+        sent = spark.sparkContext.broadcast(frequent.orderBy(F.desc("n"), "digest").select("digest").toArrow().column("digest").to_numpy().view(np.uint64))
     phrases = count_phrases(texts, sent, whole["total"] or 0, least)
     units = frequent.select(F.array("digest").alias("words"), "n")
     rows = uncovered(scored(phrases, units), phrases, covered)
