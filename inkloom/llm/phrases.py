@@ -42,6 +42,8 @@ UNDETERMINED = "und"
 #: Suffixes of one route, on average, and routes of one pass; a route above three times the average is divided again.
 ROUTE_SUFFIXES = 500_000
 MAX_ROUTES = 4096
+#: Suffixes that any task can hold: no smaller route is divided.
+UNDIVIDED = 4096
 #: Suffixes that a task gathers before it sends them, and rows of words that it gathers.
 HELD = 1 << 20
 #: Frequent words that are sent to every task (8 bytes each); above, words are their digests and rare ones are not cut off.
@@ -316,7 +318,7 @@ def _in_pieces(kind: type, frequent):
     return run
 
 
-def count_phrases(texts: DataFrame, frequent, total: int, least: int = LEAST, route_suffixes: int = ROUTE_SUFFIXES) -> DataFrame:
+def count_phrases(texts: DataFrame, frequent, total: int, least: int = LEAST) -> DataFrame:
     """(words, n): digests of the words of every phrase of 2 to ``DEPTH`` words with at least ``least`` occurrences.
 
     ``frequent`` is a broadcast array of the digests of words with that count, the most
@@ -325,8 +327,8 @@ def count_phrases(texts: DataFrame, frequent, total: int, least: int = LEAST, ro
     """
     kind = np.uint64 if frequent is None else np.uint32
     spark = texts.sparkSession
-    routes = min(max(-(-total // route_suffixes), task_count(spark)), MAX_ROUTES)
-    most = max(3 * total // routes, 4096)
+    routes = min(max(-(-total // ROUTE_SUFFIXES), task_count(spark)), MAX_ROUTES)
+    most = max(3 * total // routes, UNDIVIDED)
     key = ["route", "sub"]
     sent = materialize(texts.mapInArrow(_route_suffixes(frequent, routes), SENT))
     sizes = sent.groupBy("route").agg(F.sum("distinct").alias("held"))
@@ -334,7 +336,7 @@ def count_phrases(texts: DataFrame, frequent, total: int, least: int = LEAST, ro
     fits = sent.where(~F.col("route").isin([r for r, _ in large])) if large else sent
     found = [fits.groupBy(*key).applyInArrow(_of_route(kind, least, frequent), FOUND)]
     if large:
-        parts = min(-(-max(n for _, n in large) // min(route_suffixes, most)), MAX_ROUTES)
+        parts = min(-(-max(n for _, n in large) // min(ROUTE_SUFFIXES, most)), MAX_ROUTES)
         spread = sent.where(F.col("route").isin([r for r, _ in large])).repartition(
             task_count(spark), "route", F.pmod(F.xxhash64("block"), F.lit(16))
         )
