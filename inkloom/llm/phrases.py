@@ -39,9 +39,10 @@ LEAST = 30
 COVERED = 80
 KEEP = 2000
 UNDETERMINED = "und"
-#: Suffixes of one route, on average, and routes of one pass; a route above three times the average is divided again.
+#: Suffixes of one route, on average, and routes of one pass; a route above ``LARGE`` times the average is divided again.
 ROUTE_SUFFIXES = 500_000
 MAX_ROUTES = 4096
+LARGE = 3
 #: Suffixes that any task can hold: no smaller route is divided.
 UNDIVIDED = 4096
 #: Suffixes that a task gathers before it sends them, and rows of words that it gathers.
@@ -328,7 +329,7 @@ def count_phrases(texts: DataFrame, frequent, total: int, least: int = LEAST) ->
     kind = np.uint64 if frequent is None else np.uint32
     spark = texts.sparkSession
     routes = min(max(-(-total // ROUTE_SUFFIXES), task_count(spark)), MAX_ROUTES)
-    most = max(3 * total // routes, UNDIVIDED)
+    most = max(LARGE * total // routes, UNDIVIDED)
     key = ["route", "sub"]
     sent = materialize(texts.mapInArrow(_route_suffixes(frequent, routes), SENT))
     sizes = sent.groupBy("route").agg(F.sum("distinct").alias("held"))
