@@ -139,7 +139,7 @@ def test_phrases_against_plain_counts(spark, monkeypatch, way):
     if way in ("divided", "in pieces"):
         monkeypatch.setattr(phrases, "ROUTE_SUFFIXES", 40)
         monkeypatch.setattr(phrases, "UNDIVIDED", 3)
-        monkeypatch.setattr(phrases, "MAX_ROUTES", 400)
+        monkeypatch.setattr(phrases, "LARGE", 0)
         ran = []
         real = phrases._in_pieces
         monkeypatch.setattr(phrases, "_in_pieces", lambda *a: ran.append(1) or real(*a))
