@@ -7,18 +7,20 @@ not a total order; bands give the same result whenever rows are separated.)
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkloom.functions.boxes import Box
 from inkloom.functions.ordering import natural_key
 from inkloom.functions.text import is_blank
+from inkloom.operators.shifts import RunList
 from inkloom.scale import (
-    ARRAY_GROUP_LIMIT,
     WINDOW_GROUP_LIMIT,
     broadcast_if_small,
+    carried,
     hot_groups,
     number_rows,
     ordered_index,
@@ -142,114 +144,55 @@ def renumber_pages(pages: DataFrame, order: Sequence[Column], name: str = "page_
     return number_rows(pages, ["project_id"], order, name)
 
 
-def move_pages(pages: DataFrame, moves: DataFrame, limit: int = ARRAY_GROUP_LIMIT) -> DataFrame:
-    """Apply page moves in ``seq`` order to a contiguous ``page_index``.
+def _shifted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of pages that keep together, from moves sorted by project and time."""
+    now, runs = None, None
 
-    ``moves(project_id, seq, page_id, offset, position)``: an offset is clamped to the
-    ends; an absolute position outside 1..n is ignored.  A project's moves are first
-    resolved to (from, to) steps in one fold over the moves alone; pages then follow
-    the steps by arithmetic.  More than ``limit`` moves are applied in batches, each
-    of which is written out, so the plan stays that of one batch.
-    """
-    moves = materialize(moves.select("project_id", "seq", "page_id", "offset", "position"))
-    counts = pages.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
-    numbered = number_rows(moves, ["project_id"], [F.col("seq"), F.col("page_id")], "_no")
-    numbered = numbered.withColumn("_batch", F.floor((F.col("_no") - 1) / limit))
-    last = numbered.agg(F.max("_batch")).first()[0]
-    if last is None:
-        return pages
-
-    def follow(position: Column, step: Column) -> Column:
-        source, target = step["source"], step["target"]
-        return (
-            F.when(position == source, target)
-            .when((source < target) & (position > source) & (position <= target), position - 1)
-            .when((target < source) & (position >= target) & (position < source), position + 1)
-            .otherwise(position)
-        )
-
-    def track(start: Column, steps: Column) -> Column:
-        return F.aggregate(steps, start, follow)
+    def told() -> pa.RecordBatch:
+        first, place = zip(*runs.runs())
+        shift = [p - f for f, p in zip(first, place)]
+        return pa.RecordBatch.from_pydict({"project_id": pa.array([now] * len(first), kind), "page_index": first, "shift": shift})
 
-    for batch in range(int(last) + 1):
-        part = numbered.where(F.col("_batch") == batch)
-        placed = part.join(pages.select("project_id", "page_id", "page_index"), ["project_id", "page_id"]).join(
-            counts, "project_id"
-        )
-        entry = F.struct("seq", F.col("page_index").alias("start"), "offset", "position", "n")
-        lists = placed.groupBy("project_id").agg(F.array_sort(F.collect_list(entry)).alias("_moves"))
-
-        def resolve(steps: Column, move: Column) -> Column:
-            source = track(move["start"], steps)
-            shifted = F.least(F.greatest(source + move["offset"], F.lit(1).cast("long")), move["n"])
-            inside = (move["position"] >= 1) & (move["position"] <= move["n"])
-            target = F.when(move["position"].isNull(), shifted).when(inside, move["position"]).otherwise(source)
-            return F.concat(steps, F.array(F.struct(source.alias("source"), target.alias("target"))))
-
-        empty = F.array().cast("array<struct<source:bigint,target:bigint>>")
-        resolved = lists.select("project_id", F.aggregate("_moves", empty, resolve).alias("_steps"))
-        # one row per project that moves something
-        pages = pages.join(resolved, "project_id", "left").withColumn(
-            "page_index",
-            F.when(F.col("_steps").isNull(), F.col("page_index")).otherwise(track(F.col("page_index"), F.col("_steps"))),
-        ).drop("_steps")
-        if batch < last:
-            pages = materialize(pages)  # the next batch reads the places twice
-    return pages
-
-
-def merge_runs(cells: DataFrame, by: Sequence[str] = ("group_id",), limit: int = WINDOW_GROUP_LIMIT) -> DataFrame:
-    """Maximal x-runs per row, equal runs of consecutive rows joined to rectangles (ends exclusive)."""
-    by = list(by)
-    rows = number_rows(cells.select(*by, "y", "x").distinct(), [*by, "y"], [F.col("x")], "_n", limit)
-    runs = (
-        rows.withColumn("_island", F.col("x") - F.col("_n"))
-        .groupBy(*by, "y", "_island")
-        .agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"))
-        .drop("_island")
-    )
-    stacked = number_rows(runs, [*by, "x0", "x1"], [F.col("y")], "_n", limit)
-    return (
-        stacked.withColumn("_island", F.col("y") - F.col("_n"))
-        .groupBy(*by, "x0", "x1", "_island")
-        .agg(F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"))
-        .drop("_island")
-    )
+    for batch in batches:
+        kind = batch.schema.field("project_id").type
+        for project, start, offset, position, n in zip(*(batch.column(c).to_pylist() for c in ("project_id", "start", "offset", "position", "n"))):
+            if runs is None or project != now:
+                if runs is not None:
+                    yield told()
+                now, runs = project, RunList(n)
+            runs.move(start, offset, position, n)
+    if runs is not None:
+        yield told()
 
 
-def ctc_decode(scores: DataFrame, charset: DataFrame, limit: int = WINDOW_GROUP_LIMIT) -> DataFrame:
-    """Text and mean confidence per line from step scores; class 0 is the blank.
+def move_pages(pages: DataFrame, moves: DataFrame, limit: int = WINDOW_GROUP_LIMIT) -> DataFrame:
+    """Apply page moves in ``seq`` order (then by page) to a contiguous ``page_index``.
 
-    ``scores(line_id, t, class, score)``; ``charset(class, letter)``.  Scores that are
-    not already a probability vector go through softmax.  A step has one row per
-    class of the model's character set, so its window is bounded by that set; classes
-    outside ``charset`` take no part.
+    ``moves(project_id, seq, page_id, offset, position)``: an offset is clamped to the
+    ends; an absolute position outside 1..n is ignored, and so are moves of unknown pages
+    and moves without either.  The moves of a project stream in order through a list of
+    runs, which holds at most three runs per move whatever the number of pages; the
+    result is a piecewise shift of the old places, which all pages then look up once.
+    ``limit`` is the number of pages of a project that one task may sort for that.
     """
-    lines = scores.select("line_id").distinct()
-    scores = scores.join(broadcast_if_small(charset.select("class").distinct()), "class", "left_semi")
-    step = Window.partitionBy("line_id", "t")
-    with_max = scores.withColumn("_max", F.max("score").over(step))
-    best = with_max.groupBy("line_id", "t").agg(
-        F.min_by("class", F.struct(-F.col("score"), F.col("class"))).alias("best"),
-        F.max("score").alias("_top"),
-        F.sum("score").alias("_sum"),
-        F.bool_and(F.col("score").between(-0.0001, 1.0001)).alias("_unit"),
-        F.sum(F.exp(F.col("score") - F.col("_max"))).alias("_total"),
-    )
-    probable = F.col("_unit") & (F.abs(F.col("_sum") - 1) < 0.02)
-    p = F.when(probable, F.col("_top")).otherwise(1.0 / F.col("_total"))
-    steps = best.select("line_id", "t", "best", F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)).alias("p"))
-    steps = previous_values(steps, ["line_id"], [F.col("t")], {"_before": "best"}, limit)
-    letters = charset.select(F.col("class").alias("best"), "letter")
-    kept = steps.where((F.col("best") != 0) & ~F.col("best").eqNullSafe(F.col("_before"))).join(
-        broadcast_if_small(letters), "best"
-    )
-    kept = kept.where(F.col("letter") != "blank")
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("t", "letter"))), lambda s: s["letter"])
-    decoded = kept.groupBy("line_id").agg(F.array_join(pieces, "").alias("text"), F.avg("p").alias("confidence"))
-    return lines.join(decoded, "line_id", "left").select(
-        "line_id", F.coalesce("text", F.lit("")).alias("text"), "confidence"
+    counts = pages.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
+    places = pages.select("project_id", "page_id", F.col("page_index").cast("long").alias("start"))
+    given = moves.where(F.col("offset").isNotNull() | F.col("position").isNotNull()).select(
+        "project_id", "seq", "page_id", F.col("offset").cast("long").alias("offset"), F.col("position").cast("long").alias("position")
     )
+    placed = given.join(places, ["project_id", "page_id"]).join(counts, "project_id")
+    ordered = placed.repartition("project_id").sortWithinPartitions("project_id", "seq", "page_id")
+    kind = dict(pages.dtypes)["project_id"]
+    runs = materialize(ordered.mapInArrow(_shifted_runs, f"project_id {kind}, page_index long, shift long"))
+    # every page takes the shift of the last run that begins at its place or before
+    key = ["project_id"]
+    marks = runs.select(*key, "page_index", F.lit(0).alias("_kind"), "shift")
+    asked = pages.join(runs.select(*key).distinct(), key, "left_semi").select("*", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("shift"))
+    log = asked.unionByName(marks, allowMissingColumns=True)
+    told = carried(log, key, ["page_index", "_kind"], F.col("shift"), "_by", limit).where(F.col("_kind") == 1)
+    moved = told.withColumn("page_index", (F.col("page_index") + F.col("_by")).cast(dict(pages.dtypes)["page_index"]))
+    still = pages.join(runs.select(*key).distinct(), key, "left_anti")
+    return moved.select(*pages.columns).unionByName(still)
 
 
 def order_regions(regions: DataFrame) -> DataFrame:

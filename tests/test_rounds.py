@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from inkloom import scale
-from inkloom.operators import glossary
+from inkloom.operators import glossary, reading
 from inkloom.session import _file_system, _WRITTEN, materialize, release, scratch_scope
 
 CHANGE = "project_id long, entry_id long, source_term string, lang string, translation string, note string, seq long, op string"
@@ -115,3 +115,42 @@ def test_many_lives_of_one_term(spark, monkeypatch):
     [row] = glossary.upsert_glossary(empty, changes).collect()
     assert (row["entry_id"], row["translation"]) == (lives % 7, f"t{2 * lives}")
     assert len(cuts) <= 20
+
+
+def moved_in_turn(n, moves):
+    """The pages after one move after the other."""
+    order = list(range(1, n + 1))
+    for _, page, offset, position in moves:
+        at = order.index(page)
+        if position is not None:
+            to = position - 1 if 1 <= position <= n else at
+        else:
+            to = min(max(at + (offset or 0), 0), n - 1)
+        order.insert(to, order.pop(at))
+    return order
+
+
+MOVES = "project_id long, seq long, page_id long, offset long, position long"
+
+
+def test_moves_of_all_kinds(spark):
+    rng = random.Random(8)
+    for n, count in ((1, 9), (5, 60), (300, 2500)):
+        moves = [(s, rng.randint(1, n), rng.choice([None, rng.randint(-n, n)]), rng.choice([None, None, rng.randint(-2, n + 2)])) for s in range(count)]
+        listed = [(4, *m) for m in moves] + [(4, 1, 9_999, 1, None), (77, 1, 1, 1, None)]
+        pages = spark.createDataFrame([(p, i, i) for p in (4, 5) for i in range(1, n + 1)], "project_id long, page_id long, page_index long")
+        frame = spark.createDataFrame(listed, MOVES).repartition(3)
+        for limit in (3, 10_000):
+            out = reading.move_pages(pages, frame, limit=limit).orderBy("project_id", "page_index").collect()
+            assert [r.page_id for r in out if r.project_id == 4] == moved_in_turn(n, moves)
+            assert [r.page_index for r in out] == [*range(1, n + 1)] * 2 and [r.page_id for r in out if r.project_id == 5] == list(range(1, n + 1))
+
+
+def test_many_moves_of_one_project(spark):
+    rng = random.Random(9)
+    n, count = 20_000, 50_000
+    moves = [(s, rng.randint(1, n), rng.randint(-400, 400), None if rng.random() < 0.7 else rng.randint(1, n)) for s in range(count)]
+    pages = spark.range(1, n + 1).select(F.lit(1).cast("long").alias("project_id"), F.col("id").alias("page_id"), F.col("id").alias("page_index"))
+    frame = spark.createDataFrame([(1, *m) for m in moves], MOVES)
+    out = reading.move_pages(pages, frame).orderBy("page_index").collect()
+    assert [r.page_id for r in out] == moved_in_turn(n, moves)
