@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.functions.boxes import Box
 from inkloom.functions.text import is_blank, none_if_blank, strip
-from inkloom.scale import ARRAY_GROUP_LIMIT, WINDOW_GROUP_LIMIT, number_rows, previous_values
+from inkloom.scale import ARRAY_GROUP_LIMIT, WINDOW_GROUP_LIMIT, hot_groups, number_rows, previous_values, split_hot
 from inkloom.session import materialize
 
 BATCH_SIZE = (1, 64)
@@ -567,25 +568,57 @@ def merge_translations(originals: DataFrame, drafts: DataFrame, recovered: DataF
 HISTORY = "struct<undo:array<string>,redo:array<string>,current:string>"
 
 
+def _replay_in_order(keep: int):
+    """Histories of pages whose log entries come sorted by page and time; holds one history at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, open_page, kind = None, False, None
+        undo, redo, current = [], [], ""
+
+        def told() -> pa.RecordBatch:
+            row = {"page_id": pa.array([page], kind), "undo": [undo], "redo": [redo], "current": [current]}
+            return pa.RecordBatch.from_pydict(row, pa.schema([("page_id", kind), ("undo", pa.list_(pa.string())), ("redo", pa.list_(pa.string())), ("current", pa.string())]))
+
+        for batch in batches:
+            kind = batch.schema.field("page_id").type
+            for of, first, action, state in zip(*(batch.column(c).to_pylist() for c in ("page_id", "_s0", "action", "state"))):
+                if not open_page or of != page:
+                    if open_page:
+                        yield told()
+                    page, open_page, undo, redo, current = of, True, [], [], first
+                if action == "edit":
+                    if (undo[-1] if undo else None) != current:
+                        undo.append(current)
+                    undo, redo, current = undo[-keep:], [], state
+                elif action == "undo" and undo:
+                    redo.append(current)
+                    current = undo.pop()
+                elif action == "redo" and redo:
+                    undo.append(current)
+                    current = redo.pop()
+        if open_page:
+            yield told()
+
+    return run
+
+
 def replay_edits(log: DataFrame, start: DataFrame | None = None, keep: int = HISTORY_LIMIT, limit: int = ARRAY_GROUP_LIMIT) -> DataFrame:
     """Undo and redo stacks after replaying an edit log.
 
     ``log(page_id, seq, action, state)``: 'edit' moves to ``state`` and remembers the
     former one (unless it equals the last remembered), keeps the last ``keep`` and
-    clears the redo stack; 'undo' and 'redo' step once.  A page's log is folded
-    ``limit`` entries at a time, so a long log never has to fit into one array.
+    clears the redo stack; 'undo' and 'redo' step once.  A page with up to ``limit``
+    entries is folded over one array; the entries of longer logs stream past one history
+    of the page, sorted by Spark, so the number of jobs does not depend on their length.
     """
-    numbered = number_rows(log, ["page_id"], [F.col("seq")], "_no")
-    numbered = materialize(numbered.withColumn("_part", F.floor((F.col("_no") - 1) / limit)))
-    rounds = numbered.agg(F.max("_part")).first()[0]
-    empty = F.array().cast("array<string>")
-    states = numbered.select("page_id").distinct()
-    if start is not None:
-        states = states.join(start.select("page_id", F.col("state").alias("_s0")), "page_id", "left")
+    entries = log.select("page_id", "seq", "action", "state")
+    if start is None:
+        entries = entries.withColumn("_s0", F.lit(""))
     else:
-        states = states.withColumn("_s0", F.lit(None).cast("string"))
-    fresh = F.struct(empty.alias("undo"), empty.alias("redo"), F.coalesce("_s0", F.lit("")).alias("current"))
-    states = states.select("page_id", fresh.alias("h"))
+        first = start.select("page_id", F.coalesce("state", F.lit("")).alias("_s0"))
+        entries = entries.join(first, "page_id", "left").withColumn("_s0", F.coalesce("_s0", F.lit("")))
+    cold, hot = split_hot(entries, ["page_id"], hot_groups(log, ["page_id"], limit))
+    empty = F.array().cast("array<string>")
 
     def last(stack: Column) -> Column:
         return F.try_element_at(stack, F.lit(-1))
@@ -610,14 +643,14 @@ def replay_edits(log: DataFrame, start: DataFrame | None = None, keep: int = HIS
             .otherwise(h)
         )
 
-    for part in range(int(rounds or 0) + 1):
-        entries = F.array_sort(F.collect_list(F.struct("_no", "action", "state")))
-        lists = numbered.where(F.col("_part") == part).groupBy("page_id").agg(entries.alias("_log"))
-        folded = states.join(lists, "page_id", "left").select(
-            "page_id", F.when(F.col("_log").isNull(), F.col("h")).otherwise(F.aggregate("_log", F.col("h").cast(HISTORY), step)).alias("h")
-        )
-        states = folded if part == rounds else materialize(folded)
-    return states.select("page_id", "h.undo", "h.redo", "h.current")
+    listed = cold.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("seq", "action", "state"))).alias("_log"), F.first("_s0").alias("_s0"))
+    fresh = packed(empty, empty, F.col("_s0")).cast(HISTORY)
+    out = listed.select("page_id", F.aggregate("_log", fresh, step).alias("h")).select("page_id", "h.undo", "h.redo", "h.current")
+    if hot is None:
+        return out
+    ordered = hot.repartition("page_id").sortWithinPartitions("page_id", "seq", "action", "state")
+    schema = f"page_id {dict(log.dtypes)['page_id']}, undo array<string>, redo array<string>, current string"
+    return out.unionByName(ordered.mapInArrow(_replay_in_order(keep), schema))
 
 
 def tail_log(entries: DataFrame, keep: int = 500) -> DataFrame:

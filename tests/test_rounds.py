@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from inkloom import scale
-from inkloom.operators import glossary, reading
+from inkloom.operators import edits, glossary, reading
 from inkloom.session import _file_system, _WRITTEN, materialize, release, scratch_scope
 
 CHANGE = "project_id long, entry_id long, source_term string, lang string, translation string, note string, seq long, op string"
@@ -154,3 +154,29 @@ def test_many_moves_of_one_project(spark):
     frame = spark.createDataFrame([(1, *m) for m in moves], MOVES)
     out = reading.move_pages(pages, frame).orderBy("page_index").collect()
     assert [r.page_id for r in out] == moved_in_turn(n, moves)
+
+
+def replayed_history(log, keep, first=""):
+    undo, redo, now = [], [], first
+    for _, action, state in log:
+        if action == "edit":
+            undo = (undo if undo[-1:] == [now] else [*undo, now])[-keep:]
+            redo, now = [], state
+        elif action == "undo" and undo:
+            redo, now = [*redo, now], undo[-1]
+            undo = undo[:-1]
+        elif action == "redo" and redo:
+            undo, now = [*undo, now], redo[-1]
+            redo = redo[:-1]
+    return undo, redo, now
+
+
+def test_long_edit_logs(spark):
+    """A log of 100,000 entries beside short ones; as many jobs as for a short one."""
+    rng = random.Random(12)
+    logs = {p: [(s, rng.choice(["edit", "edit", "undo", "redo"]), f"s{rng.randrange(4)}") for s in range(size)] for p, size in ((1, 100_000), (2, 700), (3, 5))}
+    frame = spark.createDataFrame([(p, *e) for p, log in logs.items() for e in log], "page_id long, seq long, action string, state string")
+    start = spark.createDataFrame([(1, "s0"), (3, None), (9, "x")], "page_id long, state string")
+    out = edits.replay_edits(frame.repartition(6), start, keep=20).collect()
+    first = {1: "s0"}
+    assert {r.page_id: (r.undo, r.redo, r.current) for r in out} == {p: replayed_history(log, 20, first.get(p, "")) for p, log in logs.items()}
