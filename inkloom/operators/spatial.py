@@ -19,7 +19,16 @@ from pyspark.sql import functions as F
 from inkloom.functions.boxes import Box
 from inkloom.functions.text import compact
 from inkloom.operators.greedy import greedy_keep, greedy_match
-from inkloom.scale import ARRAY_GROUP_LIMIT, SMALL_TABLE_ROWS, small_table, split_hot, top_rows
+from inkloom.scale import (
+    ARRAY_GROUP_LIMIT,
+    SMALL_TABLE_ROWS,
+    WINDOW_GROUP_LIMIT,
+    broadcast_if_small,
+    hot_groups,
+    number_rows,
+    split_hot,
+    top_rows,
+)
 from inkloom.session import materialize
 
 #: Exponent of the smallest cells; boxes without extent are filed there.
@@ -484,71 +493,115 @@ def detections_to_regions(detections: DataFrame, style: dict | None = None) -> D
     )
 
 
+#: Places of one leaf block of the search tree, and blocks below one node.
+LEAF_PLACES = 12
+FANOUT = 6
+
+
+def _interleaved(x: Column, y: Column) -> Column:
+    """The bits of two whole numbers below 2**31 in turn (Z-order)."""
+
+    def apart(v: Column) -> Column:
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    return apart(x).bitwiseOR(F.shiftleft(apart(y), 1))
+
+
+def _blocks(places: DataFrame, by: str, limit: int) -> DataFrame:
+    """``places(by, cx, cy, …)`` with ``_block``: about ``LEAF_PLACES`` places that follow each other in Z-order.
+
+    Blocks are cut by count, so a crowded corner gets as many as it needs.
+    """
+    bounds = places.groupBy(by).agg(
+        F.min("cx").alias("_x0"), F.min("cy").alias("_y0"), F.count(F.lit(1)).alias("_n"),
+        F.greatest(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy")).alias("_span"),
+    )
+    steps = lambda v, low: F.when(F.col("_span") > 0, F.floor((F.col(v) - F.col(low)) / F.col("_span") * ((1 << 31) - 1))).otherwise(F.lit(0).cast("long"))
+    keyed = places.join(bounds, by).withColumn("_z", _interleaved(steps("cx", "_x0"), steps("cy", "_y0")))
+    ranked = number_rows(keyed, [by], [F.col("_z"), F.col("cx"), F.col("cy")], "_pos", limit)
+    # the last block takes what is left, so no place is alone in its block unless it is the only one
+    last = F.greatest(F.floor(F.col("_n") / LEAF_PLACES) - 1, F.lit(0))
+    return ranked.withColumn("_block", F.least(F.floor((F.col("_pos") - 1) / LEAF_PLACES), last)).drop("_x0", "_y0", "_n", "_span", "_z", "_pos")
+
+
+def _tree(blocks: DataFrame, by: str, largest: int) -> list[DataFrame]:
+    """(by, _node, _x0, _x1, _y0, _y1) per level, leaves first, until at most ``FANOUT`` nodes of a group are left."""
+    corners = [("_x0", "cx", F.min), ("_x1", "cx", F.max), ("_y0", "cy", F.min), ("_y1", "cy", F.max)]
+    level = materialize(blocks.groupBy(by, F.col("_block").alias("_node")).agg(*[f(c).alias(n) for n, c, f in corners]))
+    levels, nodes = [level], largest // LEAF_PLACES + 1
+    while nodes > FANOUT:
+        grouped = levels[-1].groupBy(by, F.floor(F.col("_node") / FANOUT).alias("_node"))
+        levels.append(materialize(grouped.agg(*[f(n).alias(n) for n, _, f in corners])))
+        nodes = nodes // FANOUT + 1
+    return levels
+
+
+def _apart() -> Column:
+    dx, dy = F.col("o_cx") - F.col("cx"), F.col("o_cy") - F.col("cy")
+    return dx * dx + dy * dy
+
+
+def _met_in_tree(blocks: DataFrame, levels: list[DataFrame], by: str) -> DataFrame:
+    """Pairs of a place and another one that may be its nearest.
+
+    The nearest place of the own block bounds the search; from the top of the tree down
+    only nodes that reach into that circle are followed.
+    """
+    other = blocks.select(by, "_block", *[F.col(c).alias("o_" + c) for c in ("cx", "cy", "ord", "key")])
+    elsewhere = (F.col("o_cx") != F.col("cx")) | (F.col("o_cy") != F.col("cy"))
+    bound = blocks.join(other, [by, "_block"]).where(elsewhere).groupBy(by, "cx", "cy").agg(F.min(_apart()).alias("_bound"))
+    beyond_x = F.greatest(F.col("_x0") - F.col("cx"), F.col("cx") - F.col("_x1"), F.lit(0.0))
+    beyond_y = F.greatest(F.col("_y0") - F.col("cy"), F.col("cy") - F.col("_y1"), F.lit(0.0))
+    reached = beyond_x * beyond_x + beyond_y * beyond_y <= F.col("_bound")
+    asked = ["cx", "cy", "_bound"]
+    front = bound.join(broadcast_if_small(levels[-1]), by).where(reached).select(by, *asked, "_node")
+    for level in levels[-2::-1]:
+        below = level.withColumn("_above", F.floor(F.col("_node") / FANOUT))
+        front = front.withColumnRenamed("_node", "_above").join(below, [by, "_above"]).where(reached).select(by, *asked, "_node")
+    return front.withColumnRenamed("_node", "_block").join(other, [by, "_block"]).where(elsewhere)
+
+
+def _nearest_places(places: DataFrame, by: str, limit: int, largest: int) -> DataFrame:
+    """(by, cx, cy, d2, neighbour) of every place of ``places(by, cx, cy, ord, key)``, all of them distinct."""
+    blocks = materialize(_blocks(places, by, limit))
+    met = _met_in_tree(blocks, _tree(blocks, by, largest), by)
+    best = F.min(F.struct(_apart().alias("d2"), "o_ord", F.col("o_key").alias("neighbour"))).alias("_best")
+    return met.groupBy(by, "cx", "cy").agg(best).select(by, "cx", "cy", "_best.d2", "_best.neighbour")
+
+
 def nearest_neighbour(boxes: DataFrame, by: str = "group_id", key: str = "glyph_id", limit: int = ARRAY_GROUP_LIMIT) -> DataFrame:
     """The other box of the group with the nearest centre (first in order on ties), null when alone.
 
-    Ordinary groups compare all their boxes.  A group above ``limit`` is searched by
-    growing rings of grid cells; a box is settled once its best distance lies within
-    the searched ring, so the answer stays exact.
+    Ordinary groups compare all their boxes.  In a group above ``limit`` boxes that share
+    their centre answer each other; the distinct centres are packed in Z-order into a tree
+    of blocks of bounded size, which every centre searches within the distance of its
+    nearest neighbour in its own block.  So the work per box grows with the logarithm of
+    the group, however unevenly its boxes lie.
     """
     centers = boxes.select(
-        by, key, "ord", (F.col("x") + F.col("width") / 2).alias("cx"), (F.col("y") + F.col("height") / 2).alias("cy")
-    )
-    counts = centers.groupBy(by).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("cx").alias("_x0"), F.max("cx").alias("_x1"),
-        F.min("cy").alias("_y0"), F.max("cy").alias("_y1"),
+        by, F.col(key).alias("key"), "ord", (F.col("x") + F.col("width") / 2).alias("cx"), (F.col("y") + F.col("height") / 2).alias("cy")
     )
-    crowded = counts.where(F.col("_n") > limit)
-    hot = small_table(crowded)
-    if hot is None:
-        hot = materialize(crowded)
-    elif hot.isEmpty():
-        hot = None
-    else:
-        hot = F.broadcast(hot)
-    cold, dense = split_hot(centers, [by], None if hot is None else hot.select(by))
-
-    def other(df: DataFrame) -> DataFrame:
-        return df.select(by, *[F.col(c).alias("o_" + c) for c in df.columns if c != by])
-
+    cold, dense = split_hot(centers, [by], hot_groups(centers, [by], limit))
+    other = cold.select(by, *[F.col(c).alias("o_" + c) for c in ("key", "ord", "cx", "cy")])
     dx, dy = F.col("o_cx") - F.col("cx"), F.col("o_cy") - F.col("cy")
-    best = F.min_by(F.col(f"o_{key}"), F.struct(dx * dx + dy * dy, F.col("o_ord"), F.col(f"o_{key}"))).alias("neighbour")
-    distance = F.min(dx * dx + dy * dy).alias("d2")
-
-    def closest(pairs: DataFrame) -> DataFrame:
-        return pairs.where(F.col(key) != F.col(f"o_{key}")).groupBy(by, key).agg(best, distance)
-
-    near = closest(cold.join(other(cold), by))
-    out = cold.select(by, key).join(near, [by, key], "left")
-    if hot is None:
+    rank = F.struct((dx * dx + dy * dy).alias("d2"), "o_ord", F.col("o_key").alias("neighbour"))
+    near = cold.join(other, by).where(F.col("key") != F.col("o_key")).groupBy(by, "key").agg(F.min(rank).alias("_best"))
+    out = cold.select(by, "key").join(near, [by, "key"], "left").select(by, F.col("key").alias(key), "_best.neighbour", "_best.d2")
+    if dense is None:
         return out
-    span = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"), F.lit(1e-9))
-    # about one box per cell when spread evenly
-    grid = dense.join(hot, by).withColumn("_cell", span / F.greatest(F.floor(F.sqrt("_n")), F.lit(1)))
-    grid = materialize(
-        grid.withColumns({"_gx": F.floor(F.col("cx") / F.col("_cell")), "_gy": F.floor(F.col("cy") / F.col("_cell"))})
-    )
-    # of the boxes on one exact spot only the two first can be anybody's answer
-    spots = top_rows(grid, [by, "cx", "cy"], [F.col("ord"), F.col(key)], 2).drop("_rank")
-    waiting, ring = grid, 1
-    settled = None
-    while True:
-        side = F.sequence(F.lit(-ring), F.lit(ring))
-        probes = waiting.withColumn("_dx", F.explode(side)).withColumn("_dy", F.explode(side))
-        probes = probes.withColumns({"_px": F.col("_gx") + F.col("_dx"), "_py": F.col("_gy") + F.col("_dy")})
-        found = spots.select(
-            by, F.col("_gx").alias("_px"), F.col("_gy").alias("_py"),
-            *[F.col(c).alias("o_" + c) for c in (key, "ord", "cx", "cy")],
-        )
-        near = closest(probes.join(found, [by, "_px", "_py"]))
-        reached = waiting.join(near, [by, key], "left")
-        whole = F.lit(ring) * F.col("_cell") >= span * 2
-        sure = (F.col("d2").isNotNull() & (F.col("d2") <= F.pow(F.lit(ring) * F.col("_cell"), F.lit(2)))) | whole
-        done = reached.where(sure).select(by, key, "neighbour", "d2")
-        rest = materialize(reached.where(~F.coalesce(sure, F.lit(False))).select(*waiting.columns))
-        settled = done if settled is None else settled.unionByName(done)
-        settled = materialize(settled)
-        if rest.isEmpty():
-            break
-        waiting, ring = rest, ring * 2
-    return out.unionByName(settled.select(*out.columns))
+    spot = [by, "cx", "cy"]
+    dense = materialize(dense)
+    lead = F.min(F.struct("ord", "key")).alias("_lead")
+    spots = materialize(dense.groupBy(*spot).agg(F.count(F.lit(1)).alias("_boxes"), lead))
+    largest = spots.groupBy(by).count().agg(F.max("count")).first()[0]
+    places = spots.select(*spot, "_lead.ord", "_lead.key")
+    found = _nearest_places(places, by, WINDOW_GROUP_LIMIT, largest)
+    # on a shared spot the first box answers all others, and the second one answers the first
+    shared = dense.join(spots.where("_boxes > 1"), spot)
+    second = shared.where(F.col("key") != F.col("_lead.key")).groupBy(*spot).agg(F.min(F.struct("ord", "key")).alias("_next"))
+    answer = F.when(F.col("key") == F.col("_lead.key"), F.col("_next.key")).otherwise(F.col("_lead.key"))
+    beside = shared.join(second, spot).select(by, F.col("key").alias(key), answer.alias("neighbour"), F.lit(0.0).alias("d2"))
+    alone = spots.where("_boxes = 1").join(found, spot, "left").select(by, F.col("_lead.key").alias(key), "neighbour", "d2")
+    return out.unionByName(beside).unionByName(alone)

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from inkloom import scale
-from inkloom.operators import edits, glossary, reading
+from inkloom.operators import edits, glossary, reading, spatial
 from inkloom.session import _file_system, _WRITTEN, materialize, release, scratch_scope
 
 CHANGE = "project_id long, entry_id long, source_term string, lang string, translation string, note string, seq long, op string"
@@ -180,3 +180,41 @@ def test_long_edit_logs(spark):
     out = edits.replay_edits(frame.repartition(6), start, keep=20).collect()
     first = {1: "s0"}
     assert {r.page_id: (r.undo, r.redo, r.current) for r in out} == {p: replayed_history(log, 20, first.get(p, "")) for p, log in logs.items()}
+
+
+def crowd(rng, size):
+    """Boxes crowded in one corner, some on one spot, and one far away."""
+    spots = [(rng.random() * 1e-3, rng.random() * 1e-3) for _ in range(size - 8)]
+    return [*spots, *spots[:3], spots[0], (0.5, 0.5), (0.5, 0.5), (1.0, 1.0), (1.0, 0.0)]
+
+
+def test_nearest_box_in_a_crowded_corner(spark):
+    rng = random.Random(3)
+    rows = [(g, i, i % 7, *p, 0.0, 0.0) for g, size in ((1, 900), (2, 40), (3, 700)) for i, p in enumerate(crowd(rng, size))]
+    rows += [(4, i, i % 3, 0.25, 0.25, 0.0, 0.0) for i in range(90)]
+    frame = spark.createDataFrame(rows, "group_id long, glyph_id long, ord int, x double, y double, width double, height double").repartition(5)
+    want = {}
+    for g, i, _, x, y, *_ in rows:
+        ranked = [((x - u) ** 2 + (y - v) ** 2, o, j) for h, j, o, u, v, *_ in rows if h == g and j != i]
+        want[g, i] = min(ranked)[2]
+    for limit in (30, 512):
+        out = spatial.nearest_neighbour(frame, limit=limit).collect()
+        assert {(r.group_id, r.glyph_id): r.neighbour for r in out} == want and len(out) == len(rows)
+
+
+def test_comparisons_per_box_stay_few(spark):
+    """100,000 boxes in one corner and one outlier."""
+    far = F.col("id") == 7
+    places = materialize(
+        spark.range(100_000).select(
+            F.lit(1).alias("group_id"), F.when(far, 1.0).otherwise(F.rand(1) * 1e-3).alias("cx"),
+            F.when(far, 1.0).otherwise(F.rand(2) * 1e-3).alias("cy"), F.lit(0).alias("ord"), F.col("id").alias("key"),
+        )
+    )
+    blocks = materialize(spatial._blocks(places, "group_id", 10**6))
+    assert blocks.groupBy("_block").count().agg(F.max("count")).first()[0] < 2 * spatial.LEAF_PLACES
+    levels = spatial._tree(blocks, "group_id", 100_000)
+    met = spatial._met_in_tree(blocks, levels, "group_id").groupBy("cx", "cy").count()
+    row = met.agg(F.count("*").alias("n"), F.avg("count").alias("mean"), F.max("count").alias("most")).first()
+    # besides, every level shows at most FANOUT nodes for each one that is followed
+    assert row["n"] == 100_000 and row["mean"] + len(levels) * spatial.FANOUT * 2 < 200
