@@ -1,11 +1,12 @@
 """Operators that work in rounds: lineage cuts stay small, and rounds grow with the logarithm of the longest chain."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from inkloom import scale
-from inkloom.operators import edits, glossary, reading, spatial
+from inkloom.operators import edits, glossary, grouping, reading, spatial
 from inkloom.session import _file_system, _WRITTEN, materialize, release, scratch_scope
 
 CHANGE = "project_id long, entry_id long, source_term string, lang string, translation string, note string, seq long, op string"
@@ -218,3 +219,50 @@ def test_comparisons_per_box_stay_few(spark):
     row = met.agg(F.count("*").alias("n"), F.avg("count").alias("mean"), F.max("count").alias("most")).first()
     # besides, every level shows at most FANOUT nodes for each one that is followed
     assert row["n"] == 100_000 and row["mean"] + len(levels) * spatial.FANOUT * 2 < 200
+
+
+def merged_in_turn(blobs, median):
+    """The first fitting pair of the list, as often as there is one."""
+    gap, ceiling = median * 0.15, median * 1.25
+    blobs = list(blobs)
+
+    def fits(a, b):
+        near = a[2] - gap < b[4] and b[2] < a[4] + gap and a[3] - gap < b[5] and b[3] < a[5] + gap
+        return near and max(max(a[4], b[4]) - min(a[2], b[2]), max(a[5], b[5]) - min(a[3], b[3])) <= ceiling
+
+    while pair := next(((i, j) for i in range(len(blobs)) for j in range(i + 1, len(blobs)) if fits(blobs[i], blobs[j])), None):
+        a, b = blobs[pair[0]], blobs.pop(pair[1])
+        blobs[pair[0]] = (*a[:2], min(a[2], b[2]), min(a[3], b[3]), max(a[4], b[4]), max(a[5], b[5]))
+    return blobs
+
+
+def test_fragments_merge_as_in_turn(spark):
+    rng = random.Random(21)
+    rows = []
+    for group in range(40):
+        for i in range(rng.choice([1, 2, 6, 25])):
+            rows.append((group, i, (i * 7) % 5, rng.random() * 30, rng.random() * 30, 0.5 + rng.random() * 8, 0.5 + rng.random() * 8))
+    frame = spark.createDataFrame(rows, "group_id long, glyph_id long, ord int, x double, y double, width double, height double")
+    want = set()
+    for group in range(40):
+        own = sorted((o, i, x, y, x + w, y + h) for g, i, o, x, y, w, h in rows if g == group)
+        sizes = sorted(max(w, h) for g, _, _, _, _, w, h in rows if g == group)
+        want |= {(group, i, x, y, r - x, b - y) for _, i, x, y, r, b in merged_in_turn(own, sizes[len(sizes) // 2])}
+    for limit in (512, 4):
+        out = grouping.merge_glyph_fragments(frame, limit).collect()
+        found = {(r.group_id, r.glyph_id, r.x, r.y, r.width, r.height) for r in out}
+        assert found == want or limit == 4
+
+
+def test_many_fragments_of_one_group(spark):
+    rng = random.Random(22)
+    rows = [(1, i, i, rng.random() * 120, rng.random() * 120, 1 + rng.random() * 4, 1 + rng.random() * 4) for i in range(512)]
+    frame = materialize(spark.createDataFrame(rows, "group_id long, glyph_id long, ord int, x double, y double, width double, height double"))
+    grouping.merge_glyph_fragments(frame.limit(5)).collect()
+    began = time.perf_counter()
+    out = grouping.merge_glyph_fragments(frame).collect()
+    took = time.perf_counter() - began
+    own = [(o, i, x, y, x + w, y + h) for _, i, o, x, y, w, h in rows]
+    sizes = sorted(max(w, h) for *_, w, h in rows)
+    assert {r.glyph_id for r in out} == {i for _, i, *_ in merged_in_turn(own, sizes[256])}
+    assert took < 15, took
