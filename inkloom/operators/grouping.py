@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.functions.boxes import Box, let
 from inkloom.operators.spatial import near_pairs
-from inkloom.scale import ARRAY_GROUP_LIMIT, hot_groups, split_hot, top_rows
+from inkloom.scale import ARRAY_GROUP_LIMIT, WINDOW_GROUP_LIMIT, hot_groups, ranked_values, split_hot, top_rows
 from inkloom.session import materialize, release
 
 
@@ -169,21 +169,9 @@ def line_group_summary(grouped: DataFrame, balloons: DataFrame) -> DataFrame:
     )
 
 
-def upper_median(rows: DataFrame, by: Sequence[str], value: str, name: str = "median") -> DataFrame:
-    """sorted[n / 2] per group, from value counts: equal values are counted before the shuffle by group."""
-    counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    window = Window.partitionBy(*by)
-    running = counts.withColumns(
-        {
-            "_upto": F.sum("_c").over(window.orderBy(value)),
-            "_n": F.sum("_c").over(window),
-        }
-    )
-    return (
-        running.where(F.col("_upto") > F.floor(F.col("_n") / 2))
-        .groupBy(*by)
-        .agg(F.min(value).alias(name))
-    )
+def upper_median(rows: DataFrame, by: Sequence[str], value: str, name: str = "median", limit: int = WINDOW_GROUP_LIMIT) -> DataFrame:
+    """sorted[n / 2] of the values that are present, per group that has one."""
+    return ranked_values(rows, by, value, {name: F.floor(F.col("_n") / 2)}, limit)
 
 
 def _glyph_link(a: Column, b: Column) -> Column:

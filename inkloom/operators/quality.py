@@ -15,6 +15,7 @@ from inkloom.functions.text import (
     visible_length,
 )
 from inkloom.operators.glossary import glossary_hits
+from inkloom.scale import WINDOW_GROUP_LIMIT, ranked_values
 
 # The flags a translation may carry.
 QA_FLAGS = (
@@ -236,7 +237,7 @@ def accuracy_report(matches: DataFrame, expected: str = "expected", observed: st
     )
 
 
-def latency_report(samples: DataFrame, numbered: DataFrame) -> DataFrame:
+def latency_report(samples: DataFrame, numbered: DataFrame, limit: int = WINDOW_GROUP_LIMIT) -> DataFrame:
     """First call and median of the warm calls (after the third) per model and configuration.
 
     ``numbered`` is ``samples`` with the 1-based ``iteration`` of each call.
@@ -245,9 +246,12 @@ def latency_report(samples: DataFrame, numbered: DataFrame) -> DataFrame:
     warm = numbered.join(runs, ["model", "configuration"]).where(
         F.col("iteration") > F.least(F.lit(3), F.col("calls") - 1)
     )
-    medians = warm.groupBy("model", "configuration").agg(F.median("ms").alias("warm_median_ms"))
+    middle = {"_low": F.floor((F.col("_n") - 1) / 2), "_high": F.floor(F.col("_n") / 2)}
+    medians = ranked_values(warm, ["model", "configuration"], "ms", middle, limit).select(
+        "model", "configuration", (F.col("_low") * 0.5 + F.col("_high") * 0.5).alias("warm_median_ms")
+    )
     cold = numbered.where(F.col("iteration") == 1).select("model", "configuration", F.col("ms").alias("cold_ms"))
-    report = runs.join(medians, ["model", "configuration"]).join(cold, ["model", "configuration"])
+    report = runs.join(medians, ["model", "configuration"], "left").join(cold, ["model", "configuration"])
     if "load_ms" in samples.columns:
         loads = samples.groupBy("model", "configuration").agg(F.max("load_ms").alias("load_ms"))
         report = report.join(loads, ["model", "configuration"])

@@ -147,6 +147,61 @@ def carried(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Colum
     )
 
 
+#: Ranges that one round of ``ranked_values`` cuts the open values of a large group into.
+RANGES = 64
+
+
+def ranked_values(rows: DataFrame, by: Sequence[str], value: str, ranks: dict[str, Column], limit: int = WINDOW_GROUP_LIMIT) -> DataFrame:
+    """Per group the values at the given 0-based ``ranks`` (expressions over ``_n``, its rows with a value).
+
+    Equal values are counted before anything is sorted.  A group with more than ``limit``
+    distinct values is narrowed down: quantile sketches, merged on the map side, cut its
+    open values into ranges, exact counts tell the range that holds the rank, and only
+    that one stays open, until it fits into one sort.  No value is shuffled for that.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    large = hot_groups(counts, by, limit)
+    cold, hot = split_hot(counts, by, large)
+    window = Window.partitionBy(*by)
+    running = cold.withColumns({"_upto": F.sum("_c").over(window.orderBy(value)), "_n": F.sum("_c").over(window)})
+    at = [F.min(F.when(F.col("_upto") > rank, F.col(value))).alias(name) for name, rank in ranks.items()]
+    out = running.groupBy(*by).agg(*at)
+    if hot is None:
+        return out
+    hot = materialize(hot)
+    asked = F.explode(F.array(*[F.struct(F.lit(n).alias("_name"), r.cast("long").alias("_rank")) for n, r in ranks.items()])).alias("_a")
+    key = [*by, "_name"]
+    none = F.lit(None).cast(dict(hot.dtypes)[value])
+    bounds = hot.groupBy(*by).agg(F.sum("_c").alias("_n")).select(*by, asked).select(
+        *by, "_a.*", F.lit(0).cast("long").alias("_before"), none.alias("_lo"), none.alias("_hi")
+    )
+    while True:
+        bounds = materialize(bounds)
+        inside = (F.col("_lo").isNull() | (F.col(value) > F.col("_lo"))) & (F.col("_hi").isNull() | (F.col(value) <= F.col("_hi")))
+        open_values = hot.join(broadcast_if_small(bounds), list(by)).where(inside)
+        cuts = F.percentile_approx(value, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(RANGES * 16)).alias("_cuts")
+        sizes = materialize(open_values.groupBy(*key).agg(F.count(F.lit(1)).alias("_size"), cuts))
+        if sizes.agg(F.max("_size")).first()[0] <= limit:
+            break
+        placed = open_values.join(broadcast_if_small(sizes), key)
+        place = F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("_place")  # a cut belongs to the range it ends
+        held = placed.groupBy(*key, "_rank", "_before", place).agg(
+            F.sum("_c").alias("_held"), F.min(value).alias("_least"), F.max(value).alias("_hi")
+        )
+        # at most RANGES rows per group and name
+        order = Window.partitionBy(*key).orderBy("_place")
+        upto = held.withColumns({"_upto": F.col("_before") + F.sum("_held").over(order), "_lower": F.lag("_hi").over(order)})
+        chosen = upto.where((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_held") <= F.col("_rank")))
+        former = bounds.select(*key, F.col("_lo").alias("_former"))
+        bounds = chosen.join(former, key).select(
+            *key, "_rank", (F.col("_upto") - F.col("_held")).alias("_before"), F.coalesce("_lower", "_former").alias("_lo"), "_hi"
+        )
+    running = open_values.withColumn("_upto", F.col("_before") + F.sum("_c").over(Window.partitionBy(*key).orderBy(value)))
+    found = running.where(F.col("_upto") > F.col("_rank")).groupBy(*key).agg(F.min(value).alias("_v"))
+    told = found.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in ranks])
+    return out.unionByName(told)
+
+
 #: Largest k for which Spark's window group limit trims map tasks by itself.
 WINDOW_LIMIT_K = 1000
 

@@ -266,3 +266,26 @@ def test_many_fragments_of_one_group(spark):
     sizes = sorted(max(w, h) for *_, w, h in rows)
     assert {r.glyph_id for r in out} == {i for _, i, *_ in merged_in_turn(own, sizes[256])}
     assert took < 15, took
+
+
+def test_ranked_values_of_large_groups(spark):
+    rng = random.Random(31)
+    rows = [("a", rng.gauss(0, 1) * 10 ** rng.randrange(-9, 9)) for _ in range(3000)] + [("b", float(rng.randrange(4))) for _ in range(500)]
+    rows += [("c", 1.5), ("d", None), ("a", None), (None, 2.0), (None, 1.0)] + [("e", 5.0)] * 900 + [("e", float(i)) for i in range(200)]
+    frame = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    ranks = {"low": F.floor((F.col("_n") - 1) / 2), "high": F.floor(F.col("_n") / 2), "first": F.lit(0), "last": F.col("_n") - 1}
+    want = {}
+    for g in {g for g, v in rows if v is not None}:
+        own = sorted(v for h, v in rows if h == g and v is not None)
+        want[g] = (own[(len(own) - 1) // 2], own[len(own) // 2], own[0], own[-1])
+    for limit in (20, 10_000):
+        out = scale.ranked_values(frame, ["g"], "v", ranks, limit).collect()
+        found = {r.g: tuple(r)[1:] for r in out}
+        assert {g: v for g, v in found.items() if g} == {g: v for g, v in want.items() if g} and len(out) == len(found)
+
+
+def test_median_of_many_distinct_values(spark):
+    """The work of one large group is spread: no shuffle of its values, one or two rounds."""
+    frame = spark.range(2_000_000).select(F.lit(1).alias("g"), (F.hash("id") + F.col("id") / 2e6).alias("v"))
+    found = grouping.upper_median(frame, ["g"], "v", limit=100_000).first()["median"]
+    assert found == frame.orderBy("v").offset(1_000_000).first()["v"]
