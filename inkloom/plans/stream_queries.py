@@ -27,9 +27,13 @@ def events(v, order=None):
 K = "regexp_extract(props, '[0-9]+', 0)::INTEGER AS k"
 
 
-def page_events(v):
+def stored_events(v):
+    return v.raw("events").withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("int"))
+
+
+def page_events(v, stored=False):
     kind = F.col("event_type")
-    return events(v, "event_id").select(
+    return (stored_events(v) if stored else events(v, "event_id")).select(
         F.col("user_id").alias("page_id"),
         F.col("event_id").alias("seq"),
         F.when(kind == "signup", "started").when(kind == "view", "activity").when(kind == "click", "region")
@@ -66,7 +70,7 @@ def _page(run, stage, fraction, activity, cur, tot):
     SELECT page_id, s.run AS running, s.stage AS stage, s.fraction AS fraction, s.activity AS activity, s.cur AS current, s.tot AS total FROM done""",
 )
 def _(v):
-    return jobs.none_late(jobs.latest(jobs.run_to_end(jobs.live_page_state(page_events(v)), "pages"), "page_id"))
+    return jobs.live_page_state(page_events(v, stored=True))
 
 
 @query(
@@ -90,13 +94,12 @@ def _(v):
 )
 def _(v):
     kind = F.col("event_type")
-    stream = events(v, "event_id").select(
+    log = stored_events(v).select(
         F.col("user_id").alias("app"), F.col("event_id").alias("seq"),
         F.when(kind == "signup", "started").when(kind == "error", "finished").otherwise("updated").alias("kind"),
         F.concat(F.lit("r"), F.col("k") % 2).alias("session"), F.col("props").alias("text"),
     )
-    # the table is replayed at once, so no session may expire between its events
-    return jobs.none_late(jobs.latest(jobs.run_to_end(jobs.reasoning_sessions(stream, None), "sessions"), "app"))
+    return jobs.reasoning_sessions(log)
 
 
 @query(
@@ -111,13 +114,12 @@ def _(v):
 )
 def _(v):
     # an 'error' finishes whatever job is open for its key
-    stream = events(v, "event_id").select(
+    log = stored_events(v).select(
         F.col("user_id").alias("key"), F.col("event_id").alias("seq"),
         F.when(F.col("event_type") == "error", "finish").otherwise("submit").alias("kind"),
         F.when(F.col("event_type") != "error", F.col("event_id")).alias("job_id"),
     )
-    state = jobs.none_late(jobs.latest(jobs.run_to_end(jobs.dedupe_submissions(stream), "submissions"), "key"))
-    return state.select("key", "open_job", F.try_element_at("accepted", F.lit(-1)).alias("last_job"), "reused")
+    return jobs.dedupe_submissions(log).select("key", "open_job", F.try_element_at("accepted", F.lit(-1)).alias("last_job"), "reused")
 
 
 @query(

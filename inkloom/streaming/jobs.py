@@ -10,7 +10,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from inkloom.operators.edits import HISTORY_LIMIT, tail_log
 from inkloom.session import scratch_path
-from inkloom.streaming.keyed import fold_stream
+from inkloom.streaming.keyed import fold_ordered, fold_stream, fold_table
 
 #: A reasoning session without an end is closed after this time.
 SESSION_TTL_MS = 15 * 60 * 1000
@@ -93,6 +93,17 @@ def latest(written: DataFrame, *keys: str) -> DataFrame:
     return newest.select(*keys, "s.*")
 
 
+def _folded(
+    events: DataFrame, key: str, schema: str, step, initial: tuple, time: str | None, delay: str, ttl_ms: int | None = None, expire=None
+) -> DataFrame:
+    """The fold that fits: of a stored table, of a stream in any order within ``delay`` of ``time``, or of one in order."""
+    if not events.isStreaming:
+        return fold_table(events, key, "seq", schema, step, initial)
+    if time is not None:
+        return fold_ordered(events, key, "seq", time, schema, step, initial, delay)
+    return fold_stream(events, key, "seq", schema, step, initial, ttl_ms, expire)
+
+
 # --- live page state ----------------------------------------------------------
 
 PAGE_STATE = "running boolean, stage string, fraction double, activity string, current int, total int"
@@ -110,18 +121,24 @@ def page_step(state: tuple, event: dict) -> tuple:
     if kind in ("completed", "failed"):
         return False, kind, fraction, None, None, None
     if kind == "stage":
-        return running, event["stage"], min(max(event["fraction"], 0.0), 1.0), activity, current, total
+        share = None if pd.isna(event["fraction"]) else min(max(event["fraction"], 0.0), 1.0)
+        return running, event["stage"], share, activity, current, total
     if kind == "activity":
         kept = (current, total) if activity == event["activity"] else (None, None)
         return running, stage, fraction, event["activity"], *kept
     if kind == "region":
-        return running, stage, fraction, activity, max(0, int(event["current"])), max(0, int(event["total"]))
+        done, whole = (None if pd.isna(event[c]) else max(0, int(event[c])) for c in ("current", "total"))
+        return running, stage, fraction, activity, done, whole
     return state
 
 
-def live_page_state(events: DataFrame) -> DataFrame:
-    """Latest state per page from a stream of (page_id, seq, kind, stage, fraction, activity, current, total)."""
-    return fold_stream(events, "page_id", "seq", PAGE_STATE, page_step, PAGE_START)
+def live_page_state(events: DataFrame, time: str | None = None, delay: str = "10 minutes") -> DataFrame:
+    """Latest state per page from (page_id, seq, kind, stage, fraction, activity, current, total), a stream or a table.
+
+    With ``time``, a column of event times that ``seq`` rises with, events of a stream may
+    come in any order within ``delay``.
+    """
+    return _folded(events, "page_id", PAGE_STATE, page_step, PAGE_START, time, delay)
 
 
 def latest_stage(events: DataFrame) -> DataFrame:
@@ -145,10 +162,15 @@ def session_step(state: tuple, event: dict) -> tuple:
     return session, text, False
 
 
-def reasoning_sessions(events: DataFrame, ttl_ms: int | None = SESSION_TTL_MS) -> DataFrame:
-    """Current reasoning session per application; events of former sessions are ignored."""
-    return fold_stream(
-        events, "app", "seq", SESSION_STATE, session_step, (None, "", False), ttl_ms, lambda s: (s[0], s[1], False)
+def reasoning_sessions(
+    events: DataFrame, ttl_ms: int | None = SESSION_TTL_MS, time: str | None = None, delay: str = "10 minutes"
+) -> DataFrame:
+    """Current reasoning session per application; events of former sessions are ignored.
+
+    ``time`` and ``delay`` as in ``live_page_state``; sessions of a table, or of a stream with ``time``, do not expire.
+    """
+    return _folded(
+        events, "app", SESSION_STATE, session_step, (None, "", False), time, delay, ttl_ms, lambda s: (s[0], s[1], False)
     )
 
 
@@ -177,12 +199,13 @@ def submission_step(state: tuple, event: dict) -> tuple:
     return state
 
 
-def dedupe_submissions(events: DataFrame) -> DataFrame:
+def dedupe_submissions(events: DataFrame, time: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """Per submission key: the open job, the last accepted job and how many submissions were reused.
 
-    ``events(key, seq, kind, job_id)`` with kinds 'submit' and 'finish'.
+    ``events(key, seq, kind, job_id)`` with kinds 'submit' and 'finish', a stream or a
+    table; ``time`` and ``delay`` as in ``live_page_state``.
     """
-    return fold_stream(events, "key", "seq", SUBMISSION_STATE, submission_step, (None, [], 0))
+    return _folded(events, "key", SUBMISSION_STATE, submission_step, (None, [], 0), time, delay)
 
 
 # --- roll-ups -----------------------------------------------------------------

@@ -129,3 +129,37 @@ def test_late_events_fail_a_replay(spark):
     assert jobs.none_late(written.where("late = 0")).columns == ["key"]
     with pytest.raises(Exception, match="left out"):
         jobs.none_late(written).collect()
+
+
+def test_events_in_any_order_within_the_delay(spark, tmp_path):
+    """Shuffled micro-batches give the state of the sorted table."""
+    import datetime as dt
+    import random
+
+    rng = random.Random(17)
+    schema = "page_id long, seq long, kind string, stage string, fraction double, activity string, current int, total int, ts timestamp"
+    kinds = ["started", "stage", "activity", "region", "completed", "failed"]
+    rows = [
+        (rng.randrange(4), i, rng.choices(kinds, [3, 3, 3, 3, 1, 1])[0], f"s{i % 3}", i / 100, f"a{i % 2}", i % 7, 9, dt.datetime(2026, 1, 1) + dt.timedelta(seconds=i))
+        for i in range(120)
+    ]
+    want = jobs.live_page_state(spark.createDataFrame(rows, schema))
+    mixed = sorted(rows, key=lambda r: r[1] + rng.randrange(25))  # up to 25 seconds out of order
+    stream = chunks(spark, tmp_path, mixed, schema, 20)
+    written = jobs.run_to_end(jobs.live_page_state(stream, "ts", "1 minute"), "any-order")
+    got = jobs.latest(written, "page_id")
+    assert written.select("batch_id").distinct().count() >= 6
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert {r.late for r in got.collect()} == {0}
+
+
+def test_tables_fold_in_one_job(spark):
+    """As many jobs for a table in 40 files as for one in two, and the result of the stream rule."""
+    schema = "key string, seq long, kind string, job_id long"
+    rows = [(f"k{i % 5}", i, "finish" if i % 4 == 3 else "submit", None if i % 8 == 3 else i) for i in range(400)]
+    want = {}
+    for key, _, kind, job in rows:
+        want[key] = jobs.submission_step(want.get(key, (None, [], 0)), {"kind": kind, "job_id": job})
+    for parts in (2, 40):
+        out = jobs.dedupe_submissions(spark.createDataFrame(rows, schema).repartition(parts)).collect()
+        assert {r.key: (r.open_job, r.accepted, r.reused) for r in out} == want
