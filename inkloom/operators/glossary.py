@@ -2,23 +2,30 @@
 
 A term matches a text when it occurs in it, ignoring case and accents.  Instead
 of testing every term on every text, the first letters of a term (its gram) are
-looked up among the grams of the text, and only those few hits are verified.
+looked up among the grams of the text, and only those few hits are verified.  Up to
+``SENT_TERMS`` terms travel to the texts, so no text is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.functions.languages import base_language, normalize_tag
 from inkloom.functions.ordering import natural_key
 from inkloom.functions.text import fold, none_if_blank, strip
+from inkloom.operators import termscan
 from inkloom.scale import carried, number_rows, small_table
 from inkloom.session import materialize
 
 GRAM_LENGTH = 4
 #: Up to so many terms per project it is cheaper to test each term than to cut the text into grams.
 DIRECT_TERMS = 64
+#: Terms, and bytes of terms, that are sent to every Python worker; above, texts are joined with terms by grams.
+SENT_TERMS = 2_000_000
+SENT_BYTES = 128 << 20
 #: Times the pointers between lives are doubled before they are written.
 DOUBLINGS = 2
 
@@ -42,14 +49,20 @@ def _grams(folded: Column, lengths: list[int]) -> Column:
     return F.array_distinct(F.flatten(F.array(*found)))
 
 
-def glossary_hits(texts: DataFrame, glossary: DataFrame, language: str, text: str = "source_text") -> DataFrame:
-    """(project_id, page_id, region_id, entry_id, source_term, preferred_translation) per text and term found in it."""
+def glossary_hits(
+    texts: DataFrame, glossary: DataFrame, language: str, text: str = "source_text", carry: Sequence[str] = ()
+) -> DataFrame:
+    """(project_id, page_id, region_id, entry_id, source_term, preferred_translation) per text and term found in it.
+
+    ``carry`` names further columns of ``texts`` that every hit keeps.
+    """
+    own = ["project_id", "page_id", "region_id", *carry]
     folded_term = fold(F.col("source_term"))
     terms = terms_for_language(glossary, language).withColumns(
         {"folded_term": folded_term, "gram": F.left(folded_term, F.lit(GRAM_LENGTH))}
     )
-    rows = texts.select("project_id", "page_id", "region_id", fold(F.col(text)).alias("folded"))
-    keep = ["project_id", "page_id", "region_id", "entry_id", "source_term", "preferred_translation"]
+    rows = texts.select(*own, fold(F.col(text)).alias("folded"))
+    keep = [*own, "entry_id", "source_term", "preferred_translation"]
 
     local = small_table(terms)
     if local is not None:
@@ -61,14 +74,12 @@ def glossary_hits(texts: DataFrame, glossary: DataFrame, language: str, text: st
             term = F.struct("folded_term", "entry_id", "source_term", "preferred_translation")
             listed = local.groupBy("project_id").agg(F.collect_list(term).alias("terms"))
             hits = F.filter("terms", lambda t: F.contains(F.col("folded"), t["folded_term"]))
-            found = rows.join(F.broadcast(listed), "project_id").select(
-                "project_id", "page_id", "region_id", F.explode(hits).alias("t")
-            )
-            return found.select("project_id", "page_id", "region_id", "t.entry_id", "t.source_term", "t.preferred_translation")
+            found = rows.join(F.broadcast(listed), "project_id").select(*own, F.explode(hits).alias("t"))
+            return found.select(*own, "t.entry_id", "t.source_term", "t.preferred_translation")
         lengths = sorted({n for r in sizes for n in r["lengths"]})
         wanted = local.groupBy("project_id").agg(F.collect_set("gram").alias("wanted"))
         found = rows.join(F.broadcast(wanted), "project_id").select(
-            "project_id", "page_id", "region_id", "folded",
+            *own, "folded",
             F.explode(F.array_intersect(_grams(F.col("folded"), lengths), F.col("wanted"))).alias("gram"),
         )
         return (
@@ -77,6 +88,16 @@ def glossary_hits(texts: DataFrame, glossary: DataFrame, language: str, text: st
             .select(*keep)
         )
 
+    sent = terms.select("project_id", "folded_term", "entry_id", "source_term", "preferred_translation")
+    weight = F.sum(F.octet_length("folded_term") + F.octet_length("source_term") + F.octet_length("preferred_translation"))
+    size = sent.agg(F.count(F.lit(1)).alias("n"), weight.alias("bytes")).first()
+    if size["n"] <= SENT_TERMS and size["bytes"] <= SENT_BYTES:
+        # the terms travel to the texts as well, but too many to be tested by expressions
+        shared = texts.sparkSession.sparkContext.broadcast(sent.toArrow())
+        kinds = {**dict(rows.dtypes), **dict(sent.dtypes)}
+        schema = ", ".join(f"{c} {kinds[c]}" for c in keep)
+        return rows.where(F.col("project_id").isNotNull()).mapInArrow(termscan.scan(shared, own), schema)
+
     lengths = list(range(1, GRAM_LENGTH + 1))
     keys = rows.select("project_id", "page_id", "region_id", F.explode(_grams(F.col("folded"), lengths)).alias("gram"))
     candidates = keys.join(terms, ["project_id", "gram"]).drop("gram")

@@ -49,10 +49,8 @@ def qa_check(regions: DataFrame, glossary: DataFrame | None, language: str, mode
     checked = regions
     mismatch: Column = F.lit(False)
     if glossary is not None:
-        hits = glossary_hits(regions, glossary, language)
-        texts = regions.select("page_id", "region_id", "source_text", "translated_text")
         wrong = (
-            hits.join(texts, ["page_id", "region_id"])
+            glossary_hits(regions, glossary, language, carry=["source_text", "translated_text"])
             .where(
                 F.contains(F.lower("source_text"), F.lower("source_term"))
                 & ~F.contains(F.lower(translated), F.lower("preferred_translation"))

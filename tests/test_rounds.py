@@ -289,3 +289,36 @@ def test_median_of_many_distinct_values(spark):
     frame = spark.range(2_000_000).select(F.lit(1).alias("g"), (F.hash("id") + F.col("id") / 2e6).alias("v"))
     found = grouping.upper_median(frame, ["g"], "v", limit=100_000).first()["median"]
     assert found == frame.orderBy("v").offset(1_000_000).first()["v"]
+
+
+def test_terms_found_by_hashes(spark, monkeypatch):
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abcé ") for _ in range(rng.randrange(1, 7)))
+    terms = [(p, i, word() * rng.choice([1, 1, 4]), "en", f"t{i}") for i in range(300) for p in (1, 2) if rng.random() < 0.7]
+    terms += [(1, 900, "Élan", "en", "x"), (1, 901, "élan", "en", "y"), (3, 902, "😀 ok", "en", "z")]
+    texts = [(p, i, f"r{i}", "".join(word() for _ in range(rng.randrange(30)))) for i in range(200) for p in (1, 2)]
+    texts += [(1, 900, "a", "ELAN elan"), (3, 901, "b", "say 😀 OK!"), (1, 902, "c", None), (1, 903, "d", ""), (None, 904, "e", "elan"), (2, 905, "f", "abc" * 200_000)]
+    frame = spark.createDataFrame(texts, "project_id long, page_id long, region_id string, source_text string").repartition(3)
+    listed = spark.createDataFrame(terms, "project_id long, entry_id long, source_term string, lang string, translation string")
+    want = sorted(map(tuple, glossary.glossary_hits(frame, listed, "en").collect()), key=repr)
+    monkeypatch.setattr(glossary, "small_table", lambda df: None)
+    monkeypatch.setattr(glossary.termscan, "BLOCK", 500)
+    for most in (glossary.SENT_TERMS, 0):  # by hashes, by a join of grams
+        monkeypatch.setattr(glossary, "SENT_TERMS", most)
+        assert sorted(map(tuple, glossary.glossary_hits(frame, listed, "en").collect()), key=repr) == want and len(want) > 500
+
+
+def test_a_million_terms(spark):
+    """No text is shuffled, and every planted term is found."""
+    terms = spark.range(1_000_000).select(
+        (F.col("id") % 3).alias("project_id"), F.col("id").alias("entry_id"), F.concat(F.lit("term "), F.sha1(F.col("id").cast("string")).substr(1, 12)).alias("source_term"),
+        F.lit("en").alias("lang"), F.concat(F.lit("t"), "id").alias("translation"),
+    )
+    texts = spark.range(4000).select(
+        (F.col("id") * 250 % 3).alias("project_id"), F.col("id").alias("page_id"), F.lit("r").alias("region_id"),
+        F.concat(F.lit("so the "), F.repeat(F.lit("usual words go on "), 20), F.lit("TERM "), F.sha1((F.col("id") * 250).cast("string")).substr(1, 12), F.lit(".")).alias("source_text"),
+    )
+    found = glossary.glossary_hits(texts, terms, "en")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert {(r.page_id, r.entry_id) for r in found.collect()} == {(i, 250 * i) for i in range(4000)}
