@@ -42,12 +42,16 @@ def _merge(kept: Column, new: Column) -> Column:
 
 
 def _echo_candidates(rows: DataFrame) -> DataFrame:
-    """Pairs of a page that can be echoes, by prefix filtering on letters.
+    """Links between regions of a page that can be echoes: pairs of texts, and every region with the first one of its text.
 
-    The shorter text must share 70 % of its letters, so one of its rarest letters
-    (all but 70 %, plus one) must occur in the other text.
+    Equal texts are compared once, whatever the number of regions that show them.  Other
+    texts meet by prefix filtering on letters: the shorter one must share 70 % of its
+    letters, so one of its rarest letters (all but 70 %, plus one) must occur in the other.
     """
-    texts = rows.where(F.length("key") >= ECHO_LENGTH).select("page_id", "region_id", "key", "framed")
+    long = rows.where(F.length("key") >= ECHO_LENGTH)
+    # a text counts as unframed when one of its regions is: that can only add links
+    texts = long.groupBy("page_id", "key").agg(F.min("region_id").alias("region_id"), F.bool_and("framed").alias("framed"))
+    texts = materialize(texts)
     letters = texts.select("page_id", "region_id", "key", "framed", F.explode(F.array_distinct(characters(F.col("key")))).alias("c"))
     rarity = letters.groupBy("page_id", "c").agg(F.count(F.lit(1)).alias("_f"))
     ranked = letters.join(rarity, ["page_id", "c"]).groupBy("page_id", "region_id", "key", "framed").agg(
@@ -62,13 +66,16 @@ def _echo_candidates(rows: DataFrame) -> DataFrame:
     prefix = ranked.select("page_id", "region_id", "key", "framed", F.explode(F.filter(running, lambda e: e["before"] < need)).alias("e"))
     probe = prefix.select("page_id", F.col("e.c").alias("c"), F.struct("region_id", "key", "framed").alias("a"))
     build = letters.select("page_id", "c", F.struct("region_id", "key", "framed").alias("b"))
-    return (
+    pairs = (
         probe.join(build, ["page_id", "c"])
         .where((F.col("a.region_id") != F.col("b.region_id")) & (F.length("a.key") <= F.length("b.key")))
         .where(_echo(F.col("a"), F.col("b")))
         .select("page_id", F.col("a.region_id").alias("a"), F.col("b.region_id").alias("b"))
         .distinct()
     )
+    first = texts.select("page_id", "key", F.col("region_id").alias("a"))
+    equal = long.select("page_id", "key", F.col("region_id").alias("b")).join(first, ["page_id", "key"]).where(F.col("a") != F.col("b"))
+    return pairs.unionByName(equal.select("page_id", "a", "b"))
 
 
 def dedupe_regions(regions: DataFrame, limit: int = ARRAY_GROUP_LIMIT) -> DataFrame:

@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from inkloom import scale
-from inkloom.operators import edits, glossary, grouping, reading, spatial
+from inkloom.operators import dedupe, edits, glossary, grouping, reading, spatial
 from inkloom.session import _file_system, _WRITTEN, materialize, release, scratch_scope
 
 CHANGE = "project_id long, entry_id long, source_term string, lang string, translation string, note string, seq long, op string"
@@ -322,3 +322,18 @@ def test_a_million_terms(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert {(r.page_id, r.entry_id) for r in found.collect()} == {(i, 250 * i) for i in range(4000)}
+
+
+def test_many_echoes_on_one_page(spark):
+    """20,000 unframed regions that show a handful of texts: their links grow with the regions, not with the pairs."""
+    words = F.array(*[F.lit(t) for t in ("abcdef", "ghijkl", "mnopqr", "stuvwx")])
+    regions = spark.range(20_000).select(
+        F.lit(1).alias("page_id"), F.format_string("r%05d", "id").alias("region_id"), F.col("id").cast("int").alias("ord"),
+        (F.col("id") % 200 / 200).alias("x"), (F.floor(F.col("id") / 200) / 100).alias("y"), F.lit(0.001).alias("width"), F.lit(0.001).alias("height"),
+        F.element_at(words, (F.col("id") % 4 + 1).cast("int")).alias("source_text"),
+        F.lit(False).alias("framed"), (F.col("id") % 100 / 100).alias("confidence"), F.lit("automatic").alias("direction"),
+    )
+    keyed = regions.withColumn("key", F.col("source_text"))
+    assert dedupe._echo_candidates(keyed).count() == 20_000 - 4
+    out = {r.source_text: r.confidence for r in dedupe.dedupe_regions(regions).collect()}
+    assert out == {"abcdef": 0.96, "ghijkl": 0.97, "mnopqr": 0.98, "stuvwx": 0.99}
