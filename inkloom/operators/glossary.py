@@ -1,9 +1,10 @@
 """Glossary resolution against page texts, and last-write-wins glossary maintenance.
 
-A term matches a text when it occurs in it, ignoring case and accents.  Instead
-of testing every term on every text, the first letters of a term (its gram) are
-looked up among the grams of the text, and only those few hits are verified.  Up to
-``SENT_TERMS`` terms travel to the texts, so no text is shuffled.
+A term matches a text when it occurs in it, ignoring case and accents.  Up to
+``SENT_TERMS`` terms travel to the texts, so no text is shuffled: few are tested one by
+one, many are looked up by the hashes of the text's windows (``termscan``).  Above that,
+the first letters of a term (its gram) are joined with the grams of the texts, and only
+those few hits are verified.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from inkloom.scale import carried, number_rows, small_table
 from inkloom.session import materialize
 
 GRAM_LENGTH = 4
-#: Up to so many terms per project it is cheaper to test each term than to cut the text into grams.
+#: Up to so many terms per project it is cheaper to test each term than to hash the windows of the text.
 DIRECT_TERMS = 64
 #: Terms, and bytes of terms, that are sent to every Python worker; above, texts are joined with terms by grams.
 SENT_TERMS = 2_000_000
@@ -67,32 +68,21 @@ def glossary_hits(
     local = small_table(terms)
     if local is not None:
         # the checked-small glossary travels to the texts: no text is shuffled
-        sizes = local.groupBy("project_id").agg(
-            F.count(F.lit(1)).alias("n"), F.collect_set(F.length("gram")).alias("lengths")
-        ).collect()
-        if max((r["n"] for r in sizes), default=0) <= DIRECT_TERMS:
+        most = local.groupBy("project_id").count().agg(F.max("count")).first()[0] or 0
+        if most <= DIRECT_TERMS:
             term = F.struct("folded_term", "entry_id", "source_term", "preferred_translation")
             listed = local.groupBy("project_id").agg(F.collect_list(term).alias("terms"))
             hits = F.filter("terms", lambda t: F.contains(F.col("folded"), t["folded_term"]))
             found = rows.join(F.broadcast(listed), "project_id").select(*own, F.explode(hits).alias("t"))
             return found.select(*own, "t.entry_id", "t.source_term", "t.preferred_translation")
-        lengths = sorted({n for r in sizes for n in r["lengths"]})
-        wanted = local.groupBy("project_id").agg(F.collect_set("gram").alias("wanted"))
-        found = rows.join(F.broadcast(wanted), "project_id").select(
-            *own, "folded",
-            F.explode(F.array_intersect(_grams(F.col("folded"), lengths), F.col("wanted"))).alias("gram"),
-        )
-        return (
-            found.join(F.broadcast(local), ["project_id", "gram"])
-            .where(F.contains("folded", F.col("folded_term")))
-            .select(*keep)
-        )
-
-    sent = terms.select("project_id", "folded_term", "entry_id", "source_term", "preferred_translation")
+
+    sent = (terms if local is None else local).select(
+        "project_id", "folded_term", "entry_id", "source_term", "preferred_translation"
+    )
     weight = F.sum(F.octet_length("folded_term") + F.octet_length("source_term") + F.octet_length("preferred_translation"))
     size = sent.agg(F.count(F.lit(1)).alias("n"), weight.alias("bytes")).first()
-    if size["n"] <= SENT_TERMS and size["bytes"] <= SENT_BYTES:
-        # the terms travel to the texts as well, but too many to be tested by expressions
+    if size["n"] <= SENT_TERMS and (size["bytes"] or 0) <= SENT_BYTES:
+        # so do more terms, but too many to be tested by expressions
         shared = texts.sparkSession.sparkContext.broadcast(sent.toArrow())
         kinds = {**dict(rows.dtypes), **dict(sent.dtypes)}
         schema = ", ".join(f"{c} {kinds[c]}" for c in keep)

@@ -60,6 +60,26 @@ def _tags(column: pa.Array) -> np.ndarray:
     return np.array(values, np.uint64)[coded.indices.to_numpy(zero_copy_only=False)]
 
 
+class _Keys:
+    """A sorted set of hashes behind a table of marks that turns most other hashes away."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(12, int(16 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.marks = np.zeros(1 << bits, bool)
+        self.marks[keys >> self.shift] = True
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``wanted`` are in the set, and the place of the first equal key of each."""
+        maybe = np.flatnonzero(self.marks[wanted >> self.shift])
+        if not len(self.keys):
+            return maybe, maybe
+        place = np.searchsorted(self.keys, wanted[maybe])
+        sure = self.keys[np.minimum(place, len(self.keys) - 1)] == wanted[maybe]
+        return maybe[sure], place[sure]
+
+
 class Terms:
     """Terms of all projects, from a table with project_id and folded_term."""
 
@@ -70,31 +90,29 @@ class Terms:
         tags = _tags(table.column("project_id").combine_chunks())
         keys = _mix(windows.hashes(windows.bounds[:-1], sizes) ^ tags)
         self.order = np.argsort(keys, kind="stable")
-        self.keys = keys[self.order]
+        self.keys = _Keys(keys[self.order])
         self.lengths = np.unique(sizes[sizes > 0]).tolist()
         self.prefixes = {}
         for n in LADDER:
             long = np.flatnonzero(sizes >= n)
-            self.prefixes[n] = np.unique(_mix(windows.hashes(windows.bounds[:-1][long], n) ^ tags[long]))
+            self.prefixes[n] = _Keys(np.unique(_mix(windows.hashes(windows.bounds[:-1][long], n) ^ tags[long])))
 
     def find(self, texts: list[str], tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text, term) numbers of every term that occurs in a text of its project, once each."""
         windows = _Windows(texts)
         row = np.repeat(np.arange(len(texts)), np.diff(windows.bounds))
-        room = windows.bounds[row + 1] - np.arange(len(row)) if len(row) else row
+        room = windows.bounds[row + 1] - np.arange(len(row))
         at, hit_rows, hit_terms, waiting = np.arange(len(row)), [], [], list(LADDER)
         for length in self.lengths:
             while waiting and waiting[0] <= length:
                 n = waiting.pop(0)
                 at = at[room[at] >= n]
-                at = at[_among(_mix(windows.hashes(at, n) ^ tags[row[at]]), self.prefixes[n])]
+                at = at[self.prefixes[n].find(_mix(windows.hashes(at, n) ^ tags[row[at]]))[0]]
             fit = at[room[at] >= length]
-            keys = _mix(windows.hashes(fit, length) ^ tags[row[fit]])
-            left, right = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
-            count = right - left
-            hit = np.flatnonzero(count)
-            steps = np.repeat(left[hit], count[hit]) + np.arange(count[hit].sum()) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit])
-            hit_rows.append(np.repeat(row[fit[hit]], count[hit]))
+            hit, left = self.keys.find(_mix(windows.hashes(fit, length) ^ tags[row[fit]]))
+            count = np.searchsorted(self.keys.keys, self.keys.keys[left], "right") - left
+            steps = np.repeat(left, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            hit_rows.append(np.repeat(row[fit[hit]], count))
             hit_terms.append(self.order[steps])
         if not hit_rows:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -104,11 +122,6 @@ class Terms:
         return rows[same], terms[same]
 
 
-def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
-    place = np.searchsorted(known, keys)
-    return (place < len(known)) & (known[np.minimum(place, len(known) - 1)] == keys) if len(known) else np.zeros(len(keys), bool)
-
-
 def scan(shared, columns: list[str]):
     """Task of ``mapInArrow`` over rows with project_id and folded: the row's other columns and the term's, per hit."""
     built: list[Terms] = []
