@@ -19,18 +19,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkloom.llm.blocks import _LOWER, Block, KeyIndex, text_blocks
+from inkloom.session import checkpointed
 
 #: Bytes of context before the coded byte.
 ORDER = 3
 #: Labelled rows per language that the trees are counted from, in expectation.
 SAMPLE_DOCS = 600
-#: Languages, and grams of the longest order per language, that a model may hold; the most frequent stay.
-MAX_LANGUAGES = 200
-MAX_GRAMS = 400_000
+#: Languages times grams of the longest order that a model may hold; shorter orders have fewer.
+MAX_CELLS = 1 << 25
 UNDETERMINED = "und"
 RESULT = "struct<lang_pred string, score double, bits_per_byte double>"
 
@@ -90,43 +90,48 @@ class ContextTrees:
 
 
 def build_trees(languages: list[str], language: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> ContextTrees:
-    """Trees of all orders from the counts of the longest grams (shorter contexts are their marginals)."""
+    """Trees of all orders from the counts of the longest grams (shorter contexts are their marginals).
+
+    Cells are written language by language, so what is held besides the trees is one row.
+    """
     trees = ContextTrees(languages, [], [], [], [])
+    order = np.argsort(language, kind="stable")
+    language, keys, counts = language[order], keys[order], counts[order]
+    edges = np.searchsorted(language, np.arange(len(languages) + 1))
     for k in range(ORDER + 1):
         low = keys & np.uint32(0xFFFFFFFF >> (8 * (ORDER - k)))
         gram_keys, gram_of = np.unique(low, return_inverse=True)
         context_keys, context_of = np.unique(gram_keys >> np.uint32(8), return_inverse=True)
-        shape = (len(languages), len(gram_keys))
-        seen = np.zeros(shape)
-        np.add.at(seen, (language, gram_of), counts)
-        totals = np.zeros((len(languages), len(context_keys)))
-        distinct = np.zeros_like(totals)
-        for row in range(len(languages)):
-            totals[row] = np.bincount(context_of, seen[row], len(context_keys))
-            distinct[row] = np.bincount(context_of, seen[row] > 0, len(context_keys))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escapes = np.where(distinct > 0, -np.log2(distinct / (totals + distinct)), 0.0)
-            direct = -np.log2(seen / (totals + distinct)[:, context_of])
+        costs = np.empty((len(languages), len(gram_keys)), np.float32)
+        escapes = np.zeros((len(languages), len(context_keys)), np.float32)
         if k:
             shorter = KeyIndex(trees.gram_keys[k - 1]).find(gram_keys & np.uint32(0xFFFFFFFF >> (8 * (ORDER - k + 1))))
-            base = trees.costs[k - 1][:, shorter]
-        else:
-            base = np.full(shape, 8.0)
+        for row in range(len(languages)):
+            own = slice(edges[row], edges[row + 1])
+            seen = np.bincount(gram_of[own], counts[own], len(gram_keys))
+            distinct = np.bincount(context_of, seen > 0, len(context_keys))
+            whole = np.bincount(context_of, seen, len(context_keys)) + distinct
+            known, met = distinct > 0, seen > 0
+            escapes[row, known] = -np.log2(distinct[known] / whole[known])
+            costs[row] = (trees.costs[k - 1][row, shorter] if k else 8.0) + escapes[row, context_of]
+            costs[row, met] = -np.log2(seen[met] / whole[context_of[met]])
         trees.gram_keys.append(gram_keys)
         trees.context_keys.append(context_keys)
-        trees.costs.append(np.where(seen > 0, direct, base + escapes[:, context_of]))
+        trees.costs.append(costs)
         trees.escapes.append(escapes)
     return trees
 
 
-def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ContextTrees:
+def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_cells: int = MAX_CELLS) -> ContextTrees:
     """Count the trees from rows with ``doc_id``, ``text`` and a non-null ``lang``.
 
     The counts come from a sample of about ``sample_docs`` rows per language, chosen
-    by a hash of doc_id; all other steps of the operator cover every row.
+    by a hash of doc_id; all other steps of the operator cover every row.  Every language takes
+    part.  If languages times grams pass ``max_cells``, the grams that rank highest in any
+    language's own counts stay, so each language keeps about as many of its frequent grams.
     """
     rows = labelled.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return build_trees([], np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0))
@@ -152,14 +157,15 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ContextTrees:
             keys, n = _merged(parts)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
 
-    counted = sample.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    room, least = MAX_GRAMS * len(languages), 1
-    for row in counted.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
-        room -= row["count"]
-        if room < 0:
-            least = row["n"] + 1  # rarer grams than this do not fit
-            break
-    kept = counted.where(F.col("n") >= least).toArrow()
+    kept = checkpointed(sample.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    gram = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
+    room = max(max_cells // len(languages), 256)
+    if kept.select(gram).distinct().count() > room:
+        own = Window.partitionBy(F.shiftright("key", 32)).orderBy(F.desc("n"), "key")
+        ranked = kept.select(gram.alias("gram"), F.row_number().over(own).alias("rank"))
+        best = ranked.groupBy("gram").agg(F.min("rank").alias("rank")).orderBy("rank", "gram").limit(room)
+        kept = kept.join(best.select("gram"), gram == F.col("gram"), "left_semi")
+    kept = kept.toArrow()
     keys, n = kept.column("key").to_numpy(), kept.column("n").to_numpy()
     return build_trees(languages, keys >> 32, (keys & 0xFFFFFFFF).astype(np.uint32), n.astype(np.float64))
 
@@ -198,7 +204,7 @@ def identify(docs: DataFrame, trees: ContextTrees, text: str = "text") -> DataFr
     under a model without languages.  Equal code lengths go to the first language in
     order.  Input columns with the names of the new ones are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by MAX_LANGUAGES and MAX_GRAMS
+    shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by MAX_CELLS
 
     @F.arrow_udf(RESULT)
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -79,6 +79,18 @@ def test_language_cases(spark):
     assert language.identify(docs.where("false"), trees).count() == 0
 
 
+def test_many_languages_in_bounded_cells(spark):
+    """No language is left out, however many there are; a tight bound takes grams, not languages."""
+    names = [f"{a}{b}" for a in "abcdefghijklmnop" for b in "abcdefghijklmnopqrst"]  # 320 languages
+    rows = [(i, f"{n}u{n}o {n}{n}a {n}u", n) for i, n in enumerate(names) for _ in range(2)]
+    trees = language.train(frame(spark, rows), max_cells=320 * 2000)
+    assert trees.languages == sorted(names)
+    assert all(c.shape[0] == 320 and c.shape[1] <= 2000 and c.dtype == np.float32 for c in trees.costs)
+    assert len(trees.gram_keys[-1]) == 2000 < len(language.train(frame(spark, rows)).gram_keys[-1])
+    judged = language.identify(frame(spark, rows).withColumn("truth", F.col("lang")), trees)
+    assert judged.where("truth = lang_pred").count() >= 0.9 * len(rows)
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     trees = language.train(docs.where(~language.held_out()))
