@@ -20,9 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkloom.functions.boxes import let
 from inkloom.session import checkpointed
 
 CONTEXT = 80
+#: Spans of a text up to which it is cut by substrings, and values that one fold appends.
+CHUNK = 64
 SUPPORT = 2
 BITS = 8.0
 MOST = 0.9
@@ -48,18 +51,47 @@ TERM = r"(?<!\p{L})\p{L}{3,}(?!\p{L})"
 SPAN = "array<struct<start: int, end: int, kind: int, value: string>>"
 
 
+def _before(values: Column, combine, chunk: int = CHUNK) -> Column:
+    """For every value, what ``combine`` makes of 0 and all values before it; the last entry is for the end.
+
+    A fold that appends to an array copies it at every step, so it runs over ``chunk`` values
+    at a time: the chunks' own results are folded first, then every chunk from where it begins.
+    ``combine`` must be associative.
+    """
+
+    def fold(start: Column, part: Column) -> Column:
+        return F.aggregate(part, F.array(start), lambda out, x: F.array_append(out, combine(F.element_at(out, -1), x)))
+
+    def chunked(all_: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / chunk).cast("int"))
+        part = lambda c: F.slice(all_, c * chunk + 1, F.lit(chunk))
+        whole = F.transform(numbers, lambda c: F.aggregate(part(c), F.lit(0), combine))
+        return let(
+            fold(F.lit(0), whole),
+            lambda begin: F.array_append(
+                F.flatten(F.transform(numbers, lambda c: F.slice(fold(begin[c], part(c)), F.lit(1), F.size(part(c))))), F.element_at(begin, -1)
+            ),
+        )
+
+    return let(values, lambda all_: F.when(F.size(all_) > chunk, chunked(all_)).otherwise(fold(F.lit(0), all_)))
+
+
 def _located(text: Column, pattern: Column, kind: int) -> Column:
-    """Spans of all matches: the pieces between them give the places."""
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    """Spans of all matches: the lengths of the pieces between them give the places."""
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"))
 
-    def step(s: Column, pair: Column) -> Column:
-        start = s["at"] + F.length(pair["piece"])
-        end = start + F.coalesce(F.length(pair["match"]), F.lit(0))
-        found = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), pair["match"].alias("value"))
-        return F.struct(end.alias("at"), F.when(pair["match"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(found))).alias("out"))
+    def spans(pair: Column) -> Column:
+        lengths = F.transform(pair, lambda p: F.length(p["piece"]) + F.coalesce(F.length(p["match"]), F.lit(0)))
+        placed = lambda before: F.transform(pair, lambda p, i: F.struct(before[i].alias("at"), p["piece"].alias("piece"), p["match"].alias("match")))
+        matched = F.filter(let(_before(lengths, lambda x, y: x + y), placed), lambda p: p["match"].isNotNull())
+
+        def span(p: Column) -> Column:
+            start = p["at"] + F.length(p["piece"])
+            return F.struct(start.alias("start"), (start + F.length(p["match"])).alias("end"), F.lit(kind).alias("kind"), p["match"].alias("value"))
 
-    return F.aggregate(pairs, state, step, lambda s: s["out"])
+        return F.transform(matched, span)
+
+    return let(pairs, spans)
 
 
 def _digits(value: Column) -> Column:
@@ -123,14 +155,28 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def _near(text: Column, span: Column) -> Column:
-    """Whole words near a span; the spaces keep words at the text's own ends, cut words fall away."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    low = F.greatest(span["start"] + 1 - CONTEXT, F.lit(1))
-    before = F.substring(padded, low, span["start"] + 2 - low)
-    after = F.substring(padded, span["end"] + 2, F.lit(CONTEXT))
+def _nearby(text: Column, base: Column) -> Column:
+    """(entity, terms) of every span: the whole words near it.
+
+    Spaces keep words at the text's own ends, cut words fall away.  As in ``_replaced``, a text of
+    many spans is cut as an array of its characters.
+    """
     inside = lambda part: F.regexp_extract_all(part, F.lit(r"(?<=[^\p{L}])\p{L}{3,}(?=[^\p{L}])"), F.lit(0))
-    return F.array_distinct(F.transform(F.concat(inside(before), inside(F.concat(F.lit(" "), after))), F.lower))
+
+    def near(cut) -> Column:
+        def of(span: Column) -> Column:
+            low = F.greatest(span["start"] + 1 - CONTEXT, F.lit(1))
+            before = cut(low, span["start"] + 2 - low)
+            after = F.concat(F.lit(" "), cut(span["end"] + 2, F.lit(CONTEXT)))
+            terms = F.array_distinct(F.transform(F.concat(inside(before), inside(after)), F.lower))
+            return F.struct(_entity(span).alias("entity"), F.array_append(terms, F.lit("")).alias("terms"))
+
+        return F.transform(base, of)
+
+    padded = F.concat(F.lit(" "), text, F.lit(" "))
+    by_walk = let(padded, lambda p: near(lambda at, size: F.substring(p, at, size)))
+    by_array = let(F.split(padded, ""), lambda chars: near(lambda at, size: F.array_join(F.slice(chars, at, size), "")))
+    return F.when(F.size(base) > CHUNK, by_array).otherwise(by_walk)
 
 
 def _texts_per_term(docs: DataFrame, wanted: DataFrame, round_keys: int) -> tuple[DataFrame, int]:
@@ -161,10 +207,8 @@ def disclosing_terms(
     docs: DataFrame, found: DataFrame, bits: float, support: int, certain: float, most: float = MOST, round_keys: int = BROADCAST_COPIES
 ) -> DataFrame:
     """(entity, term, certain) of every pair beyond the thresholds; ``found`` has the texts with base spans, written once."""
-    marked = found.where(F.size("base") > 0).select(F.xxhash64("text").alias("key"), "text", "base")
-    pairs = marked.select("key", "text", F.explode("base").alias("span")).select(
-        "key", _entity(F.col("span")).alias("entity"), F.explode(F.array_append(_near(F.col("text"), F.col("span")), F.lit(""))).alias("term")
-    )
+    marked = found.where(F.size("base") > 0).select(F.xxhash64("text").alias("key"), F.explode(_nearby(F.col("text"), F.col("base"))).alias("near"))
+    pairs = marked.select("key", "near.entity", F.explode("near.terms").alias("term"))
     # a pair with the empty term counts the texts of the entity itself
     counted = pairs.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair")).where(F.col("n_pair") >= support)
     counted = checkpointed(counted)
@@ -195,13 +239,24 @@ def _replaced(text: Column, spans: Column) -> Column:
     """The text with every span's kind in brackets, or nothing for removed terms; overlaps go to the earlier span."""
     names = F.array(*[F.lit("" if k == "removed" else f"[{k.upper()}]") for k in KINDS])
 
-    def step(s: Column, span: Column) -> Column:
-        gap = F.substring(text, s["at"] + 1, F.greatest(span["start"] - s["at"], F.lit(0)))
-        label = F.when(span["start"] >= s["at"], F.element_at(names, span["kind"] + 1)).otherwise("")
-        return F.struct(F.greatest(s["at"], span["end"]).alias("at"), F.concat(s["out"], gap, label).alias("out"))
+    def pieces(cut) -> Column:
+        """Every span as the text since the end before it and its name, then the rest."""
+        ends = F.transform(spans, lambda s: s["end"])
+
+        def joined(done: Column) -> Column:
+            def piece(s: Column, i: Column) -> Column:
+                label = F.when(s["start"] >= done[i], F.element_at(names, s["kind"] + 1)).otherwise("")
+                return F.concat(cut(done[i], F.greatest(s["start"] - done[i], F.lit(0))), label)
+
+            last = F.element_at(done, -1)
+            return F.concat(F.array_join(F.transform(spans, piece), ""), cut(last, F.greatest(F.length(text) - last, F.lit(0))))
+
+        return let(_before(ends, lambda x, y: F.greatest(x, y)), joined)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    # a substring walks the text from its start, so a text of many spans is cut as an array of its characters
+    by_walk = pieces(lambda at, size: F.substring(text, at + 1, size))
+    by_array = let(F.split(text, ""), lambda chars: pieces(lambda at, size: F.array_join(F.slice(chars, at + 1, size), "")))
+    return F.when(F.size(spans) == 0, text).when(F.size(spans) > CHUNK, by_array).otherwise(by_walk)
 
 
 def sanitize(docs: DataFrame, bits: float = BITS, support: int = SUPPORT, certain: float = CERTAIN) -> DataFrame:

@@ -217,6 +217,27 @@ def test_personal_data(spark):
     assert pii.sanitize(frame(spark, [])).count() == 0
 
 
+def test_personal_data_of_long_texts(spark):
+    """Many matches in one text, and every number of spans around the chunks of the fold."""
+    texts = [" ".join(f"é{i} a{i}@b.co" for i in range(n)) for n in (1, 63, 64, 65, 128, 129, 200)] + [" ".join(f"u{i}@host.example" for i in range(100_000))]
+    got = pii.sanitize(frame(spark, list(enumerate(texts)))).select("doc_id", "clean_text", pii.listed(F.col("base")).alias("base")).collect()
+    for r in got:
+        assert r.base == brute.personal(texts[r.doc_id])
+    clean = {r.doc_id: r.clean_text for r in got}
+    assert clean[7] == " ".join(["[EMAIL]"] * 100_000)
+    assert clean[5] == " ".join(f"é{i} [EMAIL]" for i in range(129))
+
+
+def test_overlapping_spans_go_to_the_earlier(spark):
+    rows = spark.createDataFrame([("abcdefghij" * 30, [(i * 3, i * 3 + w, 0, "") for i in range(n)]) for n in (3, 90) for w in (2, 3, 5, 40)], f"text string, spans {pii.SPAN}")
+    for r in rows.select("text", "spans", pii._replaced(F.col("text"), F.col("spans")).alias("out")).collect():
+        want, at = "", 0
+        for s in r.spans:
+            want += r.text[at : max(at, s.start)] + ("[EMAIL]" if s.start >= at else "")
+            at = max(at, s.end)
+        assert r.out == want + r.text[at:]
+
+
 def test_disclosing_terms(spark, corpus):
     plain = [(i, f"the mail of staff number{chr(97 + i % 20)} is somewhere in here") for i in range(2000)]
     told = [(5000 + i, f"ask Zorblatt the captain at zz@ship.example today, {i}") for i in range(3)] + [(5003, "ask Zorblatt the captain at zz@ship.example today, 0")]
