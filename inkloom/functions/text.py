@@ -33,7 +33,15 @@ def compact(text: Column) -> Column:
 
 
 def visible_length(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"[\s\p{Z}]+", ""))
+    return cluster_length(F.regexp_replace(text, r"[\s\p{Z}]+", ""))
+
+
+def cluster_length(text: Column) -> Column:
+    """Number of grapheme clusters, what a reader counts as characters: a letter with its marks, a joined emoji, a line break.
+
+    Printable ASCII, where every code point is a cluster, is measured without the pattern.
+    """
+    return F.when(text.rlike(r"[^\x20-\x7E]"), F.size(F.regexp_extract_all(text, F.lit(r"\X"), F.lit(0)))).otherwise(F.length(text))
 
 
 @lru_cache(maxsize=1)

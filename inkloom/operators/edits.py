@@ -653,12 +653,12 @@ def replay_edits(log: DataFrame, start: DataFrame | None = None, keep: int = HIS
     return out.unionByName(ordered.mapInArrow(_replay_in_order(keep), schema))
 
 
-def tail_log(entries: DataFrame, keep: int = 500) -> DataFrame:
-    """The last ``keep`` entries per application, texts trimmed and capped, blank messages dropped."""
+def tail_log(entries: DataFrame, keep: int = 500, message_length: int = 8000, category_length: int = 80) -> DataFrame:
+    """The last ``keep`` entries per application, texts trimmed and cut to their lengths, blank messages dropped."""
     from inkloom.scale import top_rows
 
-    message = F.left(strip(F.col("message")), F.lit(8000))
-    category = F.left(strip(F.col("category")), F.lit(80))
+    message = F.left(strip(F.col("message")), F.lit(message_length))
+    category = F.left(strip(F.col("category")), F.lit(category_length))
     clean = entries.withColumns(
         {"message": message, "category": F.when(category == "", "App").otherwise(F.coalesce(category, F.lit("App")))}
     ).where(F.col("message") != "")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkloom.functions.boxes import clip01
 from inkloom.functions.text import (
+    cluster_length,
     compact,
     multiset_overlap,
     none_if_blank,
@@ -60,7 +61,7 @@ def qa_check(regions: DataFrame, glossary: DataFrame | None, language: str, mode
         )
         checked = regions.join(wrong, ["page_id", "region_id"], "left")
         mismatch = F.coalesce(F.col("_mismatch"), F.lit(False))
-    too_long = F.length(translated) > F.greatest(F.lit(1), F.length("source_text")) * LENGTH_LIMIT[mode]
+    too_long = cluster_length(translated) > F.greatest(F.lit(1), cluster_length(F.col("source_text"))) * LENGTH_LIMIT[mode]
     flags = sorted_flags(
         F.when(translated == "", "missingTranslation"),
         F.when(F.col("translation_confidence") < 0.65, "modelUncertain"),

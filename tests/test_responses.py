@@ -4,7 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from inkloom.operators import quality, responses
+from inkloom.functions.text import cluster_length, visible_length
+from inkloom.operators import edits, quality, responses
 
 EXPECTED = "request_id string, region_id string"
 
@@ -88,3 +89,29 @@ def test_script_folding_has_no_row_limit(spark):
     letters = spark.range(0x4E00, 0x9000).select(F.lit("zh-hant").alias("script"), F.call_function("char", F.lit(97)).alias("to_char"), F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("from_char"))
     rows = spark.createDataFrame([("一龍", "zh-Hant"), ("一", "en"), (None, "zh-Hant")], "translated_text string, lang string")
     assert [r[0] for r in quality.normalize_script(rows, letters).collect()] == ["a龍", "一", None]
+
+
+def test_lengths_count_what_a_reader_sees(spark):
+    cases = [
+        ("plain text", 10, 9), ("", 0, 0), (None, None, None), ("e\u0301a", 2, 2), ("a\r\nb", 3, 2), ("한\u1112\u1161\u11ab", 2, 2),
+        ("\U0001f1eb\U0001f1f7!", 2, 2), ("\U0001f44d\U0001f3fd ok", 4, 3), ("龍の e\u0308", 4, 3), ("x" * 1_000_000 + "é", 1_000_001, 1_000_001),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "i int, t string")
+    got = rows.select("i", cluster_length(F.col("t")), visible_length(F.col("t"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == {i: (n, v) for i, (_, n, v) in enumerate(cases)}
+
+
+def test_marks_do_not_make_a_translation_too_long(spark):
+    marked = "e\u0301\u0323" * 5  # five letters, fifteen code points
+    rows = [("p", "g", "r1", "abcde", marked, 0.9), ("p", "g", "r2", marked, "x" * 10, 0.9), ("p", "g", "r3", "abcde", "x" * 9, 0.9)]
+    regions = spark.createDataFrame(rows, "project_id string, page_id string, region_id string, source_text string, translated_text string, translation_confidence double")
+    flags = {r.region_id: r.qa_flags for r in quality.qa_check(regions, None, "en").collect()}
+    assert flags == {"r1": [], "r2": ["excessiveLength"], "r3": []}
+    assert spark.range(1).select(responses.character_budget(F.lit(marked * 4), "balanced")).first()[0] == 31
+
+
+def test_log_lengths_are_parameters(spark):
+    rows = spark.createDataFrame([("a", 1, 1, " " + "m" * 9000, "c" * 90), ("a", 2, 2, "short", " ")], "app string, ts int, entry_id int, message string, category string")
+    cut = lambda **how: {r.entry_id: (len(r.message), len(r.category)) for r in edits.tail_log(rows, **how).collect()}
+    assert cut() == {1: (8000, 80), 2: (5, 3)}
+    assert cut(message_length=3, category_length=2) == {1: (3, 2), 2: (3, 3)}
