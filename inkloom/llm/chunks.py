@@ -20,9 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.llm.blocks import BYTE_VALUES, Block, text_blocks
+from inkloom.session import checkpointed
 
 #: Bytes that decide a boundary, least and most bytes of a chunk.
 REACH, LEAST, MOST = 16, 32, 256
+#: Fewer digests than this are ever sent to all tasks: those that each hold more than this share of the repeated chunks.
+HOT_DIGESTS = 1000
 #: Bits 11-15 of the hash: bit 15 still feels the byte 15 places back, none feels one before.
 _MASK = np.uint32(0b11111 << 11)
 _GEAR = (BYTE_VALUES & np.uint64(0xFFFF)).astype(np.uint32)
@@ -129,7 +132,7 @@ def _cut(texts: pa.Array, repeats: pa.Array) -> pa.Array:
 CUT = "struct<n_bytes long, n_removed long, removed array<struct<start: long, stop: long>>, kept_text string>"
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
+def drop_repeats(docs: DataFrame, hot: int = HOT_DIGESTS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, removed, kept_text): texts without chunks that occur earlier.
 
     ``removed`` holds byte ranges of the UTF-8 text.  A null text has no chunks and stays
@@ -137,16 +140,28 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     occurrences: a chunk that one of them has at the same place is not earlier.  Of repeated
     chunks only a text's last one stays, if it has less than ``LEAST`` bytes and follows no other.  Rows with
     a null id are returned whole and are no source.  Other columns take no part.
+
+    Chunks meet the first occurrence of their digest by a shuffle; digests that hold more
+    than one in ``hot`` of all repeated chunks, fewer than ``hot``, travel to the chunks instead.
     """
     docs = docs.select("doc_id", "text")
     chunks = docs.where(F.col("doc_id").isNotNull()).mapInArrow(_chunked, CHUNK)
-    first = (
+    place = F.struct("doc_id", "start")
+    first = checkpointed(
         chunks.groupBy("d1", "d2")
-        .agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"))
+        .agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n"))
         .where(F.col("first") < F.col("last"))
-        .select("d1", "d2", "first")
+        .select("d1", "d2", "first", "n")
     )
-    later = chunks.join(first, ["d1", "d2"]).where(F.struct("doc_id", "start") > F.col("first"))
+    total = first.agg(F.sum("n")).first()[0] or 0
+    # fewer than ``hot`` digests can each hold more than this share
+    busy = first.where(F.col("n") * hot > total).select("d1", "d2", F.col("first").alias("busy_first"))
+    told = chunks.join(F.broadcast(busy), ["d1", "d2"], "left").withColumn("busy", F.col("busy_first").isNotNull())
+    told = told.where(~F.col("busy") | (place > F.col("busy_first")))
+    # chunks of busy digests are decided: they go anywhere
+    away = F.xxhash64("doc_id", "start")
+    dealt = told.select("doc_id", "start", "stop", "busy", *[F.when(F.col("busy"), away).otherwise(F.col(d)).alias(d) for d in ("d1", "d2")])
+    later = dealt.join(first.drop("n"), ["d1", "d2"], "left").where(F.col("busy") | (place > F.col("first")))
     repeats = later.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("repeats"))
     cut = F.arrow_udf(_cut, CUT)(F.col("text"), F.col("repeats"))
     return docs.join(repeats, "doc_id", "left").select("doc_id", cut.alias("c")).select("doc_id", "c.*")

@@ -387,3 +387,16 @@ def test_chat_round_trip(spark, corpus):
         assert back[conv].formatted_chars == len(got[conv].formatted)
     assert chat.format_conversations(table.where("false")).count() == 0
     assert hashlib.sha256(b"").hexdigest() == brute.digest("")
+
+
+def test_busy_chunks(spark):
+    """Digests of any frequency: the same rows whether none, some or all of the repeated ones travel to the chunks."""
+    rng = random.Random(9)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(700)) for _ in range(5)]
+    rows = [(i, f"{i} " + passages[0] + (passages[rng.randrange(5)] if i % 3 else "")) for i in range(90)]
+    rows += [(7, rows[7][1]), (None, passages[0]), (200, None), (201, "")]
+    docs = frame(spark, rows)
+    results = [sorted(map(str, chunks.drop_repeats(docs, hot=hot).collect())) for hot in (0, 20, 1000)]
+    assert results[0] == results[1] == results[2]
+    removed = {r.doc_id: r.n_removed for r in chunks.drop_repeats(docs, hot=20).collect()}
+    assert removed[0] == 0 and all(removed[i] > 500 for i in range(1, 90))
