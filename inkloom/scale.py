@@ -9,9 +9,12 @@ that spreads one group over many tasks, with the same result.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 from inkloom.session import materialize
 
@@ -21,18 +24,41 @@ WINDOW_GROUP_LIMIT = 1_000_000
 ARRAY_GROUP_LIMIT = 512
 #: Rows that may be brought to the driver as a key list or broadcast table.
 SMALL_TABLE_ROWS = 20_000
+#: Bytes of the texts and nested values of one such row; a table with a longer row is not small.
+SMALL_ROW_BYTES = 2_048
 
 
-def small_table(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFrame | None:
-    """``df`` as a broadcastable local relation, or None when it has more rows than ``limit``."""
-    rows = df.limit(limit + 1).collect()  # bounded by the limit
-    if len(rows) > limit:
+def _bounded_rows(df: DataFrame, limit: int) -> list[Row] | None:
+    """All rows of ``df``, or None when there are more than ``limit`` or one is longer than ``SMALL_ROW_BYTES``.
+
+    Rows are measured where they are and long ones do not travel, so at most ``limit`` times that many bytes reach the driver.
+    """
+    lengths = []
+    for field in df.schema:
+        value = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            lengths.append(F.octet_length(value))
+        elif isinstance(field.dataType, (ArrayType, MapType, StructType)):
+            lengths.append(F.octet_length(F.to_json(F.struct(value.alias("v")))))
+    if not lengths:
+        rows = df.limit(limit + 1).collect()
+        return rows if len(rows) <= limit else None
+    total = reduce(add, [F.coalesce(n, F.lit(0)).cast("long") for n in lengths])
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    found = df.select(F.when(total <= SMALL_ROW_BYTES, row).alias("row")).limit(limit + 1).collect()
+    if len(found) > limit or any(r.row is None for r in found):
         return None
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return [r.row for r in found]
+
+
+def small_table(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFrame | None:
+    """``df`` as a broadcastable local relation, or None when it has more rows than ``limit`` or a row above ``SMALL_ROW_BYTES``."""
+    rows = _bounded_rows(df, limit)
+    return None if rows is None else df.sparkSession.createDataFrame(rows, df.schema)
 
 
 def broadcast_if_small(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Broadcast only after the row count is checked; otherwise leave the join to the shuffle."""
+    """Broadcast only after rows and their bytes are checked; otherwise leave the join to the shuffle."""
     local = small_table(df, limit)
     return df if local is None else F.broadcast(local)
 
@@ -40,12 +66,10 @@ def broadcast_if_small(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFram
 def hot_groups(df: DataFrame, by: Sequence[str], limit: int) -> DataFrame | None:
     """Keys of ``by`` with more than ``limit`` rows, or None when there are none."""
     big = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).drop("_n")
-    rows = big.limit(SMALL_TABLE_ROWS + 1).collect()
-    if not rows:
-        return None
-    if len(rows) <= SMALL_TABLE_ROWS:
-        return F.broadcast(df.sparkSession.createDataFrame(rows, big.schema))
-    return materialize(big)
+    rows = _bounded_rows(big, SMALL_TABLE_ROWS)
+    if rows is None:
+        return materialize(big)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, big.schema)) if rows else None
 
 
 def split_hot(df: DataFrame, by: Sequence[str], hot: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from inkloom import scale
 from inkloom.operators import dedupe, edits, glossary, grouping, reading, spatial
 from inkloom.scale import number_rows, ordered_index, previous_values
 
@@ -266,3 +267,23 @@ def test_grids_do_not_explode(spark, case):
         pairs = spatial.near_pairs(boxes, boxes, ["page_id"], limit=LOW, extra=lambda p: F.col("a_region_id") < F.col("b_region_id"))
         meets = lambda a, b: a[1] < b[1] + b[3] and b[1] < a[1] + a[3] and a[2] < b[2] + b[4] and b[2] < a[2] + a[4]
         assert pairs.where("a_region_id = 0").count() == sum(meets(rows[0], r) and min(1, r[1] + r[3]) > r[1] and r[1] < 0.9 and r[2] < 0.9 for r in rows[1:])
+
+
+def test_broadcasts_are_bounded_in_bytes(spark):
+    """Few rows are no small table when one is long: it joins by shuffle, with the same rows."""
+    short = spark.createDataFrame([(1, "a", [1, 2]), (2, None, None), (3, "", [])], "id long, term string, places array<int>")
+    assert sorted(map(str, scale.small_table(short).collect())) == sorted(map(str, short.collect()))
+    assert scale.small_table(short, limit=2) is None
+    assert scale.small_table(short.where("id > 9")).count() == 0
+    wide = short.withColumn("term", F.when(F.col("id") == 2, F.repeat(F.lit("é"), F.lit(1025))).otherwise(F.col("term")))
+    assert scale.small_table(wide) is None
+    joined = short.join(scale.broadcast_if_small(wide.select("id", F.col("term").alias("long"))), "id")
+    assert "ResolvedHint" not in joined._jdf.queryExecution().analyzed().toString()
+    assert joined.where("length(long) = 1025").count() == 1
+    nested = short.withColumn("places", F.when(F.col("id") == 1, F.sequence(F.lit(1), F.lit(1000))))
+    assert scale.small_table(nested) is None
+    keys = spark.range(300).select(F.when(F.col("id") < 200, F.repeat(F.lit("k"), F.lit(5000))).otherwise(F.lit("b")).alias("key"), "id")
+    hot = scale.hot_groups(keys, ["key"], 150)
+    cold, rest = scale.split_hot(keys, ["key"], hot)
+    assert (cold.count(), rest.count()) == (100, 200)
+    assert scale.hot_groups(keys, ["key"], 250) is None
