@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.functions.boxes import Box, let
+from inkloom.functions.boxes import Box, clip01, let
 from inkloom.operators.spatial import near_pairs
 from inkloom.scale import ARRAY_GROUP_LIMIT, WINDOW_GROUP_LIMIT, hot_groups, ranked_values, split_hot, top_rows
 from inkloom.session import materialize, release
@@ -146,13 +146,18 @@ def line_group_summary(grouped: DataFrame, balloons: DataFrame) -> DataFrame:
         F.avg("confidence").alias("confidence"), F.count(F.lit(1)).alias("lines"),
         F.min(F.struct("ord", "line_id")).alias("first_line"),
     )
-    union = Box.edges(F.col("l"), F.col("t"), F.col("r"), F.col("b")).clamp()
-    blocks = blocks.select("balloon_id", "group_label", "confidence", "lines", "first_line", *union.named())
+    edges = [clip01(F.col(e)).alias(e) for e in ("l", "t", "r", "b")]
+    blocks = blocks.select("balloon_id", "group_label", "confidence", "lines", "first_line", *edges)
     frames = balloons.select(
         "balloon_id", F.struct("x", "y", "width", "height").alias("frame"), F.col("layout")
     )
     joined = blocks.join(frames, "balloon_id")
-    shared = F.when(F.col("layout").isNotNull(), Box.columns().overlap_area(Box.struct(F.col("layout"))))
+    # from the edges themselves: left + (right - left) may miss the right edge by the last digit and break a tie
+    left, top, right, bottom = (F.col(e) for e in ("l", "t", "r", "b"))
+    union, layout, frame = Box.edges(left, top, right, bottom), Box.struct(F.col("layout")), Box.struct(F.col("frame"))
+    shared_width = F.greatest(F.least(right, layout.right) - F.greatest(left, layout.x), F.lit(0.0))
+    shared_height = F.greatest(F.least(bottom, layout.bottom) - F.greatest(top, layout.y), F.lit(0.0))
+    shared = F.when(F.col("layout").isNotNull(), shared_width * shared_height)
     joined = joined.withColumn("shared", F.coalesce(shared, F.lit(0.0)))
     lead = joined.groupBy("balloon_id").agg(
         F.count(F.lit(1)).alias("blocks"),
@@ -161,10 +166,14 @@ def line_group_summary(grouped: DataFrame, balloons: DataFrame) -> DataFrame:
     )
     joined = joined.join(lead, "balloon_id")
     primary = (F.col("blocks") == 1) | ((F.col("group_label") == F.col("lead_label")) & (F.col("lead_shared") > 0))
-    own = Box.columns().expand(0.4).intersect(Box.struct(F.col("frame")))
-    local = F.when((own.width > 0) & (own.height > 0), own.as_struct()).otherwise(Box.columns().as_struct())
+    dx, dy = union.width * 0.4, union.height * 0.4
+    own = Box.edges(
+        F.greatest(clip01(left - dx), frame.x), F.greatest(clip01(top - dy), frame.y),
+        F.least(clip01(right + dx), frame.right), F.least(clip01(bottom + dy), frame.bottom),
+    )
+    local = F.when((own.width > 0) & (own.height > 0), own.as_struct()).otherwise(union.as_struct())
     return joined.select(
-        "balloon_id", "group_label", "x", "y", "width", "height", "confidence", "lines", primary.alias("is_primary"),
+        "balloon_id", "group_label", *union.named(), "confidence", "lines", primary.alias("is_primary"),
         F.when(primary, F.col("layout")).otherwise(local).alias("layout"),
     )
 

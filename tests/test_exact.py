@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from inkloom.operators import responses
+from inkloom.operators import grouping, responses
 
 
 def test_a_term_of_several_entries_is_listed_once(spark):
@@ -15,3 +15,20 @@ def test_a_term_of_several_entries_is_listed_once(spark):
         prompt = responses.build_prompts(regions, terms, "zh-Hant", **how).first().prompt
         listed = json.loads(prompt.split("\nTerms:\n", 1)[1].split("\nRegions:\n", 1)[0])
         assert [t["sourceTerm"] for t in listed] == ["it", "of."]
+
+
+def test_the_shared_area_is_that_of_the_edges(spark):
+    box = "struct<x:double,y:double,width:double,height:double>"
+    balloons = spark.createDataFrame([(1, 0.1, 0.1, 0.8, 0.8, (0.2, 0.3, 0.5, 0.5))], f"balloon_id long, x double, y double, width double, height double, layout {box}")
+    rows = []
+    for label, line, part, supp, quantity in (("a", 1, 17474, 833, 4), ("a", 2, 9454, 268, 13), ("b", 3, 18156, 3, 36)):
+        rows.append((1, label, f"l{line}", line, part * 37 % 70 / 100, supp * 53 % 70 / 100, (10 + quantity % 21) / 100 / 4, (8 + part % 23) / 100, 0.5))
+    shared = {}
+    for label in ("a", "b"):
+        own = [r for r in rows if r[1] == label]
+        width = min(max(r[4] + r[6] for r in own), 0.7) - max(min(r[4] for r in own), 0.2)
+        height = min(max(r[5] + r[7] for r in own), 0.8) - max(min(r[5] for r in own), 0.3)
+        shared[label] = max(width, 0.0) * max(height, 0.0)
+    assert 0 < shared["b"] - shared["a"] < 1e-12
+    grouped = spark.createDataFrame(rows, "balloon_id long, group_label string, line_id string, ord int, x double, y double, width double, height double, confidence double")
+    assert [r.group_label for r in grouping.line_group_summary(grouped, balloons).where("is_primary").collect()] == ["b"]
