@@ -78,7 +78,9 @@ def reading_order(regions: DataFrame, direction: str = "rightToLeft", limit: int
     """1-based ``reading_rank`` of every region on its page."""
     box = Box.columns()
     tall = F.count_if(box.height > box.width * 1.35)
-    stats = {"_tall": tall, "_n": F.count(F.lit(1)), "_mean_h": F.avg("height")}
+    # a mean of decimals does not depend on the order of the rows, as the last digit of a mean of doubles does
+    mean = F.avg(F.col("height").try_cast("decimal(38,18)"))
+    stats = {"_tall": tall, "_n": F.count(F.lit(1)), "_mean_h": mean}
     rows = _with_page_stats(regions, ["page_id"], stats, limit)
     by_column = (F.col("_tall") * 2 >= F.col("_n")) | F.lit(direction == "topToBottom")
     forward = 1.0 if direction == "leftToRight" else -1.0
@@ -87,7 +89,7 @@ def reading_order(regions: DataFrame, direction: str = "rightToLeft", limit: int
         {
             "_axis": F.when(by_column, box.center_x * forward).otherwise(box.center_y),
             "_second": F.when(by_column, box.center_y).otherwise(box.center_x * row_forward),
-            "_tol": F.when(by_column, F.lit(0.08)).otherwise(F.greatest(F.lit(0.025), F.col("_mean_h") * 0.65)),
+            "_tol": F.when(by_column, F.lit(0.08)).otherwise(F.greatest(F.lit(0.025), F.col("_mean_h").cast("double") * 0.65)),
         }
     ).drop("_tall", "_n", "_mean_h")
     return banded_order(rows, ["page_id"], ["ord", "region_id"], "reading_rank", limit)

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from inkloom.operators import grouping, responses
+from inkloom.operators import grouping, reading, responses
 
 
 def test_a_term_of_several_entries_is_listed_once(spark):
@@ -17,6 +17,19 @@ def test_a_term_of_several_entries_is_listed_once(spark):
         assert [t["sourceTerm"] for t in listed] == ["it", "of."]
 
 
+def test_reading_order_does_not_depend_on_the_order_of_rows(spark):
+    # mean height 0.2: rows up to 0.13 apart are one band
+    boxes = [("a", 0.45, 0.23), ("b", 0.28, 0.12), ("c", 0.11, 0.3), ("d", 0.48, 0.08), ("e", 0.25, 0.28), ("f", 0.58, 0.19)]
+    found = set()
+    for turn in range(len(boxes)):
+        for dealt in (boxes[turn:] + boxes[:turn], boxes[turn::-1] + boxes[:turn:-1]):
+            rows = [(1, i, 0, 0.1 * (ord(i) - 96), y, 0.3, h) for i, y, h in dealt]
+            page = spark.createDataFrame(rows, "page_id long, region_id string, ord int, x double, y double, width double, height double").coalesce(1)
+            ranked = reading.reading_order(page).orderBy("reading_rank").collect()
+            found.add("".join(r.region_id for r in ranked))
+    assert len(found) == 1
+
+
 def test_the_shared_area_is_that_of_the_edges(spark):
     box = "struct<x:double,y:double,width:double,height:double>"
     balloons = spark.createDataFrame([(1, 0.1, 0.1, 0.8, 0.8, (0.2, 0.3, 0.5, 0.5))], f"balloon_id long, x double, y double, width double, height double, layout {box}")
