@@ -460,7 +460,8 @@ def match_truth(truth: DataFrame, observed: DataFrame, reach: float = 0.06, limi
         )
 
     pairs = near_pairs(spot(truth, "truth_id"), spot(observed, "obs_id"), ["page_id"], pad=lambda b: F.lit(reach), limit=limit)
-    distance = F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y"))
+    dx, dy = F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")
+    distance = F.sqrt(dx * dx + dy * dy)  # not hypot, whose last digit may differ: ties and the reach are exact
     ranked = pairs.withColumn("distance", distance).where(F.col("distance") <= reach)
     matches = greedy_match(
         ranked.select(

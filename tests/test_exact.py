@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from inkloom.operators import grouping, reading, responses
+from inkloom.operators import grouping, reading, responses, spatial
 
 
 def test_a_term_of_several_entries_is_listed_once(spark):
@@ -17,6 +17,14 @@ def test_a_term_of_several_entries_is_listed_once(spark):
         assert [t["sourceTerm"] for t in listed] == ["it", "of."]
 
 
+def test_equal_distances_go_to_the_first_observation(spark):
+    truth = spark.createDataFrame([(1, "t", 1, 0.1, 0.1)], "page_id long, truth_id string, ord int, cx double, cy double")
+    seen = spark.createDataFrame(
+        [(1, "a", 1, 0.13, 0.095, "A"), (1, "b", 2, 0.07, 0.105, "B")], "page_id long, obs_id string, ord int, cx double, cy double, text string"
+    )
+    assert spatial.match_truth(truth, seen).first().obs_id == "a"
+
+
 def test_reading_order_does_not_depend_on_the_order_of_rows(spark):
     # mean height 0.2: rows up to 0.13 apart are one band
     boxes = [("a", 0.45, 0.23), ("b", 0.28, 0.12), ("c", 0.11, 0.3), ("d", 0.48, 0.08), ("e", 0.25, 0.28), ("f", 0.58, 0.19)]
