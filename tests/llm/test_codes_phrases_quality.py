@@ -220,3 +220,19 @@ def test_features_do_not_depend_on_the_batch():
     whole = quality.features(texts)
     assert all(np.allclose(quality.features(texts[i : i + 1])[0], whole[i]) for i in range(0, 200, 17))
     assert not quality.features(pa.array([None, ""], pa.string())).any()
+
+
+def test_every_labelled_row_teaches(spark, monkeypatch):
+    monkeypatch.setattr(quality, "CHUNK_ROWS", 40)
+    words = ["plain", "words", "of", "a", "text", "!!", "??", "x1", "22"]
+    rows = [(i, " ".join(words[(i * k + k) % (5 if i % 7 else 9)] for k in range(1, 12)), int(i % 7 > 0)) for i in range(700)]
+    frame = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    ranking = quality.train(frame, labels)
+    found = quality.features(pa.array([r[1] for r in rows]))
+    assert np.allclose(ranking.center, found.mean(axis=0)) and np.allclose(ranking.spread, np.where(found.std(axis=0) > 1e-9, found.std(axis=0), 1))
+    strength = ranking.strength(found)
+    assert np.isclose(ranking.least, np.quantile(strength, 100 / 700, method="midpoint"))
+    dealt = quality._dealt(labels.selectExpr("doc_id", "quality as label"), {0: 100, 1: 600}).toPandas()
+    assert dealt.own.sum() == 700 and sorted(dealt[dealt.own].doc_id) == list(range(700))
+    assert set(dealt[dealt.label == 0].chunk) == set(dealt.chunk) and (dealt.groupby("chunk").label.nunique() == 2).all()
