@@ -83,14 +83,14 @@ def relink_sql(relative: bool) -> str:
 def _(v):
     scan, previous = scan_tables(v)
     included = identity.exclude_removed(scan, previous.where(F.col("page_id") % 13 == 0))
-    return identity.relink_scan(included, previous).select("project_id", "scan_index", "page_id", "linked_by", "page_index")
+    return identity.relink_scan(included, previous, keep=[]).select("project_id", "scan_index", "page_id", "linked_by", "page_index")
 
 
 @query("relink_scan_by_path", relink_sql(False))
 def _(v):
     scan, previous = scan_tables(v)
     included = identity.exclude_removed(scan, previous.where(F.col("page_id") % 13 == 0))
-    return identity.relink_scan(included, previous, use_relative=False).select(
+    return identity.relink_scan(included, previous, use_relative=False, keep=[]).select(
         "project_id", "scan_index", "page_id", "linked_by", "page_index"
     )
 
