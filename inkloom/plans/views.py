@@ -78,10 +78,11 @@ class Views:
         return self.raw("lineitem").select(*self._line_columns())
 
     def regions(self) -> DataFrame:
-        lines = self.raw("lineitem").select(*self._line_columns())
-        named = lines.join(self.raw("part").select(F.col("p_partkey").alias("partkey"), "p_name"), "partkey")
-        return named.select(
-            *[c for c in lines.columns],
+        # joined as stored: the columns made of the keys do not travel
+        stored = self.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+        parts = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+        return stored.join(parts, "l_partkey").select(*self._line_columns(), "p_name").select(
+            *[c for c in self.boxes().columns],
             F.when(F.col("ord") == 7, F.lit("")).otherwise(F.col("p_name")).alias("source_text"),
             F.when(F.col("partkey") % 9 == 0, F.lit(""))
             .otherwise(

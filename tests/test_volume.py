@@ -1,6 +1,11 @@
 """Steps that are read several times are written once, and rows travel narrow."""
 
+import re
+
 from inkloom.operators import identity
+from inkloom.plans.views import Views
+
+DATA = "/root/testdata/sf0.001"
 
 
 def plan(frame):
@@ -16,3 +21,8 @@ def test_numbering_of_a_scan_starts_from_written_rows(spark):
     narrow = identity.relink_scan(scan, old, keep=[])
     assert narrow.columns == ["project_id", "scan_index", "page_id", "linked_by", "page_index"]
     assert "Join" not in plan(narrow)
+
+
+def test_regions_join_their_part_as_stored(spark):
+    below = plan(Views(spark, DATA).regions()).split("Join", 1)[1]
+    assert not re.search(r"concat_ws|region_id", below)
