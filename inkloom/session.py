@@ -82,6 +82,11 @@ def materialize(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame
     return out
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` itself if it is a result of ``materialize``, else its written rows."""
+    return df if df in _WRITTEN else materialize(df)
+
+
 def release(*frames: DataFrame) -> None:
     """Remove the files behind results of ``materialize``; other frames are left alone."""
     for frame in frames:

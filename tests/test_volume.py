@@ -2,8 +2,9 @@
 
 import re
 
-from inkloom.operators import identity
+from inkloom.operators import edits, identity
 from inkloom.plans.views import Views
+from inkloom.session import written
 
 DATA = "/root/testdata/sf0.001"
 
@@ -26,3 +27,23 @@ def test_numbering_of_a_scan_starts_from_written_rows(spark):
 def test_regions_join_their_part_as_stored(spark):
     below = plan(Views(spark, DATA).regions()).split("Join", 1)[1]
     assert not re.search(r"concat_ws|region_id", below)
+
+
+def test_verdicts_of_odd_answers_and_written_rows_are_not_written_again(spark):
+    cases = {  # page: (texts of its regions, answers)
+        1: ({"a": ("s", "t")}, [("a", "s", None)]),  # same source keeps the translation
+        2: ({"a": ("s", "t")}, [("a", "new", None)]),  # a new source clears it
+        3: ({"a": ("s", "t")}, [("a", None, "x"), ("a", None, "y")]),
+        4: ({"a": ("s", "t"), "b": ("s", "t")}, [("a", None, "x")]),
+        5: ({"a": ("s", "t")}, [("a", None, "x"), ("c", None, "x")]),
+        6: ({"a": (None, "t")}, [("a", None, "x")]),
+        7: ({"a": ("s", None)}, [("a", " ", "x")]),
+        8: ({"a": (None, "t")}, [("a", "n", None)]),
+    }
+    pages = spark.createDataFrame([(p, "r", True, True) for p in cases], "page_id long, revision string, has_mask boolean, has_background boolean")
+    regions = spark.createDataFrame([(p, f"{p}{r}", s, t) for p, (own, _) in cases.items() for r, (s, t) in own.items()], "page_id long, region_id string, source_text string, translated_text string")
+    results = spark.createDataFrame([(p, "r", f"{p}{r}", s, t, "", "", "", 0.5, []) for p, (_, sent) in cases.items() for r, s, t in sent], "page_id long, expected_revision string, region_id string, source_text string, translated_text string, literal_text string, speaker string, tone string, confidence double, flags array<string>")
+    verdicts = {r.page_id: r.verdict for r in edits.submit_agent_results(pages, regions, results)[0].collect()}
+    assert verdicts == {1: "accepted", 2: "blank text", 3: "id set differs", 4: "id set differs", 5: "id set differs", 6: "blank text", 7: "blank text", 8: "accepted"}
+    rows = written(results)
+    assert written(rows) is rows
