@@ -128,21 +128,24 @@ def unclip_components(components: DataFrame, ratio: float = 1.4) -> DataFrame:
     ``components(component_id, x0, y0, x1, y1, confidence, model_width, model_height,
     pad_x, pad_y, scaled_width, scaled_height)`` with inclusive model pixels.
     """
-    w, h = (F.col("x1") - F.col("x0") + 1).cast("double"), (F.col("y1") - F.col("y0") + 1).cast("double")
-    grow = w * h * ratio / F.greatest(F.lit(1.0), (w + h) * 2)
-    left, top = F.greatest(F.lit(0.0), F.col("x0") - grow), F.greatest(F.lit(0.0), F.col("y0") - grow)
-    right = F.least(F.col("model_width").cast("double"), F.col("x1") + 1 + grow)
-    bottom = F.least(F.col("model_height").cast("double"), F.col("y1") + 1 + grow)
+
+    def edges(c: Column) -> Column:
+        w, h = (c["x1"] - c["x0"] + 1).cast("double"), (c["y1"] - c["y0"] + 1).cast("double")
+        grow = w * h * ratio / F.greatest(F.lit(1.0), (w + h) * 2)
+        return let(grow, lambda g: F.struct(
+            back(F.greatest(F.lit(0.0), c["x0"] - g), "pad_x", "scaled_width").alias("l"),
+            back(F.greatest(F.lit(0.0), c["y0"] - g), "pad_y", "scaled_height").alias("t"),
+            back(F.least(F.col("model_width").cast("double"), c["x1"] + 1 + g), "pad_x", "scaled_width").alias("r"),
+            back(F.least(F.col("model_height").cast("double"), c["y1"] + 1 + g), "pad_y", "scaled_height").alias("b"),
+        ))
 
     def back(value: Column, pad: str, size: str) -> Column:
         return (value - F.col(pad)) / F.col(size)
 
-    l, t = back(left, "pad_x", "scaled_width"), back(top, "pad_y", "scaled_height")
-    r, b = back(right, "pad_x", "scaled_width"), back(bottom, "pad_y", "scaled_height")
-    box = Box.edges(l, t, r, b).clamp()
-    return components.select("component_id", "confidence", *box.named()).where(
-        (F.col("width") > 0) & (F.col("height") > 0)
-    )
+    # every step is bound: inlined, a side would name each corner dozens of times, in the filter once more
+    box = let(let(F.struct("x0", "y0", "x1", "y1"), edges), lambda e: Box.edges(e["l"], e["t"], e["r"], e["b"]).clamp().as_struct())
+    kept = F.filter(F.array(box), lambda b: (b["width"] > 0) & (b["height"] > 0))
+    return components.select("component_id", "confidence", F.inline(kept))
 
 
 def filter_enclosures(components: DataFrame) -> DataFrame:

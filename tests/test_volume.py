@@ -2,7 +2,9 @@
 
 import re
 
-from inkloom.operators import edits, identity
+import __spark_entry__  # noqa: F401  (registers the queries)
+from inkloom.operators import detection, edits, identity
+from inkloom.plans.catalog import QUERIES
 from inkloom.plans.views import Views
 from inkloom.session import written
 
@@ -47,3 +49,22 @@ def test_verdicts_of_odd_answers_and_written_rows_are_not_written_again(spark):
     assert verdicts == {1: "accepted", 2: "blank text", 3: "id set differs", 4: "id set differs", 5: "id set differs", 6: "blank text", 7: "blank text", 8: "accepted"}
     rows = written(results)
     assert written(rows) is rows
+
+
+def test_sides_of_a_component_are_computed_once(spark):
+    text = plan(QUERIES["unclip_components"](spark, DATA))
+    assert text.count("l_quantity") <= 6
+    cases = [("a", 100, 100, 199, 149), ("b", 0, 0, 9, 9), ("c", 5, 950, 959, 959), ("d", 10, 10, 9, 40)]
+    frame = spark.createDataFrame([(*c, 0.5, 960, 960, 10.0, 20.0, 900.0, 950.0) for c in cases], "component_id string, x0 int, y0 int, x1 int, y1 int, confidence double, model_width int, model_height int, pad_x double, pad_y double, scaled_width double, scaled_height double")
+    found = {r.component_id: (r.x, r.y, r.width, r.height) for r in detection.unclip_components(frame).collect()}
+    want = {}
+    for key, x0, y0, x1, y1 in cases:
+        w, h = x1 - x0 + 1.0, y1 - y0 + 1.0
+        grow = w * h * 1.4 / max(1.0, 2 * (w + h))
+        x, y = (max(0.0, x0 - grow) - 10) / 900, (max(0.0, y0 - grow) - 20) / 950
+        r, b = (min(960.0, x1 + 1 + grow) - 10) / 900, (min(960.0, y1 + 1 + grow) - 20) / 950
+        r, b, x, y = x + (r - x), y + (b - y), min(max(x, 0.0), 1.0), min(max(y, 0.0), 1.0)
+        r, b = min(max(r, x), 1.0), min(max(b, y), 1.0)
+        if r > x and b > y:
+            want[key] = (x, y, r - x, b - y)
+    assert found == want
