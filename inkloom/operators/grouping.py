@@ -43,25 +43,13 @@ def connected_labels(nodes: DataFrame, edges: DataFrame, by: Sequence[str], key:
             return labels
 
 
-def _closure(
-    items: DataFrame,
-    by: Sequence[str],
-    key: str,
-    order: Sequence[Column],
-    fields: Sequence[str],
-    linked: Callable[[Column, Column], Column],
-    edges_of: Callable[[DataFrame], DataFrame],
-    limit: int,
-) -> DataFrame:
-    """Add ``group_label`` (smallest member key) under the transitive closure of ``linked(earlier, later)``.
+def _blocks(items: DataFrame, by: Sequence[str], order: Sequence[str], linked: Callable[[Column, Column], Column], least: int = 1) -> DataFrame:
+    """One row per block of at least ``least`` linked items: ``by`` and ``_b``, the array of its rows, first in ``order`` first.
 
-    Ordinary groups merge their growing blocks in one JVM fold over the ordered
-    items; larger ones link through ``edges_of`` and ``connected_labels``.
+    The growing blocks of a group merge in one JVM fold over its ordered items.
     """
-    cold, hot = split_hot(items, by, hot_groups(items, by, limit))
-    # the array carries whole rows, so labels need no join back
-    entry = F.struct(*order, F.col(key).alias("key"), *[F.col(f) for f in fields], F.struct(*items.columns).alias("row"))
-    listed = cold.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
+    entry = F.struct(*order, *[c for c in items.columns if c not in (*by, *order)])
+    listed = items.groupBy(*by).agg(F.sort_array(F.collect_list(entry)).alias("_all")).where(F.size("_all") >= least)
 
     def step(blocks: Column, item: Column) -> Column:
         def tell(block: Column) -> Column:
@@ -77,16 +65,37 @@ def _closure(
     blocks = F.aggregate(
         F.slice("_all", F.lit(2), F.size("_all")), F.array(F.slice("_all", 1, 1)), step
     )
+    return listed.select(*by, F.explode(F.filter(blocks, lambda b: F.size(b) >= least)).alias("_b"))
+
+
+def _closure(
+    items: DataFrame,
+    by: Sequence[str],
+    key: str,
+    order: Sequence[str],
+    linked: Callable[[Column, Column], Column],
+    edges_of: Callable[[DataFrame], DataFrame],
+    limit: int,
+) -> DataFrame:
+    """Add ``group_label`` (smallest member key) under the transitive closure of ``linked(earlier, later)``.
+
+    Ordinary groups fold (``_blocks``); larger ones link through ``edges_of`` and ``connected_labels``.
+    """
+    cold, hot = split_hot(items, by, hot_groups(items, by, limit))
+    # the array carries whole rows, so labels need no join back
     out = (
-        listed.select(F.explode(blocks).alias("_b"))
-        .select(F.array_min(F.transform("_b", lambda m: m["key"])).alias("group_label"), F.explode("_b").alias("_m"))
-        .select("_m.row.*", "group_label")
+        _blocks(cold, by, order, linked)
+        .select(*by, F.array_min(F.transform("_b", lambda m: m[key])).alias("group_label"), F.explode("_b").alias("_m"))
+        .select(*[F.col(c) if c in by else F.col(f"_m.{c}") for c in items.columns], "group_label")
     )
-    if hot is None:
-        return out
+    return out if hot is None else out.unionByName(_linked(hot, by, key, edges_of))
+
+
+def _linked(hot: DataFrame, by: Sequence[str], key: str, edges_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of large groups with their ``group_label``."""
     hot = materialize(hot)
     labels = connected_labels(hot, edges_of(hot), by, key).withColumnRenamed("label", "group_label")
-    return out.unionByName(hot.join(labels, [*by, key]).select(*out.columns))
+    return hot.join(labels, [*by, key]).select(*hot.columns, "group_label")
 
 
 def _span_overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -128,8 +137,7 @@ def group_text_lines(lines: DataFrame, limit: int = ARRAY_GROUP_LIMIT) -> DataFr
         return pairs.where(rule).select(*by, F.col("a_line_id").alias("a"), F.col("b_line_id").alias("b"))
 
     return _closure(
-        lines, by, key, [F.col("ord").alias("r0"), F.col(key).alias("r1")], ["x", "y", "width", "height"],
-        lambda m, i: same_text_block(Box.struct(m), Box.struct(i)), edges, limit,
+        lines, by, key, ["ord", key], lambda m, i: same_text_block(Box.struct(m), Box.struct(i)), edges, limit
     )
 
 
@@ -228,21 +236,26 @@ def cluster_glyphs(
             *by, F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b")
         )
 
-    order = [F.col("y0").alias("r0"), F.col("ord").alias("r1"), F.col(key).alias("r2")]
-    labelled = _closure(glyphs, by, key, order, fields, _glyph_link, edges, limit)
-    sized = labelled.withColumn("_size", F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
     groups = [*by, "group_label"]
-    medians = upper_median(sized, groups, "_size", "median_size")
-    boxes = (
-        sized.groupBy(*groups)
-        .agg(
+    size = lambda g: F.greatest(g["x1"] - g["x0"], g["y1"] - g["y0"])
+    cold, hot = split_hot(glyphs.select(*by, key, "ord", *fields), by, hot_groups(glyphs, by, limit))
+    # an ordinary page is summed up inside its arrays, so its glyphs are shuffled once
+    of = lambda f: F.transform("_b", lambda g: g[f])
+    sizes = F.sort_array(F.filter(F.transform("_b", size), lambda s: s.isNotNull()))
+    boxes = _blocks(cold, by, ["y0", "ord", key], _glyph_link, minimum).select(
+        *by, F.array_min(of(key)).alias("group_label"), F.size("_b").cast("long").alias("glyph_count"),
+        F.array_min(of("x0")).alias("x0"), F.array_min(of("y0")).alias("y0"), F.array_max(of("x1")).alias("x1"), F.array_max(of("y1")).alias("y1"),
+        let(sizes, lambda s: F.get(s, F.floor(F.size(s) / 2).cast("int"))).alias("median_size"),
+    ).where(F.col("median_size").isNotNull())
+    if hot is not None:
+        sized = _linked(hot, by, key, edges).withColumn("_size", size(F.struct(*fields)))
+        medians = upper_median(sized, groups, "_size", "median_size")
+        summed = sized.groupBy(*groups).agg(
             F.count(F.lit(1)).alias("glyph_count"),
             F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
         )
-        .where(F.col("glyph_count") >= minimum)
-        .join(medians, groups)
-        .join(pages.select("page_id", "pixel_width", "pixel_height"), "page_id")
-    )
+        boxes = boxes.unionByName(summed.where(F.col("glyph_count") >= minimum).join(medians, groups).select(*boxes.columns))
+    boxes = boxes.join(pages.select("page_id", "pixel_width", "pixel_height"), "page_id")
     pad = F.greatest(F.lit(2), F.floor(F.col("median_size") / 3))
     w, h = F.col("pixel_width").cast("double"), F.col("pixel_height").cast("double")
     box = Box.edges(

@@ -68,3 +68,7 @@ def test_sides_of_a_component_are_computed_once(spark):
         if r > x and b > y:
             want[key] = (x, y, r - x, b - y)
     assert found == want
+
+
+def test_glyphs_are_gathered_once(spark):
+    assert plan(QUERIES["cluster_glyphs"](spark, DATA)).count("collect_list") == 1
