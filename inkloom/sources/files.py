@@ -182,8 +182,8 @@ def sidecar_documents(pages: DataFrame, regions: DataFrame, language: str, max_e
 
 
 def write_sidecars(documents: DataFrame, root: str, version: int) -> None:
-    """JSON documents in a new version folder, by project; earlier versions stay as backups."""
-    documents.write.mode("errorifexists").partitionBy("project_id").json(f"{root.rstrip('/')}/version={version}")
+    """Compressed JSON documents in a new version folder, by project; earlier versions stay as backups."""
+    documents.write.mode("errorifexists").option("compression", "gzip").partitionBy("project_id").json(f"{root.rstrip('/')}/version={version}")
 
 
 def read_sidecar_versions(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from inkloom.operators import detection, edits, identity
 from inkloom.plans.catalog import QUERIES
 from inkloom.plans.views import Views
 from inkloom.session import written
+from inkloom.sources import files
 
 DATA = "/root/testdata/sf0.001"
 
@@ -72,3 +73,12 @@ def test_sides_of_a_component_are_computed_once(spark):
 
 def test_glyphs_are_gathered_once(spark):
     assert plan(QUERIES["cluster_glyphs"](spark, DATA)).count("collect_list") == 1
+
+
+def test_versioned_sidecars_are_written_compressed(spark, tmp_path):
+    pages = spark.createDataFrame([(1, 1, "a.png", 8, 9)], "page_id long, project_id long, rel_path string, pixel_width int, pixel_height int")
+    regions = spark.createDataFrame([(1, "r", 1, 0.1, 0.1, 0.2, 0.2, "s")], "page_id long, region_id string, ord int, x double, y double, width double, height double, source_text string")
+    files.write_sidecars(files.sidecar_documents(pages, regions, "en"), str(tmp_path), 1)
+    assert [p.suffixes[-2:] for p in tmp_path.rglob("part-*")] == [[".json", ".gz"]]
+    [row] = files.sidecar_regions(files.read_sidecar_versions(spark, str(tmp_path))[0]).collect()
+    assert (row.rel_path, row.region_id, row.source_text) == ("a.png", "r", "s")
