@@ -315,6 +315,17 @@ def _joined_fragments(blobs: Column, fits: Callable[[Column, Column], Column]) -
     return F.aggregate(F.sequence(F.lit(1), 3 * F.size(blobs)), start, step, lambda s: s["list"])
 
 
+def _fragments_fit(a: Column, b: Column) -> Column:
+    """Whether two fragments of a group whose median size is ``_median`` may be one glyph."""
+    gap, ceiling = F.col("_median") * 0.15, F.col("_median") * 1.25
+    near = (
+        (a["x"] - gap < b["r"]) & (b["x"] < a["r"] + gap) & (a["y"] - gap < b["b"]) & (b["y"] < a["b"] + gap)
+    )
+    wide = F.greatest(a["r"], b["r"]) - F.least(a["x"], b["x"])
+    high = F.greatest(a["b"], b["b"]) - F.least(a["y"], b["y"])
+    return near & (F.greatest(wide, high) <= ceiling)
+
+
 def merge_glyph_fragments(glyphs: DataFrame, limit: int = ARRAY_GROUP_LIMIT) -> DataFrame:
     """Whole glyphs (group_id, glyph_id, ord, x, y, width, height) from stroke fragments.
 
@@ -354,23 +365,43 @@ def merge_glyph_fragments(glyphs: DataFrame, limit: int = ARRAY_GROUP_LIMIT) ->
         F.max("_median").alias("_median"), F.array_sort(F.collect_list(entry)).alias("_all")
     )
 
-    def fits(a: Column, b: Column) -> Column:
-        gap, ceiling = F.col("_median") * 0.15, F.col("_median") * 1.25
-        near = (
-            (a["x"] - gap < b["r"]) & (b["x"] < a["r"] + gap) & (a["y"] - gap < b["b"]) & (b["y"] < a["b"] + gap)
-        )
-        wide = F.greatest(a["r"], b["r"]) - F.least(a["x"], b["x"])
-        high = F.greatest(a["b"], b["b"]) - F.least(a["y"], b["y"])
-        return near & (F.greatest(wide, high) <= ceiling)
-
-    return listed.select("group_id", F.explode(_joined_fragments(F.col("_all"), fits)).alias("g")).select(
+    return listed.select("group_id", F.explode(_joined_fragments(F.col("_all"), _fragments_fit)).alias("g")).select(
         "group_id", "g.glyph_id", "g.ord", "g.x", "g.y",
         (F.col("g.r") - F.col("g.x")).alias("width"), (F.col("g.b") - F.col("g.y")).alias("height"),
     )
 
 
-def vote_direction(glyphs: DataFrame, margin: float = 0.2, limit: int = ARRAY_GROUP_LIMIT) -> DataFrame:
-    """Writing direction per group: every glyph votes by the axis on which its nearest neighbour lies."""
+def _votes_of_arrays(glyphs: DataFrame) -> DataFrame:
+    """(group_id, glyphs, v, h) of ordinary groups: fragments merge and glyphs vote inside one array per group."""
+    corners = {"ord": "ord", "glyph_id": "glyph_id", "x": "x", "y": "y", "r": F.col("x") + F.col("width"), "b": F.col("y") + F.col("height")}
+    whole = [F.col(c).alias(n) if isinstance(c, str) else c.alias(n) for n, c in corners.items()]
+    entry = F.when((F.col("width") > 0) & (F.col("height") > 0), F.struct(*whole, F.greatest("width", "height").alias("size")))
+    listed = glyphs.groupBy("group_id").agg(F.sort_array(F.collect_list(entry)).alias("_all"))
+    sizes = F.sort_array(F.transform("_all", lambda e: e["size"]))
+    blobs = listed.select(
+        "group_id", F.get(sizes, F.floor(F.size("_all") / 2).cast("int")).alias("_median"),
+        F.transform("_all", lambda e: F.struct(*[e[n].alias(n) for n in corners])).alias("_all"),
+    )
+    center = lambda g, low, high: g[low] + (g[high] - g[low]) / 2
+    spot = lambda g: F.struct(g["ord"].alias("ord"), g["glyph_id"].alias("key"), center(g, "x", "r").alias("cx"), center(g, "y", "b").alias("cy"))
+    spots = blobs.select("group_id", F.transform(_joined_fragments(F.col("_all"), _fragments_fit), spot).alias("_spots"))
+
+    def vote(s: Column) -> Column:
+        def ranked(o: Column) -> Column:
+            dx, dy = o["cx"] - s["cx"], o["cy"] - s["cy"]
+            return F.struct((dx * dx + dy * dy).alias("d2"), o["ord"], o["key"], F.abs(dx).alias("dx"), F.abs(dy).alias("dy"))
+
+        return F.array_min(F.transform(F.filter("_spots", lambda o: o["key"] != s["key"]), ranked))
+
+    told = spots.select("group_id", F.size("_spots").cast("long").alias("glyphs"), F.transform("_spots", vote).alias("_near"))
+    return told.select(
+        "group_id", "glyphs", F.size(F.filter("_near", lambda n: n["dy"] > n["dx"])).cast("long").alias("v"),
+        F.size(F.filter("_near", lambda n: n["dx"] > n["dy"])).cast("long").alias("h"),
+    )
+
+
+def _votes_of_joins(glyphs: DataFrame, limit: int) -> DataFrame:
+    """The same of large groups, by spatial joins."""
     from inkloom.operators.spatial import nearest_neighbour
 
     merged = materialize(merge_glyph_fragments(glyphs, limit))
@@ -384,14 +415,19 @@ def vote_direction(glyphs: DataFrame, margin: float = 0.2, limit: int = ARRAY_GR
     tally = votes.groupBy("group_id").agg(
         F.count(F.lit(1)).alias("glyphs"), F.count_if(dy > dx).alias("v"), F.count_if(dx > dy).alias("h")
     )
+    return glyphs.select("group_id").distinct().join(tally, "group_id", "left")
+
+
+def vote_direction(glyphs: DataFrame, margin: float = 0.2, limit: int = ARRAY_GROUP_LIMIT) -> DataFrame:
+    """Writing direction per group: every glyph votes by the axis on which its nearest neighbour lies."""
+    cold, hot = split_hot(glyphs, ["group_id"], hot_groups(glyphs, ["group_id"], limit))
+    tally = _votes_of_arrays(cold)
+    if hot is not None:
+        tally = tally.unionByName(_votes_of_joins(hot, limit))
     total = F.col("v") + F.col("h")
     clear = (F.col("glyphs") >= 2) & (total > 0) & (F.abs(F.col("v") - F.col("h")) >= total * margin)
     decided = F.when(F.col("v") > F.col("h"), "vertical").otherwise("horizontal")
-    found = tally.select("group_id", F.when(clear, decided).otherwise("automatic").alias("direction"))
-    groups = glyphs.select("group_id").distinct()
-    return groups.join(found, "group_id", "left").select(
-        "group_id", F.coalesce("direction", F.lit("automatic")).alias("direction")
-    )
+    return tally.select("group_id", F.when(clear, decided).otherwise("automatic").alias("direction"))
 
 
 def line_shape(aspect: float = 1.25) -> Column:

@@ -3,7 +3,7 @@
 import re
 
 import __spark_entry__  # noqa: F401  (registers the queries)
-from inkloom.operators import detection, edits, identity
+from inkloom.operators import detection, edits, grouping, identity
 from inkloom.plans.catalog import QUERIES
 from inkloom.plans.views import Views
 from inkloom.session import written
@@ -82,3 +82,11 @@ def test_versioned_sidecars_are_written_compressed(spark, tmp_path):
     assert [p.suffixes[-2:] for p in tmp_path.rglob("part-*")] == [[".json", ".gz"]]
     [row] = files.sidecar_regions(files.read_sidecar_versions(spark, str(tmp_path))[0]).collect()
     assert (row.rel_path, row.region_id, row.source_text) == ("a.png", "r", "s")
+
+
+def test_directions_are_voted_inside_the_gathered_groups(spark):
+    text = plan(QUERIES["vote_direction"](spark, DATA))
+    assert text.count("collect_list") == 1 and "Join" not in text
+    glyphs = spark.createDataFrame([(1, "a", 1, 0.0, 0.0, 0.0, 1.0), (2, "a", 1, 0.0, 0.0, 1.0, 1.0), (3, "a", 1, 0.0, 0.0, 1.0, 1.0), (3, "b", 2, 0.0, 3.0, 1.0, 1.0)], "group_id long, glyph_id string, ord int, x double, y double, width double, height double")
+    told = {r.group_id: r.direction for r in grouping.vote_direction(glyphs).collect()}
+    assert told == {1: "automatic", 2: "automatic", 3: "vertical"} == {r.group_id: r.direction for r in grouping.vote_direction(glyphs, limit=0).collect()}
