@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.scale import number_rows
+from inkloom.session import written
 
 
 def intersect_selection(selection: DataFrame, pages: DataFrame, order: str) -> DataFrame:
@@ -20,7 +21,8 @@ def intersect_selection(selection: DataFrame, pages: DataFrame, order: str) -> D
 
 def union_candidates(enclosures: DataFrame, clusters: DataFrame) -> DataFrame:
     """Enclosure candidates, then supplemental clusters, with one 1-based index per page."""
-    both = enclosures.withColumn("_source", F.lit(0)).unionByName(clusters.withColumn("_source", F.lit(1)))
+    # the numbering reads its rows twice, and clusters cost a spatial join
+    both = enclosures.withColumn("_source", F.lit(0)).unionByName(written(clusters).withColumn("_source", F.lit(1)))
     order = [F.col("_source"), F.col("ord"), F.col("candidate_id")]
     return number_rows(both, ["page_id"], order, "candidate_index").drop("_source")
 

@@ -339,11 +339,20 @@ def best_cluster_per_enclosure(enclosures: DataFrame, clusters: DataFrame, share
 
 def uncovered_clusters(clusters: DataFrame, enclosures: DataFrame, share: float = 0.6, first: int = 12, limit: int = ARRAY_GROUP_LIMIT) -> DataFrame:
     """Clusters no enclosure holds, the ``first`` ones of each page in their order."""
-    pairs = near_pairs(clusters, enclosures, ["page_id"], limit=limit)
-    covered = pairs.where(Box.columns("a_").share_inside(Box.columns("b_")) >= share).select(
-        "page_id", F.col("a_cluster_id").alias("cluster_id")
-    )
-    free = clusters.join(covered.distinct(), ["page_id", "cluster_id"], "left_anti")
+    by = ["page_id"]
+    crowded = _crowded_pages([clusters, enclosures], by, limit)
+    cold, hot = split_hot(clusters, by, crowded)
+    shapes, hot_shapes = split_hot(enclosures, by, crowded)
+    # one join: the clusters are not shuffled a second time to drop the covered ones
+    a, b = Box.columns(), Box.columns("b_")
+    held = (F.col("page_id") == F.col("b_page_id")) & a.meets(b) & (a.share_inside(b) >= share)
+    free = cold.join(shapes.select(*[F.col(c).alias("b_" + c) for c in ("page_id", "x", "y", "width", "height")]), held, "left_anti")
+    if crowded is not None:
+        pairs = near_pairs(hot, hot_shapes, by, limit=limit)
+        covered = pairs.where(Box.columns("a_").share_inside(Box.columns("b_")) >= share).select(
+            "page_id", F.col("a_cluster_id").alias("cluster_id")
+        )
+        free = free.unionByName(hot.join(covered.distinct(), ["page_id", "cluster_id"], "left_anti"))
     return top_rows(free, ["page_id"], [F.col("ord"), F.col("cluster_id")], first, "position")
 
 

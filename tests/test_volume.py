@@ -3,7 +3,7 @@
 import re
 
 import __spark_entry__  # noqa: F401  (registers the queries)
-from inkloom.operators import detection, edits, grouping, identity
+from inkloom.operators import detection, edits, grouping, identity, spatial
 from inkloom.plans.catalog import QUERIES
 from inkloom.plans.views import Views
 from inkloom.session import written
@@ -90,3 +90,12 @@ def test_directions_are_voted_inside_the_gathered_groups(spark):
     glyphs = spark.createDataFrame([(1, "a", 1, 0.0, 0.0, 0.0, 1.0), (2, "a", 1, 0.0, 0.0, 1.0, 1.0), (3, "a", 1, 0.0, 0.0, 1.0, 1.0), (3, "b", 2, 0.0, 3.0, 1.0, 1.0)], "group_id long, glyph_id string, ord int, x double, y double, width double, height double")
     told = {r.group_id: r.direction for r in grouping.vote_direction(glyphs).collect()}
     assert told == {1: "automatic", 2: "automatic", 3: "vertical"} == {r.group_id: r.direction for r in grouping.vote_direction(glyphs, limit=0).collect()}
+
+
+def test_clusters_meet_enclosures_once_and_are_numbered_as_written(spark):
+    assert len(re.findall("Join [A-Z]", plan(QUERIES["uncovered_clusters"](spark, DATA)))) == 1
+    assert not re.search("Join [A-Z]", plan(QUERIES["union_candidates"](spark, DATA)))
+    clusters = spark.createDataFrame([(1, "in", 1, 0.1, 0.1, 0.2, 0.2, 5), (1, "out", 2, 0.6, 0.6, 0.2, 0.2, 5), (None, "lost", 1, 0.1, 0.1, 0.2, 0.2, 5)], "page_id long, cluster_id string, ord int, x double, y double, width double, height double, glyph_count long")
+    shapes = spark.createDataFrame([(1, "e", 1, 0.0, 0.0, 0.5, 0.5), (1, "f", 2, 0.0, 0.0, 0.4, 0.4)], "page_id long, enclosure_id string, ord int, x double, y double, width double, height double")
+    for limit in (0, 512):
+        assert {r.cluster_id for r in spatial.uncovered_clusters(clusters, shapes, limit=limit).collect()} == {"out", "lost"}
