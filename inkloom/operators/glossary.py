@@ -148,7 +148,9 @@ def _last_lives(lives: DataFrame) -> DataFrame:
     key = ["project_id", "term_key"]
     first = lives.groupBy(*key).agg(F.min("birth").alias("birth"))
     lone = lives.join(first, [*key, "birth"], "left_semi").where(F.col("next_birth").isNull())
-    chains = lives.join(lone, key, "left_anti")
+    # only first lives and those that follow another can be on a chain: there are no more of them than removals and terms
+    onward = lives.where(F.col("next_birth").isNotNull()).select(*key, F.col("next_birth").alias("birth")).distinct()
+    chains = lives.join(lone, key, "left_anti").join(onward.unionByName(first).distinct(), [*key, "birth"], "left_semi")
     span = materialize(chains.select(*key, "birth", F.coalesce("next_birth", "birth").alias("to"), F.col("next_birth").isNotNull().alias("more")))
     while True:
         heads = span.join(first, [*key, "birth"], "left_semi")

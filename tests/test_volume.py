@@ -3,7 +3,7 @@
 import re
 
 import __spark_entry__  # noqa: F401  (registers the queries)
-from inkloom.operators import detection, edits, grouping, identity, spatial
+from inkloom.operators import detection, edits, glossary, grouping, identity, spatial
 from inkloom.plans.catalog import QUERIES
 from inkloom.plans.views import Views
 from inkloom.session import written
@@ -99,3 +99,23 @@ def test_clusters_meet_enclosures_once_and_are_numbered_as_written(spark):
     shapes = spark.createDataFrame([(1, "e", 1, 0.0, 0.0, 0.5, 0.5), (1, "f", 2, 0.0, 0.0, 0.4, 0.4)], "page_id long, enclosure_id string, ord int, x double, y double, width double, height double")
     for limit in (0, 512):
         assert {r.cluster_id for r in spatial.uncovered_clusters(clusters, shapes, limit=limit).collect()} == {"out", "lost"}
+
+
+def test_only_lives_that_follow_another_are_chained(spark, monkeypatch):
+    rows, kept = [], glossary.materialize
+    for seq in range(300):
+        rows.append((1, 7 if seq % 100 == 50 else seq % 5, "T", "zh", f"t{seq}", None, seq, "put"))
+    rows += [(1, owner, None, None, None, None, seq, "remove") for owner, seq in ((0, 60), (1, 120), (2, 180))]
+    changes = spark.createDataFrame([(*r[:6], r[6] * 2 + (r[7] == "remove"), r[7]) for r in rows], "project_id long, entry_id long, source_term string, lang string, translation string, note string, seq long, op string")
+    chained = []
+
+    def counted(df, **named):
+        out = kept(df, **named)
+        if "more" in out.columns:
+            chained.append(out.count())
+        return out
+
+    monkeypatch.setattr(glossary, "materialize", counted)
+    [row] = glossary.upsert_glossary(changes.drop("seq", "op").limit(0), changes).collect()
+    assert chained and max(chained) <= 4
+    assert row.translation == "t299"
