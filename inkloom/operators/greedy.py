@@ -4,6 +4,7 @@
   with a kept one (suppression, duplicate rejection).
 * ``greedy_match``: go through pairs in rank order, accept one if both sides are
   still free (one-to-one matching).
+* ``greedy_claim``: the same from the two tables, of which each row is shuffled once.
 
 An ordinary group is folded inside the JVM over one sorted array.  A larger group
 is settled in rounds of joins: an item (or pair) that no better undecided one
@@ -13,12 +14,14 @@ touches is decided at once, which gives the same result as the sequential pass.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.functions.boxes import FIELDS, Box
-from inkloom.scale import ARRAY_GROUP_LIMIT, hot_groups, split_hot, top_rows
+from inkloom.functions.boxes import FIELDS, Box, let
+from inkloom.scale import ARRAY_GROUP_LIMIT, group_keys, hot_groups, split_hot, top_rows
 from inkloom.session import materialize
 
 
@@ -91,6 +94,20 @@ def _keep_in_rounds(items, by, key, rank, conflict, pairs_of, copies_conflict) -
     return items.join(kept, [*by, key], "left_semi")
 
 
+#: Pairs of one group that are folded in one array, as a multiple of its limit of rows.
+PAIRS_PER_ROW = 8
+
+
+def _accepted(ordered: Column) -> Column:
+    """The pairs (structs with ``l`` and ``r``) of an ordered array whose sides no earlier accepted pair uses."""
+
+    def step(done: Column, pair: Column) -> Column:
+        used = F.exists(done, lambda d: (d["l"] == pair["l"]) | (d["r"] == pair["r"]))
+        return F.when(used, done).otherwise(F.concat(done, F.array(pair)))
+
+    return let(ordered, lambda pairs: F.aggregate(F.slice(pairs, F.lit(2), F.size(pairs)), F.slice(pairs, 1, 1), step))
+
+
 def greedy_match(
     pairs: DataFrame,
     by: Sequence[str],
@@ -102,15 +119,10 @@ def greedy_match(
     """Accepted (group, left, right) pairs; ``rank`` columns must be a total order of the pairs of a group."""
     # a lazy plan that decides which groups fold and which go in rounds reads the pairs more than once
     pairs = materialize(pairs.select(*by, left, right, *rank))
-    cold, hot = split_hot(pairs, by, hot_groups(pairs, by, limit * 8))
+    cold, hot = split_hot(pairs, by, hot_groups(pairs, by, limit * PAIRS_PER_ROW))
     entry = F.struct(*rank, F.col(left).alias("l"), F.col(right).alias("r"))
     listed = cold.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
-
-    def step(done: Column, pair: Column) -> Column:
-        used = F.exists(done, lambda d: (d["l"] == pair["l"]) | (d["r"] == pair["r"]))
-        return F.when(used, done).otherwise(F.concat(done, F.array(pair)))
-
-    folded = F.aggregate(F.slice("_all", F.lit(2), F.size("_all")), F.slice("_all", 1, 1), step)
+    folded = _accepted(F.col("_all"))
     chosen = listed.select(*by, F.explode(folded).alias("_p")).select(
         *by, F.col("_p.l").alias(left), F.col("_p.r").alias(right)
     )
@@ -127,3 +139,75 @@ def greedy_match(
         remaining = remaining.join(leading.select(*by, left), [*by, left], "left_anti")
         remaining = materialize(remaining.join(leading.select(*by, right), [*by, right], "left_anti"))
     return chosen.unionByName(accepted)
+
+
+def greedy_claim(
+    left: DataFrame,
+    right: DataFrame,
+    by: Sequence[str],
+    left_id: str,
+    right_id: str,
+    score: Callable[[Column, Column], Column],
+    counts: Callable[[Column, Column, Column], Column],
+    rank: Callable[[Column, Column, Column], Sequence[Column]],
+    pairs_of: Callable[[DataFrame, DataFrame], DataFrame],
+    limit: int = ARRAY_GROUP_LIMIT,
+) -> DataFrame:
+    """Every row of ``left`` with the row of ``right`` it claims: ``by`` and the structs ``_l`` and ``_r`` of their other columns.
+
+    ``_r`` is null where nothing is claimed.  Pairs are gone through in the order of
+    ``rank(score, a, b)``, a total order of the pairs of a group, and accepted if both
+    sides are still free; only pairs with ``counts(score, a, b)`` take part.
+
+    An ordinary group is matched inside the arrays of its two sides.  A group with more than
+    ``limit`` rows, or too many possible pairs for one array, goes through
+    ``pairs_of(left, right)`` (``by`` and the structs ``_a`` and ``_b``) and ``greedy_match``.
+    """
+    known = reduce(and_, [F.col(c).isNotNull() for c in by])
+    right = right.where(known)
+    sides = left.where(known).select(*by, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(
+        right.select(*by, F.lit(0).alias("_a"), F.lit(1).alias("_b"))
+    )
+    sizes = sides.groupBy(*by).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    large = (F.col("_a") + F.col("_b") > limit) | (F.col("_a") * F.col("_b") > limit * PAIRS_PER_ROW)
+    crowded = group_keys(sizes.where(large).select(*by))
+    cold_left, hot_left = split_hot(left, by, crowded)
+    cold_right, hot_right = split_hot(right, by, crowded)
+
+    own_l, own_r = [F.struct(*[c for c in df.columns if c not in by]) for df in (left, right)]
+    # rows without a group claim nothing; their ids keep them from meeting in one group
+    lone = F.when(~known, F.col(left_id)).alias("_lone")
+    l_rows = cold_left.select(*by, lone, own_l.alias("_l"))
+    r_rows = cold_right.select(*by, own_r.alias("_r"))
+    rows = l_rows.unionByName(r_rows, allowMissingColumns=True).repartition(*by, "_lone")
+    listed = rows.groupBy(*by, "_lone").agg(F.collect_list("_l").alias("_ls"), F.collect_list("_r").alias("_rs"))
+
+    def pairs(a: Column) -> Column:
+        scored = F.transform("_rs", lambda b: F.struct(score(a, b).alias("s"), b.alias("b")))
+        met = F.filter(scored, lambda p: counts(p["s"], a, p["b"]))
+        return F.transform(
+            met,
+            lambda p: F.struct(
+                *[c.alias(f"r{i}") for i, c in enumerate(rank(p["s"], a, p["b"]))], a[left_id].alias("l"), p["b"][right_id].alias("r")
+            ),
+        )
+
+    def claimed(done: Column, a: Column) -> Column:
+        mine = F.filter("_rs", lambda b: F.exists(done, lambda d: (d["l"] == a[left_id]) & (d["r"] == b[right_id])))
+        none = F.array(F.struct(a.alias("_l"), F.lit(None).cast(r_rows.schema["_r"].dataType).alias("_r")))
+        both = lambda found: F.transform(found, lambda b: F.struct(a.alias("_l"), b.alias("_r")))
+        return let(mine, lambda found: F.when(F.size(found) == 0, none).otherwise(both(found)))
+
+    ordered = F.array_sort(F.flatten(F.transform("_ls", pairs)))
+    whole = let(_accepted(ordered), lambda done: F.flatten(F.transform("_ls", lambda a: claimed(done, a))))
+    out = listed.select(*by, F.explode(whole).alias("_e")).select(*by, "_e._l", "_e._r")
+    if crowded is None:
+        return out
+    a, b, s = F.col("_a"), F.col("_b"), F.col("_s")
+    met = pairs_of(hot_left, hot_right).withColumn("_s", score(a, b)).where(counts(s, a, b))
+    order = [c.alias(f"r{i}") for i, c in enumerate(rank(s, a, b))]
+    ranked = met.select(*by, a[left_id].alias("_li"), b[right_id].alias("_ri"), *order)
+    matches = greedy_match(ranked, by, "_li", "_ri", [f"r{i}" for i in range(len(order))], limit=limit)
+    found = matches.join(hot_right.select(*by, F.col(right_id).alias("_ri"), own_r.alias("_r")), [*by, "_ri"])
+    joined = hot_left.select(*by, F.col(left_id).alias("_li"), own_l.alias("_l")).join(found, [*by, "_li"], "left")
+    return out.unionByName(joined.select(*by, "_l", "_r"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from inkloom.functions.boxes import Box
 from inkloom.functions.text import compact
-from inkloom.operators.greedy import greedy_keep, greedy_match
+from inkloom.operators.greedy import greedy_claim, greedy_keep
 from inkloom.scale import (
     ARRAY_GROUP_LIMIT,
     SMALL_TABLE_ROWS,
@@ -234,10 +234,32 @@ def reject_duplicate_boxes(
     return judged.unionByName(invalid)
 
 
-def coverage_pairs(left: DataFrame, right: DataFrame, minimum: float, limit: int = ARRAY_GROUP_LIMIT) -> DataFrame:
-    pairs = near_pairs(left, right, ["page_id"], limit=limit)
-    scored = pairs.withColumn("score", Box.columns("a_").coverage(Box.columns("b_")))
-    return scored.where((F.col("score") >= minimum) & (F.col("score") > 0))
+def _row_pairs(left: DataFrame, right: DataFrame, pad: Callable[[Box], Column] | None = None, limit: int = ARRAY_GROUP_LIMIT) -> DataFrame:
+    """Near pairs of a page as the structs ``_a`` and ``_b`` of their rows."""
+    pairs = near_pairs(left, right, ["page_id"], pad=pad, limit=limit)
+
+    def row(df: DataFrame, prefix: str) -> Column:
+        return F.struct(*[F.col(prefix + c).alias(c) for c in df.columns if c != "page_id"])
+
+    return pairs.select("page_id", row(left, "a_").alias("_a"), row(right, "b_").alias("_b"))
+
+
+def _claimed_boxes(
+    left: DataFrame, right: DataFrame, left_id: str, right_id: str,
+    rank: Callable[[Column, Column, Column], Sequence[Column]], minimum: float, limit: int,
+) -> DataFrame:
+    """Boxes of ``left`` with the box of their page that they claim (``_l``, ``_r``), by coverage of at least ``minimum``."""
+
+    def counts(score: Column, a: Column, b: Column) -> Column:
+        return (score >= minimum) & (score > 0) & Box.struct(a).meets(Box.struct(b))
+
+    def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+        keys = ["page_id", "ord", "x", "y", "width", "height"]
+        return _row_pairs(a.select(left_id, *keys), b.select(right_id, *keys), limit=limit)
+
+    return greedy_claim(
+        left, right, ["page_id"], left_id, right_id, lambda a, b: Box.struct(a).coverage(Box.struct(b)), counts, rank, pairs, limit=limit
+    )
 
 
 def snap_regions(
@@ -248,65 +270,54 @@ def snap_regions(
     Adds ``det_id`` (null when unmatched); matched regions take the detection's
     box, shape (``mask_polygons``) and layout box when those columns exist.
     """
-    keys = ["page_id", "region_id", "ord", "x", "y", "width", "height"]
-    right = detections.select("page_id", "det_id", F.col("ord").alias("det_ord"), "x", "y", "width", "height")
-    pairs = coverage_pairs(regions.select(*keys), right, minimum, limit).select(
-        "page_id", "a_region_id", "b_det_id",
-        (-F.col("score")).alias("r0"), F.col("a_ord").alias("r1"), F.col("a_region_id").alias("r2"),
-        F.col("b_det_ord").alias("r3"), F.col("b_det_id").alias("r4"),
-    )
-    matches = greedy_match(pairs, ["page_id"], "a_region_id", "b_det_id", ["r0", "r1", "r2", "r3", "r4"], limit=limit)
     carried = [c for c in ("mask_polygons", "layout") if c in detections.columns]
-    found = matches.join(
-        detections.select(
-            "page_id", F.col("det_id").alias("b_det_id"),
-            *[F.col(c).alias("_" + c) for c in ("x", "y", "width", "height", *carried)],
-        ),
-        ["page_id", "b_det_id"],
-    ).withColumnRenamed("a_region_id", "region_id")
-    joined = regions.join(found, ["page_id", "region_id"], "left")
-    changed = {c: F.coalesce("_" + c, c) for c in ("x", "y", "width", "height")}
-    changed |= {("mask_polygons" if c == "mask_polygons" else "layout"): F.col("_" + c) for c in carried}
-    out = joined.withColumns(changed).withColumnRenamed("b_det_id", "det_id")
-    return out.drop(*["_" + c for c in ("x", "y", "width", "height", *carried)])
+    claimed = _claimed_boxes(
+        regions, detections.select("page_id", "det_id", "ord", "x", "y", "width", "height", *carried), "region_id", "det_id",
+        lambda s, a, b: [-s, a["ord"], a["region_id"], b["ord"], b["det_id"]], minimum, limit,
+    )
+    own = [c for c in regions.columns if c not in ("page_id", "region_id")]
+    out = claimed.select("page_id", "_l.region_id", *[F.col(f"_l.{c}") for c in own], F.col("_r.det_id").alias("det_id"), "_r")
+    changed = {c: F.coalesce(f"_r.{c}", c) for c in ("x", "y", "width", "height")}
+    return out.withColumns(changed | {c: F.col(f"_r.{c}") for c in carried}).drop("_r")
 
 
 def reidentify_regions(
-    previous: DataFrame, detected: DataFrame, minimum: float = 0.25, limit: int = ARRAY_GROUP_LIMIT
+    previous: DataFrame,
+    detected: DataFrame,
+    minimum: float = 0.25,
+    limit: int = ARRAY_GROUP_LIMIT,
+    recall: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Carry the identity and edits of earlier regions over to newly detected ones.
 
     Detected regions choose in their order; each takes the best still unused
     previous region with coverage of at least ``minimum``.
+
+    Wide edits need not travel with every previous region: ``recall`` looks further
+    columns up by those of ``previous``, for the claimed regions only.  It keeps all
+    rows and columns; where nothing is claimed, those of ``previous`` are null.
     """
     keys = ["page_id", "region_id", "ord", "x", "y", "width", "height"]
-    pairs = coverage_pairs(detected.select(*keys), previous.select(*keys), minimum, limit).select(
-        "page_id", "a_region_id", "b_region_id",
-        F.col("a_ord").alias("r0"), F.col("a_region_id").alias("r1"), (-F.col("score")).alias("r2"),
-        F.col("b_ord").alias("r3"), F.col("b_region_id").alias("r4"),
+    claimed = _claimed_boxes(
+        detected, previous, "region_id", "region_id",
+        lambda s, a, b: [a["ord"], a["region_id"], -s, b["ord"], b["region_id"]], minimum, limit,
     )
-    matches = greedy_match(pairs, ["page_id"], "a_region_id", "b_region_id", ["r0", "r1", "r2", "r3", "r4"], limit=limit)
-    carried = [c for c in previous.columns if c not in keys]
-    old = previous.select(
-        "page_id", F.col("region_id").alias("b_region_id"), *[F.col(c).alias("_" + c) for c in carried]
-    )
-    joined = detected.join(
-        matches.join(old, ["page_id", "b_region_id"]).withColumnRenamed("a_region_id", "region_id"),
-        ["page_id", "region_id"],
-        "left",
-    )
-    keeps_text = F.coalesce(F.trim("_source_text") != "", F.lit(False)) if "source_text" in carried else F.lit(False)
+    told = claimed.select("page_id", F.col("_l").alias("_detected"), *[F.col(f"_r.{c}").alias(c) for c in previous.columns if c != "page_id"])
+    if recall is not None:
+        told = recall(told)
+    own = {c: F.col(f"_detected.{c}") for c in detected.columns if c != "page_id"}
+    carried = [c for c in told.columns if c not in (*keys, "_detected")]
+    keeps_text = F.coalesce(F.trim("source_text") != "", F.lit(False)) if "source_text" in carried else F.lit(False)
     columns = [
         "page_id",
-        F.coalesce("b_region_id", "region_id").alias("region_id"),
-        F.col("region_id").alias("detected_id"),
-        "ord", "x", "y", "width", "height",
+        F.coalesce("region_id", own["region_id"]).alias("region_id"),
+        own["region_id"].alias("detected_id"),
+        *[own[c].alias(c) for c in ("ord", "x", "y", "width", "height")],
     ]
     for c in carried:
-        own = F.col(c) if c in detected.columns else F.lit(None)
-        rule = keeps_text if c in ("source_text", "raw_source_text", "text_confirmed") else F.col("b_region_id").isNotNull()
-        columns.append(F.when(rule, F.col("_" + c)).otherwise(own).alias(c))
-    return joined.select(*columns)
+        rule = keeps_text if c in ("source_text", "raw_source_text", "text_confirmed") else F.col("region_id").isNotNull()
+        columns.append(F.when(rule, F.col(c)).otherwise(own.get(c, F.lit(None))).alias(c))
+    return told.select(*columns)
 
 
 def smallest_enclosure(texts: DataFrame, enclosures: DataFrame, share: float = 0.9, limit: int = ARRAY_GROUP_LIMIT) -> DataFrame:
@@ -462,28 +473,24 @@ def match_truth(truth: DataFrame, observed: DataFrame, reach: float = 0.06, limi
 
     Both sides carry normalised centres ``cx, cy``.
     """
+
+    def distance(a: Column, b: Column) -> Column:
+        dx, dy = a["cx"] - b["cx"], a["cy"] - b["cy"]
+        return F.sqrt(dx * dx + dy * dy)  # not hypot, whose last digit may differ: ties and the reach are exact
+
     def spot(df: DataFrame, key: str) -> DataFrame:
         zero = F.lit(0.0)
-        return df.select(
-            "page_id", key, "ord", F.col("cx").alias("x"), F.col("cy").alias("y"), zero.alias("width"), zero.alias("height")
-        )
+        at = [F.col("cx").alias("x"), F.col("cy").alias("y"), zero.alias("width"), zero.alias("height")]
+        return df.select("page_id", key, "ord", "cx", "cy", *at)
 
-    pairs = near_pairs(spot(truth, "truth_id"), spot(observed, "obs_id"), ["page_id"], pad=lambda b: F.lit(reach), limit=limit)
-    dx, dy = F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")
-    distance = F.sqrt(dx * dx + dy * dy)  # not hypot, whose last digit may differ: ties and the reach are exact
-    ranked = pairs.withColumn("distance", distance).where(F.col("distance") <= reach)
-    matches = greedy_match(
-        ranked.select(
-            "page_id", "a_truth_id", "b_obs_id",
-            F.col("a_ord").alias("r0"), F.col("a_truth_id").alias("r1"), F.col("distance").alias("r2"),
-            F.col("b_ord").alias("r3"), F.col("b_obs_id").alias("r4"),
-        ),
-        ["page_id"], "a_truth_id", "b_obs_id", ["r0", "r1", "r2", "r3", "r4"], limit=limit,
+    claimed = greedy_claim(
+        truth, observed.select("page_id", "obs_id", "ord", "cx", "cy", "text"), ["page_id"], "truth_id", "obs_id",
+        distance, lambda s, a, b: s <= reach, lambda s, a, b: [a["ord"], a["truth_id"], s, b["ord"], b["obs_id"]],
+        lambda a, b: _row_pairs(spot(a, "truth_id"), spot(b, "obs_id"), lambda box: F.lit(reach), limit), limit=limit,
     )
-    found = matches.select("page_id", F.col("a_truth_id").alias("truth_id"), F.col("b_obs_id").alias("obs_id"))
-    texts = observed.select("page_id", "obs_id", F.col("text").alias("_observed"))
-    out = truth.join(found, ["page_id", "truth_id"], "left").join(texts, ["page_id", "obs_id"], "left")
-    return out.withColumn("observed", F.coalesce("_observed", F.lit(""))).drop("_observed")
+    own = [c for c in truth.columns if c not in ("page_id", "truth_id")]
+    out = claimed.select("page_id", "_r.obs_id", "_l.truth_id", *[F.col(f"_l.{c}") for c in own], F.col("_r.text").alias("_text"))
+    return out.withColumn("observed", F.coalesce("_text", F.lit(""))).drop("_text")
 
 
 def detections_to_regions(detections: DataFrame, style: dict | None = None) -> DataFrame:

@@ -103,7 +103,7 @@ SNAP_PAIRS = f"""SELECT a.page_id, a.region_id AS l, b.det_id AS r, {coverage('a
     ("fx_boxes", "fx_detections"),
 )
 def _(v):
-    snapped = spatial.snap_regions(v.boxes(), v.detections())
+    snapped = spatial.snap_regions(v.boxes().select("page_id", "region_id", "ord", "x", "y", "width", "height"), v.detections())
     return snapped.select(
         "page_id", "region_id", "det_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "width", "height"
     )

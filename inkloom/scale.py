@@ -65,11 +65,15 @@ def broadcast_if_small(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFram
 
 def hot_groups(df: DataFrame, by: Sequence[str], limit: int) -> DataFrame | None:
     """Keys of ``by`` with more than ``limit`` rows, or None when there are none."""
-    big = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).drop("_n")
+    return group_keys(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).drop("_n"))
+
+
+def group_keys(big: DataFrame) -> DataFrame | None:
+    """The keys of groups as a broadcast table, written when they are many, or None when there are none."""
     rows = _bounded_rows(big, SMALL_TABLE_ROWS)
     if rows is None:
         return materialize(big)
-    return F.broadcast(df.sparkSession.createDataFrame(rows, big.schema)) if rows else None
+    return F.broadcast(big.sparkSession.createDataFrame(rows, big.schema)) if rows else None
 
 
 def split_hot(df: DataFrame, by: Sequence[str], hot: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:

@@ -119,3 +119,39 @@ def test_only_lives_that_follow_another_are_chained(spark, monkeypatch):
     [row] = glossary.upsert_glossary(changes.drop("seq", "op").limit(0), changes).collect()
     assert chained and max(chained) <= 4
     assert row.translation == "t299"
+
+
+def odd_sides(spark):
+    """Rows without a page, ids that occur twice, pages of one side only, empty boxes and boxes without numbers."""
+    box = "x double, y double, width double, height double"
+    nan = float("nan")
+    left = [
+        (1, "a", 1, 0.1, 0.1, 0.2, 0.2, "one"), (1, "a", 2, 0.5, 0.5, 0.2, 0.2, "two"), (1, "c", 3, 0.1, 0.1, 0.2, 0.2, "three"),
+        (1, "n", 4, nan, 0.1, 0.2, 0.2, None), (1, "e", 5, 0.1, 0.1, 0.0, 0.2, " "), (None, "a", 1, 0.1, 0.1, 0.2, 0.2, "lost"),
+        (None, "a", 2, 0.1, 0.1, 0.2, 0.2, "lost"), (None, "z", 2, 0.1, 0.1, 0.2, 0.2, "lost"), (2, "b", 1, 0.1, 0.1, 0.2, 0.2, "alone"),
+        *[(4, f"m{i}", i % 3, 0.1 + i / 50, 0.1, 0.2, 0.2, f"t{i}") for i in range(9)],
+    ]
+    right = [
+        (1, "d", 1, 0.11, 0.1, 0.2, 0.2), (1, "d", 2, 0.12, 0.1, 0.2, 0.2), (1, "f", 3, 0.5, 0.5, 0.2, 0.2),
+        (None, "d", 1, 0.1, 0.1, 0.2, 0.2), (3, "g", 1, 0.1, 0.1, 0.2, 0.2), *[(4, f"k{i}", i % 2, 0.12 + i / 40, 0.1, 0.2, 0.2) for i in range(7)],
+    ]
+    return (
+        spark.createDataFrame(left, f"page_id long, region_id string, ord int, {box}, source_text string"),
+        spark.createDataFrame(right, f"page_id long, det_id string, ord int, {box}"),
+    )
+
+
+def test_each_row_of_a_match_is_shuffled_once(spark):
+    snapped = plan(QUERIES["snap_regions"](spark, DATA))
+    assert "Join" not in snapped and "confidence" not in snapped.split("collect_list", 1)[1]
+    assert "Join" not in plan(QUERIES["match_truth"](spark, DATA))
+    left, right = odd_sides(spark)
+    for limit in (1, 3, 512):
+        out = spatial.snap_regions(left, right, limit=limit)
+        assert out.columns == ["page_id", "region_id", "ord", "x", "y", "width", "height", "source_text", "det_id"]
+        rows = out.collect()
+        assert sorted([(r.region_id, r.ord, r.det_id, r.x) for r in rows if r.page_id == 1 and r.region_id == "a"]) == [
+            ("a", 1, "f", 0.5), ("a", 2, "f", 0.5)
+        ]
+        assert {r.det_id for r in rows if r.page_id in (None, 2) or r.region_id in ("e", "n")} == {None}
+        assert len(rows) == 19 and sum(r.page_id is None for r in rows) == 3
