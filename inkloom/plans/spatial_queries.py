@@ -124,13 +124,11 @@ REID_PAIRS = f"""SELECT a.page_id, a.det_id AS l, b.region_id AS r, {coverage('a
     ("fx_boxes", "fx_detections", "fx_regions"),
 )
 def _(v):
-    previous = v.regions().select(
-        "page_id", "region_id", "ord", "x", "y", "width", "height", "source_text", "translated_text"
-    )
+    previous = v.boxes().select("page_id", "region_id", "ord", "x", "y", "width", "height", "partkey", "suppkey")
     detected = v.detections().select(
         "page_id", F.col("det_id").alias("region_id"), "ord", "x", "y", "width", "height", F.lit("").alias("source_text")
     )
-    out = spatial.reidentify_regions(previous, detected)
+    out = spatial.reidentify_regions(previous, detected, recall=v.recalled)
     return out.select("page_id", "region_id", "detected_id", "source_text", "translated_text")
 
 

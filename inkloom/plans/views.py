@@ -82,15 +82,23 @@ class Views:
         stored = self.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
         parts = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
         return stored.join(parts, "l_partkey").select(*self._line_columns(), "p_name").select(
-            *[c for c in self.boxes().columns],
-            F.when(F.col("ord") == 7, F.lit("")).otherwise(F.col("p_name")).alias("source_text"),
-            F.when(F.col("partkey") % 9 == 0, F.lit(""))
-            .otherwise(
-                F.concat(F.upper("p_name"), F.when(F.col("suppkey") % 10 == 0, F.lit(" 12")).otherwise(F.lit("")))
-            )
-            .alias("translated_text"),
+            *[c for c in self.boxes().columns], *self._texts()
         )
 
+    def _texts(self) -> list[Column]:
+        part = F.col("partkey")
+        spoken = F.concat(F.upper("p_name"), F.when(F.col("suppkey") % 10 == 0, F.lit(" 12")).otherwise(F.lit("")))
+        return [
+            F.when(F.col("ord") == 7, F.lit("")).otherwise(F.col("p_name")).alias("source_text"),
+            F.when(part % 9 == 0, F.lit("")).otherwise(spoken).alias("translated_text"),
+        ]
+
+    def recalled(self, lines: DataFrame) -> DataFrame:
+        """Rows with the keys of their part, if any, and the texts of their region; all rows stay."""
+        parts = self.raw("part").select(F.col("p_partkey").alias("partkey"), "p_name", F.lit(True).alias("_known"))
+        named = lines.join(parts, "partkey", "left")
+        return named.select(*lines.columns, *[F.when(F.col("_known"), t).alias(n) for t, n in zip(self._texts(), ("source_text", "translated_text"))])
+
     def detections(self) -> DataFrame:
         left, top = F.col("x") + 0.03, F.col("y") - 0.02
         return (

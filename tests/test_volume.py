@@ -155,3 +155,15 @@ def test_each_row_of_a_match_is_shuffled_once(spark):
         ]
         assert {r.det_id for r in rows if r.page_id in (None, 2) or r.region_id in ("e", "n")} == {None}
         assert len(rows) == 19 and sum(r.page_id is None for r in rows) == 3
+
+
+def test_edits_are_recalled_for_claimed_regions_only(spark):
+    assert plan(QUERIES["reidentify_regions"](spark, DATA)).count("Join") == 1  # with the parts, after the match
+    left, right = odd_sides(spark)
+    detected = right.withColumnRenamed("det_id", "region_id")
+    texts = left.select("page_id", "region_id", "ord", "source_text")
+    whole = spatial.reidentify_regions(left, detected)
+    recalled = spatial.reidentify_regions(left.drop("source_text"), detected, recall=lambda rows: rows.join(texts, ["page_id", "region_id", "ord"], "left"))
+    assert recalled.columns == whole.columns
+    found = sorted(map(str, recalled.collect()))
+    assert found == sorted(map(str, whole.collect())) and len(found) == 14
