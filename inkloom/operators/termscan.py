@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 
 #: Lengths of the prefixes that a place must share with a term of its project to stay a candidate.
 LADDER = (2, 4, 8, 16)
-#: Characters scanned at once; a longer text is a block of its own.
-BLOCK = 1 << 19
+#: Characters scanned at once, at some 100 bytes each; a longer text is a block of its own.
+BLOCK = 1 << 17
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -132,9 +132,11 @@ def scan(shared, columns: list[str]):
             built.append(Terms(table))
         for batch in batches:
             tags = _tags(batch.column("project_id"))
-            texts = [t or "" for t in batch.column("folded").to_pylist()]
-            for first, last in _cut([len(t) for t in texts]):
-                rows, terms = built[0].find(texts[first:last], tags[first:last])
+            folded = batch.column("folded")
+            for first, last in _cut(pc.fill_null(pc.utf8_length(folded), 0).to_pylist()):
+                # only the texts of a block become strings
+                texts = [t or "" for t in folded.slice(first, last - first).to_pylist()]
+                rows, terms = built[0].find(texts, tags[first:last])
                 own = batch.select(columns).take(pa.array(rows + first))
                 told = table.take(pa.array(terms)).combine_chunks()
                 more = [c for c in table.column_names if c not in ("project_id", "folded_term")]

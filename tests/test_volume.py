@@ -1,9 +1,13 @@
 """Steps that are read several times are written once, and rows travel narrow."""
 
 import re
+import tracemalloc
+from types import SimpleNamespace
+
+import pyarrow as pa
 
 import __spark_entry__  # noqa: F401  (registers the queries)
-from inkloom.operators import detection, edits, glossary, grouping, identity, spatial
+from inkloom.operators import detection, edits, glossary, grouping, identity, spatial, termscan
 from inkloom.plans.catalog import QUERIES
 from inkloom.plans.views import Views
 from inkloom.session import written
@@ -167,3 +171,16 @@ def test_edits_are_recalled_for_claimed_regions_only(spark):
     assert recalled.columns == whole.columns
     found = sorted(map(str, recalled.collect()))
     assert found == sorted(map(str, whole.collect())) and len(found) == 14
+
+
+def test_a_scan_for_terms_holds_one_block_of_texts(spark):
+    schema = ["project_id", "region_id", "folded"]
+    texts = [f"{i} " + "some words of a page " * 120 for i in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 1500), pa.array(range(1500)), pa.array([*texts[:-1], None])], schema)
+    shared = SimpleNamespace(value=pa.table({"project_id": [1, 1], "folded_term": ["words of", "7 some"], "entry_id": [1, 2]}))
+    tracemalloc.start()
+    hits = [r for out in termscan.scan(shared, ["region_id"])(iter([batch])) for r in zip(*map(pa.Array.to_pylist, out.columns))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(hits) == sorted([(i, 1) for i in range(1499)] + [(i, 2) for i in range(1499) if i % 10 == 7])
+    assert peak < 30 << 20, peak
