@@ -16,6 +16,8 @@ interval of cw for every symbol c before it, by the last-to-first map.  The righ
 is a place where neighbouring suffixes share exactly l symbols; an interval whose end is
 known already is not extended.  Common prefixes thus appear by increasing value, and
 the expansion stops at ``length``: suffixes between the places found by then share at least ``length`` symbols.
+The ranks by which the suffixes were sorted tell the intervals of strings of ``2 * HEAD`` symbols, where nearly all
+suffixes lie in open intervals; the expansion goes on from there.
 
 A minimizer of more than ``HOT_TEXTS`` texts is keyed by whole windows instead: rows of one
 window are sorted by id, so the first is the smallest and nothing is held.
@@ -31,40 +33,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkloom.llm.blocks import BYTE_VALUES, Block, mix, text_blocks
+from inkloom.llm.blocks import Block, mix, text_blocks
 from inkloom.llm.chunks import merged_runs
 from inkloom.session import checkpointed
 
 LENGTH = 50
-GRAM = 16
+GRAM = 20
+#: Bytes of texts that are hashed together; the arrays of so many stay near the processor.
+HASH_BYTES = 1 << 17
 #: Bytes of distinct segments in one transform.
 TRANSFORM_BYTES = 1 << 19
 #: Texts with one minimizer above which its windows are keyed one by one.
 HOT_TEXTS = 50_000
 #: Bytes of segments that are sorted together before they are sent.
 PIECE_BYTES = 8 << 20
+#: The expansion starts at strings of twice so many symbols (a power of two from 4 on).
+HEAD = 8
 _HOT = 1 << 60
 
 
+def _stir(x: np.ndarray, spare: np.ndarray) -> None:
+    """``mix`` in place."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        np.right_shift(x, np.uint64(shift), out=spare)
+        x ^= spare
+        if factor > 1:
+            x *= np.uint64(factor)
+
+
 def _grams(data: np.ndarray) -> np.ndarray:
     """Hash of the ``GRAM`` bytes from every position (those at the end mean nothing)."""
-    out, span = BYTE_VALUES[data], 1
-    while span < GRAM:
-        longer = mix(out)
-        longer[:-span] = longer[:-span] * np.uint64(0x9E3779B97F4A7C15) + out[span:]
-        out, span = longer, 2 * span
-    return mix(out) >> np.uint64(16)
+    padded = np.zeros(len(data) + GRAM, np.uint8)
+    padded[: len(data)] = data
+    eight = lambda step: np.ndarray(len(data), "<u8", padded, step, (1,))  # noqa: E731  (the eight bytes from every position)
+    out, spare = np.array(eight(0)), np.empty(len(data), np.uint64)
+    _stir(out, spare)
+    for step in (*range(8, GRAM - 8, 8), GRAM - 8):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += eight(step)
+        _stir(out, spare)
+    out >>= np.uint64(16)
+    return out
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of ``width`` values from every position."""
-    out, span = values.copy(), 1
+    out, other, span = values.copy(), np.empty_like(values), 1
     while span < width:
-        step = min(span, width - span)
-        shorter = out.copy()
-        if len(out) > step:
-            shorter[:-step] = np.minimum(out[:-step], out[step:])
-        out, span = shorter, span + step
+        step = min(span, width - span, len(out))
+        np.minimum(out[: len(out) - step], out[step:], out=other[: len(out) - step])
+        other[len(out) - step :] = out[len(out) - step :]
+        out, other, span = other, out, span + step
+        if step == len(out):
+            break
     return out
 
 
@@ -76,11 +97,11 @@ def segments(block: Block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         return none, none, none, none
     key = _least(_grams(block.data), length - GRAM + 1).astype(np.int64)
     windows = np.maximum(np.diff(block.bounds) - length + 1, 0)
-    usable = np.zeros(size + 1, np.int64)
+    usable = np.zeros(size + 1, np.int8)
     full = windows > 0
     usable[block.bounds[:-1][full]] += 1
     usable[block.bounds[:-1][full] + windows[full]] -= 1  # a row's windows end before the next row begins
-    valid = np.cumsum(usable[:-1]) > 0
+    valid = np.cumsum(usable[:-1], dtype=np.int8) > 0
     fresh = valid.copy()
     fresh[1:] &= (key[1:] != key[:-1]) | ~valid[:-1]
     starts = np.flatnonzero(fresh)
@@ -93,10 +114,15 @@ def _minimizers(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for block in text_blocks(batch.column(1)):
+            for block in text_blocks(batch.column(1), HASH_BYTES):
                 row, _, _, h = segments(block, length)
-                order = np.lexsort((h, row))
-                row, h = row[order], h[order]
+                if block.rows < 1 << 15:  # a row and its 48-bit hash fit one word
+                    both = (row << 48) | h
+                    both.sort()
+                    row, h = both >> 48, both & ((1 << 48) - 1)
+                else:
+                    order = np.lexsort((h, row))
+                    row, h = row[order], h[order]
                 once = np.ones(len(h), bool)
                 once[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(h[once]), pa.array(keys[block.first + row[once]])], ["h", "key"])
@@ -127,7 +153,7 @@ def _pieces(length: int):
             wanted = batch.column(2).values.to_numpy()
             parts: list[tuple[np.ndarray, ...]] = []
             held = 0
-            for block in text_blocks(batch.column(1)):
+            for block in text_blocks(batch.column(1), HASH_BYTES):
                 row, start, count, h = segments(block, length)
                 bounds = wanted_bounds[block.first : block.first + block.rows + 1]
                 flat = wanted[bounds[0] : bounds[-1]]
@@ -168,24 +194,56 @@ def _within(counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
-def bounded_order(symbols: np.ndarray, length: int) -> np.ndarray:
-    """Suffixes ordered by at least their first ``length`` symbols, by doubling ranks."""
+def _sorted_keys(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, keys in order) of keys of so many bits; a key and its place share one word where they fit."""
+    room = max(len(keys) - 1, 1).bit_length()
+    if bits + room > 63:
+        order = np.argsort(keys)
+        return order, keys[order]
+    words = keys << room
+    words |= np.arange(len(keys))
+    words.sort()
+    order = words & ((1 << room) - 1)
+    words >>= room
+    return order, words
+
+
+def bounded_order(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Suffixes ordered by at least their first ``length`` symbols, by doubling ranks; and their ranks by ``HEAD`` symbols, if passed."""
     size, span = len(symbols), 1
-    rank = symbols.astype(np.int64)
-    while span < 7 and span < length:  # seven symbols of nine bits fill one key
+    rank, heads = symbols.astype(np.int64), None
+    while span < 4 and span < length:  # four symbols of nine bits leave room for a place
         rank = (rank << 9) | np.append(symbols[span:], np.zeros(min(span, size), np.int64))[:size]
         span += 1
+    bits, width = 9 * span, size.bit_length()
     while True:
-        order = np.argsort(rank)
-        ordered = rank[order]
-        step = np.ones(size, np.int64)
-        step[1:] = ordered[1:] != ordered[:-1]
-        dense = np.empty(size, np.int64)
-        dense[order] = np.cumsum(step)
+        order, ordered = _sorted_keys(rank, bits)
         if span >= length:
-            return order
-        rank = (dense << 32) | np.append(dense[span:], np.zeros(min(span, size), np.int64))[:size]
-        span *= 2
+            return order, heads
+        step = np.ones(size, bool)
+        step[1:] = ordered[1:] != ordered[:-1]
+        dense = np.empty(size, order.dtype)
+        dense[order] = np.cumsum(step, dtype=order.dtype)
+        if span == HEAD:
+            heads = dense
+        rank = dense.astype(np.int64)
+        rank <<= width
+        rank[: max(size - span, 0)] |= dense[span:]
+        bits, span = 2 * width, 2 * span
+
+
+def _first_intervals(order: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(known, starts, ends) when strings of ``2 * HEAD`` symbols are reached: the sort tells what the expansion finds up to there."""
+    size = len(order)
+    ahead = np.append(heads, np.zeros(HEAD, heads.dtype))
+    differ = lambda step: np.diff(ahead[order + step]) != 0
+    near = differ(0)
+    edges = np.concatenate([[0], np.flatnonzero(near | differ(HEAD)) + 1])
+    shorter = near | differ(HEAD - 1)  # what is an edge among strings of one symbol less was known before
+    known = np.zeros(size + 1, bool)
+    known[edges] = known[size] = True
+    fresh = ~shorter[edges[1:] - 1]
+    return known, edges[:-1][fresh], edges[1:][fresh]
 
 
 def shared_prefixes(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,28 +251,30 @@ def shared_prefixes(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.nd
 
     Breadth-first backward extension over the transform, see the module's text.
     """
-    order = bounded_order(symbols, length)
+    order, heads = bounded_order(symbols, length)
     size = len(order)
-    transform = symbols[order - 1]  # the first suffix is preceded by the last symbol, a separator
-    first_symbol = symbols[order]
-    to_first = np.empty(size, np.int64)
-    to_first[np.argsort(transform, kind="stable")] = np.arange(size)
-    known = np.zeros(size + 1, bool)  # known[i]: suffixes i - 1 and i share fewer symbols than reached
-    known[0] = known[size] = True
-    owner = np.full(size, -1, np.int64)
-    starts, ends = np.array([0]), np.array([size])
-    for shared in range(length):
+    place = np.empty(size, order.dtype)
+    place[order] = np.arange(size, dtype=order.dtype)
+    owner = np.empty(size, np.int64)
+    if heads is None or 2 * HEAD >= length:
+        reached = 0
+        known = np.zeros(size + 1, bool)  # known[i]: suffixes i - 1 and i share fewer symbols than reached
+        known[0] = known[size] = True
+        starts, ends = np.array([0]), np.array([size])
+    else:
+        reached = 2 * HEAD
+        known, starts, ends = _first_intervals(order, heads)
+    for shared in range(reached, length):
+        if not len(starts):
+            break
         counts = ends - starts
         members = np.repeat(starts, counts) + _within(counts)
-        there = to_first[members]
+        there = place[order[members] - 1]  # last to first; the first suffix is preceded by the last symbol, a separator
         owner[there] = np.repeat(np.arange(len(starts)), counts)
         there.sort()
+        whose, first_symbol = owner[there], symbols[order[there]]
         begin = np.ones(len(there), bool)
-        begin[1:] = (
-            (there[1:] != there[:-1] + 1)
-            | (owner[there[1:]] != owner[there[:-1]])
-            | (first_symbol[there[1:]] != first_symbol[there[:-1]])
-        )
+        begin[1:] = (there[1:] != there[:-1] + 1) | (whose[1:] != whose[:-1]) | (first_symbol[1:] != first_symbol[:-1])
         at = np.flatnonzero(begin)
         starts = there[at]
         ends = there[np.append(at[1:], len(there)) - 1] + 1
@@ -222,26 +282,27 @@ def shared_prefixes(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.nd
         fresh = ~known[ends] if shared else np.ones(len(ends), bool)
         known[ends] = True
         starts, ends = starts[fresh], ends[fresh]
-        if not len(starts):
-            break
-    return order, np.cumsum(known[:size]) - 1
+    return order, np.cumsum(known[:size], dtype=order.dtype) - 1
 
 
-def _smallest_docs(texts: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _smallest_docs(flat: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Smallest doc per byte position of the joined segments (valid at window starts), and each segment's place."""
-    sizes = np.array([len(t) for t in texts])
     places = np.concatenate([[0], np.cumsum(sizes + 1)])
-    symbols = np.zeros(places[-1], np.int64)
-    flat = np.frombuffer(b"".join(texts), np.uint8)
-    inside = np.repeat(places[:-1], sizes) + _within(sizes)
-    symbols[inside] = flat.astype(np.int64) + 1  # 0 separates segments
+    symbols = np.zeros(places[-1], np.int16)
+    inside = np.ones(places[-1], bool)
+    inside[places[1:] - 1] = False
+    symbols[inside] = flat + np.int16(1)  # 0 separates segments
     order, group = shared_prefixes(symbols, length)
-    doc = np.full(len(symbols), np.iinfo(np.int64).max)
     windows = sizes - length + 1
-    doc[np.repeat(places[:-1], windows) + _within(windows)] = np.repeat(docs, windows)
-    least = np.minimum.reduceat(doc[order], np.flatnonzero(np.diff(group, prepend=-1)))
+    begins = np.repeat(places[:-1], windows) + _within(windows)
+    doc, is_window = np.empty(len(symbols), np.int64), np.zeros(len(symbols), bool)
+    doc[begins], is_window[begins] = np.repeat(docs, windows), True
+    ordered = is_window[order]
+    order, group = order[ordered], group[ordered]
+    edge = np.diff(group, prepend=-1) != 0
+    least = np.minimum.reduceat(doc[order], np.flatnonzero(edge))
     out = np.empty(len(symbols), np.int64)
-    out[order] = least[group]
+    out[order] = least[np.cumsum(edge) - 1]
     return out, places[:-1]
 
 
@@ -268,51 +329,74 @@ def _removed(length: int, limit: int):
     """Rows (h, seg, doc_id, at) sorted by these: the spans to remove.  Minimizers are held until a block is full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: list[bytes] = []
-        smallest: list[int] = []
+        texts: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        smallest: list[np.ndarray] = []
         variant: list[np.ndarray] = []
         docs: list[np.ndarray] = []
         ats: list[np.ndarray] = []
-        held, last = 0, (None, None)
+        block = (texts, sizes, smallest, variant, docs, ats)
+        held, count, last = 0, 0, (None, None)
         hot_window, hot_doc = None, 0
 
         def flush() -> pa.RecordBatch:
-            least, places = _smallest_docs(texts, np.array(smallest), length)
-            of, doc, at = np.concatenate(variant), np.concatenate(docs), np.concatenate(ats)
-            windows = np.array([len(t) for t in texts])[of] - length + 1
-            return _span_batch(*_runs(doc, at, places[of], windows, least, length))
+            flat, size, least_doc, of, doc, at = (np.concatenate(p) for p in block)
+            least, places = _smallest_docs(flat, size, least_doc, length)
+            for part in block:
+                part.clear()
+            return _span_batch(*_runs(doc, at, places[of], size[of] - length + 1, least, length))
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             h, doc, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
             seg = batch.column(1)
             edge = np.ones(batch.num_rows, bool)
+            edge[0] = (int(h[0]), seg[0].as_py()) != last
             if batch.num_rows > 1:
                 same = np.asarray(pa.compute.equal(seg.slice(1), seg.slice(0, batch.num_rows - 1)))
                 edge[1:] = (h[1:] != h[:-1]) | ~same
-            first = np.flatnonzero(edge)
+            plain = int(np.searchsorted(h, _HOT))  # hot keys are the largest
+            if plain:
+                kind = np.int64 if pa.types.is_large_binary(seg.type) else np.int32
+                _, offsets, data = seg.buffers()
+                bounds = np.frombuffer(offsets, kind)[seg.offset : seg.offset + batch.num_rows + 1].astype(np.int64)
+                data = np.frombuffer(data, np.uint8)
+                first = np.flatnonzero(edge[:plain])  # of every segment
+                length_of = bounds[first + 1] - bounds[first]
+                before = np.cumsum(length_of) - length_of
+                turn = h[first] != np.where(first > 0, h[first - 1], -1 if last[0] is None else last[0])
+                turns, at_turn = first[turn], before[turn]  # of every minimizer, and the bytes before it
+                begin, done = 0, 0
+                while True:
+                    cut = int(np.searchsorted(at_turn, limit - held + done))
+                    end = int(turns[cut]) if cut < len(turns) else plain
+                    a, b = np.searchsorted(first, [begin, end])
+                    spread = np.repeat(bounds[first[a:b]] - before[a:b], length_of[a:b])
+                    texts.append(data[spread + np.arange(len(spread)) + (before[a] if a < b else 0)])
+                    sizes.append(length_of[a:b])
+                    smallest.append(doc[first[a:b]])
+                    variant.append(count - 1 + np.cumsum(edge[begin:end]))
+                    docs.append(doc[begin:end].copy())
+                    ats.append(at[begin:end].copy())
+                    count += b - a
+                    if cut >= len(turns):
+                        break
+                    yield flush()
+                    begin, done, held, count = end, int(at_turn[cut]), 0, 0
+                held += int(length_of.sum()) - done
+            first = np.flatnonzero(edge[plain:]) + plain
+            if plain < batch.num_rows and not edge[plain]:
+                first = np.append(plain, first)  # a window of the batch before goes on
             for begin, end in zip(first.tolist(), np.append(first[1:], batch.num_rows).tolist()):
-                key, text = int(h[begin]), seg[begin].as_py()
-                if key & _HOT:
-                    if hot_window != (key, text):
-                        hot_window, hot_doc = (key, text), doc[begin]
-                    later = slice(begin + int(np.searchsorted(doc[begin:end], hot_doc, "right")), end)
-                    if later.start < end:
-                        yield _span_batch(doc[later], at[later], at[later] + length)
-                    continue
-                if (key, text) != last:
-                    if key != last[0] and held >= limit:
-                        yield flush()
-                        for part in (texts, smallest, variant, docs, ats):
-                            part.clear()
-                        held = 0
-                    texts.append(text)
-                    smallest.append(int(doc[begin]))
-                    held += len(text)
-                    last = (key, text)
-                variant.append(np.full(end - begin, len(texts) - 1))
-                docs.append(doc[begin:end])
-                ats.append(at[begin:end])
-        if texts:
+                window = (int(h[begin]), seg[begin].as_py())
+                if hot_window != window:
+                    hot_window, hot_doc = window, doc[begin]
+                later = slice(begin + int(np.searchsorted(doc[begin:end], hot_doc, "right")), end)
+                if later.start < end:
+                    yield _span_batch(doc[later], at[later], at[later] + length)
+            last = (int(h[-1]), seg[-1].as_py())
+        if docs:
             yield flush()
 
     return run
@@ -348,17 +432,24 @@ def removed_spans(texts: DataFrame, firsts: DataFrame, length: int, hot_texts: i
 
 
 def _kept(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    out = []
-    for text, ranges in zip(texts.to_pylist(), spans.to_pylist()):
-        data = (text or "").encode()
-        runs = merged_runs([(s["start"], s["stop"]) for s in ranges or []], 0)
+    n_removed, n_spans, rest = [], [], []
+    bounds = spans.offsets.to_pylist()
+    starts, stops = (spans.values.field(i).to_pylist() for i in (0, 1))
+    for row, (data, has) in enumerate(zip(texts.cast(pa.binary()).to_pylist(), spans.is_valid().to_pylist())):
+        data = data or b""
+        a, b = bounds[row : row + 2] if has else (0, 0)
+        runs = merged_runs(list(zip(starts[a:b], stops[a:b])), 0)
         kept, at = [], 0
         for a, b in runs:
             kept.append(data[at:a])
             at = b
         kept.append(data[at:])
-        out.append({"n_removed": sum(b - a for a, b in runs), "n_spans": len(runs), "kept": b"".join(kept)})
-    return pa.array(out, pa.struct([("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]))
+        n_removed.append(sum(b - a for a, b in runs))
+        n_spans.append(len(runs))
+        rest.append(b"".join(kept))
+    return pa.StructArray.from_arrays(
+        [pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(rest, pa.binary())], ["n_removed", "n_spans", "kept"]
+    )
 
 
 def drop_shared(docs: DataFrame, length: int = LENGTH, hot_texts: int = HOT_TEXTS, limit: int = TRANSFORM_BYTES) -> DataFrame:

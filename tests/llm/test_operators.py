@@ -128,6 +128,35 @@ def test_shared_prefixes(corpus):
                     assert (head(a) == head(b)) == (x == y)
 
 
+def test_expansion_starts_where_intervals_are_short(corpus, monkeypatch):
+    text = " ".join(corpus.choice(["alpha", "beta", "gamma", "delta", "kappa"]) + str(corpus.randrange(1000)) for _ in range(800))
+    symbols = np.append(np.frombuffer(text.encode(), np.uint8).astype(np.int64) + 1, 0)
+    extended, within = [], suffixes._within
+    monkeypatch.setattr(suffixes, "_within", lambda counts: extended.append(int(counts.sum())) or within(counts))
+    suffixes.shared_prefixes(symbols, 50)
+    assert sum(extended) < len(symbols)
+
+
+def test_texts_meet_by_more_than_two_words(corpus):
+    word = lambda: "".join(chr(corpus.randrange(33, 127)) for _ in range(60))
+    texts = pa.array([word() + "of the same word" + word() for _ in range(300)])
+    keys = pa.array(np.arange(300))
+    found = pa.Table.from_batches(suffixes._minimizers(50)(iter([pa.RecordBatch.from_arrays([keys, texts], ["key", "text"])])))
+    assert found.num_rows == len(set(found["h"].to_pylist()))
+
+
+def test_spans_do_not_depend_on_batches_and_blocks(corpus):
+    base = [["".join(corpus.choices("ab", k=40)) + str(h) + "".join(corpus.choices("ab", k=49)) for _ in range(4)] for h in range(10)]
+    plain = [(h, corpus.choice(base[h])[: corpus.choice([60, 90])].encode(), doc, doc % 7) for h in range(9) for doc in range(30)]
+    rows = sorted(plain + [(9 | suffixes._HOT, corpus.choice(base[9])[:50].encode(), doc, doc % 7) for doc in range(30)])
+    table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.int64(), pa.int64()))], ["h", "seg", "doc_id", "at"])
+    spans = lambda size, limit: sorted(
+        tuple(r.values()) for b in suffixes._removed(50, limit)(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()
+    )
+    want = spans(1000, 1 << 19)
+    assert want and all(spans(size, limit) == want for size, limit in ((1, 1), (7, 100), (64, 1), (1000, 500)))
+
+
 def test_optimal_bounds(corpus):
     for _ in range(30):
         lengths = sorted(corpus.sample(range(1, 60), corpus.randrange(1, 8)))
