@@ -56,6 +56,31 @@ def test_verdicts_of_odd_answers_and_written_rows_are_not_written_again(spark):
     assert written(rows) is rows
 
 
+AGENT_RESULTS = "page_id long, expected_revision string, region_id string, source_text string, translated_text string, literal_text string, speaker string, tone string, confidence double, flags array<string>"
+
+
+def test_results_meet_regions_in_one_shuffle(spark):
+    pages = spark.createDataFrame([(p, "r", True, True) for p in (1, 2, 3)], "page_id long, revision string, has_mask boolean, has_background boolean")
+    own = [(1, "a", "s", "t"), (1, "a", "s", "t"), (1, "b", "s", "t"), (1, "d", None, "t"), (2, "c", "s", "t"), (None, "a", "s", "t"), (3, "a", "s", "t")]
+    regions = spark.createDataFrame(
+        [(i, *r, None, False, 0.1, ["f"], "") for i, r in enumerate(own)],
+        "x long, page_id long, region_id string, source_text string, translated_text string, raw_source_text string, text_confirmed boolean, translation_confidence double, qa_flags array<string>, extracted_source_text string",
+    )
+    sent = [(1, "a", "n", "u"), (1, "b", "s", None), (1, "d", "n", None), (2, "c", "n", None), (3, "a", None, "v"), (3, "z", None, "v")]
+    results = spark.createDataFrame([(p, "r", r, s, t, " l ", "", "", 2.0, None) for p, r, s, t in sent], AGENT_RESULTS)
+    verdicts, after = edits.submit_agent_results(pages, regions, results)
+    assert {r.page_id: r.verdict for r in verdicts.collect()} == {1: "accepted", 2: "blank text", 3: "id set differs"}
+    assert after.columns == regions.columns
+    kept = lambda i: tuple(regions.where(f"x = {i}").first())[3:]
+    want = {i: kept(i) for i in (4, 5, 6)}
+    want |= {0: ("n", "u", "s", True, 1.0, [], "l"), 1: ("n", "u", "s", True, 1.0, [], "l"), 2: ("s", "t", "s", True, 1.0, [], "l"), 3: ("n", "t", None, True, 1.0, [], "l")}
+    assert {r.x: tuple(r)[3:] for r in after.collect()} == want
+    given = results.repartition(8, "page_id")  # dealt by page already, as after a join by page
+    listed = pages.repartition(8, "page_id")
+    text = edits.submit_agent_results(listed, regions, given)[1]._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") <= 4
+
+
 def test_sides_of_a_component_are_computed_once(spark):
     text = plan(QUERIES["unclip_components"](spark, DATA))
     assert text.count("l_quantity") <= 6
