@@ -59,6 +59,20 @@ def test_verdicts_of_odd_answers_and_written_rows_are_not_written_again(spark):
 AGENT_RESULTS = "page_id long, expected_revision string, region_id string, source_text string, translated_text string, literal_text string, speaker string, tone string, confidence double, flags array<string>"
 
 
+def test_verdicts_write_nothing(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "r", True, True), (1, "q", True, True), (2, "r", True, False), (None, "r", True, True)], "page_id long, revision string, has_mask boolean, has_background boolean")
+    regions = spark.createDataFrame([(1, "a", "s", "t"), (2, "b", "s", "t"), (4, None, "s", "t"), (None, "c", "s", "t")], "page_id long, region_id string, source_text string, translated_text string")
+    results = spark.createDataFrame([(p, "r", r, None, "x", "", "", "", 0.5, []) for p, r in ((1, "a"), (2, "b"), (3, "a"), (3, "c"), (4, None), (None, "c"), (None, "d"))], AGENT_RESULTS)
+
+    def none(*_, **__):
+        raise AssertionError("written")
+
+    monkeypatch.setattr(edits, "materialize", none)
+    monkeypatch.setattr(edits, "written", none)
+    found = sorted((r.page_id or 0, r.verdict) for r in edits.submit_agent_results(pages, regions, results)[0].collect())
+    assert found == [(0, "unknown page"), (1, "accepted"), (1, "conflict"), (2, "mask data required"), (3, "unknown page"), (4, "unknown page")]
+
+
 def test_results_meet_regions_in_one_shuffle(spark):
     pages = spark.createDataFrame([(p, "r", True, True) for p in (1, 2, 3)], "page_id long, revision string, has_mask boolean, has_background boolean")
     own = [(1, "a", "s", "t"), (1, "a", "s", "t"), (1, "b", "s", "t"), (1, "d", None, "t"), (2, "c", "s", "t"), (None, "a", "s", "t"), (3, "a", "s", "t")]
